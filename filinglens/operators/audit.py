@@ -23,7 +23,7 @@ def snippets(c: Column, keywords: list[str], reach: int = 350) -> Column:
     """One snippet per 200-character bucket, the first keyword in list order winning it."""
     low = F.lower(c)
     hits = F.flatten(F.array(*[
-        F.transform(X.occurrences(low, w.lower()), lambda p, w=w, i=i: F.struct(
+        F.transform(X.occurrences(low, w.lower()), lambda p: F.struct(
             F.floor(p / BUCKET).cast("int").alias("bucket"), F.lit(i).alias("k"), p.alias("pos"), F.lit(w).alias("keyword"),
             F.lit(len(w)).alias("width"))) for i, w in enumerate(keywords)]))
     ordered = F.array_sort(hits)

@@ -122,7 +122,7 @@ def core_evidence(evidence: DataFrame, company: str, order: list[str], categorie
     pools = tops.groupBy(company).agg(F.array_sort(F.collect_set(item)).alias("pool"))
     taken = F.array().cast(pools.schema["pool"].dataType)
     for c in categories:
-        fresh = F.filter(F.col("pool"), lambda x, c=c, taken=taken: F.array_contains(x["categories"], c) & ~F.array_contains(taken, x))
+        fresh = F.filter(F.col("pool"), lambda x: F.array_contains(x["categories"], c) & ~F.array_contains(taken, x))
         pools = pools.withColumn(f"_t_{c}", F.concat(taken, F.slice(fresh, 1, per_category)))
         taken = F.col(f"_t_{c}")
     rest = F.array_except(F.col("pool"), taken)

@@ -199,7 +199,7 @@ def align(pairs: DataFrame, nodes: DataFrame, edges: DataFrame, node_floor: floa
                                      "similarity": s, "target_weight": tw[a], "candidate_weight": cw[b], "mass": min(tw[a], cw[b]) * s})
                 out.append((r.target, r.candidate, node, edge, float(sum(tw)), float(sum(cw)), len(r.tk), len(r.ck)))
             yield pd.DataFrame(out, columns=["target", "candidate", "node_matches", "edge_matches", "target_weight", "candidate_weight",
-                                             "target_nodes", "candidate_nodes"])
+                                             "target_nodes", "candidate_nodes"], dtype=object)
 
     return both.mapInPandas(run, f"target {kind}, candidate {kind}, {_MATCHES}")
 

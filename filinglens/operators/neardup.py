@@ -104,7 +104,7 @@ def similar_pairs(rows: DataFrame, company: str, threshold: float, tile_rows: in
             found = similar_in_tile(alone, alone, threshold, True)
         else:
             found = similar_in_tile(pdf[pdf["side"] == "l"], pdf[pdf["side"] == "r"], threshold, False)
-        return pd.DataFrame({company: [who] * len(found), "a": [p[0] for p in found], "b": [p[1] for p in found]})
+        return pd.DataFrame({company: [who] * len(found), "a": [p[0] for p in found], "b": [p[1] for p in found]}, dtype=object)
 
     kind = rows.schema[company].dataType.simpleString()
     return spread.groupBy(company, "lb", "lt", "hb", "ht").applyInPandas(work, f"`{company}` {kind}, a string, b string")

@@ -125,7 +125,7 @@ def _block_search(part: pd.DataFrame, k: int, corpus_key: str, filters: dict[str
                 order = np.lexsort((x, -s))[:k]
                 best[q] = (s[order], x[order])
         rows = [(ids[q], x, float(s)) for q in range(len(ids)) for s, x in zip(*best[q])]
-        yield pd.DataFrame(rows, columns=["query_id", corpus_key, "score"])
+        yield pd.DataFrame(rows, columns=["query_id", corpus_key, "score"], dtype=object)
 
     return run
 
@@ -239,7 +239,7 @@ def best_sentence_pairs(pairs: DataFrame, items: DataFrame, k: int, fill: bool =
                 if fill:
                     chosen += left[: k - len(chosen)]
                 rows += [(r.target, r.candidate, n + 1, int(r.tp[a]), int(r.cp[b]), float(sim[a, b]), one) for n, (a, b, one) in enumerate(chosen)]
-            yield pd.DataFrame(rows, columns=["target", "candidate", "pair_rank", "target_pos", "candidate_pos", "similarity", "one_to_one"])
+            yield pd.DataFrame(rows, columns=["target", "candidate", "pair_rank", "target_pos", "candidate_pos", "similarity", "one_to_one"], dtype=object)
 
     return both.mapInPandas(run, f"target {kind}, candidate {kind}, pair_rank bigint, target_pos bigint, candidate_pos bigint, similarity double, one_to_one boolean")
 
@@ -269,7 +269,7 @@ def keyphrases(rows: DataFrame, keys: list[str], column: str, load, top_n: int =
                 relevance, among = m[1:] @ m[0], m[1:] @ m[1:].T
                 for i in diverse_order(relevance, among, top_n, diversity):
                     out.append((*[getattr(r, k) for k in keys], phrases[i], round(float(relevance[i]), 4)))
-            yield pd.DataFrame(out, columns=[*keys, "phrase", "score"])
+            yield pd.DataFrame(out, columns=[*keys, "phrase", "score"], dtype=object)
 
     return rows.select(*keys, column).mapInPandas(run, schema)
 

@@ -28,7 +28,7 @@ def regions(c: Column, starts=None, ends=None, fallback: int = L.REGION_FALLBACK
     """Every start heading to the next end heading: ``array<struct<pos,heading,text>>``."""
     starts, ends = starts or L.REGION_STARTS, ends or L.REGION_ENDS
     opened = F.flatten(F.array(*[
-        F.transform(X.occurrences(c, h), lambda p, h=h: F.struct(p.alias("pos"), F.lit(h).alias("heading"))) for h in starts]))
+        F.transform(X.occurrences(c, h), lambda p: F.struct(p.alias("pos"), F.lit(h).alias("heading"))) for h in starts]))
 
     def cut(o):
         after = o["pos"] + F.length(o["heading"]) + 1

@@ -18,7 +18,7 @@ BEFORE, AFTER = 500, 1500
 def contexts(c: Column, keywords: list[str], before: int, after: int) -> Column:
     """Every hit of every keyword, keyword order first: ``array<struct<k,keyword,pos,snippet>>``."""
     return F.flatten(F.array(*[
-        F.transform(X.occurrences(c, w), lambda p, w=w, i=i: F.struct(
+        F.transform(X.occurrences(c, w), lambda p: F.struct(
             F.lit(i).alias("k"), F.lit(w).alias("keyword"), p.alias("pos"), X.context(c, p, F.lit(len(w)), before, after).alias("snippet")))
         for i, w in enumerate(keywords)]))
 
@@ -28,7 +28,7 @@ def first_contexts(texts: DataFrame, keys: list[str], keywords: list[str], colum
     """First hits of each keyword in each text with their surroundings."""
     c = F.col(column)
     hits = F.flatten(F.array(*[
-        F.transform(F.slice(X.occurrences(c, w), 1, per_keyword), lambda p, n, w=w: F.struct(
+        F.transform(F.slice(X.occurrences(c, w), 1, per_keyword), lambda p, n: F.struct(
             F.lit(w).alias("keyword"), (n + 1).alias("hit"), p.alias("pos"), X.context(c, p, F.lit(len(w)), before, after).alias("snippet")))
         for w in keywords]))
     return texts.select(*keys, F.explode(hits).alias("h")).select(*keys, "h.keyword", "h.hit", "h.pos", "h.snippet")
@@ -96,7 +96,7 @@ def current_matches(c: Column, patterns: list[str], superseded: str = L.SUPERSED
                     window: int = L.SUPERSEDED_WINDOW) -> Column:
     """Matches in pattern order then text order, those in a superseded passage left out."""
     every = F.flatten(F.array(*[
-        F.transform(X.match_spans(c, p), lambda m, i=i: F.struct(F.lit(i).alias("pattern"), m["pos"].alias("pos"), m["text"].alias("text")))
+        F.transform(X.match_spans(c, p), lambda m: F.struct(F.lit(i).alias("pattern"), m["pos"].alias("pos"), m["text"].alias("text")))
         for i, p in enumerate(patterns)]))
 
     def lead(m):

@@ -57,7 +57,7 @@ def members(archives: DataFrame) -> DataFrame:
     def run(batches):
         for pdf in batches:
             for path, content in zip(pdf["path"], pdf["content"]):
-                yield pd.DataFrame(_members(path, content), columns=[c.split()[0] for c in MEMBER_SCHEMA.split(", ")])
+                yield pd.DataFrame(_members(path, content), columns=[c.split()[0] for c in MEMBER_SCHEMA.split(", ")], dtype=object)
 
     return archives.select("path", "content").mapInPandas(run, MEMBER_SCHEMA)
 
