@@ -13,7 +13,7 @@ def parse_amount(c: Column) -> Column:
     t = F.trim(c)
     bare = F.replace(t, F.lit(","), F.lit(""))
     signed = F.when(bare.startswith("(") & bare.endswith(")"),
-                    F.concat(F.lit("-"), F.regexp_replace(bare, r"^\(|\)$", ""))).otherwise(bare)
+                    F.concat(F.lit("-"), F.substring(bare, F.lit(2), F.length(bare) - 2))).otherwise(bare)
     return F.when(~t.isin("", "-", "N/A", "null", "None"), signed.try_cast(AMOUNT_TYPE))
 
 

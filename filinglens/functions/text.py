@@ -12,6 +12,7 @@ from filinglens import lexicon as L
 # Unicode blanks that a text run may hold.
 BLANK = r"[\s\u001c-\u001f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 SENTENCE_BREAK = r"(?<=[.!?。])\s+|\n+"
+_MARK = "\u0001"
 PIECE_BREAK = r"(?<=[.!?다요])\s+"
 
 
@@ -126,20 +127,14 @@ def pack_paragraphs(c: Column, limit: int = L.BLOCK_MAX_CHARS) -> Column:
 
 def heading_blocks(c: Column, patterns=None, keywords=None) -> Column:
     """Lines grouped under the heading that opens them."""
-    lines = F.filter(F.transform(F.split(clean_chunk(c), r"\r?\n"), strip), lambda l: l != "")
-
-    def step(acc, line):
-        opens = (F.size(acc) == 0) | is_heading(line, patterns, keywords)
-        grown = F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))),
-                         F.array(F.concat(F.try_element_at(acc, F.lit(-1)), F.lit("\n"), line)))
-        return F.when(opens, F.concat(acc, F.array(line))).otherwise(grown)
-
-    return F.aggregate(lines, F.array().cast("array<string>"), step)
+    lines = F.filter(F.transform(F.split(clean_chunk(F.translate(c, _MARK, "")), r"\r?\n"), strip), lambda l: l != "")
+    marked = F.transform(lines, lambda l: F.when(is_heading(l, patterns, keywords), F.concat(F.lit(_MARK), l)).otherwise(l))
+    return F.filter(F.split(F.array_join(marked, "\n"), f"\n?{_MARK}"), lambda b: b != "")
 
 
 def length_pieces(c: Column, limit: int = L.CHUNK_MAX_CHARS, overlap: int = L.CHUNK_OVERLAP_CHARS) -> Column:
-    """Pieces of at most ``limit`` characters, cut at sentence ends where possible."""
-    body = clean_chunk(c)
+    """Pieces of at most ``limit`` characters of a cleaned text, cut at sentence ends where possible."""
+    body = c
     pieces = F.filter(F.transform(F.split(body, PIECE_BREAK), strip), lambda s: s != "")
     step_len = limit - overlap
 
@@ -164,7 +159,7 @@ def text_pieces(c: Column, low: int = L.CHUNK_MIN_CHARS, limit: int = L.CHUNK_MA
                 overlap: int = L.CHUNK_OVERLAP_CHARS, patterns=None, keywords=None) -> Column:
     """Heading blocks cut to length; short leftovers dropped."""
     pieces = F.flatten(F.transform(heading_blocks(c, patterns, keywords), lambda b: length_pieces(b, limit, overlap)))
-    return F.filter(F.transform(pieces, clean_chunk), lambda p: F.length(p) >= low)
+    return F.filter(pieces, lambda p: F.length(p) >= low)
 
 
 # --- positions ------------------------------------------------------------------------------------

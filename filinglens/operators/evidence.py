@@ -11,6 +11,7 @@ from filinglens import lexicon as L
 from filinglens.functions import text as X
 from filinglens.operators.neardup import drop_near_duplicates
 from filinglens.operators.ordering import top_per_group
+from filinglens.session import once
 
 
 class Vocabulary:
@@ -77,12 +78,11 @@ def judged(sentences: DataFrame, vocabulary: Vocabulary | None = None, name: str
     """
     v = vocabulary or Vocabulary()
     s, n = F.col("sentence"), F.coalesce(F.col(name), F.lit(""))
-    tagged = sentences.withColumn("categories", v.categories(s))
-    return tagged.withColumns({
-        "disposition": F.when(v.is_noise(s), "noise").when(v.is_peer(s, n), "peer")
-        .when(F.size("categories") == 0, "no_category").when(v.is_industry(s, n), "industry")
-        .when(~v.is_anchored(s, n), "no_anchor").otherwise("company"),
-        "relevance_score": v.relevance(s, F.col("categories"), n)})
+    tagged = once(sentences, categories=v.categories(s))
+    decided = once(tagged, disposition=F.when(v.is_noise(s), "noise").when(v.is_peer(s, n), "peer")
+                   .when(F.size("categories") == 0, "no_category").when(v.is_industry(s, n), "industry")
+                   .when(~v.is_anchored(s, n), "no_anchor").otherwise("company"))
+    return decided.withColumn("relevance_score", v.relevance(s, F.col("categories"), n))
 
 
 def extraction_counts(judged_rows: DataFrame, groups: list[str]) -> DataFrame:

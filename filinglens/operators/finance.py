@@ -27,39 +27,47 @@ def prefer_consolidated(statements: DataFrame) -> DataFrame:
             .filter(F.col("fs_div") == F.when(F.col("_cfs"), "CFS").otherwise("OFS")).drop("_cfs"))
 
 
-def _chosen(kind: Column, sheet: Column, term: str, cumulative: str) -> tuple[Column, Column]:
-    plain, summed = A.parse_amount(F.col(term)), A.parse_amount(F.col(cumulative))
-    interim = (sheet != "BS") & (kind != "FY") & summed.isNotNull()
-    return F.when(interim, summed).otherwise(plain), F.when(interim, F.lit(cumulative)).otherwise(F.lit(term))
+_AMOUNTS = ["thstrm_amount", "thstrm_add_amount", "frmtrm_amount", "frmtrm_add_amount"]
 
 
 def with_amounts(statements: DataFrame) -> DataFrame:
-    """Current and previous amount of every row and the field each came from."""
-    kind = ident.period_type(F.col("dart_report_type"))
-    sheet = F.upper(F.coalesce(F.col("sj_div"), F.lit("")))
-    now, now_field = _chosen(kind, sheet, "thstrm_amount", "thstrm_add_amount")
-    then, then_field = _chosen(kind, sheet, "frmtrm_amount", "frmtrm_add_amount")
-    return statements.withColumns({"amount": now, "amount_field": now_field, "previous_amount": then,
-                                   "previous_field": then_field,
-                                   "period_key": ident.period_key(F.col("business_year"), F.col("dart_report_type"))})
+    """Current and previous amount of every row and the field each came from.
+
+    Interim income and cash-flow rows use the cumulative figure where there is one.
+    Texts are parsed once, in their own projection.
+    """
+    parsed = statements.withColumns({f"_{a}": A.parse_amount(F.col(a)) for a in _AMOUNTS}).withColumn(
+        "_interim", (F.upper(F.coalesce("sj_div", F.lit(""))) != "BS") & (F.col("dart_report_type") != "annual"))
+    use_now = F.col("_interim") & F.col("_thstrm_add_amount").isNotNull()
+    use_then = F.col("_interim") & F.col("_frmtrm_add_amount").isNotNull()
+    return parsed.withColumns({
+        "amount": F.when(use_now, F.col("_thstrm_add_amount")).otherwise(F.col("_thstrm_amount")),
+        "amount_field": F.when(use_now, "thstrm_add_amount").otherwise("thstrm_amount"),
+        "previous_amount": F.when(use_then, F.col("_frmtrm_add_amount")).otherwise(F.col("_frmtrm_amount")),
+        "previous_field": F.when(use_then, "frmtrm_add_amount").otherwise("frmtrm_amount"),
+        "period_key": ident.period_key(F.col("business_year"), F.col("dart_report_type")),
+    }).drop("_interim", *[f"_{a}" for a in _AMOUNTS])
 
 
 def account_score(sheets: list[str], ids: list[str], names: list[str]) -> Column:
+    """Score of a row with prepared ``_sheet``, ``_name`` and ``_detailed`` for one account."""
     bare = [n.lower().replace(" ", "").replace("ㆍ", "").replace("·", "") for n in names]
-    name = A.account_name(F.col("account_nm"))
+    name = F.col("_name")
     by_name = F.when(name.isin(*bare), 50).when(any_term(name, bare), 20).otherwise(0)
     by_id = F.when(F.coalesce(F.col("account_id"), F.lit("")).isin(*ids), 100).otherwise(0)
-    detail = F.when(A.account_name(F.col("account_detail")) != "", 3).otherwise(0)
-    fits = F.upper(F.coalesce(F.col("sj_div"), F.lit(""))).isin(*sheets)
-    return F.when(fits, by_id + by_name - detail).otherwise(-1)
+    return F.when(F.col("_sheet").isin(*sheets), by_id + by_name - F.when(F.col("_detailed"), 3).otherwise(0)).otherwise(-1)
 
 
 def account_candidates(statements: DataFrame, accounts=None) -> DataFrame:
     """One row per (statement row, account) with a positive score and an amount."""
     scored = F.array(*[F.struct(F.lit(a).alias("account"), account_score(s, i, n).alias("score"))
                        for a, s, i, n in (accounts or L.ACCOUNTS)])
-    rows = with_amounts(statements).filter("amount is not null")
-    return rows.select("*", F.explode(F.filter(scored, lambda x: x["score"] > 0)).alias("_m")).select(
+    rows = with_amounts(statements)
+    ready = rows.withColumns({"_sheet": F.upper(F.coalesce(F.col("sj_div"), F.lit(""))), "_name": A.account_name(F.col("account_nm")),
+                              "_detailed": A.account_name(F.col("account_detail")) != ""}).withColumn("_scored", scored)
+    # the amount test sits inside the generator: as a filter it would be pushed down and parse every text twice
+    usable = F.when(F.col("amount").isNotNull(), F.filter("_scored", lambda x: x["score"] > 0))
+    return ready.select(*rows.columns, F.explode(usable).alias("_m")).select(
         *rows.columns, F.col("_m.account").alias("account"), F.col("_m.score").alias("score"))
 
 

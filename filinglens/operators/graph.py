@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from filinglens import lexicon as L
 from filinglens.functions import text as X
 from filinglens.operators.ordering import top_per_group
+from filinglens.session import materialise, once
 
 COMPANY = "company"
 
@@ -26,7 +27,7 @@ def clean_keywords(raw: DataFrame, stopwords=None, phrases=None, floor: float =
 
     ``raw``: company, sentence_pos, phrase, score; the best score of a phrase stays.
     """
-    named = raw.withColumn("keyword", X.normalise_keyword(F.col("phrase"), stopwords))
+    named = once(raw, keyword=X.normalise_keyword(F.col("phrase"), stopwords))
     kept = named.filter(~X.is_noisy_keyword(F.col("keyword"), F.col("score"), floor, phrases))
     return kept.groupBy(COMPANY, "sentence_pos", "keyword").agg(F.max("score").alias("score"))
 
@@ -136,7 +137,6 @@ def mutual_best(pairs: DataFrame, keys: list[str]) -> DataFrame:
     both ends and drop everything touching them; under a strict order this equals
     taking pairs greedily from the best one down.
     """
-    from filinglens.session import materialise
     rank = F.struct((-F.col("similarity")).alias("s"), "t", "c")
     open_pairs, done = materialise(pairs), None
     while not open_pairs.isEmpty():
@@ -272,7 +272,6 @@ def network_similarity(pairs: DataFrame, nodes: DataFrame, edges: DataFrame, phr
 
     ``drop_noise=False`` gives the earlier variant without centrality filtering.
     """
-    from filinglens.session import materialise
     aligned = materialise(align(pairs, nodes, edges))
     rn, re_ = relabelled(pairs, nodes, edges, node_mapping(aligned))
     t_nodes, t_edges = without_noise(nodes, edges, phrases) if drop_noise else (nodes, edges)

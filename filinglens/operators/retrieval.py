@@ -24,15 +24,13 @@ QUERY_BLOCK = 2048
 def hashing_encoder(dimension: int = 256) -> Callable[[], Callable[[list[str]], np.ndarray]]:
     """Deterministic stand-in model: signed hashed character trigrams."""
     def load():
-        import zlib
-
         def encode(texts: list[str]) -> np.ndarray:
             out = np.zeros((len(texts), dimension), dtype=np.float64)
             for i, t in enumerate(texts):
-                padded = f" {t.lower()} "
-                for j in range(max(len(padded) - 2, 1)):
-                    h = zlib.crc32(padded[j:j + 3].encode("utf-8"))
-                    out[i, (h >> 1) % dimension] += 1.0 if h & 1 else -1.0
+                c = np.frombuffer(f" {t.lower()} ".encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
+                h = (c[:-2] * 73856093 ^ c[1:-1] * 19349663 ^ c[2:] * 83492791) & 0xFFFFFFFF
+                h = (h * 2654435761 & 0xFFFFFFFF) >> 7
+                out[i] = np.bincount((h >> 1) % dimension, weights=np.where(h & 1, 1.0, -1.0), minlength=dimension)
             return out
         return encode
     return load

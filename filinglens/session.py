@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BROADCAST_ROW_LIMIT = 200_000
@@ -41,6 +41,27 @@ def fits(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> bool:
     return df.limit(limit + 1).count() <= limit
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add costly columns that later filters use.
+
+    A filter on a plain column is pushed below it with the whole expression inside,
+    so the work is done twice; values that come out of a generator stay put.
+    """
+    packed = F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))).alias("_once")
+    return df.select("*", packed).select(*[c for c in df.columns if c not in columns], *[F.col(f"_once.{n}").alias(n) for n in columns])
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Give heavy row work as many tasks as there are cores.
+
+    Small inputs often sit in one row group and so in one task; they are spread by
+    ``keys``.  An input that already splits into enough partitions is left alone,
+    so large tables are not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
+
+
 def expand_over(df: DataFrame, dimension: DataFrame, limit: int = DIMENSION_LIMIT) -> DataFrame:
     """Every row of ``df`` with every row of a small configuration table.
 

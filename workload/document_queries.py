@@ -12,7 +12,7 @@ from filinglens import lexicon as L
 from filinglens.functions import text as X
 from filinglens.operators import chunks as OC
 from filinglens.plans import company_profile as CP
-from filinglens.session import materialise, scratch_path
+from filinglens.session import materialise, scratch_path, spread
 from filinglens.sources import archives, readers, sinks, structure
 from workload.tables import REGISTRY_SQL, STATEMENTS_SQL, registry, statements, table
 from workload.text_queries import STRIP, any_sql, documents
@@ -115,7 +115,7 @@ def page_archives(spark, sf):
                 out.append((f"page-{page_id}.zip", buffer.getvalue() if page_id % 50 != 49 else b"not an archive"))
             yield pd.DataFrame(out, columns=["path", "content"], dtype=object)
 
-    return table(spark, sf, "pages").select("page_id", "html").mapInPandas(build, "path string, content binary")
+    return spread(table(spark, sf, "pages").select("page_id", "html"), "page_id").mapInPandas(build, "path string, content binary")
 
 
 @query("archive_members", """SELECT 'page-' || page_id || '.zip' AS path, unnest(CASE WHEN page_id % 50 = 49 THEN ['error'] ELSE ['document', 'document', 'image', 'image'] END) AS kind,
@@ -142,7 +142,7 @@ def newest_archives(spark, sf):
 
 def part_pages(spark, sf):
     """A small filing per part: spans, a pipe in a cell, a short row, an image and a script."""
-    p = table(spark, sf, "part")
+    p = spread(table(spark, sf, "part"), "p_partkey")
     row = lambda tag, *cells: "<tr>" + "".join(f"<{tag}>{c}</{tag}>" for c in cells) + "</tr>"
     html = F.format_string(
         "<html><body><h1>%s</h1><script>x</script><p>before</p><table><tr><th colspan=\"2\">%s</th><th>size|n</th></tr>" + row("td", "%s", "%s", "%s")
@@ -187,7 +187,7 @@ def structured_documents(spark, sf):
 
 @query("structured_pages")
 def structured_pages(spark, sf):
-    docs = structure.structured(table(spark, sf, "pages"), ["page_id"], "html")
+    docs = structure.structured(spread(table(spark, sf, "pages"), "page_id"), ["page_id"], "html")
     return docs.select("page_id", "n_chars", F.md5("text").alias("h"))
 
 
@@ -212,7 +212,7 @@ def document_counts(spark, sf):
 @query("tag_histogram", """WITH t AS (SELECT page_id, lower(unnest(regexp_extract_all(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '<([A-Za-z][A-Za-z0-9:_-]*)', 1))) AS tag FROM pages), c AS (SELECT page_id, tag, count(*) AS n FROM t GROUP BY ALL)
  SELECT page_id, tag, n, row_number() OVER (PARTITION BY page_id ORDER BY n DESC, tag) AS tag_rank FROM c QUALIFY tag_rank <= 40""")
 def tag_histogram(spark, sf):
-    return structure.tag_histogram(table(spark, sf, "pages"), ["page_id"], "html")
+    return structure.tag_histogram(spread(table(spark, sf, "pages"), "page_id"), ["page_id"], "html")
 
 
 # --- chunks ----------------------------------------------------------------------------------------------------
@@ -265,8 +265,8 @@ PIECES_SQL = """sp AS (SELECT doc_id, body, list_filter(list_transform(string_sp
  r AS (SELECT doc_id, CASE WHEN length(body) <= 900 OR {_is_table('body')} THEN [body] ELSE list_transform(f, lambda x: x[2:]) END AS pieces FROM folded)
  SELECT doc_id, len(pieces)::INT AS n, list_max(list_transform(pieces, lambda x: length(x)))::INT AS longest, md5(array_to_string(pieces, '#')) AS h FROM r""")
 def length_pieces(spark, sf):
-    p = X.length_pieces(F.col("text"))
-    return documents(spark, sf).filter(F.trim("text") != "").select("doc_id", F.size(p).alias("n"), F.array_max(F.transform(p, F.length)).alias("longest"), F.md5(F.array_join(p, "#")).alias("h"))
+    p = X.length_pieces(F.col("body"))
+    return documents(spark, sf).filter(F.trim("text") != "").withColumn("body", X.clean_chunk(F.col("text"))).select("doc_id", F.size(p).alias("n"), F.array_max(F.transform(p, F.length)).alias("longest"), F.md5(F.array_join(p, "#")).alias("h"))
 
 
 WORDS = {"business": ["tion", "eau", "lich", "Ción"], "growth": ["blean", "anst", "cher"], "risk": ["idiot", "trash", "token"], "finance": ["whthe", "euxment"]}
@@ -335,6 +335,6 @@ def chunk_statistics(spark, sf):
 @query("profile_chunks")
 def profile_chunks(spark, sf):
     """Markup to numbered chunks per company, a page's host being the company."""
-    pages = table(spark, sf, "pages").withColumns({"company": F.regexp_extract("url", r"//([^/]+)/", 1), "report_type": F.lit("annual")})
+    pages = spread(table(spark, sf, "pages"), "page_id").withColumns({"company": F.regexp_extract("url", r"//([^/]+)/", 1), "report_type": F.lit("annual")})
     docs = structure.structured(pages, ["company", "report_type"], "html")
     return CP.evidence_chunks(docs, "company", WORDS).select("company", "chunk_id", "category", F.length("chunk").alias("n_chars"), "fingerprint")

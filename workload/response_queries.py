@@ -8,7 +8,7 @@ from filinglens.operators import responses as OR
 from filinglens.operators import retrieval
 from filinglens.operators.ordering import top_per_group
 from filinglens.plans import company_profile as CP
-from filinglens.session import materialise, scratch_path
+from filinglens.session import materialise, scratch_path, spread
 from filinglens.sources import structure
 from filinglens.streaming.ingest import ingest
 from workload.document_queries import WORDS
@@ -116,7 +116,7 @@ def incremental_ingest(spark, sf):
 @query("profile_prompts")
 def profile_prompts(spark, sf):
     """Pages to prompts for all eighteen fields of every host."""
-    pages = table(spark, sf, "pages").withColumns({"company": F.regexp_extract("url", r"//([^/]+)/", 1), "report_type": F.lit("annual")})
+    pages = spread(table(spark, sf, "pages"), "page_id").withColumns({"company": F.regexp_extract("url", r"//([^/]+)/", 1), "report_type": F.lit("annual")})
     chunks = materialise(CP.evidence_chunks(structure.structured(pages, ["company", "report_type"], "html"), "company", WORDS).withColumnRenamed("chunk", "content"))
     prompts, _ = CP.field_prompts(OR.profile_fields(spark), chunks, "company", retrieval.hashing_encoder())
     return prompts.select("company", "field", "n_evidence", F.length("prompt").alias("n_chars"))

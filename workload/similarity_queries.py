@@ -12,7 +12,7 @@ from filinglens.operators import retrieval as OR
 from filinglens.operators import signals as OS
 from filinglens.operators.ordering import number_rows, top_per_group
 from filinglens.plans import peer_search as PS
-from filinglens.session import materialise, scratch_path
+from filinglens.session import materialise, scratch_path, spread
 from filinglens.sources import readers, sinks
 from workload.tables import table
 from workload.text_queries import SENT_SQL, core, documents, sentences
@@ -426,7 +426,7 @@ def peer_signals(spark, sf):
 @query("keyphrases")
 def keyphrases(spark, sf):
     """Diverse one- and two-word phrases of every conversation sentence."""
-    c = table(spark, sf, "conversations").select("conv_id", "turn", "text")
+    c = spread(table(spark, sf, "conversations").select("conv_id", "turn", "text"), "conv_id", "turn")
     s = OE.sentence_table(c, ["conv_id", "turn"])
     return OR.keyphrases(s, ["conv_id", "turn", "sentence_pos"], "sentence", OR.hashing_encoder())
 

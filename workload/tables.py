@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from filinglens.session import spread
+
 AS_OF = "1999-06-30"
 DAY = "%Y-%m-%d"
 
@@ -82,7 +84,7 @@ listing AS (
 # --- statements: one row per order line -------------------------------------------------------
 
 def statements(spark: SparkSession, sf: str) -> DataFrame:
-    o, li = table(spark, sf, "orders"), table(spark, sf, "lineitem")
+    o, li = table(spark, sf, "orders"), spread(table(spark, sf, "lineitem"), "l_orderkey")
     j = li.join(o.select("o_orderkey", "o_custkey", "o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey"))
     n = F.col("l_linenumber")
     pick = lambda *v: F.element_at(F.array(*[F.lit(x) for x in v]), n)

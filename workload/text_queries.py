@@ -11,7 +11,7 @@ from filinglens.operators import evidence as OE
 from filinglens.operators import sections as OS
 from filinglens.operators import versions as OV
 from filinglens.plans import peer_search as PS
-from filinglens.session import materialise
+from filinglens.session import spread
 from workload.tables import AS_OF, FILINGS_SQL, LISTING_SQL, REGISTRY_SQL, filings, listing_items, registry, table
 from filinglens.operators import registry as OR
 
@@ -67,7 +67,7 @@ JUDGED_SQL = f"""{NAMES_SQL}, {SENT_SQL}, tagged AS (SELECT *, ({_CATS})::VARCHA
 
 
 def documents(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", "source", "lang", "text")
+    return spread(table(spark, sf, "documents").select("doc_id", "source", "lang", "text"), "doc_id")
 
 
 def company_texts(spark, sf):
