@@ -121,7 +121,7 @@ def common_periods(pairs: DataFrame, profiles: DataFrame) -> DataFrame:
     """Periods both companies of a pair report.  ``pairs``: target, candidate."""
     keys = profiles.select("company", "period_key", "period_order")
     mine = keys.withColumnRenamed("company", "candidate")
-    theirs = keys.select(F.col("company").alias("target"), "period_key")
+    theirs = keys.select(F.col("company").alias("target"), "period_key").join(pairs.select("target").distinct(), "target", "left_semi")
     return pairs.join(mine, "candidate").join(theirs, ["target", "period_key"])
 
 
@@ -138,8 +138,10 @@ def match_pairs(pairs: DataFrame, profiles: DataFrame) -> DataFrame:
     chosen = (pairs.join(shared, ["target", "candidate"], "left")
               .select("target", "candidate", F.col("p.period_key").alias("comparison_period"),
                       F.coalesce("n_common", F.lit(0)).alias("n_common")))
+    # only the few targets' rows go into the second join, small enough to be sent around when one target is hot
+    targets = side("target", "target").join(pairs.select("target").distinct(), "target", "left_semi")
     return (chosen.join(side("candidate", "candidate"), ["candidate", "comparison_period"], "left")
-            .join(side("target", "target"), ["target", "comparison_period"], "left")
+            .join(targets, ["target", "comparison_period"], "left")
             .withColumn("comparable", F.col("comparison_period").isNotNull())
             .withColumn("reason", F.when(F.col("comparison_period").isNull(), F.lit("no common period"))))
 

@@ -176,7 +176,9 @@ def align(pairs: DataFrame, nodes: DataFrame, edges: DataFrame, node_floor: floa
     ``nodes`` carries a unit ``vector``.  Both graphs of a pair sit in one row of at
     most sixty nodes; the batch job works row by row without grouping.
     """
-    both = pairs.select("target", "candidate").join(_packed(nodes, edges, "target", "t"), "target").join(_packed(nodes, edges, "candidate", "c"), "candidate")
+    asked = pairs.select(F.col("target").alias(COMPANY)).distinct()
+    targets = _packed(nodes.join(asked, COMPANY, "left_semi"), edges.join(asked, COMPANY, "left_semi"), "target", "t")
+    both = pairs.select("target", "candidate").join(targets, "target").join(_packed(nodes, edges, "candidate", "c"), "candidate")
     kind = pairs.schema["target"].dataType.simpleString()
 
     def as_edges(a, b):

@@ -177,7 +177,8 @@ def rank_against_target(vectors: DataFrame, targets: DataFrame, company: str, ta
     ``targets``: company, target — one row per company to be compared.
     """
     mine = vectors.select(company, F.col("vector").alias("_v")).filter("_v is not null")
-    theirs = vectors.select(F.col(company).alias(target), F.col("vector").alias("_t")).filter("_t is not null")
+    theirs = (vectors.select(F.col(company).alias(target), F.col("vector").alias("_t")).filter("_t is not null")
+              .join(targets.select(target).distinct(), target, "left_semi"))
     return (targets.join(mine, company).join(theirs, target)
             .select(target, company, F.round(V.dot(F.col("_v"), F.col("_t")), 6).alias("similarity")))
 

@@ -41,6 +41,17 @@ def fits(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> bool:
     return df.limit(limit + 1).count() <= limit
 
 
+def attach(rows: DataFrame, side: DataFrame, keys: list[str], how: str = "inner", limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
+    """Join a side table to large, possibly skewed rows.
+
+    The side is stored once and counted; up to ``limit`` rows it travels to the
+    rows, so a hot key stays spread.  Beyond that it is an ordinary join, where
+    adaptive execution splits hot partitions.
+    """
+    side = materialise(side)
+    return rows.join(F.broadcast(side) if fits(side, limit) else side, keys, how)
+
+
 def once(df: DataFrame, **columns: Column) -> DataFrame:
     """Add costly columns that later filters use.
 

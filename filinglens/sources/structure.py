@@ -26,19 +26,23 @@ class _Element:
         self.tag, self.attrs, self.parent, self.children = tag, attrs, parent, []
 
     def find(self, tags, deep=True):
-        for c in self.children:
-            if isinstance(c, _Element):
-                if c.tag in tags:
-                    yield c
-                if deep:
-                    yield from c.find(tags)
+        """Elements below in document order; no recursion, markup may nest without limit."""
+        stack = [c for c in reversed(self.children) if isinstance(c, _Element)]
+        while stack:
+            node = stack.pop()
+            if node.tag in tags:
+                yield node
+            if deep:
+                stack += [c for c in reversed(node.children) if isinstance(c, _Element)]
 
     def strings(self):
-        for c in self.children:
-            if isinstance(c, _Element):
-                yield from c.strings()
+        stack = list(reversed(self.children))
+        while stack:
+            node = stack.pop()
+            if isinstance(node, _Element):
+                stack += reversed(node.children)
             else:
-                yield c
+                yield node
 
     def put(self, text):
         """Swap this element for a paragraph holding ``text``."""
@@ -87,7 +91,7 @@ class _Tree(HTMLParser):
 
 
 def _inline(text: str) -> str:
-    return " ".join(re.sub("[​﻿]", "", text).split())
+    return " ".join(re.sub("[\u200b\ufeff]", "", text).split())
 
 
 def _joined(node: _Element) -> str:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from filinglens import lexicon as L
 from filinglens.functions import text as X
 from filinglens.operators import chunks as OC
+from filinglens.operators import filings as OF
 from filinglens.plans import company_profile as CP
 from filinglens.session import materialise, scratch_path, spread
 from filinglens.sources import archives, readers, sinks, structure
@@ -197,11 +198,9 @@ def structured_output(spark, sf):
     docs = materialise(structure.structured(part_pages(spark, sf), ["p_partkey"], "html"))
     path = scratch_path(spark, "structured")
     sinks.write_structured(docs, path, ["p_partkey"])
-    one = lambda n: spark.read.parquet(f"{path}/{n}").agg(F.count("*").alias(n))
-    out = one("documents")
-    for n in ("tables", "cells", "images"):
-        out = out.join(F.broadcast(one(n)))
-    return out
+    names = ["documents", "tables", "cells", "images"]
+    stored = OF.union_all(*[spark.read.parquet(f"{path}/{n}").select(F.lit(n).alias("kind")) for n in names])
+    return stored.agg(*[F.count_if(F.col("kind") == n).alias(n) for n in names])
 
 
 @query("document_counts", "SELECT p_partkey, length(p_name) + length(chr(10) || 'before' || chr(10) || '[[TABLE:table_0001]]' || chr(10) || 'see' || chr(10) || '[[IMAGE:image_0001]]' || chr(10) || 'here') AS n_chars, 1::BIGINT AS n_tables, 1::BIGINT AS n_images FROM part")

@@ -63,8 +63,8 @@ def filings_before_event_day(spark, sf):
  FROM filing WHERE report_nm = '증권신고서(지분증권)' QUALIFY row_number() OVER (PARTITION BY corp_code ORDER BY filing.rcept_dt, rcept_no) = 1)""")
 def first_original_filing(spark, sf):
     first = OF.first_original(filings(spark, sf))
-    total = first.agg(F.countDistinct("corp_code").alias("n_companies"))
-    return (first.join(F.broadcast(total)).select("corp_code", day("rcept_dt"), "rcept_no", "n_companies").orderBy(F.desc("rcept_dt"), "corp_code"))
+    total = first.agg(F.countDistinct("corp_code")).first()[0]
+    return first.select("corp_code", day("rcept_dt"), "rcept_no", F.lit(total).cast("bigint").alias("n_companies")).orderBy(F.desc("rcept_dt"), "corp_code")
 
 
 @query("report_classes", f"""WITH {FILINGS_SQL} SELECT rcept_no, report_type,
@@ -259,4 +259,4 @@ def latest_filing_per_form(spark, sf):
     """Newest archive of each form; a form may hold most rows, so it is one aggregate."""
     f = OF.classify(filings(spark, sf)).withColumn("form", F.coalesce("report_type", F.lit("securities")))
     newest = latest_per_group(f, ["form"], OF.FILING_ORDER, [])
-    return newest.join(F.broadcast(newest.agg(F.count("*").alias("n")))).select("form", day("rcept_dt"), "rcept_no", "n")
+    return newest.select("form", day("rcept_dt"), "rcept_no", F.lit(newest.count()).cast("bigint").alias("n"))

@@ -12,7 +12,7 @@ from filinglens.operators import retrieval as OR
 from filinglens.operators import signals as OS
 from filinglens.operators.ordering import number_rows, top_per_group
 from filinglens.plans import peer_search as PS
-from filinglens.session import materialise, scratch_path, spread
+from filinglens.session import attach, materialise, scratch_path, spread
 from filinglens.sources import readers, sinks
 from workload.tables import table
 from workload.text_queries import SENT_SQL, core, documents, sentences
@@ -71,8 +71,8 @@ def vector_topk_filtered(spark, sf):
 @query("company_similarity", f"WITH {CENTROID_SQL}, s AS (SELECT t.label AS target, c.label AS company, round(list_inner_product(t.c, c.c), 6) AS similarity FROM cent t, cent c WHERE t.label = (SELECT min(label) FROM embeddings) AND c.label <> t.label) SELECT *, row_number() OVER (ORDER BY similarity DESC, company) AS rank FROM s")
 def company_similarity(spark, sf):
     v = centroids(spark, sf).withColumnRenamed("label", "company")
-    lead = v.agg(F.min("company").alias("target"))
-    targets = v.select("company").join(F.broadcast(lead), F.col("company") != F.col("target"))
+    lead = v.agg(F.min("company")).first()[0]
+    targets = v.select("company", F.lit(lead).alias("target")).filter(F.col("company") != lead)
     ranked = OR.rank_against_target(v, targets, "company", "target")
     return OS.ranked(ranked, "similarity", "rank", "company")
 
@@ -101,15 +101,15 @@ CORE_VEC_SQL = f"{CENTROID_SQL}, corev AS (SELECT e.label AS company, vec_id AS
 
 def core_vectors(spark, sf):
     """The forty vectors of each label nearest to its mean."""
-    j = vectors(spark, sf).join(F.broadcast(centroids(spark, sf).select("label", "vector")), "label")
+    j = attach(vectors(spark, sf), centroids(spark, sf).select("label", "vector"), ["label"])
     scored = j.withColumn("_s", F.round(V.dot(F.col("embedding"), F.col("vector")), 6))
     return top_per_group(scored, ["label"], [F.desc("_s"), F.asc("vec_id")], 40, "_r").select(F.col("label").alias("company"), F.col("vec_id").alias("pos"), "embedding")
 
 
 def label_pairs(spark, sf):
-    labels = vectors(spark, sf).select(F.col("label").alias("candidate")).distinct()
-    lead = vectors(spark, sf).agg(F.min("label").alias("target"))
-    return labels.join(F.broadcast(lead), F.col("candidate") != F.col("target")).select("target", "candidate")
+    lead = vectors(spark, sf).agg(F.min("label")).first()[0]
+    labels = vectors(spark, sf).select("label").distinct().filter(F.col("label") != lead)
+    return labels.select(F.lit(lead).alias("target"), F.col("label").alias("candidate"))
 
 
 GREEDY_SQL = """ord AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY sim DESC, t, c) AS rn FROM simp),
@@ -225,9 +225,9 @@ def vector_nodes(nodes):
 
 
 def source_pairs(spark, sf):
-    s = documents(spark, sf).select(F.col("source").alias("candidate")).distinct()
-    lead = documents(spark, sf).agg(F.min("source").alias("target"))
-    return s.join(F.broadcast(lead), F.col("candidate") != F.col("target")).select("target", "candidate")
+    d = table(spark, sf, "documents").select("source")
+    lead = d.agg(F.min("source")).first()[0]
+    return d.distinct().filter(F.col("source") != lead).select(F.lit(lead).alias("target"), F.col("source").alias("candidate"))
 
 
 NODE_FLOOR, EDGE_FLOOR = 0.9, 0.8

@@ -11,7 +11,7 @@ from filinglens.operators import evidence as OE
 from filinglens.operators import sections as OS
 from filinglens.operators import versions as OV
 from filinglens.plans import peer_search as PS
-from filinglens.session import spread
+from filinglens.session import attach, spread
 from workload.tables import AS_OF, FILINGS_SQL, LISTING_SQL, REGISTRY_SQL, filings, listing_items, registry, table
 from filinglens.operators import registry as OR
 
@@ -73,7 +73,7 @@ def documents(spark, sf):
 def company_texts(spark, sf):
     d = documents(spark, sf)
     names = d.groupBy("source").agg(F.min_by(F.split("text", " ")[0], "doc_id").alias("company_name"))
-    return d.join(F.broadcast(names), "source").select("source", "company_name", "doc_id", "text")
+    return attach(d, names, ["source"]).select("source", "company_name", "doc_id", "text")
 
 
 def sentences(spark, sf):
