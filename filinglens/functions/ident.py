@@ -57,6 +57,10 @@ def form_code(kind: Column) -> Column:
     return lookup(kind, L.FORM_CODES)
 
 
+def statement_report_code(kind: Column) -> Column:
+    return lookup(kind, L.STATEMENT_REPORT_CODES)
+
+
 def report_period(name: Column) -> Column:
     hit = F.regexp_extract(name, r"\((\d{4}\.\d{2})\)", 1)
     return F.when(hit != "", hit)

@@ -139,3 +139,25 @@ def profile_text(core: DataFrame, company: str, column: str = "sentence") -> Dat
     ordered = F.array_sort(F.collect_list(F.struct("core_rank", F.col(column).alias("t"))))
     return core.groupBy(company).agg(F.array_join(F.transform(ordered, lambda x: x["t"]), "\n").alias("profile_text"),
                                      F.count("*").alias("core_count"))
+
+
+def profile_records(core: DataFrame, company: str, counts: DataFrame | None = None, category_counts_table: DataFrame | None = None,
+                    column: str = "sentence") -> DataFrame:
+    """One nested record per company: core evidence in order, text, counters.
+
+    Only the core sentences (at most forty) are nested; the full evidence stays a
+    table of its own.
+    """
+    item = F.struct("core_rank", F.col(column).alias("text"), "categories", "relevance_score")
+    out = core.groupBy(company).agg(F.array_sort(F.collect_list(item)).alias("core_evidence")).withColumns({
+        "profile_text": F.array_join(F.transform("core_evidence", lambda x: x["text"]), "\n"), "core_evidence_count": F.size("core_evidence")})
+    if category_counts_table is not None:
+        maps = category_counts_table.groupBy(company).agg(F.map_from_entries(F.collect_list(F.struct("category", "n"))).alias("category_counts"))
+        out = out.join(maps, company, "left")
+    return out.join(counts, company, "left") if counts is not None else out
+
+
+def flatten_core(records: DataFrame, company: str) -> DataFrame:
+    """Non-empty core sentences of nested records with categories and score."""
+    rows = records.select(company, F.posexplode("core_evidence").alias("sentence_pos", "e"))
+    return rows.select(company, "sentence_pos", F.trim("e.text").alias("text"), "e.categories", "e.relevance_score").filter("text <> ''")

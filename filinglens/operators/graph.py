@@ -274,6 +274,8 @@ def network_similarity(pairs: DataFrame, nodes: DataFrame, edges: DataFrame, phr
 
     ``drop_noise=False`` gives the earlier variant without centrality filtering.
     """
+    # stored, because a constant target would turn the joins on it into products
+    pairs = materialise(pairs.select("target", "candidate"))
     aligned = materialise(align(pairs, nodes, edges))
     rn, re_ = relabelled(pairs, nodes, edges, node_mapping(aligned))
     t_nodes, t_edges = without_noise(nodes, edges, phrases) if drop_noise else (nodes, edges)

@@ -59,6 +59,25 @@ def resolve(queries: DataFrame, registry: DataFrame) -> DataFrame:
                     F.when(F.col("n_companies") == 1, F.col("_first")).alias("corp_code")))
 
 
+def search(queries: DataFrame, registry: DataFrame) -> DataFrame:
+    """Every company whose name holds the query, case aside."""
+    asked = queries.select("query", F.lower(F.trim("query")).alias("_q")).distinct()
+    named = registry.select("corp_code", F.lower("corp_name").alias("_n"), F.lit("").alias("_e"))
+    return _containing(asked, named).select("query", "corp_code")
+
+
+def exact_company(asked: DataFrame, registry: DataFrame) -> DataFrame:
+    """Company by stock code when one matches, else by an exact name only one company has.
+
+    ``asked``: request_id, corp_name, stock_code (may be null).
+    """
+    codes = registry.filter("stock_code <> ''").groupBy(F.trim("stock_code").alias("_code")).agg(F.min("corp_code").alias("by_code"))
+    names = registry.groupBy(F.col("corp_name").alias("_name")).agg(F.count("*").alias("_k"), F.min("corp_code").alias("by_name")).filter("_k = 1")
+    found = (asked.withColumns({"_code": F.trim("stock_code"), "_name": F.trim("corp_name")})
+             .join(codes, "_code", "left").join(names, "_name", "left"))
+    return found.select("request_id", F.coalesce("by_code", "by_name").alias("corp_code"))
+
+
 _GRAM = 3
 
 

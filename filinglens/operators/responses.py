@@ -107,3 +107,15 @@ def normalised_hits(hits: DataFrame, keep: list[str]) -> DataFrame:
                        F.coalesce(alias("score", "similarity").try_cast("double"), F.lit(0.0)).alias("score"),
                        alias("report", "source", "report_type").alias("report"), alias("section", "heading").alias("section"),
                        alias("page", "page_number").alias("page"))
+
+
+def profile_rows(fields: DataFrame, parsed: DataFrame, evidence: DataFrame, keys: list[str]) -> DataFrame:
+    """Final profile: every field with its checked answer and the evidence it cites.
+
+    ``evidence`` holds at most eight rows per key, so the nested lists stay short.
+    """
+    cited = resolved_evidence(parsed, evidence, keys)
+    item = F.struct("cited_pos", "evidence_id", "chunk_id", "content")
+    nested = cited.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("evidence"))
+    answer = parsed.select(*keys, "value", "status", "company_claim", "interpretation", "reason", "problem")
+    return fields.join(answer, keys, "left").join(nested, keys, "left")

@@ -148,3 +148,12 @@ def resolved_details(resolved: DataFrame) -> DataFrame:
         F.max(F.when(f == "per_method", method)).alias("method"),
         F.max(F.when(f == "final_offer_price", A.parse_int(F.col("value")))).alias("final_price")).withColumn(
         "valuation_type", F.when(F.col("method").isNotNull(), "relative_valuation"))
+
+
+def valuation_fields(texts: DataFrame, fields=None, patterns=None) -> DataFrame:
+    """All valuation facts of each company: criteria, method, final price, price, discounts, band."""
+    parts = [resolve_field(texts, f, words) for f, words in (fields or L.VERSION_FIELDS).items()]
+    resolved = parts[0]
+    for p in parts[1:]:
+        resolved = resolved.unionByName(p)
+    return valuation_table(texts, patterns).join(resolved_details(resolved), "company", "left")

@@ -57,6 +57,7 @@ def similarity_signals(core: DataFrame, pairs: DataFrame, names: DataFrame, load
 
     ``pairs``: target, candidate (one target).  ``names``: company, company_name.
     """
+    pairs = materialise(pairs.select("target", "candidate"))
     embedded = retrieval.embed(core, sentence, load)
     vectors = retrieval.mean_vectors(embedded, company)
     cosine = retrieval.rank_against_target(vectors, pairs.withColumnRenamed("candidate", company), company, "target")

@@ -6,7 +6,7 @@ import io
 import zipfile
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from filinglens import lexicon as L
@@ -62,11 +62,14 @@ def members(archives: DataFrame) -> DataFrame:
     return archives.select("path", "content").mapInPandas(run, MEMBER_SCHEMA)
 
 
-def main_documents(documents: DataFrame, keys: list[str], by: str = "n_chars", keep: list[str] | None = None) -> DataFrame:
-    """Longest document of each archive, the earliest member on ties."""
+def main_documents(documents: DataFrame, keys: list[str], by: str = "n_chars", keep: list[str] | None = None, prefer: Column | None = None) -> DataFrame:
+    """One document of each archive: a preferred one if any, then the largest ``by``, then the earliest member.
+
+    ``prefer`` is a condition such as the file being named after the filing.
+    """
     rest = keep or [c for c in documents.columns if c not in keys and c not in (by, "member_pos")]
-    ranked = documents.withColumn("_neg", -F.col("member_pos"))
-    return latest_per_group(ranked, keys, [by, "_neg"], [*rest, "member_pos"]).drop("_neg")
+    ranked = documents.withColumns({"_neg": -F.col("member_pos"), "_first": F.coalesce(prefer, F.lit(False)) if prefer is not None else F.lit(False)})
+    return latest_per_group(ranked, keys, ["_first", by, "_neg"], [*rest, "member_pos"]).drop("_neg", "_first")
 
 
 def newest_archive(listing: DataFrame, keys: list[str], name: str = "filename") -> DataFrame:

@@ -133,6 +133,13 @@ def main_documents(spark, sf):
     return archives.main_documents(docs, ["path"]).select("path", "filename", "n_chars")
 
 
+@query("preferred_documents", "SELECT 'page-' || page_id || '.zip' AS path, page_id || '/note.htm' AS filename FROM pages WHERE page_id % 50 <> 49")
+def preferred_documents(spark, sf):
+    """The file of a wanted name goes before the largest one."""
+    docs = archives.members(page_archives(spark, sf)).filter("kind = 'document'")
+    return archives.main_documents(docs, ["path"], "size", prefer=F.col("filename").endswith("note.htm")).select("path", "filename")
+
+
 @query("newest_archives", "SELECT o_orderpriority, max(o_orderkey || '.zip') AS filename FROM orders GROUP BY 1")
 def newest_archives(spark, sf):
     o = table(spark, sf, "orders").select("o_orderpriority", F.concat(F.col("o_orderkey").cast("string"), F.lit(".zip")).alias("filename"))

@@ -260,3 +260,26 @@ def latest_filing_per_form(spark, sf):
     f = OF.classify(filings(spark, sf)).withColumn("form", F.coalesce("report_type", F.lit("securities")))
     newest = latest_per_group(f, ["form"], OF.FILING_ORDER, [])
     return newest.select("form", day("rcept_dt"), "rcept_no", F.lit(newest.count()).cast("bigint").alias("n"))
+
+
+@query("company_search", f"""WITH {REGISTRY_SQL}, q AS (SELECT DISTINCT '#0000000' || lpad(s_suppkey::VARCHAR, 2, '0') AS query FROM supplier) SELECT query, corp_code FROM q JOIN registry ON contains(lower(corp_name), query)""")
+def company_search(spark, sf):
+    asked = table(spark, sf, "supplier").select(F.concat(F.lit("#0000000"), F.when(F.col("s_suppkey") < 100, F.lpad(F.col("s_suppkey").cast("string"), 2, "0"))
+                                                         .otherwise(F.col("s_suppkey").cast("string"))).alias("query"))
+    return OR.search(asked, registry(spark, sf))
+
+
+@query("exact_company", f"""WITH {REGISTRY_SQL}, a AS (SELECT s_suppkey AS request_id, replace(s_name, 'Supplier', 'Customer') AS corp_name, CASE WHEN s_nationkey < 12 THEN lpad((s_suppkey + 3)::VARCHAR, 6, '0') END AS stock_code FROM supplier)
+ SELECT request_id, coalesce(c.corp_code, n.corp_code) AS corp_code FROM a LEFT JOIN registry c ON c.stock_code = a.stock_code AND c.stock_code <> '' LEFT JOIN registry n ON n.corp_name = a.corp_name""")
+def exact_company(spark, sf):
+    s = table(spark, sf, "supplier")
+    asked = s.select(F.col("s_suppkey").alias("request_id"), F.replace("s_name", F.lit("Supplier"), F.lit("Customer")).alias("corp_name"),
+                     F.when(F.col("s_nationkey") < 12, F.lpad((F.col("s_suppkey") + 3).cast("string"), 6, "0")).alias("stock_code"))
+    return OR.exact_company(asked, registry(spark, sf))
+
+
+@query("report_codes", """SELECT o_orderkey, CASE quarter(o_orderdate) WHEN 1 THEN '11013' WHEN 2 THEN '11012' WHEN 3 THEN '11014' ELSE '11011' END AS report_code,
+ CASE quarter(o_orderdate) WHEN 1 THEN 'Q1_YTD' WHEN 2 THEN 'H1_YTD' WHEN 3 THEN 'Q3_YTD' ELSE 'FY' END AS period_type FROM orders""")
+def report_codes(spark, sf):
+    kind = F.element_at(F.array(*[F.lit(x) for x in ("quarterly_1", "semiannual", "quarterly_3", "annual")]), F.quarter("o_orderdate"))
+    return table(spark, sf, "orders").select("o_orderkey", ident.statement_report_code(kind).alias("report_code"), ident.period_type(kind).alias("period_type"))

@@ -94,6 +94,14 @@ def run_summary(spark, sf):
     return OR.run_summary(parsed(spark, sf).join(kinds, "event_id"), ["event_type"])
 
 
+@query("profile_rows", f"WITH {PARSED_SQL} SELECT event_id, event_type, status, problem, CASE WHEN ids <> '' THEN 'E2:c2,E1:c1' END AS evidence FROM parsed")
+def profile_rows(spark, sf):
+    """Fields with their checked answers and the evidence these cite."""
+    known = known_evidence(spark, sf).withColumns({"chunk_id": F.replace("evidence_id", F.lit("E"), F.lit("c")), "content": F.lit("x")})
+    rows = OR.profile_rows(table(spark, sf, "events").select("event_id", "event_type"), parsed(spark, sf), known, ["event_id"])
+    return rows.select("event_id", "event_type", "status", "problem", F.array_join(F.transform("evidence", lambda x: F.concat_ws(":", x["evidence_id"], x["chunk_id"])), ",").alias("evidence"))
+
+
 @query("normalised_hits", """SELECT doc_id, CASE WHEN lang = 'en' THEN 'c' || doc_id ELSE substr(sha1(trim(regexp_replace(text, '\\s+', ' ', 'g'))), 1, 16) END AS chunk_id, length(text)::INT AS n, CASE WHEN lang = 'de' THEN 0.5 ELSE 0.0 END::DOUBLE AS score, source AS report FROM documents""")
 def normalised_hits(spark, sf):
     d = table(spark, sf, "documents")

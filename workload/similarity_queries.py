@@ -109,7 +109,7 @@ def core_vectors(spark, sf):
 def label_pairs(spark, sf):
     lead = vectors(spark, sf).agg(F.min("label")).first()[0]
     labels = vectors(spark, sf).select("label").distinct().filter(F.col("label") != lead)
-    return labels.select(F.lit(lead).alias("target"), F.col("label").alias("candidate"))
+    return materialise(labels.select(F.lit(lead).alias("target"), F.col("label").alias("candidate")))
 
 
 GREEDY_SQL = """ord AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY sim DESC, t, c) AS rn FROM simp),
@@ -227,7 +227,7 @@ def vector_nodes(nodes):
 def source_pairs(spark, sf):
     d = table(spark, sf, "documents").select("source")
     lead = d.agg(F.min("source")).first()[0]
-    return d.distinct().filter(F.col("source") != lead).select(F.lit(lead).alias("target"), F.col("source").alias("candidate"))
+    return materialise(d.distinct().filter(F.col("source") != lead).select(F.lit(lead).alias("target"), F.col("source").alias("candidate")))
 
 
 NODE_FLOOR, EDGE_FLOOR = 0.9, 0.8

@@ -165,6 +165,22 @@ def profile_text(spark, sf):
     return OE.profile_text(core(spark, sf), "source").withColumn("profile_text", F.md5("profile_text"))
 
 
+@query("flattened_core", f"WITH {CORE_SQL} SELECT source, (core_rank - 1)::INT AS sentence_pos, md5(s) AS h, array_to_string(categories, '|') AS categories, relevance_score::INT AS relevance_score FROM core")
+def flattened_core(spark, sf):
+    """Core sentences nested into one record per company and flattened again."""
+    records = OE.profile_records(core(spark, sf), "source")
+    return OE.flatten_core(records, "source").select("source", "sentence_pos", F.md5("text").alias("h"), F.array_join("categories", "|").alias("categories"), "relevance_score")
+
+
+@query("profile_records", f"""WITH {CORE_SQL}, cc AS (SELECT source, string_agg(category || '=' || n, ',' ORDER BY category) AS category_counts FROM (SELECT source, category, count(*) AS n FROM (SELECT source, unnest(categories) AS category FROM own) GROUP BY ALL) GROUP BY 1)
+ SELECT source, count(*)::INT AS core_evidence_count, md5(string_agg(s, chr(10) ORDER BY core_rank)) AS profile_text, any_value(category_counts) AS category_counts FROM core JOIN cc USING (source) GROUP BY 1""")
+def profile_records(spark, sf):
+    own = judged(spark, sf).filter("disposition = 'company'")
+    r = OE.profile_records(core(spark, sf), "source", category_counts_table=OE.category_counts(own, ["source"]))
+    flat = F.array_join(F.transform(F.array_sort(F.map_entries("category_counts")), lambda e: F.concat_ws("=", e["key"], e["value"])), ",")
+    return r.select("source", "core_evidence_count", F.md5("profile_text").alias("profile_text"), flat.alias("category_counts"))
+
+
 @query("near_duplicates_removed")
 def near_duplicates_removed(spark, sf):
     """Evidence of all companies without near duplicates of earlier kept sentences."""
