@@ -14,6 +14,7 @@ from filinglens import lexicon as L
 from filinglens.functions import amounts as A
 from filinglens.functions import ident
 from filinglens.functions.text import any_term
+from filinglens.session import materialise
 
 PERIOD = ["company", "business_year", "dart_report_type"]
 METRICS = ["revenue", "total_assets", "total_equity", "operating_income", "net_income", "operating_margin", "net_margin",
@@ -58,8 +59,11 @@ def account_score(sheets: list[str], ids: list[str], names: list[str]) -> Column
     return F.when(F.col("_sheet").isin(*sheets), by_id + by_name - F.when(F.col("_detailed"), 3).otherwise(0)).otherwise(-1)
 
 
-def account_candidates(statements: DataFrame, accounts=None) -> DataFrame:
-    """One row per (statement row, account) with a positive score and an amount."""
+def account_candidates(statements: DataFrame, accounts=None, keep_unmatched: bool = False) -> DataFrame:
+    """One row per (statement row, account) with a positive score and an amount.
+
+    ``keep_unmatched`` keeps the other statement rows with a null account.
+    """
     scored = F.array(*[F.struct(F.lit(a).alias("account"), account_score(s, i, n).alias("score"))
                        for a, s, i, n in (accounts or L.ACCOUNTS)])
     rows = with_amounts(statements)
@@ -67,7 +71,8 @@ def account_candidates(statements: DataFrame, accounts=None) -> DataFrame:
                               "_detailed": A.account_name(F.col("account_detail")) != ""}).withColumn("_scored", scored)
     # the amount test sits inside the generator: as a filter it would be pushed down and parse every text twice
     usable = F.when(F.col("amount").isNotNull(), F.filter("_scored", lambda x: x["score"] > 0))
-    return ready.select(*rows.columns, F.explode(usable).alias("_m")).select(
+    unfold = F.explode_outer if keep_unmatched else F.explode
+    return ready.select(*rows.columns, unfold(usable).alias("_m")).select(
         *rows.columns, F.col("_m.account").alias("account"), F.col("_m.score").alias("score"))
 
 
@@ -83,6 +88,27 @@ def standard_accounts(statements: DataFrame, accounts=None) -> DataFrame:
                          F.col("b.previous_field").alias("previous_field"), "candidate_count")
 
 
+def consolidated_accounts(statements: DataFrame, accounts=None) -> DataFrame:
+    """:func:`standard_accounts` of the preferred basis in one pass over the statements.
+
+    The best row per account is found for both bases at once; the handful of
+    results of a period then meet and the basis is chosen among them.
+    """
+    best = F.struct("score", (-F.col("line_no")).alias("_order"), "amount", "previous_amount", "account_id", "account_nm",
+                    "amount_field", "previous_field", "sj_div")
+    per_basis = account_candidates(statements, accounts, keep_unmatched=True).groupBy(*PERIOD, "period_key", "fs_div", "account").agg(
+        F.max(best).alias("b"), F.count("*").alias("candidate_count"))
+    packed = per_basis.groupBy(*PERIOD, "period_key").agg(F.collect_list(F.struct("fs_div", "account", "b", "candidate_count")).alias("r"))
+    basis = F.when(F.exists("r", lambda x: x["fs_div"] == "CFS"), "CFS").otherwise("OFS")
+    chosen = packed.withColumn("basis", basis).select(
+        *PERIOD, "period_key", "basis", F.explode(F.filter("r", lambda x: (x["fs_div"] == F.col("basis")) & x["account"].isNotNull())).alias("x"))
+    return chosen.select(*PERIOD, "period_key", F.col("basis").alias("fs_div"), F.col("x.account").alias("account"), F.col("x.b.score").alias("score"),
+                         F.col("x.b.amount").alias("value"), F.col("x.b.previous_amount").alias("previous_value"),
+                         F.col("x.b.account_id").alias("account_id"), F.col("x.b.account_nm").alias("account_nm"),
+                         F.col("x.b.amount_field").alias("amount_field"), F.col("x.b.previous_field").alias("previous_field"),
+                         F.col("x.candidate_count").alias("candidate_count"))
+
+
 def period_profiles(accounts: DataFrame) -> DataFrame:
     """One row per (company, period): seven accounts and five ratios."""
     names = [a[0] for a in L.ACCOUNTS]
@@ -128,22 +154,23 @@ def common_periods(pairs: DataFrame, profiles: DataFrame) -> DataFrame:
 def match_pairs(pairs: DataFrame, profiles: DataFrame) -> DataFrame:
     """Latest common period of each pair with twelve metrics on both sides.
 
-    Pairs without a common period stay, marked not comparable with the reason.
+    Pairs without a common period stay, marked not comparable with the reason.  Both
+    metric sets ride along to the aggregate that picks the period, so the profiles
+    are joined twice only; the targets' side is cut to the targets that occur, small
+    enough to be sent around when one target is hot.
     """
-    shared = common_periods(pairs, profiles).groupBy("target", "candidate").agg(
-        F.max(F.struct("period_order", "period_key")).alias("p"), F.count("*").alias("n_common"))
-    side = lambda who, prefix: profiles.select(
-        F.col("company").alias(who), F.col("period_key").alias("comparison_period"),
-        *[F.col(m).cast("double").alias(f"{prefix}_{m}") for m in METRICS])
-    chosen = (pairs.join(shared, ["target", "candidate"], "left")
-              .select("target", "candidate", F.col("p.period_key").alias("comparison_period"),
-                      F.coalesce("n_common", F.lit(0)).alias("n_common")))
-    # only the few targets' rows go into the second join, small enough to be sent around when one target is hot
-    targets = side("target", "target").join(pairs.select("target").distinct(), "target", "left_semi")
-    return (chosen.join(side("candidate", "candidate"), ["candidate", "comparison_period"], "left")
-            .join(targets, ["target", "comparison_period"], "left")
-            .withColumn("comparable", F.col("comparison_period").isNotNull())
-            .withColumn("reason", F.when(F.col("comparison_period").isNull(), F.lit("no common period"))))
+    stored = materialise(profiles.select("company", "period_key", "period_order", F.struct(*[F.col(m).cast("double").alias(m) for m in METRICS]).alias("m")))
+    mine = stored.select(F.col("company").alias("candidate"), "period_key", "period_order", F.col("m").alias("c"))
+    theirs = (stored.select(F.col("company").alias("target"), "period_key", F.col("m").alias("t"))
+              .join(pairs.select("target").distinct(), "target", "left_semi"))
+    seen = pairs.select("target", "candidate").join(mine, "candidate", "left").join(theirs, ["target", "period_key"], "left")
+    shared = F.col("c").isNotNull() & F.col("t").isNotNull()
+    best = seen.groupBy("target", "candidate").agg(
+        F.max(F.when(shared, F.struct("period_order", "period_key", "t", "c"))).alias("p"), F.count_if(shared).alias("n_common"))
+    return best.select(
+        "target", "candidate", F.col("p.period_key").alias("comparison_period"), "n_common", F.col("p").isNotNull().alias("comparable"),
+        F.when(F.col("p").isNull(), F.lit("no common period")).alias("reason"),
+        *[F.col(f"p.{side}.{m}").alias(f"{name}_{m}") for side, name in (("t", "target"), ("c", "candidate")) for m in METRICS])
 
 
 def within_size_band(pairs: DataFrame, sizes: DataFrame, low: float = L.SIZE_BAND[0], high: float = L.SIZE_BAND[1]) -> DataFrame:

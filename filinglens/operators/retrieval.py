@@ -15,8 +15,10 @@ from pyspark.sql import types as T
 from filinglens import lexicon as L
 from filinglens.functions import vectors as V
 from filinglens.operators.ordering import number_rows, top_per_group
+from filinglens.session import materialise
 
 QUERY_BLOCK = 2048
+PAIR_ITEMS = 400
 
 
 # --- encoding ---------------------------------------------------------------------------
@@ -79,10 +81,10 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int, corpus_key: str, filter
     filters = filters or {}
     kind = corpus.schema[corpus_key].dataType.simpleString()
     slim = corpus.select(corpus_key, *filters, "embedding")
-    numbered = queries.select("query_id", *filters.values(), "embedding")
-    n = numbered.count()
-    blocks = max(1, -(-n // query_block))
+    numbered = materialise(queries.select("query_id", *filters.values(), "embedding"))
+    blocks = max(1, -(-numbered.count() // query_block))
     if blocks > 1:
+        slim = materialise(slim)  # encoded once, read once per block
         numbered = number_rows(numbered, [F.asc("query_id")], "_row").withColumn("_block", ((F.col("_row") - 1) / query_block).cast("int"))
     out = None
     for b in range(blocks):
@@ -212,6 +214,9 @@ def best_sentence_pairs(pairs: DataFrame, items: DataFrame, k: int, fill: bool =
     dozen core sentences per company.  First pass: one-to-one by similarity;
     second pass (``fill``): best remaining pairs up to ``k``.
     """
+    crowded = items.groupBy(company).agg(F.count("*").alias("n")).filter(F.col("n") > PAIR_ITEMS).limit(1).collect()
+    if crowded:
+        raise ValueError(f"{crowded[0][company]} has more than {PAIR_ITEMS} items; select core sentences first or use graph.mutual_best")
     packed = items.groupBy(company).agg(F.array_sort(F.collect_list(F.struct("pos", "embedding"))).alias("s"))
     both = (pairs.join(packed.select(F.col(company).alias("target"), F.col("s").alias("t")), "target")
             .join(packed.select(F.col(company).alias("candidate"), F.col("s").alias("c")), "candidate"))

@@ -37,8 +37,8 @@ def materialise(df: DataFrame) -> DataFrame:
 
 
 def fits(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> bool:
-    """True when ``df`` has at most ``limit`` rows; reads no more than that."""
-    return df.limit(limit + 1).count() <= limit
+    """True when ``df``, best a stored one, has at most ``limit`` rows."""
+    return df.count() <= limit
 
 
 def attach(rows: DataFrame, side: DataFrame, keys: list[str], how: str = "inner", limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:

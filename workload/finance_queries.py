@@ -26,7 +26,7 @@ def _based(spark, sf):
 
 
 def _profiles(spark, sf):
-    return OF.period_profiles(OF.standard_accounts(_based(spark, sf)))
+    return OF.period_profiles(OF.consolidated_accounts(statements(spark, sf)))
 
 
 @query("statement_amounts", f"""WITH {STATEMENTS_SQL} SELECT line_no, period_key, amount::DOUBLE AS amount, previous_amount::DOUBLE AS previous_amount, amount_field FROM chosen""")
@@ -51,6 +51,11 @@ def standard_accounts(spark, sf):
                                                           F.col("previous_value").cast("double").alias("previous_value"), "candidate_count")
 
 
+@query("consolidated_accounts", f"""WITH {STATEMENTS_SQL} SELECT company, period_key, fs_div, account, score::INT AS score, amount::DOUBLE AS value, candidate_count FROM best""")
+def consolidated_accounts(spark, sf):
+    return OF.consolidated_accounts(statements(spark, sf)).select("company", "period_key", "fs_div", "account", "score", F.col("value").cast("double").alias("value"), "candidate_count")
+
+
 RATIOS = ["operating_margin", "net_margin", "debt_ratio", "liability_ratio", "revenue_growth_yoy"]
 
 
