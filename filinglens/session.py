@@ -13,17 +13,18 @@ DIMENSION_LIMIT = 10_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can read, as named by ``spark.checkpoint.dir``."""
+    """Folder every executor can read, as named by ``spark.checkpoint.dir``.
+
+    Where the setting is absent, a checkpoint folder already set on the context
+    serves; only in local mode is one made up.
+    """
     context = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-    if not configured:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-        configured = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", configured)
+    if not configured and context.getCheckpointDir() is None and not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(configured)
-    return configured
+        context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    return configured or context.getCheckpointDir()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

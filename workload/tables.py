@@ -83,24 +83,33 @@ listing AS (
 
 # --- statements: one row per order line -------------------------------------------------------
 
+# line number → sheet, account id, its usual name, another name
+LINES = [
+    (1, "IS", "ifrs-full_Revenue", "매출액", "기타매출액"),
+    (2, "cis", "dart_OperatingIncomeLoss", "영업 이익", "영업이익(손실)"),
+    (3, "IS", "ifrs-full_ProfitLoss", "당기순이익", "분기순이익(손실)"),
+    (4, "CF", "ifrs-full_CashFlowsFromUsedInOperatingActivities", "영업활동현금흐름", "영업활동으로 인한 현금흐름"),
+    (5, "BS", "ifrs-full_Assets", "자산총계", "자산ㆍ총계"),
+    (6, "BS", "ifrs-full_Liabilities", "부채총계", "부채총액"),
+    (7, "bs", "ifrs-full_Equity", "자본총계", "자본 총액"),
+]
+
+
 def statements(spark: SparkSession, sf: str) -> DataFrame:
     o, li = table(spark, sf, "orders"), spread(table(spark, sf, "lineitem"), "l_orderkey")
-    j = li.join(o.select("o_orderkey", "o_custkey", "o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey"))
-    n = F.col("l_linenumber")
-    pick = lambda *v: F.element_at(F.array(*[F.lit(x) for x in v]), n)
-    cents = lambda c: F.round(c * 100).cast("bigint")
-    price = cents(F.col("l_extendedprice")).cast("string")
+    lines = spark.createDataFrame(LINES, "l_linenumber int, sheet string, id string, name string, other string")
+    j = li.join(o.select("o_orderkey", "o_custkey", "o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey")).join(F.broadcast(lines), "l_linenumber")
+    price = F.round(F.col("l_extendedprice") * 100).cast("bigint").cast("string")
     flag = F.col("l_returnflag")
+    quarter = F.quarter("o_orderdate")
     return j.select(
         F.col("o_custkey").alias("company"), F.year("o_orderdate").alias("business_year"),
-        F.element_at(F.array(*[F.lit(x) for x in ("quarterly_1", "semiannual", "quarterly_3", "annual")]), F.quarter("o_orderdate")).alias("dart_report_type"),
+        F.when(quarter == 1, "quarterly_1").when(quarter == 2, "semiannual").when(quarter == 3, "quarterly_3").otherwise("annual").alias("dart_report_type"),
         F.when(F.col("l_linestatus") == "O", "CFS").otherwise("OFS").alias("fs_div"),
-        (F.col("l_orderkey") * 10 + n).alias("line_no"),
-        pick("IS", "cis", "IS", "CF", "BS", "BS", "bs").alias("sj_div"),
-        F.when(F.col("l_quantity") < 40, pick("ifrs-full_Revenue", "dart_OperatingIncomeLoss", "ifrs-full_ProfitLoss", "ifrs-full_CashFlowsFromUsedInOperatingActivities",
-             "ifrs-full_Assets", "ifrs-full_Liabilities", "ifrs-full_Equity")).otherwise(F.lit("-표준계정코드 미사용-")).alias("account_id"),
-        F.when(F.col("l_tax") < 0.05, pick("매출액", "영업 이익", "당기순이익", "영업활동현금흐름", "자산총계", "부채총계", "자본총계"))
-        .otherwise(pick("기타매출액", "영업이익(손실)", "분기순이익(손실)", "영업활동으로 인한 현금흐름", "자산ㆍ총계", "부채총액", "자본 총액")).alias("account_nm"),
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line_no"),
+        F.col("sheet").alias("sj_div"),
+        F.when(F.col("l_quantity") < 40, F.col("id")).otherwise(F.lit("-표준계정코드 미사용-")).alias("account_id"),
+        F.when(F.col("l_tax") < 0.05, F.col("name")).otherwise(F.col("other")).alias("account_nm"),
         F.when(F.col("l_discount") > 0.07, "-").otherwise("").alias("account_detail"),
         F.when(flag == "R", F.concat(F.lit("("), price, F.lit(")"))).when(flag == "A", F.concat(F.lit("1,"), price)).otherwise(price).alias("thstrm_amount"),
         F.when(F.col("l_quantity") % 5 == 0, "-").otherwise(F.col("l_quantity").cast("bigint").cast("string")).alias("thstrm_add_amount"),
