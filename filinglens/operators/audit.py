@@ -19,6 +19,13 @@ def chunk_hits(chunks: DataFrame, company: str, field: str, keywords: list[str],
         company, F.lit(field).alias("field"), "rank", "chunk_id", "match_count", F.array_join("matched_keywords", "|").alias("matched_keywords"))
 
 
+def bucket_count(c: Column, keywords: list[str]) -> Column:
+    """Number of 200-character buckets any keyword starts in."""
+    low = F.lower(c)
+    buckets = F.flatten(F.array(*[F.transform(X.occurrences(low, w.lower()), lambda p: F.floor(p / BUCKET)) for w in keywords]))
+    return F.size(F.array_distinct(buckets))
+
+
 def snippets(c: Column, keywords: list[str], reach: int = 350) -> Column:
     """One snippet per 200-character bucket, the first keyword in list order winning it."""
     low = F.lower(c)
@@ -58,7 +65,7 @@ def recall_audit(documents: DataFrame, chunks: DataFrame, company: str, fields:
     building the lists.
     """
     fields = fields or L.AUDIT_FIELDS
-    raw_cols = {f: F.size(snippets(F.col("text"), k)) for f, k in fields.items()}
+    raw_cols = {f: bucket_count(F.col("text"), k) for f, k in fields.items()}
     raw = documents.groupBy(company).agg(*[F.least(F.sum(c), F.lit(limit)).alias(f"r_{f}") for f, c in raw_cols.items()])
     got = chunks.groupBy(company).agg(*[F.least(F.count_if(X.any_term(F.lower(F.col("content")), [w.lower() for w in k])), F.lit(limit)).alias(f"c_{f}")
                                         for f, k in fields.items()])

@@ -101,11 +101,14 @@ def partitioned_output(spark, sf):
 # --- archives -----------------------------------------------------------------------------------------
 
 def page_archives(spark, sf):
-    """One archive per page: the page, a short note in cp949, an ignored file and two same-named images."""
+    """One archive per page: the page, a short note in cp949, an ignored file and two same-named images.
+
+    Those of mobile hosts are broken.
+    """
     def build(batches):
         for pdf in batches:
             out = []
-            for page_id, html in zip(pdf["page_id"], pdf["html"]):
+            for page_id, url, html in zip(pdf["page_id"], pdf["url"], pdf["html"]):
                 buffer = io.BytesIO()
                 with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
                     z.writestr(f"{page_id}/note.htm", f"<p>쪽 {page_id}</p>".encode("cp949"))
@@ -113,27 +116,27 @@ def page_archives(spark, sf):
                     z.writestr("readme.txt", b"x")
                     z.writestr("a/fig.png", b"1")
                     z.writestr("b/fig.PNG".lower(), b"22")
-                out.append((f"page-{page_id}.zip", buffer.getvalue() if page_id % 50 != 49 else b"not an archive"))
+                out.append((f"page-{page_id}.zip", buffer.getvalue() if "//m." not in url else b"not an archive"))
             yield pd.DataFrame(out, columns=["path", "content"], dtype=object)
 
-    return spread(table(spark, sf, "pages").select("page_id", "html"), "page_id").mapInPandas(build, "path string, content binary")
+    return spread(table(spark, sf, "pages"), "page_id").mapInPandas(build, "path string, content binary")
 
 
-@query("archive_members", """SELECT 'page-' || page_id || '.zip' AS path, unnest(CASE WHEN page_id % 50 = 49 THEN ['error'] ELSE ['document', 'document', 'image', 'image'] END) AS kind,
- unnest(CASE WHEN page_id % 50 = 49 THEN [NULL] ELSE [page_id || '/note.htm', page_id || '/main.html', 'a/fig.png', 'b/fig.png'] END) AS filename,
- unnest(CASE WHEN page_id % 50 = 49 THEN [NULL] ELSE [NULL, NULL, 'fig.png', 'fig_1.png'] END) AS saved_name,
- unnest(CASE WHEN page_id % 50 = 49 THEN [NULL] ELSE [md5('<p>쪽 ' || page_id || '</p>'), md5(html), NULL, NULL] END) AS h FROM pages""")
+@query("archive_members", """SELECT 'page-' || page_id || '.zip' AS path, unnest(CASE WHEN contains(url, '//m.') THEN ['error'] ELSE ['document', 'document', 'image', 'image'] END) AS kind,
+ unnest(CASE WHEN contains(url, '//m.') THEN [NULL] ELSE [page_id || '/note.htm', page_id || '/main.html', 'a/fig.png', 'b/fig.png'] END) AS filename,
+ unnest(CASE WHEN contains(url, '//m.') THEN [NULL] ELSE [NULL, NULL, 'fig.png', 'fig_1.png'] END) AS saved_name,
+ unnest(CASE WHEN contains(url, '//m.') THEN [NULL] ELSE [md5('<p>쪽 ' || page_id || '</p>'), md5(html), NULL, NULL] END) AS h FROM pages""")
 def archive_members(spark, sf):
     return archives.members(page_archives(spark, sf)).select("path", "kind", "filename", "saved_name", F.md5("text").alias("h"))
 
 
-@query("main_documents", "SELECT 'page-' || page_id || '.zip' AS path, page_id || '/main.html' AS filename, length(html) AS n_chars FROM pages WHERE page_id % 50 <> 49")
+@query("main_documents", "SELECT 'page-' || page_id || '.zip' AS path, page_id || '/main.html' AS filename, length(html) AS n_chars FROM pages WHERE NOT contains(url, '//m.')")
 def main_documents(spark, sf):
     docs = archives.members(page_archives(spark, sf)).filter("kind = 'document'").withColumn("n_chars", F.length("text").cast("bigint"))
     return archives.main_documents(docs, ["path"]).select("path", "filename", "n_chars")
 
 
-@query("preferred_documents", "SELECT 'page-' || page_id || '.zip' AS path, page_id || '/note.htm' AS filename FROM pages WHERE page_id % 50 <> 49")
+@query("preferred_documents", "SELECT 'page-' || page_id || '.zip' AS path, page_id || '/note.htm' AS filename FROM pages WHERE NOT contains(url, '//m.')")
 def preferred_documents(spark, sf):
     """The file of a wanted name goes before the largest one."""
     docs = archives.members(page_archives(spark, sf)).filter("kind = 'document'")

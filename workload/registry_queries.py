@@ -163,13 +163,13 @@ def latest_per_report_type(spark, sf):
     return OF.latest_per_type(filings(spark, sf)).select("corp_code", "report_type", day("rcept_dt"), "rcept_no", "report_nm")
 
 
-@query("periodic_filing_list", f"""WITH {FILINGS_SQL}, two AS (SELECT *, 0 AS v FROM typed UNION ALL SELECT * REPLACE (report_nm || ' [정정]' AS report_nm), 1 AS v FROM typed WHERE corp_code LIKE '%7'),
+@query("periodic_filing_list", f"""WITH {FILINGS_SQL}, two AS (SELECT *, 0 AS v FROM typed UNION ALL SELECT * REPLACE (report_nm || ' [정정]' AS report_nm), 1 AS v FROM typed WHERE contains(report_nm, '반기보고서')),
  d AS (SELECT * FROM two WHERE report_type IS NOT NULL AND rcept_dt BETWEEN DATE '1996-01-01' AND DATE '{AS_OF}' QUALIFY row_number() OVER (PARTITION BY rcept_no ORDER BY rcept_dt DESC, v DESC) = 1)
  SELECT corp_code, rcept_no, strftime(rcept_dt, '%Y-%m-%d') AS rcept_dt, report_nm, report_type, nullif(regexp_extract(report_nm, '\\((\\d{{4}}\\.\\d{{2}})\\)', 1), '') AS report_period FROM d""")
 def periodic_filing_list(spark, sf):
     """Two result pages, the second correcting part of the first; the later one wins."""
     first = filings(spark, sf).withColumn("page", F.lit(0))
-    again = first.filter(F.col("corp_code").endswith("7")).withColumns({"report_nm": F.concat("report_nm", F.lit(" [정정]")), "page": F.lit(1)})
+    again = first.filter(F.col("report_nm").contains("반기보고서")).withColumns({"report_nm": F.concat("report_nm", F.lit(" [정정]")), "page": F.lit(1)})
     listed = OF.periodic_list(OF.union_all(first, again), "1996-01-01", AS_OF, ["rcept_dt", "page"])
     return listed.orderBy("rcept_dt", "rcept_no").select("corp_code", "rcept_no", day("rcept_dt"), "report_nm", "report_type", "report_period")
 
