@@ -1,5 +1,5 @@
 """Operators of a large training-data pipeline; nothing else in the library imports this package."""
 
-from filinglens.llm import exact, licenses, packing, quality
+from filinglens.llm import exact, licenses, packing, quality, toxicity, unigram
 
-MODULES = [exact, licenses, packing, quality]
+MODULES = [exact, licenses, packing, quality, toxicity, unigram]

@@ -49,7 +49,7 @@ def features(buf: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.ndarra
 class Ftrl:
     """FTRL-proximal over binary features; coordinate 2**bits is the bias."""
 
-    def __init__(self, size: int, alpha: float = 0.15, beta: float = 1.0, l1: float = 1.5, l2: float = 1.0):
+    def __init__(self, size: int, l1: float, alpha: float = 1.0, beta: float = 1.0, l2: float = 0.1):
         self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
         self.z, self.n = np.zeros(size), np.zeros(size)
 
@@ -70,8 +70,11 @@ def sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def fit(docs: DataFrame, sample: DataFrame, bits: int = BITS, fewest: int = FEWEST, epochs: int = 6) -> list[tuple[int, float]]:
-    """The non-zero weights (feature, weight), learnt in one task from the sampled documents."""
+def fit(docs: DataFrame, sample: DataFrame, bits: int = BITS, fewest: int = FEWEST, epochs: int = 10, l1: float = 0.8) -> list[tuple[int, float]]:
+    """The non-zero weights (feature, weight), learnt in one task from the sampled documents.
+
+    Chance correlations grow as the root of the number of documents and so does the L1 term: ``l1`` times that root.
+    """
     def run(batches: Iterator[pa.RecordBatch]):
         rows: list[tuple[np.ndarray, int]] = []
         seen = np.zeros(1 << bits, np.int32)
@@ -90,7 +93,7 @@ def fit(docs: DataFrame, sample: DataFrame, bits: int = BITS, fewest: int = FEWE
             rows = [(np.append(own[seen[own] >= fewest], bias), label) for own, label in rows]
             toxic = sum(label for _, label in rows)
             rare = min(10.0, max(1.0, (len(rows) - toxic) / max(1, toxic)) ** 0.5)
-            model = Ftrl((1 << bits) + 1)
+            model = Ftrl((1 << bits) + 1, l1 * len(rows) ** 0.5)
             for _ in range(epochs):
                 for own, label in rows:
                     model.learn(own, label, rare if label else 1.0)
