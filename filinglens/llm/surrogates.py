@@ -192,11 +192,14 @@ class Surrogates:
             if all(b <= x or y <= a for x, y, _ in spans):
                 spans.append((a, b, kind))
 
+        rest = text  # without what has been found, so that an entity doesn't run into its neighbour
         for kind, pattern, needs in DETECTORS:
             if needs and needs not in text or kind == "secret" and not worded or kind not in ("email", "secret", "access_key") and not numeric:
                 continue
-            for m in pattern.finditer(text):
-                admit(*(m.span("value") if kind == "secret" else m.span()), kind)
+            found = [m.span("value") if kind == "secret" else m.span() for m in pattern.finditer(rest)]
+            for a, b in found:
+                admit(a, b, kind)
+                rest = rest[:a] + "\x00" * (b - a) + rest[b:]
         words: set[str] = set()
         for m in NAME.finditer(text):
             for part in ("after", "given", "family"):
