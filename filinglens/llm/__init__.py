@@ -1,5 +1,5 @@
 """Operators of a large training-data pipeline; nothing else in the library imports this package."""
 
-from filinglens.llm import exact, licenses, near, packing, quality, surrogates, toxicity, unigram
+from filinglens.llm import exact, languages, licenses, near, packing, quality, repeats, surrogates, toxicity, unigram
 
-MODULES = [exact, licenses, near, packing, quality, surrogates, toxicity, unigram]
+MODULES = [exact, languages, licenses, near, packing, quality, repeats, surrogates, toxicity, unigram]
