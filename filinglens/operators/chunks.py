@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from filinglens import lexicon as L
 from filinglens.functions import text as X
 from filinglens.operators.ordering import number_rows, top_per_group
+from filinglens.session import join_safe
 
 
 def table_search_text(rows: Column) -> Column:
@@ -88,7 +89,7 @@ def first_occurrences(rows: DataFrame, order: list[str], scope: list[str] | None
     """
     by = [*(scope or []), "fingerprint"]
     first = rows.groupBy(*by).agg(F.min(F.struct(*order)).alias("_o")).select(*by, *[F.col(f"_o.{c}").alias(c) for c in order])
-    return rows.join(first.select(*dict.fromkeys([*by, *order])), list(dict.fromkeys([*by, *order])), "left_semi")
+    return join_safe(rows, first.select(*dict.fromkeys([*by, *order])), list(dict.fromkeys([*by, *order])), "left_semi")
 
 
 def number_chunks(chunks: DataFrame, order: list[str], groups=("category", "report_type", "source_type")) -> DataFrame:
@@ -96,7 +97,7 @@ def number_chunks(chunks: DataFrame, order: list[str], groups=("category", "repo
     numbered = number_rows(chunks, [F.asc(c) for c in order], "_n", list(groups))
     digits = F.col("_n").cast("string")
     padded = F.when(F.length(digits) >= 4, digits).otherwise(F.lpad(digits, 4, "0"))
-    return numbered.withColumn("chunk_id", F.concat_ws("_", *groups, padded)).drop("_n")
+    return numbered.withColumn("chunk_id", F.concat_ws("_", *[F.coalesce(F.col(g).cast("string"), F.lit("")) for g in groups], padded)).drop("_n")
 
 
 def chunk_statistics(chunks: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from filinglens import lexicon as L
 from filinglens.functions import text as X
 from filinglens.operators.neardup import drop_near_duplicates
 from filinglens.operators.ordering import top_per_group
-from filinglens.session import once
+from filinglens.session import join_safe, once
 
 
 class Vocabulary:
@@ -131,7 +131,7 @@ def core_evidence(evidence: DataFrame, company: str, order: list[str], categorie
     placed = F.array_sort(F.transform(selected, lambda x, i: F.struct(x["neg"].alias("neg"), i.alias("at"), *[x[c].alias(c) for c in order])))
     picked = pools.select(company, F.posexplode(F.slice(placed, 1, max_items)).alias("_at", "x")).select(
         company, (F.col("_at") + 1).cast("bigint").alias("core_rank"), *[F.col(f"x.{c}").alias(c) for c in order])
-    return evidence.join(picked, [company, *order])
+    return join_safe(evidence, picked, [company, *order])
 
 
 def profile_text(core: DataFrame, company: str, column: str = "sentence") -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from filinglens.session import materialise
+from filinglens.session import join_safe, materialise
 
 _LOCAL_MASK = (1 << 33) - 1
 
@@ -30,7 +30,7 @@ def number_rows(df: DataFrame, order: list[Column], name: str, groups: list[str]
     spans = spans.select("_part", *groups, "_low",
                          F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
                          *([F.sum("_n").over(whole).alias(total)] if total else []))
-    numbered = placed.join(spans, ["_part", *groups])
+    numbered = join_safe(placed, spans, ["_part", *groups])
     return (numbered.withColumn(name, F.col("_at") - F.col("_low") + F.col("_before") + 1)
             .drop("_slot", "_part", "_at", "_low", "_before"))
 

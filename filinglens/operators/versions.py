@@ -5,6 +5,8 @@ Texts: company, rcept_dt, rcept_no, text — one row per filing version.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -106,6 +108,11 @@ def current_matches(c: Column, patterns: list[str], superseded: str = L.SUPERSED
     return F.filter(every, lambda m: ~(lead(m).contains(superseded) & ~lead(m).contains(current)))
 
 
+def _groups(pattern: str) -> int:
+    """Capturing groups of a pattern, named ones included."""
+    return re.compile(re.sub(r"\(\?<(?![=!])", "(?P<", pattern)).groups
+
+
 def extract_figure(texts: DataFrame, patterns: list[str], superseded: str = L.SUPERSEDED_MARK, current: str = L.CURRENT_MARK,
                    window: int = L.SUPERSEDED_WINDOW, before: int = 300, after: int = 500) -> DataFrame:
     """First valid match of the newest filing that has one, with groups, source and evidence."""
@@ -120,7 +127,7 @@ def extract_figure(texts: DataFrame, patterns: list[str], superseded: str = L.SU
     for g in (1, 2):
         value = F.lit(None).cast("string")
         for i, p in enumerate(patterns):
-            if f"{p}".replace("\\(", "").replace("(?", "").count("(") >= g:
+            if _groups(p) >= g:
                 value = F.when(F.col("pattern") == i, F.regexp_extract("match", p, g)).otherwise(value)
         out = out.withColumn(f"group{g}", value)
     return out

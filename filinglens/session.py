@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,6 +54,13 @@ def attach(rows: DataFrame, side: DataFrame, keys: list[str], how: str = "inner"
     return rows.join(F.broadcast(side) if fits(side, limit) else side, keys, how)
 
 
+def join_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which a null key meets a null key; the keys of ``left`` remain."""
+    side = right.select(*[F.col(c).alias(f"_on_{c}" if c in keys else c) for c in right.columns])
+    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_on_{k}")) for k in keys])
+    return left.join(side, on, how).drop(*[f"_on_{k}" for k in keys])
+
+
 def once(df: DataFrame, **columns: Column) -> DataFrame:
     """Add costly columns that later filters use.
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import zipfile
+import zlib
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -12,9 +13,14 @@ from pyspark.sql import functions as F
 from filinglens import lexicon as L
 from filinglens.operators.ordering import latest_per_group
 
+_BATCH_BYTES = 8 << 20
 MEMBER_SCHEMA = "path string, member_pos int, filename string, kind string, size bigint, text string, saved_name string, error string"
 
 
+# What a damaged, encrypted or unsupported archive or member raises.
+_BROKEN = (zipfile.BadZipFile, zlib.error, EOFError, OSError, ValueError, RuntimeError, NotImplementedError)
+
+
 def decode(raw: bytes) -> str:
     for name in L.TEXT_ENCODINGS:
         try:
@@ -30,13 +36,18 @@ def safe_name(name: str) -> str:
 
 
 def _members(path: str, content: bytes) -> list[tuple]:
-    rows, used = [], set()
+    rows, used, documents = [], set(), 0
     try:
         with zipfile.ZipFile(io.BytesIO(content)) as z:
             for pos, name in enumerate(z.namelist()):
                 low = name.lower()
                 if low.endswith(L.DOCUMENT_SUFFIXES):
-                    raw = z.read(name)
+                    documents += 1
+                    try:
+                        raw = z.read(name)
+                    except _BROKEN as e:
+                        rows.append((path, pos, name, "error", z.getinfo(name).file_size, None, None, type(e).__name__))
+                        continue
                     rows.append((path, pos, name, "document", len(raw), decode(raw), None, None))
                 elif low.endswith(L.IMAGE_SUFFIXES):
                     base = safe_name(name.rsplit("/", 1)[-1])
@@ -47,17 +58,27 @@ def _members(path: str, content: bytes) -> list[tuple]:
                         saved = f"{stem}_{n}{dot}{suffix}"
                     used.add(saved)
                     rows.append((path, pos, name, "image", z.getinfo(name).file_size, None, saved, None))
-    except (zipfile.BadZipFile, EOFError, OSError, ValueError) as e:
-        return [(path, None, None, "error", len(content or b""), None, None, type(e).__name__)]
-    return rows or [(path, None, None, "error", len(content), None, None, "NoDocument")]
+    except _BROKEN as e:
+        return [*rows, (path, None, None, "error", len(content or b""), None, None, type(e).__name__)]
+    return rows if documents else [*rows, (path, None, None, "error", len(content), None, None, "NoDocument")]
 
 
 def members(archives: DataFrame) -> DataFrame:
-    """One row per document or image member; unreadable archives give an error row."""
+    """One row per document or image member.
+
+    An unreadable member gives an error row and the others stay; so does an archive that can't be opened or has no document.
+    """
+    names = [c.split()[0] for c in MEMBER_SCHEMA.split(", ")]
+
     def run(batches):
         for pdf in batches:
+            rows: list[tuple] = []
             for path, content in zip(pdf["path"], pdf["content"]):
-                yield pd.DataFrame(_members(path, content), columns=[c.split()[0] for c in MEMBER_SCHEMA.split(", ")], dtype=object)
+                rows += _members(path, content)
+                if sum(r[4] or 0 for r in rows) >= _BATCH_BYTES:
+                    yield pd.DataFrame(rows, columns=names, dtype=object)
+                    rows = []
+            yield pd.DataFrame(rows, columns=names, dtype=object)
 
     return archives.select("path", "content").mapInPandas(run, MEMBER_SCHEMA)
 

@@ -16,7 +16,7 @@ _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "me
 _CELL = "struct<text:string,colspan:int,rowspan:int>"
 PARSED = ("struct<text:string,markdown:string,plain:string,n_chars:bigint,"
           f"tables:array<struct<table_id:string,rows:array<array<{_CELL}>>,markdown:string>>,"
-          "images:array<struct<image_id:string,tag:string,source:string,alt:string,title:string,nearby_text:string>>>")
+          "images:array<struct<image_id:string,tag:string,source:string,alt:string,title:string,nearby_text:string>>,error:string>")
 
 
 class _Element:
@@ -89,6 +89,21 @@ class _Tree(HTMLParser):
     def handle_data(self, data):
         self.at.children.append(data)
 
+    def unknown_decl(self, data):
+        if data.upper().startswith("CDATA["):
+            self.handle_data(data[6:])
+
+    def parse_marked_section(self, i, report=1):
+        """Sections other than CDATA are skipped, whatever their name; an open one ends with the markup."""
+        if self.rawdata[i : i + 9].upper() == "<![CDATA[":
+            end = self.rawdata.find("]]>", i)
+            if end < 0:
+                return -1
+            self.unknown_decl(self.rawdata[i + 3 : end])
+            return end + 3
+        end = self.rawdata.find(">", i)
+        return end + 1 if end >= 0 else -1
+
 
 def _inline(text: str) -> str:
     return " ".join(re.sub("[\u200b\ufeff]", "", text).split())
@@ -157,18 +172,26 @@ def parse(markup: str, filename: str | None = None) -> dict:
         markdown = markdown.replace(f"[[TABLE:{t['table_id']}]]", f"\n\n<!-- {t['table_id']} -->\n{t['markdown']}\n\n")
     for i in images:
         markdown = markdown.replace(f"[[IMAGE:{i['image_id']}]]", f"\n\n[IMAGE: {i['image_id']}]\n\n")
-    return {"text": text, "markdown": _lines(markdown), "plain": plain, "n_chars": len(text), "tables": tables, "images": images}
+    return {"text": text, "markdown": _lines(markdown), "plain": plain, "n_chars": len(text), "tables": tables, "images": images, "error": None}
+
+
+def _parsed(markup: str, filename: str | None) -> dict:
+    """As ``parse``; markup that the parser can't read gives an empty page that names the error."""
+    try:
+        return parse(markup, filename)
+    except (AssertionError, ValueError) as e:
+        return {**parse("", filename), "error": type(e).__name__}
 
 
 def structured(pages: DataFrame, keys: list[str], markup: str, filename: str | None = None) -> DataFrame:
-    """One nested row per page; pages stay where they are, nothing is shuffled."""
+    """One nested row per page, ``error`` for those that can't be read; pages stay where they are, nothing is shuffled."""
     fields = T._parse_datatype_string(PARSED)
     schema = T.StructType([*[pages.schema[k] for k in keys], *fields.fields])
 
     def run(batches):
         for pdf in batches:
             names = pdf["_filename"] if "_filename" in pdf else [None] * len(pdf)
-            parsed = [parse(m or "", f) for m, f in zip(pdf["_markup"], names)]
+            parsed = [_parsed(m or "", f) for m, f in zip(pdf["_markup"], names)]
             yield pd.DataFrame({**{k: pdf[k] for k in keys}, **{f.name: [p[f.name] for p in parsed] for f in fields.fields}})
 
     cols = [F.col(markup).alias("_markup")] + ([F.col(filename).alias("_filename")] if filename else [])

@@ -105,3 +105,37 @@ def test_markdown_expression_equals_the_job(spark):
     rows = structure.table_rows(docs, ["id"]).select("markdown", OC.table_markdown(F.col("rows")).alias("m"), OC.table_search_text(F.col("rows")).alias("s")).collect()
     assert all(r.markdown == r.m for r in rows)
     assert rows[0].s.split("\n")[:2] == ["A|B", "1 | 2"]
+
+
+def test_cdata_and_odd_sections_are_read(spark):
+    assert structure.parse("<a><p>x</p><![CDATA[hello]]></a>")["text"].split() == ["x", "hello"]
+    assert structure.parse("<p>a</p><![foo[x]]><p>b</p>")["text"].startswith("a")
+    pages = spark.createDataFrame([(1, "<p>a</p><![foo[x]]>"), (2, None), (3, "<p>b</p><![CDATA[open")], "id int, html string")
+    got = {r.id: (r.text.split()[:1], r.error) for r in structure.structured(pages, ["id"], "html").collect()}
+    assert got[1][0] == ["a"] and got[2] == ([], None) and got[3][0] == ["b"]
+
+
+def test_bad_members_leave_the_others(spark, tmp_path):
+    b = io.BytesIO()
+    with zipfile.ZipFile(b, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("good.xml", "<p>gut</p>" * 20)
+        z.writestr("bad.xml", "<p>schlecht</p>" * 200)
+        z.writestr("locked.xml", "<p>zu</p>" * 20)
+        z.writestr("i.png", b"1")
+        spots = {n: z.getinfo(n).header_offset for n in z.namelist()}
+    raw = bytearray(b.getvalue())
+    at = spots["bad.xml"] + 30 + len("bad.xml")
+    raw[at : at + 8] = b"\xff" * 8  # damaged deflate stream
+    raw[spots["locked.xml"] + 6] |= 1  # encrypted, in the local and the central header
+    central = raw.rindex(b"PK\x01\x02", 0, raw.rindex(b"i.png"))
+    central = raw.rindex(b"PK\x01\x02", 0, raw.rindex(b"locked.xml"))
+    raw[central + 8] |= 1
+    (tmp_path / "x.zip").write_bytes(bytes(raw))
+    only = io.BytesIO()
+    with zipfile.ZipFile(only, "w") as z:
+        z.writestr("i.png", b"1")
+    (tmp_path / "y.zip").write_bytes(only.getvalue())
+    m = archives.members(readers.archives(spark, str(tmp_path))).withColumn("name", F.regexp_extract("path", "([^/]+)$", 1))
+    got = sorted((r.name, r.kind, r.filename or "", r.error or "") for r in m.collect())
+    assert got == [("x.zip", "document", "good.xml", ""), ("x.zip", "error", "bad.xml", "error"), ("x.zip", "error", "locked.xml", "RuntimeError"), ("x.zip", "image", "i.png", ""),
+                   ("y.zip", "error", "", "NoDocument"), ("y.zip", "image", "i.png", "")]
