@@ -8,11 +8,18 @@ over both lengths, so two bounds are safe to prune with:
 * letters: the multiset overlap of characters is never below the matched ones.
 
 Plan: identical sentences collapse first (later copies of a sentence always share
-the fate of the first one).  The rest is cut into tiles of one company and one
-length band; only tiles of the same or neighbouring bands meet, a pair of tiles is
-one unit of work, and inside it both bounds run as matrix operations before any
-exact ratio.  Only similar pairs leave the tasks.  Which sentences stay is then
-settled by rounds over those pairs.
+the fate of the first one).  Then variants of one sentence are put behind its first
+one: each sentence is compared with the first sentence of a few buckets (opening,
+ending, two MinHash values), so a cluster of m variants costs a few times m
+comparisons, and only its first sentence goes on.  What is left is cut into tiles
+of one company and one length band; only tiles of the same or neighbouring bands
+meet, a pair of tiles is one unit of work, and inside it both bounds run as matrix
+operations before any exact ratio.  Only similar pairs leave the tasks.  Which
+sentences stay is then settled by rounds over those pairs.
+
+A sentence put behind another one is rightly dropped if that one is kept.  Where it
+is not, the sentence is released and takes part in its own right; this repeats until
+nothing is released, so the result is that of the sequential rule.
 """
 
 from __future__ import annotations
@@ -25,9 +32,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from filinglens.session import materialise
+from filinglens.session import join_safe, materialise
 
 TILE_ROWS = 1024
+GRAM, EDGE = 8, 20
 _LETTERS = 64
 
 
@@ -61,8 +69,7 @@ def similar_in_tile(left: pd.DataFrame, right: pd.DataFrame, threshold: float, s
         for j in near[overlap >= need[near]]:
             first, later = (i, j) if a_key[i] < b_key[j] else (None, None)
             x, y = (b_text[j], a_text[i]) if first is not None else (a_text[i], b_text[j])
-            m = SequenceMatcher(None, x, y)
-            if m.quick_ratio() >= threshold and m.ratio() >= threshold:
+            if similar(x, y, threshold):
                 found.append((a_key[i], b_key[j]) if first is not None else (b_key[j], a_key[i]))
     return found
 
@@ -130,6 +137,34 @@ def dropped_by_rounds(pairs: DataFrame, company: str) -> DataFrame:
     return dropped if dropped is not None else pairs.select(company, F.col("b").alias("k")).limit(0)
 
 
+def behind_first(rows: DataFrame, company: str, threshold: float) -> DataFrame:
+    """Pairs (company, first, k): k is similar to an earlier sentence ``first`` that is behind no other one."""
+    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length("text") - (GRAM - 1), F.lit(1))), lambda i: F.substring(F.col("text"), i, F.lit(GRAM)))
+    keys = F.array(F.xxhash64(F.lit(0), F.substring("text", 1, EDGE)), F.xxhash64(F.lit(1), F.substring("text", -EDGE, EDGE)),
+                   *[F.array_min(F.transform(grams, lambda g, s=s: F.xxhash64(F.lit(s), g))) for s in (2, 3)])
+    dealt = rows.select(company, "ord", "text", F.explode(keys).alias("bucket"))
+    heads = dealt.groupBy(company, "bucket").agg(F.min(F.struct("ord", "text")).alias("h"))
+    met = join_safe(dealt, heads, [company, "bucket"]).filter(F.col("ord") != F.col("h.ord"))
+    met = met.select(company, F.col("h.ord").alias("first"), F.col("ord").alias("k"), F.col("h.text").alias("a"), F.col("text").alias("b")).dropDuplicates([company, "first", "k"])
+
+    def ratio(batches):
+        for pdf in batches:
+            yield pdf[[similar(a, b, threshold) for a, b in zip(pdf["a"], pdf["b"])]][[company, "first", "k"]]
+
+    kind = rows.schema[company].dataType.simpleString()
+    near = materialise(met.mapInPandas(ratio, f"`{company}` {kind}, first string, k string"))
+    behind = near.select(company, F.col("k").alias("first")).distinct()
+    return materialise(join_safe(near, behind, [company, "first"], "left_anti"))
+
+
+def similar(earlier: str, later: str, threshold: float) -> bool:
+    """The ratio of the two reaches the threshold; bounds first."""
+    if 2 * min(len(earlier), len(later)) < threshold * (len(earlier) + len(later)) - 1e-9:
+        return False
+    m = SequenceMatcher(None, earlier, later)
+    return m.quick_ratio() >= threshold and m.ratio() >= threshold
+
+
 def drop_near_duplicates(rows: DataFrame, company: str, order: list[str], text: str, threshold: float = 0.93,
                          tile_rows: int = TILE_ROWS) -> DataFrame:
     """Rows of each company that are no near duplicate of an earlier kept row.
@@ -140,7 +175,16 @@ def drop_near_duplicates(rows: DataFrame, company: str, order: list[str], text:
              else F.col(c).cast("string") for c in order]
     keyed = materialise(rows.withColumn("_ord", F.concat_ws("~", *parts)))
     firsts = keyed.groupBy(company, F.col(text).alias("text")).agg(F.min("_ord").alias("ord"))
-    pairs = similar_pairs(firsts, company, threshold, tile_rows)
-    lost = dropped_by_rounds(pairs, company)
-    stay = firsts.join(lost.withColumnRenamed("k", "ord"), [company, "ord"], "left_anti").select(company, F.col("ord").alias("_ord"))
-    return keyed.join(stay, [company, "_ord"], "left_semi").drop("_ord")
+    firsts = materialise(firsts)
+    behind = behind_first(firsts, company, threshold)
+    while True:
+        waiting = behind.select(company, F.col("k").alias("ord")).distinct()
+        heads = materialise(join_safe(firsts, waiting, [company, "ord"], "left_anti"))
+        lost = materialise(dropped_by_rounds(similar_pairs(heads, company, threshold, tile_rows), company))
+        held = join_safe(behind, lost.withColumnRenamed("k", "first"), [company, "first"], "left_anti")
+        released = join_safe(waiting, held.select(company, F.col("k").alias("ord")).distinct(), [company, "ord"], "left_anti")
+        if released.isEmpty():
+            break
+        behind = materialise(held)
+    stay = join_safe(heads, lost.withColumnRenamed("k", "ord"), [company, "ord"], "left_anti").select(company, F.col("ord").alias("_ord"))
+    return join_safe(keyed, stay, [company, "_ord"], "left_semi").drop("_ord")

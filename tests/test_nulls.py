@@ -43,3 +43,15 @@ def test_a_second_checkpoint_adds_to_the_sink(spark, tmp_path):
     assert got == [("1", 1), ("2", 5), ("3", 1)]
     ingest(spark, f"{tmp_path}/one", f"{tmp_path}/out", f"{tmp_path}/fresh", kind, version="v").awaitTermination()  # everything again
     assert spark.read.parquet(f"{tmp_path}/out").count() == 3
+
+
+def test_a_hot_cluster_of_variants_stays_linear(spark):
+    from filinglens.operators import neardup
+
+    base = "이 회사는 화장품 원료를 제조하여 국내외 고객사에 공급하는 사업을 영위하고 있으며 주요 제품은 기능성 소재이다"
+    rows = [("A", i, base + f" {i:04d}") for i in range(1500)] + [("A", 5000 + i, f"{i * 7919 % 1000:03d}" + "".join(chr(0xAC00 + (i * 131 + j * j * 37) % 9000) for j in range(60))) for i in range(50)]
+    df = spark.createDataFrame(rows, "company string, at int, sentence string")
+    firsts = df.select("company", F.lpad(F.col("at").cast("string"), 20, "0").alias("ord"), F.col("sentence").alias("text"))
+    assert neardup.behind_first(firsts, "company", 0.93).count() <= 4 * len(rows)
+    got = sorted(r.at for r in neardup.drop_near_duplicates(df, "company", ["at"], "sentence").collect())
+    assert got == [0] + list(range(5000, 5050))
