@@ -57,17 +57,12 @@ def diagnosis(raw: Column, chunked: Column) -> Column:
             .when((raw > 0) & (chunked > 0), "retrieval_or_query").otherwise("source_position_unclear"))
 
 
-def recall_audit(documents: DataFrame, chunks: DataFrame, company: str, fields: dict[str, list[str]] | None = None, limit: int = 5) -> DataFrame:
-    """Raw and chunk hit counts of each field and what they suggest.
-
-    The counts are those of the top lists, which hold at most ``limit`` rows; a
-    per-document count cut to ``limit`` and summed gives the same number without
-    building the lists.
-    """
+def recall_audit(documents: DataFrame, chunks: DataFrame, company: str, fields: dict[str, list[str]] | None = None) -> DataFrame:
+    """Raw and chunk hit counts of each field and what they suggest; the top lists are ``document_hits`` and ``chunk_hits``."""
     fields = fields or L.AUDIT_FIELDS
     raw_cols = {f: bucket_count(F.col("text"), k) for f, k in fields.items()}
-    raw = documents.groupBy(company).agg(*[F.least(F.sum(c), F.lit(limit)).alias(f"r_{f}") for f, c in raw_cols.items()])
-    got = chunks.groupBy(company).agg(*[F.least(F.count_if(X.any_term(F.lower(F.col("content")), [w.lower() for w in k])), F.lit(limit)).alias(f"c_{f}")
+    raw = documents.groupBy(company).agg(*[F.sum(c).alias(f"r_{f}") for f, c in raw_cols.items()])
+    got = chunks.groupBy(company).agg(*[F.count_if(X.any_term(F.lower(F.col("content")), [w.lower() for w in k])).alias(f"c_{f}")
                                         for f, k in fields.items()])
     joined = raw.join(got, company, "full")
     each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.coalesce(f"r_{f}", F.lit(0)).cast("bigint").alias("raw_hits"),

@@ -18,7 +18,8 @@ from filinglens.operators.ordering import number_rows, top_per_group
 from filinglens.session import materialise
 
 QUERY_BLOCK = 2048
-PAIR_ITEMS = 400
+PAIR_TILE = 400
+TILE_ROWS = 50_000
 
 
 # --- encoding ---------------------------------------------------------------------------
@@ -74,32 +75,42 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int, corpus_key: str, filter
     """Best ``k`` corpus rows per query by dot product, ties by ``corpus_key``.
 
     ``queries``: query_id, embedding and, per ``filters`` entry (corpus column →
-    query column), a value the corpus row must equal.  Queries travel to the corpus
-    in blocks of bounded size; every task keeps only its best ``k`` per query, so
-    the shuffle carries tasks × queries × k rows, never the product.
+    query column), a value the corpus row must equal.  One block of queries travels
+    to the corpus; more of them meet it as tiles of query block and corpus share.
+    Every task keeps only its best ``k`` per query, so the shuffle carries
+    tasks × queries × k rows, never the product.
     """
     filters = filters or {}
     kind = corpus.schema[corpus_key].dataType.simpleString()
     slim = corpus.select(corpus_key, *filters, "embedding")
     numbered = materialise(queries.select("query_id", *filters.values(), "embedding"))
+    shape = f"query_id string, `{corpus_key}` {kind}, score double"
     blocks = max(1, -(-numbered.count() // query_block))
-    if blocks > 1:
-        slim = materialise(slim)  # encoded once, read once per block
-        numbered = number_rows(numbered, [F.asc("query_id")], "_row").withColumn("_block", ((F.col("_row") - 1) / query_block).cast("int"))
-    out = None
-    for b in range(blocks):
-        part = (numbered.filter(F.col("_block") == b) if blocks > 1 else numbered).toPandas()
-        if part.empty:
-            continue
-        hits = slim.mapInPandas(_block_search(part, k, corpus_key, filters, digits), f"query_id string, `{corpus_key}` {kind}, score double")
-        out = hits if out is None else out.unionByName(hits)
-    if out is None:
-        out = slim.select(F.lit("").alias("query_id"), corpus_key, F.lit(0.0).alias("score")).limit(0)
+    if blocks == 1:
+        part = numbered.toPandas()
+        out = slim.mapInPandas(_block_search(part, k, corpus_key, filters, digits), shape) if len(part) else slim.select(F.lit("").alias("query_id"), corpus_key, F.lit(0.0).alias("score")).limit(0)
+    else:
+        def search(part: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+            return next(_block_search(part, k, corpus_key, filters, digits)(iter([rows])))
+
+        out = _tiled(numbered, slim, blocks, search, shape)
     id_type = queries.schema["query_id"].dataType
     return top_per_group(out.withColumn("query_id", F.col("query_id").cast(id_type)), ["query_id"],
                          [F.desc("score"), F.asc(corpus_key)], k)
 
 
+def _tiled(queries: DataFrame, corpus: DataFrame, blocks: int, search: Callable, schema) -> DataFrame:
+    """``search(query block, corpus share)`` for every pair of them, as co-grouped tiles of bounded size."""
+    tiles = max(int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-corpus.count() // TILE_ROWS))
+
+    def all_of(n: int):
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+    asked = queries.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("_tile", all_of(tiles))
+    share = corpus.withColumn("_tile", F.pmod(F.xxhash64(*[c for c in corpus.columns if c != "embedding"]), F.lit(tiles)).cast("int")).withColumn("_block", all_of(blocks))
+    return asked.groupBy("_block", "_tile").cogroup(share.groupBy("_block", "_tile")).applyInPandas(search, schema)
+
+
 def _block_search(part: pd.DataFrame, k: int, corpus_key: str, filters: dict[str, str], digits: int):
     ids = [str(x) for x in part["query_id"]]
     matrix = np.array(part["embedding"].tolist(), dtype=np.float64)
@@ -134,34 +145,35 @@ def top_k_within(queries: DataFrame, corpus: DataFrame, groups: list[str], k: in
                  filters: dict[str, str] | None = None, digits: int = 6) -> DataFrame:
     """Best ``k`` corpus rows per (group, query), every query asked in every group.
 
-    ``queries`` is a configuration table (refused beyond ``QUERY_BLOCK`` rows), so
-    work grows with the corpus only; each batch is cut to ``k`` before it leaves.
+    Up to ``QUERY_BLOCK`` queries travel to the corpus, more meet it in tiles; each
+    batch is cut to ``k`` before it leaves.
     """
     filters = filters or {}
-    part = queries.select("query_id", *filters.values(), "embedding").limit(QUERY_BLOCK + 1).toPandas()
-    if len(part) > QUERY_BLOCK:
-        raise ValueError(f"more than {QUERY_BLOCK} queries; use top_k")
-    matrix = np.array(part["embedding"].tolist(), dtype=np.float64)
-    ids = part["query_id"].tolist()
-    wanted = {c: part[q].to_numpy() for c, q in filters.items()}
+    asked = queries.select("query_id", *filters.values(), "embedding")
     schema = T.StructType([*[corpus.schema[g] for g in groups], queries.schema["query_id"], corpus.schema[corpus_key], T.StructField("score", T.DoubleType())])
-
-    def run(batches):
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            scores = np.round(np.array(pdf["embedding"].tolist(), dtype=np.float64) @ matrix.T, digits)
-            for q, name in enumerate(ids):
+    columns = [*groups, "query_id", corpus_key, "score"]
+
+    def search(part: pd.DataFrame, pdf: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        if len(part) and len(pdf):
+            scores = np.round(np.array(pdf["embedding"].tolist(), dtype=np.float64) @ np.array(part["embedding"].tolist(), dtype=np.float64).T, digits)
+            wanted = {c: part[q].to_numpy() for c, q in filters.items()}
+            for q, name in enumerate(part["query_id"].tolist()):
                 ok = np.ones(len(pdf), dtype=bool)
                 for c, values in wanted.items():
                     ok &= pdf[c].to_numpy() == values[q]
                 hit = pdf.loc[ok, [*groups, corpus_key]].assign(score=scores[ok, q], query_id=name)
                 if len(hit):
-                    best = hit.sort_values(["score", corpus_key], ascending=[False, True], kind="stable").groupby(groups, sort=False).head(k)
-                    yield best[[*groups, "query_id", corpus_key, "score"]]
+                    found.append(hit.sort_values(["score", corpus_key], ascending=[False, True], kind="stable").groupby(groups, sort=False).head(k)[columns])
+        return pd.concat(found) if found else pd.DataFrame(columns=columns)
 
     slim = corpus.select(*groups, corpus_key, *[c for c in filters if c not in groups], "embedding")
-    return top_per_group(slim.mapInPandas(run, schema), [*groups, "query_id"], [F.desc("score"), F.asc(corpus_key)], k)
+    part = asked.limit(QUERY_BLOCK + 1).toPandas()
+    if len(part) <= QUERY_BLOCK:
+        hits = slim.mapInPandas(lambda batches: (search(part, pdf) for pdf in batches), schema)
+    else:
+        hits = _tiled(asked, slim, -(-asked.count() // QUERY_BLOCK), search, schema)
+    return top_per_group(hits, [*groups, "query_id"], [F.desc("score"), F.asc(corpus_key)], k)
 
 
 # --- pooled vectors ----------------------------------------------------------------------------------
@@ -210,42 +222,70 @@ def fuse(hits: DataFrame, limit: int = L.EVIDENCE_LIMIT, groups: tuple[str, ...]
 def best_sentence_pairs(pairs: DataFrame, items: DataFrame, k: int, fill: bool = True, company: str = "company") -> DataFrame:
     """Most similar sentence pairs of each company pair, preferring unused sentences.
 
-    ``pairs``: target, candidate.  ``items``: company, pos, embedding, at most a few
-    dozen core sentences per company.  First pass: one-to-one by similarity;
-    second pass (``fill``): best remaining pairs up to ``k``.
+    ``pairs``: target, candidate.  ``items``: company, pos, embedding.  First pass:
+    one-to-one by similarity; second pass (``fill``): best remaining pairs up to ``k``.
+
+    Tiles of ``PAIR_TILE`` sentences of either side meet, so companies may be of any
+    size.  A pick of the first pass is among the ``k`` best of its row and of its
+    column, since earlier picks use fewer than ``k`` of either; each earlier pick rules
+    out at most ``2 k`` such pairs, so the best ``2 k² + k`` of them hold all picks.
+    The second pass needs the best ``2 k`` of all pairs.
     """
-    crowded = items.groupBy(company).agg(F.count("*").alias("n")).filter(F.col("n") > PAIR_ITEMS).limit(1).collect()
-    if crowded:
-        raise ValueError(f"{crowded[0][company]} has more than {PAIR_ITEMS} items; select core sentences first or use graph.mutual_best")
-    packed = items.groupBy(company).agg(F.array_sort(F.collect_list(F.struct("pos", "embedding"))).alias("s"))
+    sizes = items.groupBy(company).agg(F.ceil(F.count("*") / PAIR_TILE).cast("int").alias("tiles"))
+    tiled = items.join(sizes, company).withColumn("tile", F.pmod(F.xxhash64("pos"), F.col("tiles")).cast("int"))
+    packed = tiled.groupBy(company, "tile").agg(F.array_sort(F.collect_list(F.struct("pos", "embedding"))).alias("s"))
     both = (pairs.join(packed.select(F.col(company).alias("target"), F.col("s").alias("t")), "target")
             .join(packed.select(F.col(company).alias("candidate"), F.col("s").alias("c")), "candidate"))
     both = both.select("target", "candidate", F.transform("t", lambda x: x["pos"]).alias("tp"), F.transform("t", lambda x: x["embedding"]).alias("tv"),
                        F.transform("c", lambda x: x["pos"]).alias("cp"), F.transform("c", lambda x: x["embedding"]).alias("cv"))
     kind = pairs.schema["target"].dataType.simpleString()
+    pool = 2 * k * k + k
 
-    def run(batches):
+    def place(order: np.ndarray, shape: tuple[int, int], axis: int) -> np.ndarray:
+        """Place of each pair within its row or column, in the order given."""
+        out, seen = np.empty(len(order), np.int64), np.zeros(shape[axis], np.int64)
+        for o, line in zip(order, np.unravel_index(order, shape)[axis]):
+            out[o] = seen[line]
+            seen[line] += 1
+        return out
+
+    def meet(batches):
         for pdf in batches:
-            rows = []
             for r in pdf.itertuples(index=False):
                 t = _unit_rows(np.array([np.asarray(v, dtype=np.float64) for v in r.tv]))
                 c = _unit_rows(np.array([np.asarray(v, dtype=np.float64) for v in r.cv]))
                 sim = np.round(t @ c.T, 6)
                 ti, ci = np.unravel_index(np.arange(sim.size), sim.shape)
                 order = np.lexsort((ci, ti, -sim.ravel()))
-                used_t, used_c, chosen, left = set(), set(), [], []
-                for o in order:
-                    a, b = int(ti[o]), int(ci[o])
-                    if a not in used_t and b not in used_c and len(chosen) < k:
-                        used_t.add(a), used_c.add(b), chosen.append((a, b, True))
-                    else:
-                        left.append((a, b, False))
-                if fill:
-                    chosen += left[: k - len(chosen)]
-                rows += [(r.target, r.candidate, n + 1, int(r.tp[a]), int(r.cp[b]), float(sim[a, b]), one) for n, (a, b, one) in enumerate(chosen)]
-            yield pd.DataFrame(rows, columns=["target", "candidate", "pair_rank", "target_pos", "candidate_pos", "similarity", "one_to_one"], dtype=object)
-
-    return both.mapInPandas(run, f"target {kind}, candidate {kind}, pair_rank bigint, target_pos bigint, candidate_pos bigint, similarity double, one_to_one boolean")
+                close = (place(order, sim.shape, 0) < k) & (place(order, sim.shape, 1) < k)
+                top = np.zeros(sim.size, bool)
+                top[order[: 2 * k]] = True
+                keep = np.flatnonzero(close | top)
+                yield pd.DataFrame({"target": r.target, "candidate": r.candidate, "tp": np.asarray(r.tp)[ti[keep]], "cp": np.asarray(r.cp)[ci[keep]], "sim": sim.ravel()[keep], "close": close[keep]})
+
+    found = both.mapInPandas(meet, f"target {kind}, candidate {kind}, tp bigint, cp bigint, sim double, close boolean")
+    found = found.filter("tp is not null")
+    order = [F.desc("sim"), F.asc("tp"), F.asc("cp")]
+    pair = ["target", "candidate"]
+    best = top_per_group(found, pair, order, 2 * k, "_r").drop("_r").withColumn("close", F.lit(False))
+    close = top_per_group(found.filter("close"), [*pair, "tp"], order, k, "_r").drop("_r")
+    close = top_per_group(top_per_group(close, [*pair, "cp"], order, k, "_r").drop("_r"), pair, order, pool, "_r").drop("_r")
+    listed = best.unionByName(close).groupBy(*pair, "tp", "cp", "sim").agg(F.max("close").alias("close"))
+
+    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["sim", "tp", "cp"], ascending=[False, True, True], kind="stable")
+        used_t, used_c, chosen, left = set(), set(), [], []
+        for r in pdf.itertuples(index=False):
+            if r.close and len(chosen) < k and r.tp not in used_t and r.cp not in used_c:
+                used_t.add(r.tp), used_c.add(r.cp), chosen.append((r.tp, r.cp, r.sim, True))
+            else:
+                left.append((r.tp, r.cp, r.sim, False))
+        if fill:
+            chosen += left[: k - len(chosen)]
+        rows = [(pdf["target"].iloc[0], pdf["candidate"].iloc[0], n + 1, *x) for n, x in enumerate(chosen)]
+        return pd.DataFrame(rows, columns=["target", "candidate", "pair_rank", "target_pos", "candidate_pos", "similarity", "one_to_one"], dtype=object)
+
+    return listed.groupBy(*pair).applyInPandas(choose, f"target {kind}, candidate {kind}, pair_rank bigint, target_pos bigint, candidate_pos bigint, similarity double, one_to_one boolean")
 
 
 # --- keyphrases --------------------------------------------------------------------------------------------------------

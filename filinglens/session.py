@@ -9,8 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BROADCAST_ROW_LIMIT = 200_000
-DIMENSION_LIMIT = 10_000
+DIMENSION_BLOCK = 10_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,20 +37,17 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def fits(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> bool:
-    """True when ``df``, best a stored one, has at most ``limit`` rows."""
-    return df.count() <= limit
-
-
-def attach(rows: DataFrame, side: DataFrame, keys: list[str], how: str = "inner", limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
+def attach(rows: DataFrame, side: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Join a side table to large, possibly skewed rows.
 
-    The side is stored once and counted; up to ``limit`` rows it travels to the
-    rows, so a hot key stays spread.  Beyond that it is an ordinary join, where
-    adaptive execution splits hot partitions.
+    The side is written once, so Spark knows its size in bytes: it is broadcast if
+    that is below ``spark.sql.autoBroadcastJoinThreshold``; otherwise it is an
+    ordinary join, where adaptive execution splits hot partitions.
     """
-    side = materialise(side)
-    return rows.join(F.broadcast(side) if fits(side, limit) else side, keys, how)
+    spark = rows.sparkSession
+    path = scratch_path(spark, "side")
+    side.write.parquet(path)
+    return rows.join(spark.read.schema(side.schema).parquet(path), keys, how)
 
 
 def join_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -82,14 +78,18 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
 
 
-def expand_over(df: DataFrame, dimension: DataFrame, limit: int = DIMENSION_LIMIT) -> DataFrame:
-    """Every row of ``df`` with every row of a small configuration table.
+def expand_over(df: DataFrame, dimension: DataFrame, block: int = DIMENSION_BLOCK) -> DataFrame:
+    """Every row of ``df`` with every row of a configuration table.
 
-    The table becomes a constant array inside the plan; one larger than ``limit``
-    is refused.
+    A table of at most ``block`` rows becomes a constant array inside the plan; a
+    larger one is cut into blocks by hash, and each row meets every block by its
+    number.
     """
-    rows = dimension.limit(limit + 1).toJSON().collect()
-    if len(rows) > limit:
-        raise ValueError(f"configuration table has more than {limit} rows")
+    rows = dimension.limit(block + 1).toJSON().collect()
+    if len(rows) > block:
+        blocks = -(-dimension.count() // block)
+        dealt = dimension.withColumn("_block", F.pmod(F.xxhash64(*dimension.columns), F.lit(blocks)))
+        asked = df.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+        return asked.join(dealt, "_block").drop("_block")
     constant = F.from_json(F.lit("[" + ",".join(rows) + "]"), f"array<{dimension.schema.simpleString()}>")
     return df.select("*", F.explode(constant).alias("_d")).select(*df.columns, "_d.*")

@@ -237,5 +237,42 @@ def test_fields_and_prompts(spark):
     text = p[("A", "products_services")].prompt
     assert text.index("[E1]") < text.index("[E2]") and "B1" in text
     assert p[("B", "products_services")].prompt is None and p[("B", "products_services")].n_evidence == 0
-    with pytest.raises(ValueError):
-        expand_over(every, f, limit=3)
+    plain = sorted((r.company, r.field) for r in every.collect())
+    cut = expand_over(spark.createDataFrame([("A",), ("B",)], "company string"), f, block=3)
+    assert sorted((r.company, r.field) for r in cut.collect()) == plain and sorted(cut.columns) == sorted(every.columns)
+
+
+def test_many_queries_meet_the_corpus_in_tiles(spark, monkeypatch):
+    draw = np.random.default_rng(12)
+    rows = [("AB"[i % 2], i, i % 3, [float(x) for x in draw.normal(size=4)]) for i in range(200)]
+    corpus = spark.createDataFrame(rows, "company string, id int, kind int, embedding array<double>")
+    asked = spark.createDataFrame([(q, q % 3, [float(x) for x in draw.normal(size=4)]) for q in range(37)], "query_id int, kind_wanted int, embedding array<double>")
+    whole = sorted(tuple(r) for r in OR.top_k(asked, corpus, 4, "id", {"kind": "kind_wanted"}).collect())
+    assert sorted(tuple(r) for r in OR.top_k(asked, corpus, 4, "id", {"kind": "kind_wanted"}, query_block=5).collect()) == whole and len(whole) == 148
+    within = sorted(tuple(r) for r in OR.top_k_within(asked, corpus, ["company"], 2, "id").collect())
+    monkeypatch.setattr(OR, "QUERY_BLOCK", 5)
+    assert sorted(tuple(r) for r in OR.top_k_within(asked, corpus, ["company"], 2, "id").collect()) == within and len(within) == 148
+
+
+@pytest.mark.parametrize("fill", [True, False])
+def test_sentence_pairs_of_large_companies(spark, monkeypatch, fill):
+    draw = np.random.default_rng(13)
+    monkeypatch.setattr(OR, "PAIR_TILE", 7)
+    items = {c: np.round(draw.integers(-2, 3, size=(n, 3)) + 0.1, 1) for c, n in (("A", 30), ("B", 25), ("C", 2))}
+    df = spark.createDataFrame([(c, i, [float(x) for x in v]) for c, m in items.items() for i, v in enumerate(m)], "company string, pos int, embedding array<double>")
+    pairs = spark.createDataFrame([("A", "B"), ("A", "C")], "target string, candidate string")
+    got = sorted((r.candidate, r.pair_rank, r.target_pos, r.candidate_pos, r.one_to_one) for r in OR.best_sentence_pairs(pairs, df, 6, fill).collect())
+    want = []
+    for c in "BC":
+        t, m = items["A"], items[c]
+        sim = np.round((t / np.linalg.norm(t, axis=1)[:, None]) @ (m / np.linalg.norm(m, axis=1)[:, None]).T, 6)
+        order = sorted((-sim[i, j], i, j) for i in range(len(t)) for j in range(len(m)))
+        first, rest = [], []
+        for _, i, j in order:
+            if len(first) < 6 and i not in {x for x, _ in first} and j not in {y for _, y in first}:
+                first.append((i, j))
+            else:
+                rest.append((i, j))
+        chosen = [(*p, True) for p in first] + ([(*p, False) for p in rest[: 6 - len(first)]] if fill else [])
+        want += [(c, n + 1, *p) for n, p in enumerate(chosen)]
+    assert got == sorted(want)

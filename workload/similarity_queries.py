@@ -162,14 +162,14 @@ def graph(spark, sf):
     return nodes, materialise(OG.cooccurrence_edges(k, nodes))
 
 
-@query("keyword_cleaning", """WITH w AS (SELECT doc_id, trim(regexp_replace(regexp_replace(lower(left_part), '[^\\p{L}\\p{N}_\\s\\-]', ' ', 'g'), '\\s+', ' ', 'g')) AS bare, length(left_part) / 40 AS score FROM (SELECT doc_id, string_split(text, '. ')[1] AS left_part FROM documents)),
+@query("keyword_cleaning", """WITH w AS (SELECT doc_id, trim(regexp_replace(regexp_replace(lower(left_part), '[^\\p{L}\\p{N}_\\s\\-]', ' ', 'g'), '\\s+', ' ', 'g')) AS bare, length(left_part) / 40 AS score FROM (SELECT doc_id, unnest(string_split(text, '. ')) AS left_part FROM documents)),
  k AS (SELECT doc_id, array_to_string(list_filter(string_split(bare, ' '), lambda t: t <> '' AND t NOT IN ('the', 'of', 'la') AND NOT regexp_matches(t, '^\\d+(\\.\\d+)?$')), ' ') AS k, score FROM w),
  n AS (SELECT doc_id, CASE WHEN length(k) >= 2 THEN k ELSE '' END AS keyword, round(score, 4) AS score FROM k)
  SELECT doc_id, md5(keyword) AS keyword, (keyword = '' OR score < 0.35 OR contains(keyword, 'idiot') OR contains(keyword, 'trash') OR regexp_matches(keyword, '^[\\d\\s.%]+$') OR length(replace(keyword, ' ', '')) < 2)::INT AS noisy FROM n""")
 def keyword_cleaning(spark, sf):
-    part = F.split("text", r"\. ")[0]
-    k = X.normalise_keyword(part, ["the", "of", "la"])
-    rows = documents(spark, sf).select("doc_id", k.alias("k"), F.round(F.length(part) / 40, 4).alias("score"))
+    parts = documents(spark, sf).select("doc_id", F.explode(F.split("text", r"\. ")).alias("part"))
+    k = X.normalise_keyword(F.col("part"), ["the", "of", "la"])
+    rows = parts.select("doc_id", k.alias("k"), F.round(F.length("part") / 40, 4).alias("score"))
     return rows.select("doc_id", F.md5("k").alias("keyword"), X.is_noisy_keyword(F.col("k"), F.col("score"), phrases=["idiot", "trash"]).cast("int").alias("noisy"))
 
 
@@ -337,7 +337,7 @@ def network_similarity(spark, sf):
 # --- signals --------------------------------------------------------------------------------------------------
 
 def signal_inputs(spark, sf):
-    c = table(spark, sf, "customer").filter(F.col("c_nationkey") != 3)
+    c = table(spark, sf, "customer")
     vec = c.select(F.col("c_custkey").alias("stock_code"), F.col("c_name").alias("company_name"), F.col("c_acctbal").alias("vector_score"))
     o = table(spark, sf, "orders")
     net = o.groupBy(F.col("o_custkey").alias("stock_code")).agg(
@@ -348,7 +348,7 @@ def signal_inputs(spark, sf):
 
 _RANKS = "[vector_rank, keyword_rank, edge_rank, centrality_rank]"
 SIGNALS_SQL = f"""sig0 AS (SELECT c_custkey AS stock_code, c_name AS company_name, c_acctbal AS vector_score, k AS keyword_score, e AS edge_score, c AS centrality_score, nm AS node_match_count, em AS edge_match_count, count(*) OVER () AS total FROM customer JOIN
-   (SELECT o_custkey, count(*)::DOUBLE AS k, max(o_totalprice) AS e, min(o_totalprice) AS c, count(*) FILTER (o_orderstatus = 'F') AS nm, count(*) FILTER (o_orderstatus = 'P') AS em FROM orders GROUP BY 1) ON o_custkey = c_custkey WHERE c_nationkey <> 3),
+   (SELECT o_custkey, count(*)::DOUBLE AS k, max(o_totalprice) AS e, min(o_totalprice) AS c, count(*) FILTER (o_orderstatus = 'F') AS nm, count(*) FILTER (o_orderstatus = 'P') AS em FROM orders GROUP BY 1) ON o_custkey = c_custkey),
  sig1 AS (SELECT *, {', '.join(f"row_number() OVER (ORDER BY {s}_score DESC, stock_code) AS {s}_rank" for s in OS.SIGNALS)} FROM sig0),
  sig2 AS (SELECT *, {', '.join(f"(total - {s}_rank) / (total - 1) AS {s}_percentile" for s in OS.SIGNALS)} FROM sig1),
  sig AS (SELECT *, (vector_percentile + keyword_percentile + edge_percentile + centrality_percentile) / 4 AS mean_percentile, list_max({_RANKS}) - list_min({_RANKS}) AS rank_spread,

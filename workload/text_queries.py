@@ -267,15 +267,17 @@ def concept_groups(spark, sf):
 POOL_SQL = f"""{FILINGS_SQL}, {REGISTRY_SQL}, {LISTING_SQL}, {SLICE_SQL},
  uni AS (SELECT r.corp_code, corp_name FROM registry r JOIN listing USING (stock_code) WHERE r.stock_code <> '' AND corp_name <> 'Customer#000000010'),
  newest AS (SELECT * FROM typed WHERE report_type IS NOT NULL AND rcept_dt BETWEEN DATE '{AS_OF}' - 800 AND DATE '{AS_OF}' QUALIFY row_number() OVER (PARTITION BY corp_code ORDER BY rcept_dt DESC, rcept_no DESC) = 1),
- ftext AS (SELECT lpad(o_orderkey::VARCHAR, 14, '0') AS rcept_no, business_text FROM orders JOIN cut ON doc_id = o_orderkey),
+ ftext AS (SELECT lpad(o_orderkey::VARCHAR, 14, '0') AS rcept_no, business_text FROM orders JOIN cut ON doc_id = o_orderkey % (SELECT count(*) FROM documents)),
  joined AS (SELECT uni.corp_code, corp_name, n.rcept_no, coalesce(business_text, '') AS business_text FROM uni LEFT JOIN newest n USING (corp_code) LEFT JOIN ftext USING (rcept_no)),
  conc AS ({_concepts('joined')}),
  pool AS (SELECT *, CASE WHEN rcept_no IS NULL THEN 'no_filing' WHEN trim(business_text) = '' THEN 'no_text' WHEN len(ig) < 1 THEN 'industry_failed' WHEN len(bg) < 2 THEN 'business_failed' ELSE 'passed' END AS outcome FROM conc)"""
 
 
 def pool(spark, sf):
-    """Candidate pool; a filing's text is the document with the filing's key."""
-    texts = documents(spark, sf).select(F.lpad(F.col("doc_id").cast("string"), 14, "0").alias("rcept_no"), "text")
+    """Candidate pool; the documents stand in for the filings' texts in turn, so every filing has one."""
+    d = documents(spark, sf)
+    keys = table(spark, sf, "orders").select(F.lpad(F.col("o_orderkey").cast("string"), 14, "0").alias("rcept_no"), (F.col("o_orderkey") % d.count()).alias("doc_id"))
+    texts = keys.join(d, "doc_id").select("rcept_no", "text")
     return PS.candidate_pool(registry(spark, sf), OR.common_stock_listing(listing_items(spark, sf)), filings(spark, sf), texts, AS_OF,
                              "Customer#000000010", ["modify_date"], industry=INDUSTRY, business=BUSINESS, starts=STARTS, ends=ENDS)
 
@@ -398,7 +400,7 @@ AUDIT = {"f1": ["idiot", "Token"], "f2": ["license", "clown", "eauchan"], "f3":
 
 def _audit_raw(f, terms):
     low = [t.lower() for t in terms]
-    return f"{occ_sql('o_' + f, low, 'documents', 'lower(text)')}, r_{f} AS (SELECT source, least(count(DISTINCT (doc_id, pos // 200)), 5) AS n FROM o_{f} GROUP BY 1), c_{f} AS (SELECT source, least(count(*), 5) AS n FROM sent WHERE {any_sql('lower(s)', low)} GROUP BY 1)"
+    return f"{occ_sql('o_' + f, low, 'documents', 'lower(text)')}, r_{f} AS (SELECT source, count(DISTINCT (doc_id, pos // 200)) AS n FROM o_{f} GROUP BY 1), c_{f} AS (SELECT source, count(*) AS n FROM sent WHERE {any_sql('lower(s)', low)} GROUP BY 1)"
 
 
 @query("recall_audit", f"""WITH {SENT_SQL}, {', '.join(_audit_raw(f, t) for f, t in AUDIT.items())},
