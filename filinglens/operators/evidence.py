@@ -91,6 +91,16 @@ def extraction_counts(judged_rows: DataFrame, groups: list[str]) -> DataFrame:
         *[F.count_if(F.col("disposition") == d).alias(d) for d in DISPOSITIONS])
 
 
+def extraction_outcomes(judged_rows: DataFrame, company: str, order: list[str], threshold: float = L.NEAR_DUPLICATE_RATIO) -> DataFrame:
+    """Eight disjoint outcomes per company that add up to its sentences: the dispositions, and duplicates of company and industry rows."""
+    out = extraction_counts(judged_rows, [company])
+    for d in ("company", "industry"):
+        kept = company_evidence(judged_rows, company, order, threshold, d).groupBy(company).agg(F.count("*").alias("_kept"))
+        n = F.coalesce("_kept", F.lit(0))
+        out = join_safe(out, kept, [company], "left").withColumn(f"{d}_duplicate", F.col(d) - n).withColumn(d, n).drop("_kept")
+    return out
+
+
 def company_evidence(judged_rows: DataFrame, company: str, order: list[str], threshold: float = L.NEAR_DUPLICATE_RATIO,
                      disposition: str = "company") -> DataFrame:
     """Evidence sentences with near duplicates of earlier ones removed."""

@@ -25,6 +25,13 @@ def profile_fields(spark: SparkSession, queries: dict[str, list[str]] | None = N
                                        "queries array<string>, rules array<string>")
 
 
+def defined_fields(fields: DataFrame, definitions: DataFrame) -> DataFrame:
+    """``fields`` with the queries and rules of ``definitions`` (field, queries, rules) where it has some."""
+    given = definitions.select("field", F.col("queries").alias("_q"), F.col("rules").alias("_r"))
+    filled = lambda new, old: F.when(F.size(new) > 0, F.col(new)).otherwise(F.col(old))
+    return fields.join(given, "field", "left").withColumns({"queries": filled("_q", "queries"), "rules": filled("_r", "rules")}).select(*fields.columns)
+
+
 def evidence_block(evidence_id: Column, chunk_id: Column, report: Column, section: Column, content: Column) -> Column:
     line = lambda k, v: F.concat(F.lit(f"{k}: "), F.coalesce(v.cast("string"), F.lit("")))
     return F.concat_ws("\n", F.concat(F.lit("["), evidence_id, F.lit("]")), line("chunk_id", chunk_id),

@@ -66,6 +66,28 @@ def archives(spark: SparkSession, path: str, glob: str = "*.zip") -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(path).select("path", "content")
 
 
+def _keyed_lists(spark: SparkSession, path: str) -> DataFrame:
+    """Category, its place in the file and terms of a JSON object of lists, read whole."""
+    lists = F.from_json("value", "map<string,array<string>>")
+    return spark.read.text(path, wholetext=True).select(F.posexplode(F.map_entries(lists)).alias("at", "e")).select("at", F.col("e.key").alias("category"), F.coalesce("e.value", F.array().cast("array<string>")).alias("terms"))
+
+
+def dictionary_files(spark: SparkSession, common: str, domain: str | None = None) -> DataFrame:
+    """As :func:`dictionary`, from a file of common terms and one of the domain's (JSON: category to list)."""
+    base = _keyed_lists(spark, common)
+    terms = F.col("terms")
+    if domain is not None:
+        base = base.join(_keyed_lists(spark, domain).select("category", F.col("terms").alias("more")), "category", "left")
+        terms = F.concat(terms, F.coalesce("more", F.array().cast("array<string>")))
+    return base.select("category", F.posexplode(F.array_distinct(terms)).alias("pos", "keyword"))
+
+
+def field_definitions(spark: SparkSession, path: str) -> DataFrame:
+    """Search queries and judging rules of profile fields from a file (JSON: field to {queries, rules})."""
+    kind = "map<string,struct<queries:array<string>,rules:array<string>>>"
+    return spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", kind)).alias("field", "d")).select("field", "d.queries", "d.rules")
+
+
 def dictionary(spark: SparkSession, common: dict[str, list[str]], domain: dict[str, list[str]]) -> DataFrame:
     """Keyword dictionary rows: common terms first, repeated terms once."""
     rows = [(c, p, w) for c in common for p, w in enumerate(dict.fromkeys([*common[c], *domain.get(c, [])]))]

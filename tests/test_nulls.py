@@ -55,3 +55,43 @@ def test_a_hot_cluster_of_variants_stays_linear(spark):
     assert neardup.behind_first(firsts, "company", 0.93).count() <= 4 * len(rows)
     got = sorted(r.at for r in neardup.drop_near_duplicates(df, "company", ["at"], "sentence").collect())
     assert got == [0] + list(range(5000, 5050))
+
+
+def test_outcomes_add_up(spark):
+    from filinglens.operators import evidence
+
+    rows = [("A", i, d, s) for i, (d, s) in enumerate([("company", "우리 회사는 화장품을 제조하여 판매하고 있습니다"), ("company", "우리 회사는 화장품을 제조하여 판매하고 있습니다."), ("noise", "x"), ("industry", "산업"), ("industry", "산업"), ("peer", "y")])]
+    rows += [(None, 9, "company", "이름 없는 회사")]
+    got = {r.source: r.asDict() for r in evidence.extraction_outcomes(spark.createDataFrame(rows, "source string, at int, disposition string, sentence string"), "source", ["at"]).collect()}
+    a = got["A"]
+    assert (a["company"], a["company_duplicate"], a["industry"], a["industry_duplicate"], a["noise"], a["peer"]) == (1, 1, 1, 1, 1, 1)
+    for r in got.values():
+        assert r["total_sentences"] == sum(r[k] for k in [*evidence.DISPOSITIONS, "company_duplicate", "industry_duplicate"])
+
+
+def test_definitions_from_files(spark, tmp_path):
+    import json
+
+    from filinglens.operators import responses
+    from filinglens.sources import readers
+
+    (tmp_path / "c.json").write_text(json.dumps({"a": ["x", "y", "x"], "b": ["z"]}, indent=1))
+    (tmp_path / "d.json").write_text(json.dumps({"a": ["y", "w"], "q": ["v"]}))
+    got = sorted((r.category, r.pos, r.keyword) for r in readers.dictionary_files(spark, str(tmp_path / "c.json"), str(tmp_path / "d.json")).collect())
+    assert got == [("a", 0, "x"), ("a", 1, "y"), ("a", 2, "w"), ("b", 0, "z")]
+    assert readers.dictionary_files(spark, str(tmp_path / "c.json")).count() == 3
+    (tmp_path / "f.json").write_text(json.dumps({"products_services": {"queries": ["q1", "q2"], "rules": ["r"]}}))
+    fields = responses.profile_fields(spark)
+    new = {r.field: (r.queries, r.rules) for r in responses.defined_fields(fields, readers.field_definitions(spark, str(tmp_path / "f.json"))).collect()}
+    assert new["products_services"] == (["q1", "q2"], ["r"]) and len(new) == 18 and sum(len(q) for q, _ in new.values()) == 19
+
+
+def test_scratch_is_removed(spark):
+    import os
+
+    from filinglens import session
+
+    path = session.scratch_path(spark, "gone")
+    spark.range(3).write.parquet(path)
+    session.clear_scratch(spark)
+    assert not os.path.exists(path.removeprefix("file:"))
