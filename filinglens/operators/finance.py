@@ -14,7 +14,7 @@ from filinglens import lexicon as L
 from filinglens.functions import amounts as A
 from filinglens.functions import ident
 from filinglens.functions.text import any_term
-from filinglens.session import join_safe, materialise
+from filinglens.session import materialise
 
 PERIOD = ["company", "business_year", "dart_report_type"]
 METRICS = ["revenue", "total_assets", "total_equity", "operating_income", "net_income", "operating_margin", "net_margin",
@@ -22,9 +22,9 @@ METRICS = ["revenue", "total_assets", "total_equity", "operating_income", "net_i
 
 
 def prefer_consolidated(statements: DataFrame) -> DataFrame:
-    """Consolidated rows of a period where it has any, else the separate ones."""
-    basis = statements.groupBy(*PERIOD).agg(F.max(F.col("fs_div") == "CFS").alias("_cfs"))
-    return (join_safe(statements, basis, PERIOD)
+    """Consolidated rows of a period where it has any, else the separate ones; one pass, a period is one statement's lines."""
+    consolidated = F.max(F.col("fs_div") == "CFS").over(Window.partitionBy(*PERIOD))
+    return (statements.withColumn("_cfs", consolidated)
             .filter(F.col("fs_div") == F.when(F.col("_cfs"), "CFS").otherwise("OFS")).drop("_cfs"))
 
 

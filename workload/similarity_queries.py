@@ -15,7 +15,7 @@ from filinglens.plans import peer_search as PS
 from filinglens.session import attach, materialise, scratch_path, spread
 from filinglens.sources import readers, sinks
 from workload.tables import table
-from workload.text_queries import SENT_SQL, core, documents, sentences
+from workload.text_queries import SENT_SQL, core, documents, plain_sentences
 
 QUERIES, SQL = {}, {}
 
@@ -145,7 +145,7 @@ def keywords(spark, sf):
     """Four longest words of each sentence as its keywords, scored by length."""
     words = F.array_distinct(F.filter(F.split(F.regexp_replace(F.lower("sentence"), r"[^\p{L}]+", " "), " "), lambda w: F.length(w) >= 2))
     best = F.slice(F.array_sort(F.transform(words, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), 1, 4)
-    raw = sentences(spark, sf).select(F.col("source").alias("company"), (F.col("doc_id") * 100000 + F.col("sentence_pos")).alias("sentence_pos"), F.explode(best).alias("b"))
+    raw = plain_sentences(spark, sf).select(F.col("source").alias("company"), (F.col("doc_id") * 100000 + F.col("sentence_pos")).alias("sentence_pos"), F.explode(best).alias("b"))
     return OG.clean_keywords(raw.select("company", "sentence_pos", F.col("b.w").alias("phrase"), F.round(-F.col("b.n") / 20, 4).alias("score")))
 
 
@@ -453,5 +453,5 @@ def embedding_store(spark, sf):
 def text_retrieval(spark, sf):
     """Every benchmark text as a query against every document sentence."""
     q = OR.embed(table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text"), "text", OR.hashing_encoder())
-    s = sentences(spark, sf).select((F.col("doc_id") * 100000 + F.col("sentence_pos")).alias("chunk_id"), "sentence")
+    s = plain_sentences(spark, sf).select((F.col("doc_id") * 100000 + F.col("sentence_pos")).alias("chunk_id"), "sentence")
     return OR.top_k(q, OR.embed(s, "sentence", OR.hashing_encoder()).select("chunk_id", "embedding"), 5, "chunk_id")

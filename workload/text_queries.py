@@ -76,6 +76,11 @@ def company_texts(spark, sf):
     return attach(d, names, ["source"]).select("source", "company_name", "doc_id", "text")
 
 
+def plain_sentences(spark, sf):
+    """Sentences for what does not ask for the company's name."""
+    return OE.sentence_table(documents(spark, sf), ["source", "doc_id"])
+
+
 def sentences(spark, sf):
     return OE.sentence_table(company_texts(spark, sf), ["source", "company_name", "doc_id"])
 
@@ -111,12 +116,12 @@ def first_occurrences(spark, sf):
 
 @query("sentence_split", f"WITH {SENT_SQL} SELECT doc_id, sentence_pos::INT AS sentence_pos, length(s)::INT AS n, md5(s) AS h FROM sent")
 def sentence_split(spark, sf):
-    return sentences(spark, sf).select("doc_id", "sentence_pos", F.length("sentence").alias("n"), F.md5("sentence").alias("h"))
+    return plain_sentences(spark, sf).select("doc_id", "sentence_pos", F.length("sentence").alias("n"), F.md5("sentence").alias("h"))
 
 
 @query("sentence_categories", f"WITH {JUDGED_SQL} SELECT doc_id, sentence_pos::INT AS sentence_pos, array_to_string(categories, '|') AS categories FROM judged WHERE len(categories) > 0")
 def sentence_categories(spark, sf):
-    return sentences(spark, sf).select("doc_id", "sentence_pos", F.array_join(V.categories(F.col("sentence")), "|").alias("categories")).filter("categories <> ''")
+    return plain_sentences(spark, sf).select("doc_id", "sentence_pos", F.array_join(V.categories(F.col("sentence")), "|").alias("categories")).filter("categories <> ''")
 
 
 @query("extraction_counts", f"""WITH {JUDGED_SQL} SELECT source, count(*) AS total_sentences, {', '.join(f"count(*) FILTER (disposition = '{d}') AS {d}" for d in OE.DISPOSITIONS)} FROM judged GROUP BY 1""")
@@ -407,7 +412,7 @@ def _audit_raw(f, terms):
  u AS ({' UNION ALL '.join(f"SELECT s.source, '{f}' AS field, coalesce(r.n, 0) AS raw_hits, coalesce(c.n, 0) AS chunk_hits FROM (SELECT DISTINCT source FROM documents) s LEFT JOIN r_{f} r USING (source) LEFT JOIN c_{f} c USING (source)" for f in AUDIT)})
  SELECT source, field, raw_hits::BIGINT AS raw_hits, chunk_hits::BIGINT AS chunk_hits, CASE WHEN raw_hits = 0 AND chunk_hits = 0 THEN 'absent_everywhere' WHEN chunk_hits = 0 THEN 'lost_before_chunking' WHEN raw_hits > 0 THEN 'retrieval_or_query' ELSE 'source_position_unclear' END AS diagnosis FROM u""")
 def recall_audit(spark, sf):
-    chunks = sentences(spark, sf).withColumnRenamed("sentence", "content")
+    chunks = plain_sentences(spark, sf).withColumnRenamed("sentence", "content")
     return OA.recall_audit(documents(spark, sf), chunks, "source", AUDIT)
 
 
@@ -424,5 +429,5 @@ def audit_snippets(spark, sf):
 @query("audit_chunks", f"""WITH {SENT_SQL}, m AS (SELECT source, doc_id || '_' || sentence_pos AS chunk_id, {hits_sql('lower(s)', [t.lower() for t in AUDIT['f2']])} AS match_count FROM sent)
  SELECT source, chunk_id, match_count::INT AS match_count, row_number() OVER (PARTITION BY source ORDER BY match_count DESC, chunk_id) AS rank FROM m WHERE match_count > 0 QUALIFY rank <= 5""")
 def audit_chunks(spark, sf):
-    c = sentences(spark, sf).select("source", F.concat_ws("_", "doc_id", "sentence_pos").alias("chunk_id"), F.col("sentence").alias("content"))
+    c = plain_sentences(spark, sf).select("source", F.concat_ws("_", "doc_id", "sentence_pos").alias("chunk_id"), F.col("sentence").alias("content"))
     return OA.chunk_hits(c, "source", "f2", AUDIT["f2"]).select("source", "chunk_id", "match_count", "rank")
