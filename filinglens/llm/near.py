@@ -4,16 +4,17 @@ A text's set are its distinct five-word shingles.  Equal sets are one node.  Eac
 nodes by their MinHash values, starting at another value: a region is a run of nodes that agree in the first
 ``DEPTH`` values.  The orders are laid out by range partitioning, so a large region covers many tasks.
 
-Candidates are found in two waves, and every one is confirmed on the full sets:
+Candidates are found in two waves.  A pair goes on if its sketches (``SKETCH`` MinHash values) agree in ``LIKELY`` of
+their places, and is then confirmed on the full sets:
 
-1. each node with the first node of its region, and with the neighbour in some order that shares the longest
-   prefix with it.  Near copies of one text, however many, become one component with a few candidates each;
+1. each node with the first nodes of its regions, and with the neighbour in some order that shares the longest
+   prefix with it.  Near copies of one text, however many, become one component or a few;
 2. regions that still hold several components: all pairs between different components, at the depth where a
    region has at most ``REGION`` nodes; denser regions go deeper, one value after the other.  What is denser
    than that in all values is compared with one node of every other component, again until no link is new.
 
 At similarity s a pair shares a region of some order with probability 1 - (1 - s**4)**24: 0.9999 at 0.75,
-0.999997 at 0.8.  Links within a region that split up by depth can be missed; tests measure it.
+0.999997 at 0.8; its sketches agree in too few places with probability 0.00001 at 0.75.  Links within a region that split up by depth can be missed; tests measure it.
 
 Nulls, empty texts: no set, linked with nothing, kept.  Repeated rows: same component; by the digest each of
 them is kept if its doc_id is the smallest.  A null doc_id is never the smallest unless all are null.  An empty
@@ -35,6 +36,7 @@ WORDS = 5
 PERCENT = 75
 TREES, DEPTH, DEEPER = 24, 4, 8
 REGION = 64
+SKETCH, LIKELY = 256, 0.63
 
 
 def _coefficients(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -43,35 +45,38 @@ def _coefficients(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signed(docs: DataFrame, width: int = WORDS) -> DataFrame:
-    """doc_id, k1, k2, n_shingles, node (128-bit hash of the set), heads and tails (first and further values by order)."""
+    """doc_id, k1, k2, n_shingles, node (128-bit hash of the set), heads and tails (first and further values by order), sketch (all values)."""
     def run(batches):
-        a, b = _coefficients(TREES * DEPTH)
+        a, b = _coefficients(SKETCH)
         for batch in batches:
             for lo, hi, buf, offsets in blocks(batch.column("text")):
                 sets = shingle_sets(buf, offsets, width)
                 sizes = np.array([len(s) for s in sets], np.int64)
                 full = np.flatnonzero(sizes)
-                nodes, heads, tails = [None] * len(sets), [None] * len(sets), [None] * len(sets)
+                nodes, heads, tails, sketches = ([None] * len(sets) for _ in range(4))
                 if len(full):
                     values = np.concatenate(sets)
                     at = np.cumsum(sizes[full]) - sizes[full]
                     key = np.stack([np.add.reduceat(mix(values), at), np.add.reduceat(mix(values ^ U(0x5555555555555555)), at)], 1).astype(">u8")
                     least = np.stack([np.minimum.reduceat((values * x + y) >> U(32), at) for x, y in zip(a, b)], 1)
-                    around = np.concatenate([least, least[:, : DEPTH + DEEPER]], 1)
+                    around = np.concatenate([least[:, : TREES * DEPTH], least[:, : DEPTH + DEEPER], least[:, TREES * DEPTH :]], 1)
                     head = np.zeros((len(full), TREES), U)
                     for d in range(DEPTH):
-                        head = mix(head * U(0x9E3779B97F4A7C15) + least[:, d::DEPTH])
+                        head = mix(head * U(0x9E3779B97F4A7C15) + least[:, d : TREES * DEPTH : DEPTH])
                     short = (mix(around) >> U(48)).astype(">u2")
+                    sketch = np.delete(short, np.s_[TREES * DEPTH : TREES * DEPTH + DEPTH + DEEPER], axis=1)
                     for row, i in enumerate(full):
                         nodes[i] = key[row].tobytes()
                         heads[i] = head[row].view(np.int64)
+                        sketches[i] = sketch[row].tobytes()
                         tails[i] = [short[row, t * DEPTH + DEPTH : t * DEPTH + DEPTH + DEEPER].tobytes() for t in range(TREES)]
                 part = batch.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in ("doc_id", "k1", "k2")], pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()),
-                                                  pa.array(heads, pa.list_(pa.int64())), pa.array(tails, pa.list_(pa.binary()))], ["doc_id", "k1", "k2", "n_shingles", "node", "heads", "tails"])
+                                                  pa.array(heads, pa.list_(pa.int64())), pa.array(tails, pa.list_(pa.binary())), pa.array(sketches, pa.binary())],
+                                                 ["doc_id", "k1", "k2", "n_shingles", "node", "heads", "tails", "sketch"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *row_key(), whole_text().alias("text")).mapInArrow(
-        run, "doc_id long, k1 long, k2 long, n_shingles long, node binary, heads array<long>, tails array<binary>")
+        run, "doc_id long, k1 long, k2 long, n_shingles long, node binary, heads array<long>, tails array<binary>, sketch binary")
 
 
 def _scan(batches):
@@ -129,6 +134,52 @@ def _pairs(df: DataFrame, a: str, b: str) -> DataFrame:
     return df.filter(F.col(a) != F.col(b)).select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v"))
 
 
+def _sketches(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), ">u2").reshape(-1, SKETCH)
+
+
+def promising(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The pairs whose sketches agree often enough."""
+    both = pairs.join(sketches.select(F.col("node").alias("u"), F.col("sketch").alias("a")), "u").join(sketches.select(F.col("node").alias("v"), F.col("sketch").alias("b")), "v")
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                near = (_sketches(batch.column("a")) == _sketches(batch.column("b"))).mean(1) >= LIKELY
+                yield batch.select(["u", "v"]).filter(pa.array(near))
+
+    return both.select("u", "v", "a", "b").mapInArrow(run, "u binary, v binary")
+
+
+def _within_blocks(batches):
+    """Rows sorted by block: pairs of one block with different roots whose sketches agree often enough."""
+    def pairs_of(rows):
+        root = np.unique([r[2] for r in rows], return_inverse=True)[1]
+        sketch = np.frombuffer(b"".join(r[3] for r in rows), ">u2").reshape(len(rows), -1).astype(np.uint16)
+        for i in range(len(rows) - 1):
+            hit = np.flatnonzero((root[i + 1 :] != root[i]) & ((sketch[i + 1 :] == sketch[i]).mean(1) >= LIKELY)) + i + 1
+            for j in hit:
+                yield (rows[i][1], rows[j][1]) if rows[i][1] < rows[j][1] else (rows[j][1], rows[i][1])
+
+    def batch_of(found):
+        found = sorted(found)
+        return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.binary()) for k in (0, 1)], ["u", "v"])
+
+    rows, found = [], set()
+    for batch in batches:
+        for row in zip(*(batch.column(c).to_pylist() for c in ("block", "node", "root", "sketch"))):
+            if rows and rows[0][0] != row[0]:
+                found.update(pairs_of(rows))
+                rows = []
+                if len(found) > 20_000:
+                    yield batch_of(found)
+                    found = set()
+            rows.append(row)
+    found.update(pairs_of(rows))
+    if found:
+        yield batch_of(found)
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, signatures: DataFrame, width: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The pairs of nodes (u, v) whose full sets are similar enough, with linked = true; the others with false."""
     wanted = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
@@ -160,26 +211,31 @@ def confirmed(pairs: DataFrame, docs: DataFrame, signatures: DataFrame, width: i
     return both.select("u", "v", "left", "right").mapInArrow(run, "u binary, v binary, linked boolean")
 
 
-def second_wave(members: DataFrame, roots: DataFrame, tried: DataFrame, region: int = REGION) -> DataFrame:
-    """Untried pairs of nodes of different components in one region, denser regions at greater depth."""
+def second_wave(members: DataFrame, roots: DataFrame, tried: DataFrame, sketches: DataFrame, region: int = REGION) -> tuple[DataFrame, bool]:
+    """Untried promising pairs of nodes of different components in one region, and whether any region is dense at all depths."""
     rooted = members.select("tree", "head", "tail", "node").join(roots.withColumnRenamed("root", "known"), "node", "left").withColumn("root", F.coalesce("known", "node")).drop("known")
-    rest = rooted.select(F.xxhash64("tree", "head").alias("block"), "tail", "node", "root")
-    found = None
-    for depth in range(DEEPER + 1):
-        mixed = rest.groupBy("block").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("block", "n")
-        rest = stored(rest.join(mixed, "block"), f"depth-{DEPTH + depth}")
-        small = rest.filter(F.col("n") <= region).select("block", "node", "root")
-        other = small.select("block", F.col("node").alias("with"), F.col("root").alias("root_"))
-        pairs = _pairs(small.join(other, "block").filter((F.col("node") < F.col("with")) & (F.col("root") != F.col("root_"))), "node", "with")
-        found = pairs if found is None else found.unionByName(pairs)
-        rest = rest.filter(F.col("n") > region).drop("n")
-        if rest.isEmpty():
-            break
-        if depth < DEEPER:
-            rest = rest.withColumn("block", F.xxhash64("block", F.substring("tail", 2 * depth + 1, 2)))
-    firsts = rest.groupBy("block", F.col("root").alias("root_")).agg(F.min("node").alias("with"))
-    dense = _pairs(rest.join(firsts, "block").filter(F.col("root") != F.col("root_")), "node", "with")
-    return found.unionByName(dense).distinct().join(tried, ["u", "v"], "left_anti")
+
+    def mixed(rows: DataFrame) -> DataFrame:
+        """Rows of the blocks that hold several components, with the number of nodes there."""
+        return rows.join(rows.groupBy("block").agg(F.count("*").alias("n"), F.min("root").alias("a"), F.max("root").alias("b")).filter("a != b").select("block", "n"), "block")
+
+    top = stored(mixed(rooted.select(F.xxhash64("tree", "head").alias("block"), "tail", "node", "root")), "regions")
+    blocks = F.expr(f"explode(transform(sequence(1, {DEEPER}), d -> struct(d AS depth, block AS region, xxhash64(block, d, substring(tail, 1, 2 * d)) AS block)))")
+    deep = top.filter(F.col("n") > region).select("node", "root", blocks.alias("at")).select("node", "root", "at.depth", "at.region", "at.block")
+    sized = deep.groupBy("block").agg(F.count("*").alias("n"), F.min("root").alias("a"), F.max("root").alias("b")).select("block", "n", (F.col("a") != F.col("b")).alias("mixed"))
+    # The first depth at which a node's block is small enough; if there is none, the last.
+    choice = F.min(F.when(F.col("n") <= region, F.struct("depth", "block", "mixed", "n")))
+    last = F.max(F.struct("depth", "block", "mixed", "n"))
+    placed = stored(deep.join(sized, "block").groupBy("region", "node", "root").agg(F.coalesce(choice, last).alias("p")).select("p.block", "node", "root", "p.n", "p.mixed").filter("mixed"), "placed")
+    small = top.filter(F.col("n") <= region).select("block", "node", "root").unionByName(placed.filter(F.col("n") <= region).select("block", "node", "root"))
+    laid = small.join(sketches, "node").repartition(parts_of(members.sparkSession), "block").sortWithinPartitions("block", "node")
+    pairs = laid.select("block", "node", "root", "sketch").mapInArrow(_within_blocks, "u binary, v binary")
+    rest = placed.filter(F.col("n") > region).select("block", "node", "root")
+    dense = not rest.isEmpty()
+    if dense:
+        firsts = rest.groupBy("block", F.col("root").alias("root_")).agg(F.min("node").alias("with"))
+        pairs = pairs.unionByName(promising(_pairs(rest.join(firsts, "block").filter(F.col("root") != F.col("root_")), "node", "with").distinct(), sketches))
+    return pairs.distinct().join(tried, ["u", "v"], "left_anti"), dense
 
 
 def clustered(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
@@ -190,18 +246,23 @@ def clustered(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> tu
     border = members.filter("edge").select("tree", "head", "pivot").distinct()
     across = border.join(border.groupBy("tree", "head").agg(F.min("pivot").alias("first")), ["tree", "head"])
     nearest = members.filter("pred is not null").groupBy("node").agg(F.max(F.struct("shared", "pred")).alias("best")).select("node", F.col("best.pred").alias("pred"))
-    pairs = stored(_pairs(members, "node", "pivot").unionByName(_pairs(across, "pivot", "first")).unionByName(_pairs(nearest, "node", "pred")).distinct(), "pairs")
-    tried = stored(confirmed(pairs, docs, signatures, width, percent), "confirmed")
-    roots = stored(components(tried.filter("linked").select("u", "v")), "roots")
+    sketches = stored(signatures.select("node", "sketch").join(members.select("node").distinct(), "node").dropDuplicates(["node"]), "sketches")
+    spark = docs.sparkSession
+    tried = spark.createDataFrame([], "u binary, v binary, linked boolean")
+    roots = spark.createDataFrame([], "node binary, root binary")
+    wave = promising(_pairs(members, "node", "pivot").unionByName(_pairs(across, "pivot", "first")).unionByName(_pairs(nearest, "node", "pred")).distinct(), sketches)
+    number, dense = 1, True
     while True:
-        more = stored(second_wave(members, roots, tried.select("u", "v")), "pairs")
-        if more.isEmpty():
-            return signatures, roots
-        checked = stored(confirmed(more, docs, signatures, width, percent), "confirmed")
+        wave = stored(wave, f"wave-{number}")
+        checked = stored(confirmed(wave, docs, signatures, width, percent), "confirmed")
         tried = tried.unionByName(checked)
-        if checked.filter("linked").isEmpty():
+        fresh = not checked.filter("linked").isEmpty()
+        if fresh:
+            roots = stored(components(tried.filter("linked").select("u", "v")), "roots")
+        if number > 1 and not (fresh and dense):
             return signatures, roots
-        roots = stored(components(tried.filter("linked").select("u", "v")), "roots")
+        wave, dense = second_wave(members, roots, tried.select("u", "v"), sketches)
+        number += 1
 
 
 def near_duplicates(docs: DataFrame, **options) -> DataFrame:

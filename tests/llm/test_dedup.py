@@ -107,7 +107,8 @@ def test_dense_regions_lose_no_component(spark):
     alone = members.select("node").distinct().withColumn("root", near.F.col("node"))
     tried = spark.createDataFrame([], "u binary, v binary")
     sketches = signatures.select("node", "sketch").dropDuplicates(["node"])
-    pairs = near.second_wave(members, alone, tried, sketches, region=8)
+    pairs, dense = near.second_wave(members, alone, tried, sketches, region=8)
+    assert dense
     assert pairs.filter("u >= v").count() == 0 and pairs.count() > 0
 
 
