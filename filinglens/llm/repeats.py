@@ -13,8 +13,9 @@ A byte goes if a ``length``-byte string that covers it also starts anywhere else
    suffixes do not all continue alike, left and right extension together are a maximal repeat, with all its
    occurrences.
 4. A group of more than ``most`` contexts is split by halving the range of window offsets: windows of one half
-   share a longer string around the anchor, which is the new group key.  At one offset a count is enough.  So no
-   task holds more than ``most`` contexts of one group, whatever share of all rows has the passage.
+   share a longer string around the anchor, which is the new group key; contexts that agree in all a half needs count
+   as one.  At one offset the key is the window itself and a count is enough.  So no task holds more than ``most``
+   contexts of one group, whatever share of all rows has the passage.
 
 Null and empty texts, and those shorter than ``length``, lose nothing.  Repeated rows are repeats of each other.
 An empty table gives an empty result.  Columns other than doc_id and text are ignored.
@@ -185,7 +186,12 @@ def trees(items: DataFrame, length: int, groups: bool = False) -> DataFrame:
 
 
 def halved(items: DataFrame, length: int, reach: int, most: int) -> tuple[DataFrame, DataFrame]:
-    """Split groups of more than ``most`` contexts: (items of groups that are small enough, extents found by counting)."""
+    """Split groups of more than ``most`` contexts: (items of groups that are small enough, extents found by counting).
+
+    A block of window offsets low..high needs the bytes from ``high`` before the anchor to ``length - low`` after its
+    start.  Contexts that agree in all of them are repeated over the whole block; one of them goes on as a partner for
+    the others.
+    """
     rest = items.withColumn("low", F.lit(0)).withColumn("high", F.lit(reach))
     small = counted = None
     while True:
@@ -193,15 +199,19 @@ def halved(items: DataFrame, length: int, reach: int, most: int) -> tuple[DataFr
         halves = F.explode(F.array(F.struct(F.col("low").alias("a"), middle.alias("b")), F.struct((middle + 1).alias("a"), F.col("high").alias("b")))).alias("half")
         cut = rest.select("*", halves).withColumn("low", F.col("half.a")).withColumn("high", F.col("half.b")).drop("half").filter("low <= high")
         cut = cut.filter((F.octet_length("prefix") >= F.col("low")) & (F.octet_length("suffix") >= length - F.col("high")))
+        cut = cut.withColumn("prefix", F.substring(F.col("prefix"), F.lit(1), F.col("high"))).withColumn("suffix", F.substring(F.col("suffix"), F.lit(1), length - F.col("low")))
         shared = F.xxhash64("group", "low", "high", F.substring(F.col("prefix"), F.lit(1), F.col("low")), F.substring(F.col("suffix"), F.lit(1), length - F.col("high")))
-        cut = stored(cut.withColumn("group", shared), "halves")
-        sizes = cut.groupBy("group").agg(F.count("*").alias("n")).filter("n > 1")
-        cut = cut.join(sizes, "group")
-        one = cut.filter((F.col("n") > most) & (F.col("low") == F.col("high"))).select("anchor", "context", F.col("low").alias("left"), (length - F.col("low")).alias("right"), F.lit(None).cast("long").alias("name"))
-        fits = cut.filter(F.col("n") <= most).select(*items.columns)
+        cut = stored(cut.withColumn("group", shared).withColumn("same", F.xxhash64(F.lit(1), "prefix", F.lit(2), "suffix")), "halves")
+        alike = cut.groupBy("group", "same").agg(F.count("*").alias("n"), F.min(F.struct("anchor", "context")).alias("one"))
+        extents = cut.join(alike.filter("n > 1").select("group", "same"), ["group", "same"], "left_semi").select(
+            "anchor", "context", F.octet_length("prefix").alias("left"), F.octet_length("suffix").alias("right"), F.lit(None).cast("long").alias("name"))
+        counted = extents if counted is None else counted.unionByName(extents)
+        sizes = alike.groupBy("group").agg(F.count("*").alias("m")).filter("m > 1")
+        firsts = alike.join(sizes, "group").select("group", "same", "one.anchor", "one.context", "m")
+        kept = stored(cut.join(firsts, ["group", "same", "anchor", "context"]).drop("same"), "distinct")
+        fits = kept.filter(F.col("m") <= most).select(*items.columns)
         small = fits if small is None else small.unionByName(fits)
-        counted = one if counted is None else counted.unionByName(one)
-        rest = stored(cut.filter((F.col("n") > most) & (F.col("low") < F.col("high"))).drop("n"), "dense")
+        rest = kept.filter((F.col("m") > most) & (F.col("low") < F.col("high"))).drop("m")
         if rest.isEmpty():
             return small, counted
 
