@@ -7,8 +7,8 @@ every piece.  Decoding joins the pieces, turns byte pieces back into bytes, mark
 one in front, so a text comes back whole whatever characters it has.
 
 No piece has a marker after another character, so a best cut is the best cut of each stretch of markers with
-the visible characters after it; equal stretches are cut once per Python worker.  The pieces must be checked
-for that, and are: a model that breaks the rule has its texts cut as one stretch.
+the visible characters after it; equal stretches are cut once per Python worker, the new ones of a batch side by
+side.  The pieces must be checked for that, and are: a model that breaks the rule has its texts cut as one stretch.
 
 Null and empty texts have no ids.  Repeated rows are encoded each on its own; an empty table gives an empty
 result.  Other columns are ignored.
@@ -23,11 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from filinglens.llm.common import bounded_batches, documents, kept_in_process, whole_text
+from filinglens.llm.common import blocks, bounded_batches, documents, kept_in_process, whole_text
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
 MOST_STRETCHES = 300_000
+SIDE_BY_SIDE = 48
 BELOW = 10.0
 
 
@@ -87,7 +88,8 @@ class Unigram:
         self.bytes = frozenset(self.byte.values())
         whole = any(MARK in p.lstrip(MARK) for p, _, kind in pieces if kind == "piece")
         self.stretch = re.compile(r".+", re.S) if whole else re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-        self.known: dict[str, tuple[bytes, int]] = {}
+        self.known: dict[str, bytes] = {}
+        self.is_byte = np.array([k in self.bytes for k in range(len(pieces))])
 
     def viterbi(self, text: str) -> list[int]:
         """Ids of the best cut; of equal scores the first found, shortest last piece first."""
@@ -117,26 +119,78 @@ class Unigram:
         ids: list[int] = []
         while n:
             i, k = back[n]
-            ids += [k] if k >= 0 else [self.byte.get(b, self.unknown) for b in reversed(data[i:n])] if self.byte else [self.unknown]
+            ids += [k] if k >= 0 else self.unknown_ids(data[i:n])
             n = i
         return ids[::-1]
 
+    def viterbi_many(self, texts: list[str]) -> list[list[int]]:
+        """As ``viterbi``, for many short texts at once: every step is taken for all of them."""
+        rows = [t.encode("utf-8") for t in texts]
+        size = np.array([len(r) for r in rows])
+        m, longest = len(rows), int(size.max())
+        data = np.zeros((m, longest), np.int64)
+        data[np.arange(longest) < size[:, None]] = np.frombuffer(b"".join(rows), np.uint8)
+        base, check, value = (np.array(x) for x in (self.trie.base, self.trie.check, self.trie.value))
+        scores = np.array(self.scores)
+        best, start, piece = np.full((m, longest + 1), -np.inf), np.zeros((m, longest + 1), np.int64), np.full((m, longest + 1), -1)
+        best[:, 0] = 0.0
+        for i in range(longest):
+            here = np.flatnonzero((best[:, i] > -np.inf) & (i < size))
+            lead = data[here, i]
+            char = np.where(lead < 0x80, 1, np.where(lead < 0xE0, 2, np.where(lead < 0xF0, 3, 4)))
+            single, place = np.zeros(len(here), bool), np.arange(len(here))
+            alive, state = here, np.zeros(len(here), np.int64)
+            for at in range(i, longest):
+                t = base[state] + data[alive, at] + 1
+                ok = (at < size[alive]) & (t < len(check))
+                ok[ok] = check[t[ok]] == state[ok]
+                alive, state, place = alive[ok], t[ok], place[ok]
+                if not len(alive):
+                    break
+                k = value[state]
+                hit = k >= 0
+                single[place[hit & (at + 1 == i + char[place])]] = True
+                score = best[alive, i] + scores[k]
+                hit &= score > best[alive, at + 1]
+                best[alive[hit], at + 1], start[alive[hit], at + 1], piece[alive[hit], at + 1] = score[hit], i, k[hit]
+            rest, end = here[~single], i + char[~single]
+            better = best[rest, i] + self.floor > best[rest, end]
+            rest, end = rest[better], end[better]
+            best[rest, end], start[rest, end], piece[rest, end] = best[rest, i] + self.floor, i, -1
+        out = []
+        for row, n, begun, pieces in zip(rows, size.tolist(), start.tolist(), piece.tolist()):
+            ids: list[int] = []
+            while n:
+                i, k = begun[n], pieces[n]
+                ids += [k] if k >= 0 else self.unknown_ids(row[i:n])
+                n = i
+            out.append(ids[::-1])
+        return out
+
+    def unknown_ids(self, char: bytes) -> list[int]:
+        """Ids of a character without a piece, last first."""
+        return [self.byte.get(b, self.unknown) for b in reversed(char)] if self.byte else [self.unknown]
+
+    def encode_many(self, texts: list[str]) -> list[tuple[bytes, int]]:
+        """For each text its ids as little-endian unsigned 32-bit numbers, and how many are byte pieces."""
+        cut = [self.stretch.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
+        if len(self.known) > MOST_STRETCHES:
+            self.known.clear()
+        known = self.known
+        new = list(set().union(*cut) - known.keys())
+        short = [x for x in new if 4 * len(x) <= SIDE_BY_SIDE or len(x.encode("utf-8")) <= SIDE_BY_SIDE]
+        for lo in range(0, len(short), 20_000):
+            part = short[lo : lo + 20_000]
+            known.update((x, np.array(ids, "<u4").tobytes()) for x, ids in zip(part, self.viterbi_many(part)))
+        long = {x: np.array(self.viterbi(x), "<u4").tobytes() for x in set(new) - set(short)}
+        out = []
+        for stretches in cut:
+            ids = b"".join([known[x] if x in known else long[x] for x in stretches] if long else map(known.__getitem__, stretches))
+            out.append((ids, int(self.is_byte[np.frombuffer(ids, "<u4")].sum())))
+        return out
+
     def encode(self, text: str) -> tuple[bytes, int]:
-        """Ids as little-endian unsigned 32-bit numbers, and how many are byte pieces."""
-        if not text:
-            return b"", 0
-        known, out, fallback = self.known, [], 0
-        for stretch in self.stretch.findall(MARK + text.replace(" ", MARK)):
-            if (hit := known.get(stretch)) is None:
-                if len(known) >= MOST_STRETCHES:
-                    known.clear()
-                ids = self.viterbi(stretch)
-                hit = np.array(ids, "<u4").tobytes(), sum(k in self.bytes for k in ids)
-                if len(stretch) < 64:
-                    known[stretch] = hit
-            out.append(hit[0])
-            fallback += hit[1]
-        return b"".join(out), fallback
+        return self.encode_many([text])[0]
 
     def decode(self, ids: bytes) -> str:
         joined = b"".join(map(self.texts.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -166,9 +220,9 @@ def encoded(docs: DataFrame, model: str = MODEL) -> DataFrame:
     def run(batches):
         unigram = kept_in_process(f"unigram_{model}", _public(model))
         for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                part = batch.slice(at, 200)
-                got = [unigram.encode(x) for x in part.column("text").to_pylist()]
+            for lo, hi, _, _ in blocks(batch.column("text")):
+                part = batch.slice(lo, hi - lo)
+                got = unigram.encode_many(part.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([g[0] for g in got], pa.binary()), pa.array([g[1] for g in got], pa.int64()),
                                                   pa.array([unigram.decode(g[0]) for g in got], pa.string())], ["doc_id", "ids", "n_byte_ids", "decoded"])
 

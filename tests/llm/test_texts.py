@@ -244,6 +244,11 @@ def test_cuts_are_best_and_round_trip(model):
             assert score == pytest.approx(best_score(model, marked)) and fallback == sum(k in model.bytes for k in ids)
 
 
+def test_side_by_side_as_one_by_one(model):
+    texts = ["▁" + w for w in prose(13, 300).split()] + ["日本語", "🎉é", "▁▁", "x", "é" * 20, "\x00", "naïve▁"]
+    assert model.viterbi_many(texts) == [model.viterbi(t) for t in texts]
+
+
 def test_short_words_as_the_library_cuts_them(model):
     import sentencepiece
     from sentencepiece import sentencepiece_model_pb2 as pb
