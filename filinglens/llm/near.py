@@ -9,12 +9,14 @@ their places, and is then confirmed on the full sets:
 
 1. each node with the first nodes of its regions, and with the neighbour in some order that shares the longest
    prefix with it.  Near copies of one text, however many, become one component or a few;
-2. regions that still hold several components: all pairs between different components, at the depth where a
-   region has at most ``REGION`` nodes; denser regions go deeper, one value after the other.  What is denser
-   than that in all values is compared with one node of every other component, again until no link is new.
+2. regions that still hold several components: all pairs between different components.  Regions of more than
+   ``REGION`` nodes are cut into tiles, so a task holds two parts of about that size; nothing of a region is left
+   out.  Of the pairs between two components the ``FEW`` with the best sketches are confirmed first; what still
+   lies between different components then follows, sixteen times as many in each turn, until none is left.
 
 At similarity s a pair shares a region of some order with probability 1 - (1 - s**4)**24: 0.9999 at 0.75,
-0.999997 at 0.8; its sketches agree in too few places with probability 0.00001 at 0.75.  Links within a region that split up by depth can be missed; tests measure it.
+0.999997 at 0.8; its sketches agree in too few places with probability 0.00001 at 0.75.  The tiles of a region
+are quadratic in its nodes outside one component.
 
 Nulls, empty texts: no set, linked with nothing, kept.  Repeated rows: same component; by the digest each of
 them is kept if its doc_id is the smallest.  A null doc_id is never the smallest unless all are null.  An empty
@@ -25,7 +27,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from filinglens.llm.common import blocks, bounded_batches, documents, parts_of, row_key, stored, whole_text
@@ -35,8 +37,9 @@ from filinglens.llm.links import components
 WORDS = 5
 PERCENT = 75
 TREES, DEPTH, DEEPER = 24, 4, 8
-REGION = 64
+REGION = 512
 SKETCH, LIKELY = 256, 0.63
+FEW = 8
 
 
 def _coefficients(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -151,23 +154,30 @@ def promising(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     return both.select("u", "v", "a", "b").mapInArrow(run, "u binary, v binary")
 
 
-def _within_blocks(batches):
-    """Rows sorted by block: pairs of one block with different roots whose sketches agree often enough."""
+def _within_tiles(batches):
+    """Rows sorted by tile and side: pairs of nodes with different roots whose sketches agree often enough, and in how many places.
+
+    A tile of one side has all pairs of its rows, a tile of two sides those between the sides.
+    """
     def pairs_of(rows):
-        root = np.unique([r[2] for r in rows], return_inverse=True)[1]
-        sketch = np.frombuffer(b"".join(r[3] for r in rows), ">u2").reshape(len(rows), -1).astype(np.uint16)
-        for i in range(len(rows) - 1):
-            hit = np.flatnonzero((root[i + 1 :] != root[i]) & ((sketch[i + 1 :] == sketch[i]).mean(1) >= LIKELY)) + i + 1
-            for j in hit:
-                yield (rows[i][1], rows[j][1]) if rows[i][1] < rows[j][1] else (rows[j][1], rows[i][1])
+        root = np.unique([r[3] for r in rows], return_inverse=True)[1]
+        sketch = np.frombuffer(b"".join(r[4] for r in rows), ">u2").reshape(len(rows), -1).astype(np.uint16)
+        cut = sum(r[1] == 0 for r in rows)
+        for i in range(cut):
+            lo = cut if cut < len(rows) else i + 1
+            # Sums of eight bytes at once; none of them passes 255.
+            agree = (sketch[lo:] == sketch[i]).view(np.uint64).sum(1).view(np.uint8).reshape(-1, 8).sum(1)
+            for j in np.flatnonzero((root[lo:] != root[i]) & (agree >= LIKELY * SKETCH)).tolist():
+                u, v = rows[i][2], rows[lo + j][2]
+                yield (min(u, v), max(u, v), int(agree[j]))
 
     def batch_of(found):
         found = sorted(found)
-        return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.binary()) for k in (0, 1)], ["u", "v"])
+        return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], t) for k, t in enumerate((pa.binary(), pa.binary(), pa.int32()))], ["u", "v", "agree"])
 
     rows, found = [], set()
     for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in ("block", "node", "root", "sketch"))):
+        for row in zip(*(batch.column(c).to_pylist() for c in ("tile", "side", "node", "root", "sketch"))):
             if rows and rows[0][0] != row[0]:
                 found.update(pairs_of(rows))
                 rows = []
@@ -211,30 +221,38 @@ def confirmed(pairs: DataFrame, docs: DataFrame, signatures: DataFrame, width: i
     return both.select("u", "v", "left", "right").mapInArrow(run, "u binary, v binary, linked boolean")
 
 
+def _rooted(rows: DataFrame, roots: DataFrame, node: str = "node", root: str = "root") -> DataFrame:
+    """``rows`` with the root of ``node``; without links a node is its own."""
+    known = roots.select(F.col("node").alias(node), F.col("root").alias("known"))
+    return rows.join(known, node, "left").withColumn(root, F.coalesce("known", node)).drop("known")
+
+
 def second_wave(members: DataFrame, roots: DataFrame, tried: DataFrame, sketches: DataFrame, region: int = REGION) -> tuple[DataFrame, bool]:
-    """Untried promising pairs of nodes of different components in one region, and whether any region is dense at all depths."""
-    rooted = members.select("tree", "head", "tail", "node").join(roots.withColumnRenamed("root", "known"), "node", "left").withColumn("root", F.coalesce("known", "node")).drop("known")
-
-    def mixed(rows: DataFrame) -> DataFrame:
-        """Rows of the blocks that hold several components, with the number of nodes there."""
-        return rows.join(rows.groupBy("block").agg(F.count("*").alias("n"), F.min("root").alias("a"), F.max("root").alias("b")).filter("a != b").select("block", "n"), "block")
-
-    top = stored(mixed(rooted.select(F.xxhash64("tree", "head").alias("block"), "tail", "node", "root")), "regions")
-    blocks = F.expr(f"explode(transform(sequence(1, {DEEPER}), d -> struct(d AS depth, block AS region, xxhash64(block, d, substring(tail, 1, 2 * d)) AS block)))")
-    deep = top.filter(F.col("n") > region).select("node", "root", blocks.alias("at")).select("node", "root", "at.depth", "at.region", "at.block")
-    sized = deep.groupBy("block").agg(F.count("*").alias("n"), F.min("root").alias("a"), F.max("root").alias("b")).select("block", "n", (F.col("a") != F.col("b")).alias("mixed"))
-    # The first depth at which a node's block is small enough; if there is none, the last.
-    choice = F.min(F.when(F.col("n") <= region, F.struct("depth", "block", "mixed", "n")))
-    last = F.max(F.struct("depth", "block", "mixed", "n"))
-    placed = stored(deep.join(sized, "block").groupBy("region", "node", "root").agg(F.coalesce(choice, last).alias("p")).select("p.block", "node", "root", "p.n", "p.mixed").filter("mixed"), "placed")
-    small = top.filter(F.col("n") <= region).select("block", "node", "root").unionByName(placed.filter(F.col("n") <= region).select("block", "node", "root"))
-    laid = small.join(sketches, "node").repartition(parts_of(members.sparkSession), "block").sortWithinPartitions("block", "node")
-    pairs = laid.select("block", "node", "root", "sketch").mapInArrow(_within_blocks, "u binary, v binary")
-    rest = placed.filter(F.col("n") > region).select("block", "node", "root")
-    dense = not rest.isEmpty()
+    """All untried promising pairs of nodes of different components in one region, and whether any region takes several tiles.
+
+    A region of more than ``region`` nodes is cut into parts of about that size: each larger component has parts of its
+    own, the smaller ones share theirs.  Every two parts meet in a tile, but for those of one component.
+    """
+    rooted = _rooted(members.select(F.xxhash64("tree", "head").alias("block"), "node"), roots)
+    sizes = rooted.groupBy("block").agg(F.count("*").alias("n"), F.min("root").alias("a"), F.max("root").alias("b")).filter("a != b").select("block", "n")
+    top = stored(rooted.join(sizes, "block"), "regions")
+    laid = top.filter(F.col("n") <= region).select(F.col("block").alias("tile"), F.lit(0).alias("side"), "node", "root")
+    large = top.filter(F.col("n") > region).select("block", "node", "root")
+    dense = not large.isEmpty()
     if dense:
-        firsts = rest.groupBy("block", F.col("root").alias("root_")).agg(F.min("node").alias("with"))
-        pairs = pairs.unionByName(promising(_pairs(rest.join(firsts, "block").filter(F.col("root") != F.col("root_")), "node", "with").distinct(), sketches))
+        shared = F.lit(b"")
+        held = large.groupBy("block", "root").agg(F.count("*").alias("n")).withColumn("own", F.when(F.col("n") > region, F.col("root")).otherwise(shared))
+        cuts = held.groupBy("block", "own").agg(F.ceil(F.sum("n") / region).cast("int").alias("cuts"))
+        numbered = large.join(held.select("block", "root", "own"), ["block", "root"]).join(cuts, ["block", "own"])
+        numbered = stored(numbered.select("block", F.struct("own", F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int").alias("part")).alias("at"), "node", "root"), "parts")
+        parts = stored(numbered.select("block", "at").distinct(), "part-names")
+        tiles = parts.withColumnRenamed("at", "x").join(parts.withColumnRenamed("at", "y"), "block").filter("x <= y").filter((F.col("x.own") != F.col("y.own")) | (F.col("x.own") == shared))
+        tiles = stored(tiles.withColumn("tile", F.xxhash64("block", "x", "y")), "tiles")
+        for side, which in enumerate("xy"):
+            met = tiles.filter("x != y") if side else tiles
+            laid = laid.unionByName(met.select("block", "tile", F.col(which).alias("at")).join(numbered, ["block", "at"]).select("tile", F.lit(side).alias("side"), "node", "root"))
+    laid = laid.join(sketches, "node").repartition(parts_of(members.sparkSession), "tile").sortWithinPartitions("tile", "side", "node")
+    pairs = laid.select("tile", "side", "node", "root", "sketch").mapInArrow(_within_tiles, "u binary, v binary, agree int")
     return pairs.distinct().join(tried, ["u", "v"], "left_anti"), dense
 
 
@@ -248,21 +266,26 @@ def clustered(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> tu
     nearest = members.filter("pred is not null").groupBy("node").agg(F.max(F.struct("shared", "pred")).alias("best")).select("node", F.col("best.pred").alias("pred"))
     sketches = stored(signatures.select("node", "sketch").join(members.select("node").distinct(), "node").dropDuplicates(["node"]), "sketches")
     spark = docs.sparkSession
-    tried = spark.createDataFrame([], "u binary, v binary, linked boolean")
+    links = spark.createDataFrame([], "u binary, v binary")
     roots = spark.createDataFrame([], "node binary, root binary")
     wave = promising(_pairs(members, "node", "pivot").unionByName(_pairs(across, "pivot", "first")).unionByName(_pairs(nearest, "node", "pred")).distinct(), sketches)
-    number, dense = 1, True
+    number, few, pairs = 1, FEW, None
     while True:
         wave = stored(wave, f"wave-{number}")
         checked = stored(confirmed(wave, docs, signatures, width, percent), "confirmed")
-        tried = tried.unionByName(checked)
-        fresh = not checked.filter("linked").isEmpty()
-        if fresh:
-            roots = stored(components(tried.filter("linked").select("u", "v")), "roots")
-        if number > 1 and not (fresh and dense):
+        fresh = checked.filter("linked").select("u", "v")
+        if not fresh.isEmpty():
+            links = links.unionByName(fresh)
+            roots = stored(components(links), "roots")
+        # What is left are untried pairs between different components; they only become fewer.
+        left = second_wave(members, roots, checked.select("u", "v"), sketches)[0] if pairs is None else pairs.join(checked.select("u", "v"), ["u", "v"], "left_anti")
+        left = _rooted(_rooted(left.select("u", "v", "agree"), roots, "u", "a"), roots, "v", "b").filter("a != b")
+        pairs = stored(left.select("u", "v", "agree", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "pairs")
+        if pairs.isEmpty():
             return signatures, roots
-        wave, dense = second_wave(members, roots, tried.select("u", "v"), sketches)
-        number += 1
+        best = Window.partitionBy("a", "b").orderBy(F.desc("agree"), "u", "v")
+        wave = pairs.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= few).select("u", "v")
+        number, few = number + 1, few * 16
 
 
 def near_duplicates(docs: DataFrame, **options) -> DataFrame:

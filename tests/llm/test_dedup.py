@@ -112,6 +112,23 @@ def test_dense_regions_lose_no_component(spark):
     assert pairs.filter("u >= v").count() == 0 and pairs.count() > 0
 
 
+def test_template_family_loses_no_link(spark):
+    """Thousands of nodes of one template, whose regions are dense in every order: links in pairs, just above the limit."""
+    draw, rows = random.Random(12), []
+    base = [f"t{i}" for i in range(100)]
+    for _ in range(1000):
+        own = [f"w{draw.randrange(10**6)}" for _ in range(40)]
+        rows += [(len(rows), " ".join(base + own)), (len(rows) + 1, " ".join(base + own[:21] + [f"v{draw.randrange(10**6)}" for _ in range(19)]))]
+    number = {}
+    masks = [sum(1 << number.setdefault(s, len(number)) for s in shingles(t)) for _, t in rows]
+    sizes = [m.bit_count() for m in masks]
+    links = {(i, j) for i, j in itertools.combinations(range(len(rows)), 2) if 100 * (n := (masks[i] & masks[j]).bit_count()) >= 75 * (sizes[i] + sizes[j] - n)}
+    assert len(links) == 1000
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near.near_duplicates(docs).collect()}
+    assert sum(got[i] != got[j] for i, j in links) <= 1 and len(set(got.values())) >= 1000
+
+
 def test_near_stage_keeps_one_of_each_component(odd, none):
     kept = near.without_near_duplicates(odd)
     ids = sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect())
