@@ -2,7 +2,8 @@
 
 A word's features are its affixes, its character n-grams, the word itself (all hashed into ``buckets``) and the
 lexicons it is in; lexicons hold the words of the fitted rows that stand in one language nearly always.  The
-transitions between the labels of neighbouring words are learnt too.  Labels come from the rows' lang, one per
+transitions between the labels of neighbouring words are learnt too.  In scripts without blanks (Han, kana, Thai and
+the like) every character counts as a word; a word is read in its whole length.  Labels come from the rows' lang, one per
 text; half of the training sequences are spliced from texts of two languages, so that switching is learnt.  The
 likelihood's gradient and the word labels both come from forward-backward.
 
@@ -41,11 +42,27 @@ MOST_WORDS = 300_000
 
 def word_features(word: str, buckets: int) -> list[int]:
     """Hashed affixes, n-grams and identity of a lower-cased word."""
-    marked = f"<{word[:40]}>"
+    marked = f"<{word}>"
     n = len(marked)
     names = {marked} | {marked[:k] for k in range(2, min(n, 6))} | {marked[-k:] for k in range(2, min(n, 6))}
-    names |= {"_" + marked[i : i + k] for k in (2, 3) for i in range(n - k + 1)}
-    return sorted({zlib.crc32(x.encode("utf-8")) % buckets for x in names})
+    grams = ("_" + marked[i : i + k] for k in (2, 3) for i in range(n - k + 1))
+    return sorted({zlib.crc32(x.encode("utf-8")) % buckets for some in (names, grams) for x in some})
+
+
+def positions(low: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the chain's positions, and where each text's begin: words, and single characters of scripts without blanks."""
+    s, e, first = words(low, offsets, LETTERS)
+    lead = np.flatnonzero(low >= 0xE0)
+    if not len(lead):
+        return s, e, first
+    a, b, c = low[lead], low[np.minimum(lead + 1, len(low) - 1)], low[np.minimum(lead + 2, len(low) - 1)]
+    # Thai, Lao, Tibetan; Myanmar; Khmer; kana, Han and Yi; compatibility and wide forms; further Han.
+    alone = (a == 0xE0) & (b >= 0xB8) | (a == 0xE1) & ((b <= 0x81) | (b == 0x82) & (c < 0xA0) | (b == 0x9E) | (b == 0x9F))
+    alone |= (a >= 0xE3) & (a <= 0xE9) | (a == 0xEA) & (b <= 0x93) | (a == 0xEF) & ((b >= 0xA4) & (b <= 0xAB) | (b >= 0xBC) & (b <= 0xBE)) | (a == 0xF0) & (b >= 0xA0)
+    at = lead[alone]
+    end = at + np.where(a[alone] == 0xF0, 4, 3)
+    s, e = np.unique(np.concatenate((s, at, np.setdiff1d(end, e)))), np.unique(np.concatenate((e, end, np.setdiff1d(at, s))))
+    return s, e, np.searchsorted(s, offsets)
 
 
 class Field:
@@ -150,7 +167,7 @@ def fit(docs: DataFrame, labelled_rows: int = LABELLED_ROWS, buckets: int = BUCK
             lang = batch.column("lang").to_pylist()
             for lo, hi, buf, offsets in blocks(batch.column("text")):
                 low = LOWER[buf]
-                s, e, first = words(low, offsets, LETTERS)
+                s, e, first = positions(low, offsets)
                 rows += [(low[offsets[i] : offsets[i + 1]].copy(), s[first[i] : first[i + 1]] - offsets[i], e[first[i] : first[i + 1]] - offsets[i], lang[lo + i]) for i in range(hi - lo)]
         if any(len(s) for _, s, _, _ in rows):
             field = train(rows, buckets)
@@ -262,7 +279,7 @@ def predicted(docs: DataFrame, field: Field | None) -> DataFrame:
             lang, score = [], []
             for lo, hi, buf, offsets in blocks(batch.column("text")):
                 low = LOWER[buf]
-                s, e, first = words(low, offsets, LETTERS)
+                s, e, first = positions(low, offsets)
                 sizes = np.diff(first)
                 plain = np.concatenate(([0], np.cumsum((low >= 97) & (low <= 122))))
                 plain = plain[offsets[1:]] > plain[offsets[:-1]]
@@ -295,7 +312,7 @@ def labelled_words(docs: DataFrame, field: Field) -> DataFrame:
             out = []
             for lo, hi, buf, offsets in blocks(batch.column("text")):
                 low = LOWER[buf]
-                s, e, first = words(low, offsets, LETTERS)
+                s, e, first = positions(low, offsets)
                 p = worker.marginals(worker.emissions(low, s, e), first)
                 best = p.argmax(1) if len(p) else np.zeros(0, np.int64)
                 for i in range(hi - lo):

@@ -204,6 +204,26 @@ def test_language_held_out_and_switching(spark, odd, none):
     assert languages.fit(none) is None and languages.predicted(none, None).collect() == [] and {r.lang_pred for r in languages.predicted(odd, None).collect()} == {"und"}
 
 
+def test_scripts_without_blanks_and_long_words(spark):
+    """Every character of a long run counts, and a switch inside it is seen."""
+    draw = np.random.default_rng(8)
+    signs = {"zh": "的一是不了人我在有他这为之大来以个中上们到说国和", "ja": "のにはをたがでてとしれさあいるなまも日本人中大国"}
+    rows = [(i, "".join(draw.choice(list(signs[lang]), 100)), lang) for i, lang in enumerate(["zh", "ja"] * 60)]
+    field = languages.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    run = {k: "".join(draw.choice(list(v), 300)) for k, v in signs.items()}
+    docs = spark.createDataFrame([(1, run["zh"] + run["ja"]), (2, run["zh"][:45] + run["ja"])], "doc_id long, text string")
+    found = {r.doc_id: r.stretches for r in languages.labelled_words(docs, field).collect()}
+    for i, cut in ((1, 900), (2, 135)):
+        right = sum(max(0, min(x["end"], cut) - x["start"]) if x["lang"] == "zh" else max(0, x["end"] - max(x["start"], cut)) for x in found[i])
+        assert found[i][0]["start"] == 0 and found[i][-1]["end"] == cut + 900 and right > 0.95 * (cut + 900)
+    assert {r.doc_id: r.lang_pred for r in languages.predicted(docs, field).collect()}[2] == "ja"
+    assert languages.word_features("a" * 40 + "bcd", 1 << 15) != languages.word_features("a" * 40 + "xyz", 1 << 15)
+    text = "ab日x" + "ไทย" + "é한국 c𠀀"
+    buf, offsets = np.frombuffer((text + "語" + "本d").encode(), np.uint8), np.array([0, len(text.encode()), len((text + "語").encode()), len((text + "語本d").encode())])
+    s, e, first = languages.positions(buf, offsets)
+    assert [bytes(buf[a:b]).decode() for a, b in zip(s, e)] == ["ab", "日", "x", "ไ", "ท", "ย", "é한국", "c", "𠀀", "語", "本", "d"] and list(first) == [0, 9, 10, 12]
+
+
 # --- pieces ------------------------------------------------------------------------------------------
 
 @pytest.fixture(scope="module")
