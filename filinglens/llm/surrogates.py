@@ -3,13 +3,17 @@
 A surrogate is a keyed permutation of the entity's own format: a Feistel network over the mixed-radix number that
 its characters spell, each within its class (digits, letters of one script and case).  A permutation maps
 different entities of one format to different surrogates and the same entity to the same one in every document
-and run, so distinctness and coreference hold over the whole corpus without a table of entities.  Types with an
+and run, without a table of entities; only what the check below moves is settled per document.  Types with an
 inner rule stay within it by walking the permutation on until the rule holds (or fails) as before: dialling
 codes and area codes, private and public addresses, check digits of cards and account numbers.  A given name
-from the lists is replaced by one of the same script and gender; other names keep vowels, consonants and case.
+from the lists is replaced by the next one in a keyed order of its list, of the same script and gender and never
+itself; other names keep vowels, consonants and case.
 
 Within a document a check compares all surrogates with each other and with the originals; a surrogate that is
-taken, or equal to an original (a fixed point), moves on under another tweak.
+taken, or equal to an original, moves on until it is free: a given name to the next one of its list and, when the list
+is used up, to other letters before its ending; other values under another tweak, with one more letter from time to
+time where the format has no fixed length.  An entity so moved has in that document another surrogate than elsewhere:
+it can't have the same one everywhere and never a name that the text holds.
 
 A null text stays null, an empty one empty.  Repeated rows give repeated results; an empty table an empty result.
 Texts without entities are unchanged.  Ties between detectors go to the one listed first.
@@ -43,6 +47,8 @@ TITLES = {"Mr": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Dr": "", "Prof": "", "
 _CLASSES = ["0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz", "AEIOU", "BCDFGHJKLMNPQRSTVWXYZ", "àáâäèéêëìíîïòóôöùúûü", "ÀÁÂÄÈÉÊËÌÍÎÏÒÓÔÖÙÚÛÜ",
             "аеиоуыэюя", "бвгджзклмнпрстфхцчшщ", "АЕИОУЭЮЯ", "БВГДЖЗКЛМНПРСТФХЦЧШЩ",
             *("".join(map(chr, range(a, b))) for a, b in ((0x3B1, 0x3C2), (0x391, 0x3A2), (0x5D0, 0x5EB), (0x3042, 0x3094), (0x30A2, 0x30F4), (0xAC00, 0xD7A4), (0x4E00, 0x9FA6)))]
+# Turns of the collision check after which a surrogate without a fixed length grows by a letter.
+LONGER = 50
 _BASE36 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _HEX = "0123456789abcdef"
 
@@ -133,6 +139,7 @@ class Surrogates:
 
     def __init__(self, key: str = KEY):
         self.permute = Permutation(key)
+        self.cycles: dict[tuple[str, str], dict[str, list[str]]] = {}
         self.given = {name: (kind, i) for kind, names in GIVEN.items() for i, name in enumerate(names)}
 
     def walk(self, step, value: str, rule) -> str:
@@ -142,23 +149,37 @@ class Surrogates:
             out = step(out)
         return out
 
-    def name_word(self, word: str, tweak: str) -> str:
-        if (known := self.given.get(word)) is not None:
-            names = GIVEN[known[0]]
-            half = max(d for d in range(1, int(len(names) ** 0.5) + 1) if len(names) % d == 0)
-            return names[self.permute.number(known[1], half, len(names) // half, f"{tweak}given{known[0]}")]
-        return self.walk(lambda w: self.permute.text(w, tweak + "name"), word, lambda w: w in self.given or w in TITLES)
+    def cycle(self, kind: tuple[str, str]) -> dict[str, list[str]]:
+        """For each given name the others of its list, in the keyed order of the list that starts behind it."""
+        if kind not in self.cycles:
+            names = sorted(GIVEN[kind], key=lambda n: self.permute._draw(f"given{kind}", 0, GIVEN[kind].index(n), 1 << 64))
+            self.cycles[kind] = {n: names[i + 1 :] + names[:i] for i, n in enumerate(names)}
+        return self.cycles[kind]
 
-    def surrogate(self, kind: str, value: str, tweak: str = "") -> str:
+    def name_word(self, word: str, turn: int) -> str:
+        tweak, more = f"{turn}/" if turn else "", "ea"[turn // LONGER % 2] * (turn // LONGER)
+        if (known := self.given.get(word)) is not None:
+            others = self.cycle(known[0])[word]
+            if turn < len(others):
+                return others[turn]
+            # The list is used up: other letters, with the ending that marks the gender.
+            new = self.permute.text(word[:-1] + more, tweak + "name") + word[-1]
+            return self.name_word(word, turn + 1) if new in self.given or new in TITLES else new
+        return self.walk(lambda w: self.permute.text(w, tweak + "name"), word + more, lambda w: w in self.given or w in TITLES)
+
+    def surrogate(self, kind: str, value: str, turn: int = 0) -> str:
+        """The surrogate, or the ``turn``-th one in its place; names, addresses and secrets grow by a letter every ``LONGER`` turns."""
+        tweak, more = f"{turn}/" if turn else "", "e" * (turn // LONGER)
         p = self.permute
         if kind == "name":
-            return re.sub(r"[\w'’-]+", lambda m: self.name_word(m[0], tweak), value)
+            return re.sub(r"[\w'’-]+", lambda m: self.name_word(m[0], turn), value)
         if kind == "email":
-            name, _, top = value.rpartition(".")
+            name, _, top = (more + value).rpartition(".")
             return f"{p.text(name, tweak + 'email')}.{top}"
         if kind == "access_key":
             return value[:4] + p.text(value[4:], tweak + "key", alphabet=_BASE36)
         if kind == "secret":
+            value += more
             return p.text(value, tweak + "secret", alphabet=_HEX if all(c in _HEX for c in value) else None)
         if kind == "iban":
             rest = p.text(value[4:], tweak + "iban" + value[:2])
@@ -223,9 +244,9 @@ class Surrogates:
         taken: set[str] = set()
         for kind, value in sorted(originals):
             new, turn = self.surrogate(kind, value), 0
-            while (new in taken or new in values) and turn < 50:
+            while new in taken or new in values:
                 turn += 1
-                new = self.surrogate(kind, value, f"{turn}/")
+                new = self.surrogate(kind, value, turn)
             chosen[kind, value] = new
             taken.add(new)
         out, at = [], 0

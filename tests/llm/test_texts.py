@@ -392,6 +392,23 @@ def test_permutations_are_bijections():
     assert len({worker.surrogate("name", n) for names in surrogates.GIVEN.values() for n in names}) == sum(map(len, surrogates.GIVEN.values()))
 
 
+def test_exhausted_lists_of_given_names():
+    """Texts that hold all names of a list, and formats with nothing to permute: every surrogate is free."""
+    worker = surrogates.Surrogates("k")
+    for names in surrogates.GIVEN.values():
+        assert all(worker.surrogate("name", n) != n for n in names)
+        for held in (names, names[: len(names) * 3 // 4]):
+            text = ", ".join(held) + "."
+            new, spans, chosen = worker.replace(text)
+            assert len(chosen) == len(spans) == len(held) == len(set(chosen.values())) and not set(chosen.values()) & set(held)
+            assert not any(re.search(rf"\b{n}\b", new) for n in held) and all(chosen["name", n][-1] == n[-1] or chosen["name", n] in names for n in held)
+    short = [f"{a}{b}" for a in "BCDFGHJKLMNPQRSTVWXYZ" for b in "aeiou"]
+    _, _, chosen = worker.replace("; ".join(f"Mr. {n}" for n in short))
+    assert len(chosen) == len(set(chosen.values())) == len(short) and not set(chosen.values()) & set(short)
+    _, spans, chosen = worker.replace("password=______ a@b.cc")
+    assert len(spans) == 2 and all(s != v for (_, v), s in chosen.items())
+
+
 def test_surrogates_of_the_corpus_are_distinct(spark):
     docs = surrogates.documents(spark, "/root/testdata/sf0.1").select("text").collect()
     worker, back = surrogates.Surrogates(), {}
