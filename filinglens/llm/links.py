@@ -38,3 +38,27 @@ def components(links: DataFrame) -> DataFrame:
             break
         before = state
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
+def labelled(signatures: DataFrame, roots: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id for ``signatures`` (doc_id, n_shingles, node); a document without a set is its own component."""
+    named = signatures.select("doc_id", "n_shingles", "node").join(roots, "node", "left").select("doc_id", "n_shingles", F.coalesce("root", "node").alias("root"))
+    first = named.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return named.join(first, "root", "left").select("doc_id", "n_shingles", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def component_sql(width: int, percent: int, more: str = "") -> str:
+    """The same by SQL, over all pairs that share a shingle."""
+    window = " || ' ' || ".join(f"w[i{f' + {k}' if k else ''}]" for k in range(width))
+    return f"""
+WITH RECURSIVE
+  split AS (SELECT row_number() OVER () AS r, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+  sets AS (SELECT r, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {width} THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - {width - 2}), lambda i: {window})) END AS s FROM split),
+  items AS (SELECT r, len(s) AS n, unnest(s) AS g FROM sets),
+  links AS (SELECT a.r AS x, b.r AS y FROM items a JOIN items b ON a.g = b.g AND a.r <> b.r GROUP BY a.r, b.r
+    HAVING 100 * count(*) >= {percent} * (any_value(a.n) + any_value(b.n) - count(*))),
+  reach AS (SELECT r AS x, r AS y FROM sets UNION SELECT reach.x, links.y FROM reach JOIN links ON reach.y = links.x),
+  least AS (SELECT reach.x AS r, min(sets.doc_id) AS component_id FROM reach JOIN sets ON reach.y = sets.r GROUP BY reach.x)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id{more} FROM sets JOIN least USING (r)"""
