@@ -4,19 +4,18 @@ A text's set are its distinct five-word shingles.  Equal sets are one node.  Eac
 nodes by their MinHash values, starting at another value: a region is a run of nodes that agree in the first
 ``DEPTH`` values.  The orders are laid out by range partitioning, so a large region covers many tasks.
 
-Candidates are found in two waves.  A pair goes on if its sketches (``SKETCH`` MinHash values) agree in ``LIKELY`` of
-their places, and is then confirmed on the full sets:
+Candidates are found in two waves, both confirmed on the full sets:
 
 1. each node with the first nodes of its regions, and with the neighbour in some order that shares the longest
-   prefix with it.  Near copies of one text, however many, become one component or a few;
-2. regions that still hold several components: all pairs between different components.  Regions of more than
-   ``REGION`` nodes are cut into tiles, so a task holds two parts of about that size; nothing of a region is left
-   out.  Of the pairs between two components the ``FEW`` with the best sketches are confirmed first; what still
-   lies between different components then follows, sixteen times as many in each turn, until none is left.
+   prefix with it, if their sketches (``SKETCH`` MinHash values) agree in ``LIKELY`` of their places.  Near copies of
+   one text, however many, become one component or a few.  Each node is tried with its likeliest partner first, the
+   other partners only where they are still in another component;
+2. regions that still hold several components go whole to tiles (``tiles``): the sets of a tile's nodes stand next to
+   it, all pairs of different components are counted there, and only edges that join components leave the task.
+   Regions with equal members count once; large ones are cut into parts of which every two meet.
 
-At similarity s a pair shares a region of some order with probability 1 - (1 - s**4)**24: 0.9999 at 0.75,
-0.999997 at 0.8; its sketches agree in too few places with probability 0.00001 at 0.75.  The tiles of a region
-are quadratic in its nodes outside one component.
+At similarity s a pair shares a region of some order with probability 1 - (1 - s**4)**24: 0.9999 at 0.75, 0.999997 at
+0.8.  The tiles of a region are quadratic in its nodes outside one component, their output is not.
 
 Nulls, empty texts: no set, linked with nothing, kept.  Repeated rows: same component; by the digest each of
 them is kept if its doc_id is the smallest.  A null doc_id is never the smallest unless all are null.  An empty
@@ -27,19 +26,18 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from filinglens.llm.common import blocks, bounded_batches, documents, parts_of, row_key, stored, whole_text
 from filinglens.llm.kernel import U, mix, shingle_sets
-from filinglens.llm.links import components
+from filinglens.llm.links import component_sql, components, labelled
+from filinglens.llm.tiles import TILE, edges_in, linked_to_hubs, regions_of, sets_of, tiles_of
 
 WORDS = 5
 PERCENT = 75
 TREES, DEPTH, DEEPER = 24, 4, 8
-REGION = 512
 SKETCH, LIKELY = 256, 0.63
-FEW = 8
 
 
 def _coefficients(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -133,92 +131,22 @@ def forest(signatures: DataFrame) -> DataFrame:
     return laid.mapInArrow(_scan, "tree int, head long, tail binary, node binary, pivot binary, pred binary, shared int, edge boolean")
 
 
-def _pairs(df: DataFrame, a: str, b: str) -> DataFrame:
-    return df.filter(F.col(a) != F.col(b)).select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v"))
-
-
 def _sketches(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), ">u2").reshape(-1, SKETCH)
 
 
 def promising(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """The pairs whose sketches agree often enough."""
-    both = pairs.join(sketches.select(F.col("node").alias("u"), F.col("sketch").alias("a")), "u").join(sketches.select(F.col("node").alias("v"), F.col("sketch").alias("b")), "v")
+    """The pairs (node, hub) whose sketches agree often enough, and in how many places."""
+    both = pairs.join(sketches.select("node", F.col("sketch").alias("a")), "node").join(sketches.select(F.col("node").alias("hub"), F.col("sketch").alias("b")), "hub")
 
     def run(batches):
         for batch in batches:
             if batch.num_rows:
-                near = (_sketches(batch.column("a")) == _sketches(batch.column("b"))).mean(1) >= LIKELY
-                yield batch.select(["u", "v"]).filter(pa.array(near))
-
-    return both.select("u", "v", "a", "b").mapInArrow(run, "u binary, v binary")
+                agree = (_sketches(batch.column("a")) == _sketches(batch.column("b"))).sum(1)
+                keep = pa.array(agree >= LIKELY * SKETCH)
+                yield batch.select(["node", "hub"]).append_column("agree", pa.array(agree, pa.int64())).filter(keep)
 
-
-def _within_tiles(batches):
-    """Rows sorted by tile and side: pairs of nodes with different roots whose sketches agree often enough, and in how many places.
-
-    A tile of one side has all pairs of its rows, a tile of two sides those between the sides.
-    """
-    def pairs_of(rows):
-        root = np.unique([r[3] for r in rows], return_inverse=True)[1]
-        sketch = np.frombuffer(b"".join(r[4] for r in rows), ">u2").reshape(len(rows), -1).astype(np.uint16)
-        cut = sum(r[1] == 0 for r in rows)
-        for i in range(cut):
-            lo = cut if cut < len(rows) else i + 1
-            # Sums of eight bytes at once; none of them passes 255.
-            agree = (sketch[lo:] == sketch[i]).view(np.uint64).sum(1).view(np.uint8).reshape(-1, 8).sum(1)
-            for j in np.flatnonzero((root[lo:] != root[i]) & (agree >= LIKELY * SKETCH)).tolist():
-                u, v = rows[i][2], rows[lo + j][2]
-                yield (min(u, v), max(u, v), int(agree[j]))
-
-    def batch_of(found):
-        found = sorted(found)
-        return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], t) for k, t in enumerate((pa.binary(), pa.binary(), pa.int32()))], ["u", "v", "agree"])
-
-    rows, found = [], set()
-    for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in ("tile", "side", "node", "root", "sketch"))):
-            if rows and rows[0][0] != row[0]:
-                found.update(pairs_of(rows))
-                rows = []
-                if len(found) > 20_000:
-                    yield batch_of(found)
-                    found = set()
-            rows.append(row)
-    found.update(pairs_of(rows))
-    if found:
-        yield batch_of(found)
-
-
-def confirmed(pairs: DataFrame, docs: DataFrame, signatures: DataFrame, width: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The pairs of nodes (u, v) whose full sets are similar enough, with linked = true; the others with false."""
-    wanted = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
-    rows = signatures.select("node", "k1", "k2").join(wanted, "node").groupBy("node").agg(F.min(F.struct("k1", "k2")).alias("k")).select("node", "k.k1", "k.k2")
-    texts = docs.select(*row_key(), whole_text().alias("text")).join(rows, ["k1", "k2"]).select("node", "text").dropDuplicates(["node"])
-    texts = stored(texts, "texts")
-    both = pairs.join(texts.select(F.col("node").alias("v"), F.col("text").alias("right")), "v").join(texts.select(F.col("node").alias("u"), F.col("text").alias("left")), "u")
-
-    def run(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                u, v = part.column("u").to_pylist(), part.column("v").to_pylist()
-                text = dict(zip(u, part.column("left").to_pylist())) | dict(zip(v, part.column("right").to_pylist()))
-                sets = {}
-                names = list(text)
-                for lo, hi, buf, offsets in blocks(pa.array([text[k] for k in names], pa.string())):
-                    sets.update(zip(names[lo:hi], shingle_sets(buf, offsets, width)))
-                linked = []
-                for x, y in zip(u, v):
-                    a, b = sets[x], sets[y]
-                    if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
-                        linked.append(False)
-                        continue
-                    common = len(np.intersect1d(a, b, assume_unique=True))
-                    linked.append(100 * common >= percent * (len(a) + len(b) - common))
-                yield pa.RecordBatch.from_arrays([part.column("u"), part.column("v"), pa.array(linked, pa.bool_())], ["u", "v", "linked"])
-
-    return both.select("u", "v", "left", "right").mapInArrow(run, "u binary, v binary, linked boolean")
+    return both.select("node", "hub", "a", "b").mapInArrow(run, "node binary, hub binary, agree long")
 
 
 def _rooted(rows: DataFrame, roots: DataFrame, node: str = "node", root: str = "root") -> DataFrame:
@@ -227,75 +155,42 @@ def _rooted(rows: DataFrame, roots: DataFrame, node: str = "node", root: str = "
     return rows.join(known, node, "left").withColumn(root, F.coalesce("known", node)).drop("known")
 
 
-def second_wave(members: DataFrame, roots: DataFrame, tried: DataFrame, sketches: DataFrame, region: int = REGION) -> tuple[DataFrame, bool]:
-    """All untried promising pairs of nodes of different components in one region, and whether any region takes several tiles.
-
-    A region of more than ``region`` nodes is cut into parts of about that size: each larger component has parts of its
-    own, the smaller ones share theirs.  Every two parts meet in a tile, but for those of one component.
-    """
-    rooted = _rooted(members.select(F.xxhash64("tree", "head").alias("block"), "node"), roots)
-    sizes = rooted.groupBy("block").agg(F.count("*").alias("n"), F.min("root").alias("a"), F.max("root").alias("b")).filter("a != b").select("block", "n")
-    top = stored(rooted.join(sizes, "block"), "regions")
-    laid = top.filter(F.col("n") <= region).select(F.col("block").alias("tile"), F.lit(0).alias("side"), "node", "root")
-    large = top.filter(F.col("n") > region).select("block", "node", "root")
-    dense = not large.isEmpty()
-    if dense:
-        shared = F.lit(b"")
-        held = large.groupBy("block", "root").agg(F.count("*").alias("n")).withColumn("own", F.when(F.col("n") > region, F.col("root")).otherwise(shared))
-        cuts = held.groupBy("block", "own").agg(F.ceil(F.sum("n") / region).cast("int").alias("cuts"))
-        numbered = large.join(held.select("block", "root", "own"), ["block", "root"]).join(cuts, ["block", "own"])
-        numbered = stored(numbered.select("block", F.struct("own", F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int").alias("part")).alias("at"), "node", "root"), "parts")
-        parts = stored(numbered.select("block", "at").distinct(), "part-names")
-        tiles = parts.withColumnRenamed("at", "x").join(parts.withColumnRenamed("at", "y"), "block").filter("x <= y").filter((F.col("x.own") != F.col("y.own")) | (F.col("x.own") == shared))
-        tiles = stored(tiles.withColumn("tile", F.xxhash64("block", "x", "y")), "tiles")
-        for side, which in enumerate("xy"):
-            met = tiles.filter("x != y") if side else tiles
-            laid = laid.unionByName(met.select("block", "tile", F.col(which).alias("at")).join(numbered, ["block", "at"]).select("tile", F.lit(side).alias("side"), "node", "root"))
-    laid = laid.join(sketches, "node").repartition(parts_of(members.sparkSession), "tile").sortWithinPartitions("tile", "side", "node")
-    pairs = laid.select("tile", "side", "node", "root", "sketch").mapInArrow(_within_tiles, "u binary, v binary, agree int")
-    return pairs.distinct().join(tried, ["u", "v"], "left_anti"), dense
-
-
-def clustered(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+def clustered(docs: DataFrame, width: int = WORDS, percent: int = PERCENT, tile: int = TILE) -> tuple[DataFrame, DataFrame]:
     """Signatures of all rows, and (node, root) of the nodes that have links."""
-    bounded_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    bounded_batches(spark)
     signatures = stored(signed(docs, width), "signatures")
     members = stored(forest(signatures), "forest")
+    nodes = stored(signatures.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(
+        F.min(F.struct("k1", "k2")).alias("k"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")).select("node", "k.k1", "k.k2", "n", "sketch"), "nodes")
+
+    def sets_for(some):
+        return stored(sets_of(docs, nodes.select("node", "k1", "k2").join(some, "node", "left_semi"), width), "sets")
+
     border = members.filter("edge").select("tree", "head", "pivot").distinct()
-    across = border.join(border.groupBy("tree", "head").agg(F.min("pivot").alias("first")), ["tree", "head"])
-    nearest = members.filter("pred is not null").groupBy("node").agg(F.max(F.struct("shared", "pred")).alias("best")).select("node", F.col("best.pred").alias("pred"))
-    sketches = stored(signatures.select("node", "sketch").join(members.select("node").distinct(), "node").dropDuplicates(["node"]), "sketches")
-    spark = docs.sparkSession
-    links = spark.createDataFrame([], "u binary, v binary")
-    roots = spark.createDataFrame([], "node binary, root binary")
-    wave = promising(_pairs(members, "node", "pivot").unionByName(_pairs(across, "pivot", "first")).unionByName(_pairs(nearest, "node", "pred")).distinct(), sketches)
-    number, few, pairs = 1, FEW, None
-    while True:
-        wave = stored(wave, f"wave-{number}")
-        checked = stored(confirmed(wave, docs, signatures, width, percent), "confirmed")
-        fresh = checked.filter("linked").select("u", "v")
-        if not fresh.isEmpty():
-            links = links.unionByName(fresh)
-            roots = stored(components(links), "roots")
-        # What is left are untried pairs between different components; they only become fewer.
-        left = second_wave(members, roots, checked.select("u", "v"), sketches)[0] if pairs is None else pairs.join(checked.select("u", "v"), ["u", "v"], "left_anti")
-        left = _rooted(_rooted(left.select("u", "v", "agree"), roots, "u", "a"), roots, "v", "b").filter("a != b")
-        pairs = stored(left.select("u", "v", "agree", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "pairs")
-        if pairs.isEmpty():
-            return signatures, roots
-        best = Window.partitionBy("a", "b").orderBy(F.desc("agree"), "u", "v")
-        wave = pairs.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= few).select("u", "v")
-        number, few = number + 1, few * 16
+    across = border.join(border.groupBy("tree", "head").agg(F.min("pivot").alias("hub")), ["tree", "head"]).select(F.col("pivot").alias("node"), "hub")
+    nearest = members.filter("pred is not null").groupBy("node").agg(F.max(F.struct("shared", "pred")).alias("best")).select("node", F.col("best.pred").alias("hub"))
+    wave = members.select("node", F.col("pivot").alias("hub")).unionByName(across).unionByName(nearest).filter("node != hub").distinct()
+    wave = stored(promising(wave, nodes), "wave")
+    sets = sets_for(wave.select("node").unionByName(wave.select(F.col("hub").alias("node"))).distinct())
+    first = wave.groupBy("node").agg(F.max(F.struct("agree", "hub")).alias("best")).select("node", F.col("best.hub").alias("hub"))
+    links = stored(linked_to_hubs(first, sets, percent), "links")
+    roots = stored(components(links), "roots")
+    rest = _rooted(_rooted(wave.select("node", "hub").join(first, ["node", "hub"], "left_anti"), roots, "node", "a"), roots, "hub", "b").filter("a != b")
+    more = stored(linked_to_hubs(stored(rest.select("node", "hub"), "rest"), sets, percent), "links")
+    if not more.isEmpty():
+        links = links.unionByName(more)
+        roots = stored(components(links), "roots")
+    regions = regions_of(_rooted(members.select(F.xxhash64("tree", "head").alias("region"), "node").join(nodes.select("node", "n"), "node"), roots))
+    edges = stored(edges_in(tiles_of(regions, tile), sets_for(regions.select("node").distinct()), percent), "edges")
+    if not edges.isEmpty():
+        roots = stored(components(links.unionByName(edges)), "roots")
+    return signatures, roots
 
 
 def near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
-    signatures, roots = clustered(docs, **options)
-    named = signatures.select("doc_id", "n_shingles", "node").join(roots, signatures["node"] == roots["node"], "left").select(
-        "doc_id", "n_shingles", F.coalesce(roots["root"], signatures["node"]).alias("root"))
-    first = named.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    out = named.join(first, "root", "left").select("doc_id", "n_shingles", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return labelled(*clustered(docs, **options)).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def without_near_duplicates(docs: DataFrame, **options) -> DataFrame:
@@ -318,4 +213,4 @@ def op3_lsh_forest(spark, sf_dir):
 
 
 QUERIES = {"op3_lsh_forest": op3_lsh_forest}
-SQL = {}
+SQL = {"op3_lsh_forest": component_sql(WORDS, PERCENT, ", doc_id IS NOT DISTINCT FROM component_id AS kept")}

@@ -96,20 +96,29 @@ def test_near_components_equal_brute_force(spark, odd, none):
 
 
 def test_dense_regions_lose_no_component(spark):
-    """Regions far above the size for all pairs, with strays that are linked by one member only."""
+    """Regions far above the size of a tile, with strays that are linked by one member only."""
     rows = variants(8, 1, 200, 100)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    signatures, roots = near.clustered(docs)
+    _, roots = near.clustered(docs, tile=24)
     distinct = list({frozenset(shingles(t)): (i, t) for i, t in rows}.values())
     sizes = collections.Counter(c for _, _, c, _ in brute_near(distinct))
     assert roots.select("root").distinct().count() == sum(n > 1 for n in sizes.values()) and roots.count() == sum(n for n in sizes.values() if n > 1)
-    members = near.stored(near.forest(signatures), "forest")
-    alone = members.select("node").distinct().withColumn("root", near.F.col("node"))
-    tried = spark.createDataFrame([], "u binary, v binary")
-    sketches = signatures.select("node", "sketch").dropDuplicates(["node"])
-    pairs, dense = near.second_wave(members, alone, tried, sketches, region=8)
-    assert dense
-    assert pairs.filter("u >= v").count() == 0 and pairs.count() > 0
+
+
+@pytest.mark.parametrize("changes", [5, 6, 7])
+def test_families_around_the_limit(spark, changes):
+    """A large family whose pairs lie just above, around or just below 75: nearly all components, and no pairs in the output."""
+    draw, rows = random.Random(changes), []
+    base = [f"w{draw.randrange(4000)}" for _ in range(120)]
+    for _ in range(400):
+        copy = list(base)
+        for at in draw.sample(range(0, 120, 5), changes // 2 + draw.randrange(2)):
+            copy[at] = f"v{draw.randrange(10**6)}"
+        rows.append((len(rows), " ".join(copy)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {i: c for i, _, c, _ in brute_near(rows)}
+    got = {str(r.doc_id): str(r.component_id) for r in near.near_duplicates(docs, tile=60).collect()}
+    assert sum(got[i] == want[i] for i in want) >= 0.99 * len(want)
 
 
 def test_template_family_loses_no_link(spark):
