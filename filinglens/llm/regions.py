@@ -7,7 +7,9 @@ two nodes link when d <= e (e = 0.1).  The join goes down in regions and is exac
    windows around document pivots hold everything; a shingle is near only to the documents that have it.  In one order
    of all shingles (rare ones first by hashed counts of the whole corpus), a node's home is its first shingle, and
    since a linked node can lack at most a tenth of its shingles, its window is its first ``n - ceil(0.9 n) + 1``
-   shingles: linked nodes share one of these.  Regions with one node and repeated regions go.
+   shingles: linked nodes share one of these.  Regions with one node and repeated regions go.  So do nodes without a
+   partner in reach: shingles folded into ``FOLDS`` counts give a vector whose L1 distance to another one is at most
+   the number of shingles in which the two sets differ, and linked sets differ in few.
 2. Regions of more than ``TILE`` nodes are split by ``PIVOTS`` of their documents.  A node's home is the nearest pivot
    p; it also goes to every pivot q with d(x, q) <= d(x, p) + 2 e.  For linked x and y this holds for y at x's home,
    so they meet there.  Nodes linked to one pivot have one root and need no look at each other.  Regions so made are
@@ -39,6 +41,7 @@ from filinglens.operators.ordering import top_per_group
 
 WORDS, PERCENT = 3, 90
 SLOTS, CHUNK = 1 << 20, 1 << 14
+FOLDS = 256
 PIVOTS, LEAF, STUCK = 16, 64, 0.8
 
 
@@ -75,7 +78,7 @@ def shingle_counts(docs: DataFrame, width: int = WORDS) -> np.ndarray:
 
 
 def signed(docs: DataFrame, counts: np.ndarray, width: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, k1, k2, n_shingles, node (128-bit hash of the set), window (the shingles among which linked sets share one)."""
+    """doc_id, k1, k2, n_shingles, node (128-bit hash of the set), folded (counts of its shingles), window (those among which linked sets share one)."""
     held = docs.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches):
@@ -83,13 +86,15 @@ def signed(docs: DataFrame, counts: np.ndarray, width: int = WORDS, percent: int
         for batch in batches:
             for lo, hi, buf, offsets in blocks(batch.column("text")):
                 sets = shingle_sets(buf, offsets, width)
-                nodes, windows = [], []
+                nodes, folded, windows = [], [], []
                 for s in sets:
                     if not len(s):
                         nodes.append(None)
+                        folded.append(None)
                         windows.append(None)
                         continue
                     nodes.append(np.array([mix(s).sum(), mix(s ^ U(0x5555555555555555)).sum()], ">u8").tobytes())
+                    folded.append(np.minimum(np.bincount((s >> U(56)).astype(np.int64), minlength=FOLDS), 255).astype(np.uint8).tobytes())
                     take = len(s) - -(-percent * len(s) // 100) + 1
                     order = counts[_slots(s)]
                     if take < len(s):
@@ -97,11 +102,11 @@ def signed(docs: DataFrame, counts: np.ndarray, width: int = WORDS, percent: int
                         s = s[first][np.lexsort((s[first], order[first]))[:take]]
                     windows.append(s.view(np.int64))
                 part = batch.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in ("doc_id", "k1", "k2")], pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.binary()), pa.array(windows, pa.list_(pa.int64()))],
-                                                 ["doc_id", "k1", "k2", "n_shingles", "node", "window"])
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in ("doc_id", "k1", "k2")], pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.binary()), pa.array(folded, pa.binary()), pa.array(windows, pa.list_(pa.int64()))],
+                                                 ["doc_id", "k1", "k2", "n_shingles", "node", "folded", "window"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *row_key(), whole_text().alias("text")).mapInArrow(
-        run, "doc_id long, k1 long, k2 long, n_shingles long, node binary, window array<long>")
+        run, "doc_id long, k1 long, k2 long, n_shingles long, node binary, folded binary, window array<long>")
 
 
 def reached(distance: np.ndarray, percent: int) -> np.ndarray:
@@ -165,22 +170,64 @@ def split(regions: DataFrame, sets: DataFrame, level: int, percent: int = PERCEN
         n = len(to) + len(edges)
         return [[lane] * n, [int(p) for p in to] + [None] * len(edges), [row["node"]] * n, [root] * len(to) + edges, [row["n"]] * n, [row["m"]] * n]
 
-    shape = pa.schema([("lane", pa.int64()), ("pivot", pa.int32()), ("node", pa.binary()), ("root", pa.binary()), ("n", pa.int64()), ("was", pa.int64())])
-    return streamed(laid(lanes, rows, max(1, -(-most // 4096))), begin, step, lambda state: None, shape, "lane long, pivot int, node binary, root binary, n long, was long")
+    shape = pa.schema([("lane", pa.int64()), ("pivot", pa.int32()), *[(c, pa.int64()) for c in ("node", "root", "n", "was")]])
+    return streamed(laid(lanes, rows, max(1, -(-most // 4096))), begin, step, lambda state: None, shape, "lane long, pivot int, node long, root long, n long, was long")
+
+
+def first_regions(nodes: DataFrame) -> DataFrame:
+    """Regions around single shingles, as ``regions_of`` gives them: those with several nodes, once for equal ones."""
+    rows = nodes.select(F.explode("window").alias("region"), "node", "n")
+    held = rows.groupBy("region").agg(F.count("*").alias("m"), F.sum("n").alias("weight"), F.bit_xor(F.xxhash64("node")).alias("x")).filter("m > 1")
+    once = stored(held.groupBy("m", "x", "weight").agg(F.min("region").alias("region")).select("region", "m", "weight"), "region-names")
+    return stored(rows.join(once, "region").select("region", "node", "n", F.col("node").alias("root"), "m", "weight"), "regions")
+
+
+def within_reach(regions: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``regions`` whose node has a partner that its folded counts don't rule out; a region is read in one task."""
+    def partners(rows):
+        size = np.array([r[2] for r in rows], np.int64)
+        counts = np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(len(rows), FOLDS).astype(np.int16)
+        some = np.zeros(len(rows), bool)
+        for i in range(len(rows) - 1):
+            apart = np.abs(counts[i + 1 :] - counts[i]).sum(1, dtype=np.int64)
+            near = (100 + percent) * apart <= (100 - percent) * (size[i] + size[i + 1 :])
+            if near.any():
+                some[i] = True
+                some[i + 1 :] |= near
+        return [(rows[i][0], rows[i][1], rows[i][2]) for i in np.flatnonzero(some)]
+
+    def run(batches):
+        held = []
+        for batch in batches:
+            out = []
+            for row in zip(*(batch.column(c).to_pylist() for c in ("region", "node", "n", "folded"))):
+                if held and held[0][0] != row[0]:
+                    out += partners(held)
+                    held = []
+                held.append(row)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["region", "node", "n"])
+        if held and (out := partners(held)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["region", "node", "n"])
+
+    rows = regions.select("region", "node", "n").join(nodes.select("node", "folded"), "node")
+    rows = rows.repartition(parts_of(regions.sparkSession), "region").sortWithinPartitions("region", "node")
+    return rows.select("region", "node", "n", "folded").mapInArrow(run, "region long, node long, n long").withColumn("root", F.col("node"))
 
 
 def clustered(docs: DataFrame, width: int = WORDS, percent: int = PERCENT, tile: int = TILE) -> tuple[DataFrame, DataFrame]:
-    """Signatures of all rows, and (node, root) of the nodes that have links."""
+    """(doc_id, n_shingles, node) of all rows, and (node, root) of the nodes that have links."""
     spark = docs.sparkSession
     bounded_batches(spark)
     signatures = stored(signed(docs, shingle_counts(docs, width), width, percent), "signatures")
-    nodes = stored(signatures.filter("node IS NOT NULL").dropDuplicates(["node"]), "nodes")
-    regions = regions_of(nodes.select(F.explode("window").alias("region"), "node", F.col("node").alias("root"), F.col("n_shingles").alias("n")))
-    inside = regions.select("node").distinct()
-    sets = stored(sets_of(docs, nodes.select("node", "k1", "k2").join(inside, "node", "left_semi"), width), "sets")
+    distinct = signatures.filter("node IS NOT NULL").dropDuplicates(["node"]).withColumnRenamed("node", "content")
+    nodes = stored(distinct.select("content", F.monotonically_increasing_id().alias("node"), "k1", "k2", F.col("n_shingles").alias("n"), "folded", "window"), "nodes")
+    first = first_regions(nodes)
     small = F.col("m") <= tile
-    done, links = regions.filter(small), spark.createDataFrame([], "u binary, v binary")
-    large, level = regions.filter(~small), 0
+    done, large, level = regions_of(within_reach(first.filter(small), nodes, percent)), first.filter(~small), 0
+    inside = done.select("node").unionByName(large.select("node")).distinct()
+    sets = stored(sets_of(docs, nodes.select("node", "k1", "k2").join(inside, "node", "left_semi"), width), "sets")
+    links = spark.createDataFrame([], "u long, v long")
     while not large.isEmpty():
         parted = stored(split(large, sets, level, percent), "split")
         links = links.unionByName(parted.filter("pivot IS NULL").select(F.col("node").alias("u"), F.col("root").alias("v")))
@@ -191,7 +238,8 @@ def clustered(docs: DataFrame, width: int = WORDS, percent: int = PERCENT, tile:
         done = done.unionByName(made.filter(ready).drop("was"))
         large, level = stored(made.filter(~ready).drop("was"), "large"), level + 1
     links = stored(links.unionByName(edges_in(tiles_of(done, tile), sets, percent, voronoi_edges)), "edges")
-    return signatures, stored(components(links), "roots")
+    numbered = signatures.select("doc_id", "n_shingles", F.col("node").alias("content")).join(nodes.select("content", "node"), "content", "left")
+    return numbered, stored(components(links), "roots")
 
 
 def joined(docs: DataFrame, **options) -> DataFrame:

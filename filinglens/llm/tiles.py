@@ -107,7 +107,7 @@ def tile_edges(sets: list[np.ndarray], roots: np.ndarray, cut: int, percent: int
 
 def regions_of(members: DataFrame) -> DataFrame:
     """Stored ``members`` (region long, node, root, n = set size) of regions with several roots, once for equal regions, with m nodes and weight items each."""
-    regions = members.groupBy("region").agg(F.count("*").alias("m"), F.sum("n").alias("weight"), F.min("root").alias("a"), F.max("root").alias("b"),
+    regions = members.groupBy("region").agg(F.count("*").alias("m"), F.sum("n").alias("weight"), F.min(F.xxhash64("root")).alias("a"), F.max(F.xxhash64("root")).alias("b"),
                                             F.bit_xor(F.xxhash64("node", "root")).alias("x"), F.bit_xor(F.xxhash64(F.lit(7), "node", "root")).alias("y")).filter("a != b")
     regions = regions.groupBy("m", "x", "y").agg(F.min(F.struct("region", "weight")).alias("r")).select("r.region", "m", "r.weight")
     return stored(members.join(regions, "region"), "regions")

@@ -162,3 +162,16 @@ def test_tiles_of_two_sides_and_many_parts(spark):
         a, b = sorted((find(name[u]), find(name[v])))
         root[b] = a
     assert sorted(str((i, len(shingles(t, 5)), find(i))) for i, t in held) == components_of(held, 5, 75)
+
+
+def test_folded_counts_rule_out_no_link(spark):
+    """Nodes that go have no linked partner in the region; far ones do go."""
+    from pyspark.sql import functions as F
+
+    texts = family(21, 30, 200, 6) + family(22, 3, 4000, 30) + [" ".join(f"f{i}x{k}" for k in range(150)) for i in range(20)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    nodes = regions.signed(docs, np.zeros(regions.SLOTS, np.int32)).select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "folded").cache()
+    stay = {r.node for r in regions.within_reach(nodes.withColumn("region", F.lit(1).cast("long")), nodes).collect()}
+    sets = [shingles(t, 3) for t in texts]
+    linked = {i for i in range(len(texts)) if any(i != j and 100 * len(sets[i] & sets[j]) >= 90 * len(sets[i] | sets[j]) for j in range(len(texts)))}
+    assert linked <= stay and not stay & set(range(33, 53))
