@@ -91,20 +91,23 @@ def extraction_counts(judged_rows: DataFrame, groups: list[str]) -> DataFrame:
         *[F.count_if(F.col("disposition") == d).alias(d) for d in DISPOSITIONS])
 
 
-def extraction_outcomes(judged_rows: DataFrame, company: str, order: list[str], threshold: float = L.NEAR_DUPLICATE_RATIO) -> DataFrame:
+def extraction_outcomes(judged_rows: DataFrame, company: str, order: list[str], threshold: float = L.NEAR_DUPLICATE_RATIO, ratio: str = "sequence") -> DataFrame:
     """Eight disjoint outcomes per company that add up to its sentences: the dispositions, and duplicates of company and industry rows."""
-    out = extraction_counts(judged_rows, [company])
-    for d in ("company", "industry"):
-        kept = company_evidence(judged_rows, company, order, threshold, d).groupBy(company).agg(F.count("*").alias("_kept"))
-        n = F.coalesce("_kept", F.lit(0))
-        out = join_safe(out, kept, [company], "left").withColumn(f"{d}_duplicate", F.col(d) - n).withColumn(d, n).drop("_kept")
-    return out
+    kinds = ("company", "industry")
+    mine = judged_rows.filter(F.col("disposition").isin(*kinds)).withColumn("_who", F.to_json(F.struct(company, "disposition")))
+    kept = drop_near_duplicates(mine, "_who", order, "sentence", threshold, ratio)
+    counts = kept.groupBy(company).agg(*[F.count_if(F.col("disposition") == d).alias(f"_{d}") for d in kinds])
+    out = join_safe(extraction_counts(judged_rows, [company]), counts, [company], "left")
+    for d in kinds:
+        n = F.coalesce(f"_{d}", F.lit(0).cast("long"))
+        out = out.withColumn(f"{d}_duplicate", F.col(d) - n).withColumn(d, n)
+    return out.drop(*[f"_{d}" for d in kinds])
 
 
 def company_evidence(judged_rows: DataFrame, company: str, order: list[str], threshold: float = L.NEAR_DUPLICATE_RATIO,
-                     disposition: str = "company") -> DataFrame:
+                     disposition: str = "company", ratio: str = "sequence") -> DataFrame:
     """Evidence sentences with near duplicates of earlier ones removed."""
-    return drop_near_duplicates(judged_rows.filter(F.col("disposition") == disposition), company, order, "sentence", threshold)
+    return drop_near_duplicates(judged_rows.filter(F.col("disposition") == disposition), company, order, "sentence", threshold, ratio)
 
 
 def category_counts(evidence: DataFrame, groups: list[str]) -> DataFrame:

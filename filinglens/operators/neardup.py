@@ -1,120 +1,234 @@
 """Order-dependent near-duplicate removal within a company.
 
-A sentence goes when its similarity ratio to an earlier *kept* sentence of the
-same company reaches the threshold.  The ratio is twice the matched characters
-over both lengths, so two bounds are safe to prune with:
+A sentence goes when its ratio to an earlier *kept* sentence of the same company reaches the threshold.  Two ratios
+are known: ``sequence`` (twice the characters in matching blocks over both lengths) and ``edit`` (one minus the
+Levenshtein distance over the greater length).  For both, similar sentences of n characters on average have a common
+subsequence of at least t * n characters, which gives three bounds that lose nothing:
 
 * lengths: min/max >= t / (2 - t);
-* letters: the multiset overlap of characters is never below the matched ones.
-
-Plan: identical sentences collapse first (later copies of a sentence always share
-the fate of the first one).  Then variants of one sentence are put behind its first
-one: each sentence is compared with the first sentence of a few buckets (opening,
-ending, two MinHash values), so a cluster of m variants costs a few times m
-comparisons, and only its first sentence goes on.  What is left is cut into tiles
-of one company and one length band; only tiles of the same or neighbouring bands
-meet, a pair of tiles is one unit of work, and inside it both bounds run as matrix
-operations before any exact ratio.  Only similar pairs leave the tasks.  Which
-sentences stay is then settled by rounds over those pairs.
-
-A sentence put behind another one is rightly dropped if that one is kept.  Where it
-is not, the sentence is released and takes part in its own right; this repeats until
-nothing is released, so the result is that of the sequential rule.
+* grams: of the q-grams at most (2q - 1) (1 - t) n are not shared, so of all grams in one order (frequent ones last)
+  the first ``n - q + 2 - need`` of each sentence have one in common, and with ``MORE`` further ones as many more;
+* the common subsequence itself, counted in a bit-parallel way before any ratio.
+
+Plan.  Identical sentences collapse first.  Then variants go behind their first sentence: each sentence is compared
+with the earliest sentence of a few buckets (opening, ending, ``SEEDS`` MinHash values of its grams), in order, until
+one is similar; so a cluster of m variants costs a few times m comparisons, and only its first sentence goes on.  What
+is left is joined exactly on (company, gram): sentences that share too few of their first grams never meet.  Which
+sentences stay is settled by rounds over the similar pairs.
+
+A sentence put behind another one is rightly dropped if that one is kept.  Where it is not, the sentence is released
+and takes part in its own right; this repeats until nothing is released, so the result is that of the sequential rule.
+Nulls: a null company is a company, a null text is no sentence and stays.
 """
 
 from __future__ import annotations
 
-import math
+from collections import Counter
 from difflib import SequenceMatcher
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from filinglens.session import join_safe, materialise
 
-TILE_ROWS = 1024
-GRAM, EDGE = 8, 20
-_LETTERS = 64
+EDGE, SEEDS, MORE = 20, 8, 5
+COMMON, SAMPLE = 4096, 20_000
 
 
-def _letter_counts(texts: list[str]) -> np.ndarray:
-    """Characters counted in ``_LETTERS`` classes; merging classes only loosens the bound."""
-    out = np.zeros((len(texts), _LETTERS), dtype=np.int32)
-    for i, t in enumerate(texts):
-        codes = np.frombuffer(t.encode("utf-32-le"), dtype=np.uint32) % _LETTERS
-        out[i] = np.bincount(codes, minlength=_LETTERS)
+def common_subsequence(places: dict[str, int], first: str, second: str) -> int:
+    """Length of the longest common subsequence, one step per character of ``second``; ``places``: bits where a character stands in ``first``."""
+    full = (1 << len(first)) - 1
+    row = full
+    for c in second:
+        met = row & places.get(c, 0)
+        row = (row + met | row - met) & full
+    return len(first) - row.bit_count()
+
+
+def places_of(text: str) -> dict[str, int]:
+    out: dict[str, int] = {}
+    for i, c in enumerate(text):
+        out[c] = out.get(c, 0) | 1 << i
     return out
 
 
-def similar_in_tile(left: pd.DataFrame, right: pd.DataFrame, threshold: float, same: bool) -> list[tuple[str, str]]:
-    """Similar (earlier, later) pairs of two tiles."""
-    if left.empty or right.empty:
-        return []
-    a_text, b_text = left["text"].tolist(), right["text"].tolist()
-    a_len, b_len = np.array([len(t) for t in a_text]), np.array([len(t) for t in b_text])
-    a_counts, b_counts = _letter_counts(a_text), _letter_counts(b_text)
-    a_key, b_key = left["ord"].tolist(), right["ord"].tolist()
-    found = []
-    for i in range(len(a_text)):
-        need = threshold * (a_len[i] + b_len) / 2 - 1e-9
-        fits = np.minimum(a_len[i], b_len) >= need
-        if same:
-            fits[: i + 1] = False
-        near = np.nonzero(fits)[0]
-        if not len(near):
-            continue
-        overlap = np.minimum(a_counts[i], b_counts[near]).sum(axis=1)
-        for j in near[overlap >= need[near]]:
-            first, later = (i, j) if a_key[i] < b_key[j] else (None, None)
-            x, y = (b_text[j], a_text[i]) if first is not None else (a_text[i], b_text[j])
-            if similar(x, y, threshold):
-                found.append((a_key[i], b_key[j]) if first is not None else (b_key[j], a_key[i]))
-    return found
-
-
-def similar_pairs(rows: DataFrame, company: str, threshold: float, tile_rows: int = TILE_ROWS) -> DataFrame:
-    """Pairs (company, a, b) of order keys with a before b and ratio >= threshold.
+class Ratio:
+    """Whether two sentences are similar; keeps what it knows of the last earlier sentence."""
+
+    def __init__(self, threshold: float, kind: str):
+        if kind not in ("sequence", "edit"):
+            raise ValueError(f"no ratio {kind!r}")
+        self.threshold, self.kind, self.text = threshold, kind, None
+
+    def similar(self, earlier: str, later: str) -> bool:
+        if earlier == later:
+            return True
+        if self.text != earlier:
+            self.text, self.places, self.letters = earlier, places_of(earlier), Counter(earlier)
+        a, b = len(earlier), len(later)
+        need = self.threshold * (a + b) / 2 - 1e-9
+        if min(a, b) < need or (self.letters & Counter(later)).total() < need:
+            return False
+        shared = common_subsequence(self.places, earlier, later)
+        if shared < need:
+            return False
+        if self.kind == "sequence":
+            return SequenceMatcher(None, earlier, later).ratio() >= self.threshold
+        return levenshtein(self.places, earlier, later) <= (1 - self.threshold) * max(a, b) + 1e-9
+
+
+def levenshtein(places: dict[str, int], first: str, second: str) -> int:
+    """Edit distance, one step of whole-word bit operations per character of ``second``."""
+    n = len(first)
+    if not n:
+        return len(second)
+    full, top = (1 << n) - 1, 1 << n - 1
+    up, down, distance = full, 0, n
+    for c in second:
+        met = places.get(c, 0)
+        across = (((met & up) + up) ^ up) | met
+        plus, minus = down | ~(across | up) & full, up & across
+        distance += bool(plus & top) - bool(minus & top)
+        plus, minus = (plus << 1 | 1) & full, minus << 1 & full
+        met |= down
+        up, down = minus | ~(met | plus) & full, plus & met
+    return distance
+
+
+def gram_width(threshold: float) -> int:
+    """Widest grams of which similar sentences share at least half; 0 if single characters do not."""
+    return next((q for q in (4, 3, 2, 1) if (2 * q - 1) * (1 - threshold) <= 0.5), 0)
+
+
+def gram_codes(texts: list[str], q: int) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit codes of all q-grams of all texts, and where each text's ones begin; a text shorter than q has none."""
+    lengths = np.array([len(t) for t in texts], np.int64)
+    letters = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    ends = np.cumsum(lengths)
+    counts = np.maximum(lengths - q + 1, 0)
+    starts = np.concatenate([[0], np.cumsum(counts)])
+    at = np.arange(starts[-1]) - np.repeat(starts[:-1], counts) + np.repeat(ends - lengths, counts)
+    code = np.zeros(len(at), np.uint64)
+    for k in range(q):
+        code = code * np.uint64(0x9E3779B97F4A7C15) + letters[at + k]
+    return code, starts
+
+
+def _mixed(code: np.ndarray, seed: int) -> np.ndarray:
+    h = (code ^ np.uint64(seed * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ h >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return h ^ h >> np.uint64(31)
+
+
+def behind_first(rows: DataFrame, company: str, threshold: float, ratio: str = "sequence", salt: int = 0) -> DataFrame:
+    """Pairs (company, first, k): k is similar to an earlier sentence ``first`` that is behind no other one."""
+    kind = rows.schema[company].dataType.simpleString()
+
+    def keyed(batches):
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            code, starts = gram_codes([t if len(t) > 2 else t.ljust(3) for t in texts], 3)
+            keys = [np.minimum.reduceat(_mixed(code, salt * SEEDS + s + 1), starts[:-1]) for s in range(SEEDS)] if texts else []
+            edges = [[hash_of(t[:EDGE]) for t in texts], [hash_of(t[-EDGE:]) for t in texts]] if salt == 0 else []
+            both = np.stack([*keys, *[np.array(e, np.uint64) for e in edges]], 1) if texts else np.zeros((0, 1), np.uint64)
+            both = _mixed(both, 1) + np.arange(both.shape[1], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column("company"), batch.column("ord"), pa.array(list(both.view(np.int64)), pa.list_(pa.int64()))], ["company", "ord", "keys"])
+
+    dealt = rows.select(F.col(company).alias("company"), "ord", "text").mapInArrow(keyed, f"company {kind}, ord string, keys array<long>").select("company", "ord", F.explode("keys").alias("bucket"))
+    heads = dealt.groupBy("company", "bucket").agg(F.min("ord").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    met = join_safe(dealt, heads, ["company", "bucket"]).filter("first <> ord").select("company", "ord", "first").distinct()
+    texts = rows.select(F.col(company).alias("company"), "ord", "text")
+    met = join_safe(met, texts.withColumnRenamed("ord", "first").withColumnRenamed("text", "a"), ["company", "first"])
+    met = met.groupBy("company", "ord").agg(F.sort_array(F.collect_list(F.struct("first", "a"))).alias("heads"))
+    met = join_safe(met, texts, ["company", "ord"]).select("company", "ord", "text", "heads")
+
+    def compare(batches):
+        tester = Ratio(threshold, ratio)
+        for batch in batches:
+            out = []
+            for k, text, heads in zip(batch.column("ord").to_pylist(), batch.column("text").to_pylist(), batch.column("heads").to_pylist()):
+                out.append(next((h["first"] for h in heads if tester.similar(h["a"], text)), None))
+            yield pa.RecordBatch.from_arrays([batch.column("company"), pa.array(out, pa.string()), batch.column("ord")], ["company", "first", "k"])
+
+    near = materialise(met.mapInArrow(compare, f"company {kind}, first string, k string").filter("first IS NOT NULL").withColumnRenamed("company", company))
+    return materialise(join_safe(near, near.select(company, F.col("k").alias("first")).distinct(), [company, "first"], "left_anti"))
+
+
+def hash_of(text: str) -> int:
+    out = 1469598103934665603
+    for b in text.encode("utf-8", "surrogatepass"):
+        out = (out ^ b) * 1099511628211 & 0xFFFFFFFFFFFFFFFF
+    return out
+
+
+def common_grams(rows: DataFrame, q: int) -> list[int]:
+    """The most frequent grams of at most ``SAMPLE`` sentences; they come last in the order and change no result."""
+    texts = [r.text for r in rows.select("text").orderBy(F.xxhash64("ord")).limit(SAMPLE).collect()]
+    codes, counts = np.unique(gram_codes(texts, q)[0], return_counts=True)
+    top = np.argsort(-counts, kind="stable")[:COMMON]
+    return codes[top][counts[top] > 1].tolist()
+
+
+def candidates(rows: DataFrame, company: str, threshold: float) -> DataFrame:
+    """Pairs (company, a, b), a before b, that share enough of their first grams; every similar pair is among them.
 
     ``rows``: company, ord (sortable text key), text.
     """
-    step = math.log((2 - threshold) / threshold) * 1.000001  # compatible lengths differ by one band at most
-    band = F.floor(F.log(F.greatest(F.length("text"), F.lit(1))) / step).cast("int")
-    banded = rows.withColumn("band", band)
-    sizes = banded.groupBy(company, "band").agg(F.count("*").alias("n"))
-    sizes = sizes.withColumn("tiles", F.ceil(F.col("n") / tile_rows).cast("int"))
-    up = sizes.select(company, (F.col("band") - 1).alias("band"), F.col("tiles").alias("tiles_up"))
-    down = sizes.select(company, (F.col("band") + 1).alias("band"), F.col("tiles").alias("tiles_down"))
-    plan = sizes.join(up, [company, "band"], "left").join(down, [company, "band"], "left")
-    tiled = banded.join(plan, [company, "band"]).withColumn(
-        "tile", F.pmod(F.xxhash64("ord"), F.col("tiles").cast("bigint")).cast("int"))
-    # a unit is (lower band, its tile, upper band, its tile); a row joins every unit its tile takes part in
-    t, b = F.col("tile"), F.col("band")
-
-    def unit(lo_band, lo_tile, hi_band, hi_tile, side):
-        return F.struct(lo_band.cast("int").alias("lb"), lo_tile.cast("int").alias("lt"), hi_band.cast("int").alias("hb"),
-                        hi_tile.cast("int").alias("ht"), F.lit(side).alias("side"))
-
-    within = F.flatten(F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda o: F.array(
-        F.when(o > t, unit(b, t, b, o, "l")).when(o < t, unit(b, o, b, t, "r")).otherwise(unit(b, t, b, t, "s")))))
-    above = F.when(F.col("tiles_up") > 0, F.transform(F.sequence(F.lit(0), F.col("tiles_up") - 1), lambda o: unit(b, t, b + 1, o, "l")))
-    below = F.when(F.col("tiles_down") > 0, F.transform(F.sequence(F.lit(0), F.col("tiles_down") - 1), lambda o: unit(b - 1, o, b, t, "r")))
-    none = F.array().cast("array<struct<lb:int,lt:int,hb:int,ht:int,side:string>>")
-    spread = tiled.select(company, "ord", "text", F.explode(F.concat(within, F.coalesce(above, none), F.coalesce(below, none))).alias("u"))
-    spread = spread.select(company, "ord", "text", "u.lb", "u.lt", "u.hb", "u.ht", "u.side")
-
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        who = pdf[company].iloc[0]
-        alone = pdf[pdf["side"] == "s"]
-        if len(alone):
-            found = similar_in_tile(alone, alone, threshold, True)
-        else:
-            found = similar_in_tile(pdf[pdf["side"] == "l"], pdf[pdf["side"] == "r"], threshold, False)
-        return pd.DataFrame({company: [who] * len(found), "a": [p[0] for p in found], "b": [p[1] for p in found]}, dtype=object)
-
+    kind, q = rows.schema[company].dataType.simpleString(), gram_width(threshold)
+    lost = (2 * q - 1) * (1 - threshold)
+    usual = {c: i for i, c in enumerate(reversed(common_grams(rows, q)))} if q else {}
+    names, ranks = np.array(sorted(usual), np.uint64), np.array([usual[c] + 1 for c in sorted(usual)], np.int64)
+
+    def first_grams(batches):
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            code, starts = gram_codes(texts, q or 1)
+            order = np.zeros(len(code), np.int64)
+            if len(names):
+                at = np.minimum(np.searchsorted(names, code), len(names) - 1)
+                order = np.where(names[at] == code, ranks[at], 0)
+            out = []
+            for i, text in enumerate(texts):
+                n = len(text)
+                # What the shortest partner must share; below MORE + 1 the grams decide nothing, nor for partners of such texts.
+                need = int(np.ceil((n / (2 - threshold)) * (1 - lost) - q + 1 - 1e-9)) if q else 0
+                mine = code[starts[i] : starts[i + 1]]
+                by = np.lexsort((mine, order[starts[i] : starts[i + 1]]))
+                mine = mine[by]
+                again = np.arange(len(mine)) - np.flatnonzero(np.diff(mine, prepend=~mine[:1]) != 0)[np.cumsum(np.diff(mine, prepend=~mine[:1]) != 0) - 1] if len(mine) else by
+                take = min(len(mine), len(mine) - need + 1 + MORE) if need > MORE else 0
+                grams = (_mixed(mine[:take], 2) + _mixed(again[:take].astype(np.uint64), 3)).view(np.int64).tolist()
+                if need <= 2 * (MORE + 1):
+                    grams.append(0)
+                out.append(grams)
+            yield pa.RecordBatch.from_arrays([batch.column("company"), batch.column("ord"), pa.array([len(t) for t in texts], pa.int32()), pa.array(out, pa.list_(pa.int64()))], ["company", "ord", "n", "grams"])
+
+    laid = rows.select(F.col(company).alias("company"), "ord", "text").mapInArrow(first_grams, f"company {kind}, ord string, n int, grams array<long>")
+    laid = materialise(laid.select("company", "ord", "n", F.explode("grams").alias("gram")))
+    left = laid.select("company", "gram", F.col("ord").alias("a"), F.col("n").alias("na"))
+    right = laid.select("company", "gram", F.col("ord").alias("b"), F.col("n").alias("nb"))
+    fits = F.least("na", "nb") * F.lit(2.0) >= F.lit(threshold) * (F.col("na") + F.col("nb")) - 1e-9
+    met = join_safe(left, right, ["company", "gram"]).filter(F.col("a") < F.col("b")).filter(fits)
+    shared = F.sum(F.when(F.col("gram") == 0, MORE + 1).otherwise(1))
+    return met.groupBy("company", "a", "b").agg(shared.alias("shared")).filter(F.col("shared") > MORE).select(F.col("company").alias(company), "a", "b")
+
+
+def similar_pairs(rows: DataFrame, company: str, threshold: float, ratio: str = "sequence") -> DataFrame:
+    """Pairs (company, a, b) of order keys with a before b whose ratio reaches the threshold."""
     kind = rows.schema[company].dataType.simpleString()
-    return spread.groupBy(company, "lb", "lt", "hb", "ht").applyInPandas(work, f"`{company}` {kind}, a string, b string")
+    texts = rows.select(company, "ord", "text")
+    met = join_safe(candidates(rows, company, threshold), texts.withColumnRenamed("ord", "a").withColumnRenamed("text", "x"), [company, "a"])
+    met = join_safe(met, texts.withColumnRenamed("ord", "b").withColumnRenamed("text", "y"), [company, "b"]).select(F.col(company).alias("company"), "a", "b", "x", "y")
+
+    def verify(batches):
+        tester = Ratio(threshold, ratio)
+        for batch in batches:
+            near = [tester.similar(x, y) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist())]
+            yield batch.select(["company", "a", "b"]).filter(pa.array(near, pa.bool_()))
+
+    return met.mapInArrow(verify, f"company {kind}, a string, b string").withColumnRenamed("company", company)
 
 
 def dropped_by_rounds(pairs: DataFrame, company: str) -> DataFrame:
@@ -137,54 +251,34 @@ def dropped_by_rounds(pairs: DataFrame, company: str) -> DataFrame:
     return dropped if dropped is not None else pairs.select(company, F.col("b").alias("k")).limit(0)
 
 
-def behind_first(rows: DataFrame, company: str, threshold: float) -> DataFrame:
-    """Pairs (company, first, k): k is similar to an earlier sentence ``first`` that is behind no other one."""
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length("text") - (GRAM - 1), F.lit(1))), lambda i: F.substring(F.col("text"), i, F.lit(GRAM)))
-    keys = F.array(F.xxhash64(F.lit(0), F.substring("text", 1, EDGE)), F.xxhash64(F.lit(1), F.substring("text", -EDGE, EDGE)),
-                   *[F.array_min(F.transform(grams, lambda g, s=s: F.xxhash64(F.lit(s), g))) for s in (2, 3)])
-    dealt = rows.select(company, "ord", "text", F.explode(keys).alias("bucket"))
-    heads = dealt.groupBy(company, "bucket").agg(F.min(F.struct("ord", "text")).alias("h"))
-    met = join_safe(dealt, heads, [company, "bucket"]).filter(F.col("ord") != F.col("h.ord"))
-    met = met.select(company, F.col("h.ord").alias("first"), F.col("ord").alias("k"), F.col("h.text").alias("a"), F.col("text").alias("b")).dropDuplicates([company, "first", "k"])
-
-    def ratio(batches):
-        for pdf in batches:
-            yield pdf[[similar(a, b, threshold) for a, b in zip(pdf["a"], pdf["b"])]][[company, "first", "k"]]
-
-    kind = rows.schema[company].dataType.simpleString()
-    near = materialise(met.mapInPandas(ratio, f"`{company}` {kind}, first string, k string"))
-    behind = near.select(company, F.col("k").alias("first")).distinct()
-    return materialise(join_safe(near, behind, [company, "first"], "left_anti"))
-
-
-def similar(earlier: str, later: str, threshold: float) -> bool:
-    """The ratio of the two reaches the threshold; bounds first."""
-    if 2 * min(len(earlier), len(later)) < threshold * (len(earlier) + len(later)) - 1e-9:
-        return False
-    m = SequenceMatcher(None, earlier, later)
-    return m.quick_ratio() >= threshold and m.ratio() >= threshold
-
-
-def drop_near_duplicates(rows: DataFrame, company: str, order: list[str], text: str, threshold: float = 0.93,
-                         tile_rows: int = TILE_ROWS) -> DataFrame:
+def drop_near_duplicates(rows: DataFrame, company: str, order: list[str], text: str, threshold: float = 0.93, ratio: str = "sequence", sweeps: int = 3) -> DataFrame:
     """Rows of each company that are no near duplicate of an earlier kept row.
 
-    ``order``: non-negative whole-number or text columns giving a strict order.
+    ``order``: non-negative whole-number or text columns giving a strict order.  ``sweeps``: how often what is left is
+    put behind its first sentences anew before the exact join; it changes the work, not the result.
     """
     parts = [F.lpad(F.col(c).cast("string"), 20, "0") if rows.schema[c].dataType.typeName() in ("integer", "long", "short")
              else F.col(c).cast("string") for c in order]
     keyed = materialise(rows.withColumn("_ord", F.concat_ws("~", *parts)))
-    firsts = keyed.groupBy(company, F.col(text).alias("text")).agg(F.min("_ord").alias("ord"))
-    firsts = materialise(firsts)
-    behind = behind_first(firsts, company, threshold)
+    firsts = materialise(keyed.filter(F.col(text).isNotNull()).groupBy(company, F.col(text).alias("text")).agg(F.min("_ord").alias("ord")))
+    behind, left = None, firsts
+    for salt in range(sweeps):
+        found = behind_first(left, company, threshold, ratio, salt)
+        behind = found if behind is None else behind.unionByName(found)
+        if found.isEmpty():
+            break
+        left = materialise(join_safe(left, found.select(company, F.col("k").alias("ord")), [company, "ord"], "left_anti"))
+    # A first sentence that went behind another one in a later sweep holds nothing any more.
+    behind = materialise(join_safe(behind, behind.select(company, F.col("k").alias("first")).distinct(), [company, "first"], "left_anti"))
     while True:
         waiting = behind.select(company, F.col("k").alias("ord")).distinct()
         heads = materialise(join_safe(firsts, waiting, [company, "ord"], "left_anti"))
-        lost = materialise(dropped_by_rounds(similar_pairs(heads, company, threshold, tile_rows), company))
+        lost = materialise(dropped_by_rounds(similar_pairs(heads, company, threshold, ratio), company))
         held = join_safe(behind, lost.withColumnRenamed("k", "first"), [company, "first"], "left_anti")
         released = join_safe(waiting, held.select(company, F.col("k").alias("ord")).distinct(), [company, "ord"], "left_anti")
         if released.isEmpty():
             break
         behind = materialise(held)
-    stay = join_safe(heads, lost.withColumnRenamed("k", "ord"), [company, "ord"], "left_anti").select(company, F.col("ord").alias("_ord"))
-    return join_safe(keyed, stay, [company, "_ord"], "left_semi").drop("_ord")
+    gone = lost.withColumnRenamed("k", "ord").unionByName(waiting)
+    again = join_safe(firsts, gone, [company, "ord"], "left_anti").select(company, F.col("ord").alias("_ord"))
+    return join_safe(keyed.filter(F.col(text).isNotNull()), again, [company, "_ord"], "left_semi").unionByName(keyed.filter(F.col(text).isNull())).drop("_ord")

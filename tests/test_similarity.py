@@ -26,8 +26,8 @@ def mutated(rng, text, n):
     return "".join(t)
 
 
-@pytest.mark.parametrize("tile", [5, 1024])
-def test_near_duplicates_equal_the_sequential_rule(spark, tile):
+@pytest.mark.parametrize("sweeps", [1, 3])
+def test_near_duplicates_equal_the_sequential_rule(spark, sweeps):
     rng = random.Random(7)
     base = ["".join(rng.choice("abcdefghij klmno") for _ in range(rng.randint(30, 120))) for _ in range(12)]
     rows = []
@@ -40,7 +40,7 @@ def test_near_duplicates_equal_the_sequential_rule(spark, tile):
             seen[c].append(t)
             kept.add((c, i))
     d = spark.createDataFrame(rows, "company string, pos int, text string")
-    got = {(r.company, r.pos) for r in ON.drop_near_duplicates(d, "company", ["pos"], "text", 0.93, tile).collect()}
+    got = {(r.company, r.pos) for r in ON.drop_near_duplicates(d, "company", ["pos"], "text", 0.93, sweeps=sweeps).collect()}
     assert got == kept and len(kept) < len(rows)
 
 

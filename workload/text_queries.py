@@ -192,6 +192,36 @@ def near_duplicates_removed(spark, sf):
     return OE.company_evidence(judged(spark, sf), "source", ["doc_id", "sentence_pos"]).select("source", "doc_id", "sentence_pos", "relevance_score")
 
 
+# The SQL engine counts bytes, so letters beyond ASCII become one character each.
+_LETTERS = "translate(s, 'ÁÄÇÉÈÊËÍÑÓÖÜßàáâäçèéêëíîïñóôöùúûüœ', chr(1)||chr(2)||chr(3)||chr(4)||chr(5)||chr(6)||chr(7)||chr(8)||chr(11)||chr(12)||chr(14)||chr(15)||chr(16)||chr(17)||chr(18)||chr(19)||chr(20)||chr(21)||chr(22)||chr(23)||chr(24)||chr(25)||chr(26)||chr(27)||chr(28)||chr(29)||chr(30)||chr(31)||chr(127)||'^~`|')"
+EDITS_SQL = f"""ev AS (SELECT *, {_LETTERS} AS z, row_number() OVER (PARTITION BY source, disposition ORDER BY doc_id, sentence_pos) AS rn FROM scored WHERE disposition IN ('company', 'industry')),
+ sim AS (SELECT a.source, a.disposition, b.rn AS y, list(a.rn) AS xs FROM ev a JOIN ev b ON a.source = b.source AND a.disposition = b.disposition AND a.rn < b.rn
+  AND least(length(a.s), length(b.s)) >= 0.93 * greatest(length(a.s), length(b.s)) - 1e-9 WHERE levenshtein(a.z, b.z) <= (1 - 0.93) * greatest(length(a.s), length(b.s)) + 1e-9 GROUP BY ALL),
+ step AS (SELECT *, row_number() OVER (PARTITION BY source, disposition ORDER BY y) AS i FROM sim),
+ walk AS (SELECT DISTINCT source, disposition, 0::BIGINT AS i, []::BIGINT[] AS gone FROM sim UNION ALL
+  SELECT w.source, w.disposition, n.i, CASE WHEN len(list_filter(xs, lambda x: NOT list_contains(gone, x))) > 0 THEN list_append(gone, y) ELSE gone END
+  FROM walk w JOIN step n ON n.source = w.source AND n.disposition = w.disposition AND n.i = w.i + 1),
+ dropped AS (SELECT source, disposition, unnest(arg_max(gone, i)) AS rn FROM walk GROUP BY 1, 2),
+ kept AS (SELECT * FROM ev ANTI JOIN dropped USING (source, disposition, rn))"""
+
+
+@query("near_duplicates_by_edits", f"""WITH RECURSIVE {JUDGED_SQL}, {EDITS_SQL}
+ SELECT source, doc_id, sentence_pos::INT AS sentence_pos, relevance_score::INT AS relevance_score FROM kept WHERE disposition = 'company'""")
+def near_duplicates_by_edits(spark, sf):
+    """The same rule with the edit ratio, which SQL can express."""
+    return OE.company_evidence(judged(spark, sf), "source", ["doc_id", "sentence_pos"], ratio="edit").select("source", "doc_id", "sentence_pos", "relevance_score")
+
+
+@query("extraction_outcomes", f"""WITH RECURSIVE {JUDGED_SQL}, {EDITS_SQL},
+ k AS (SELECT source, count(*) FILTER (disposition = 'company') AS company, count(*) FILTER (disposition = 'industry') AS industry FROM kept GROUP BY 1),
+ c AS (SELECT source, count(*) AS total_sentences, {', '.join(f"count(*) FILTER (disposition = '{d}') AS {d}" for d in OE.DISPOSITIONS)} FROM judged GROUP BY 1)
+ SELECT source, total_sentences, {', '.join(f"c.{d}" for d in OE.DISPOSITIONS if d not in ("company", "industry"))}, coalesce(k.company, 0) AS company, coalesce(k.industry, 0) AS industry,
+  c.company - coalesce(k.company, 0) AS company_duplicate, c.industry - coalesce(k.industry, 0) AS industry_duplicate FROM c LEFT JOIN k USING (source)""")
+def extraction_outcomes(spark, sf):
+    """Where every sentence went, duplicates included, by the edit ratio."""
+    return OE.extraction_outcomes(judged(spark, sf), "source", ["doc_id", "sentence_pos"], ratio="edit")
+
+
 @query("business_profiles")
 def business_profiles(spark, sf):
     out = PS.business_profiles(company_texts(spark, sf), "source", ["doc_id"], V)
