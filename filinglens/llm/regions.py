@@ -36,7 +36,7 @@ from filinglens.llm.common import blocks, bounded_batches, documents, parts_of,
 from filinglens.llm.kernel import U, mix, shingle_sets
 from filinglens.llm.lanes import laid, streamed
 from filinglens.llm.links import component_sql, components, labelled
-from filinglens.llm.tiles import TILE, common, edges_in, joining, regions_of, sets_of, similar, tile_edges, tiles_of
+from filinglens.llm.tiles import TILE, common, edges_in, joining, linked_to_hubs, regions_of, sets_of, similar, tile_edges, tiles_of
 from filinglens.operators.ordering import top_per_group
 
 WORDS, PERCENT = 3, 90
@@ -224,10 +224,13 @@ def clustered(docs: DataFrame, width: int = WORDS, percent: int = PERCENT, tile:
     nodes = stored(distinct.select("content", F.monotonically_increasing_id().alias("node"), "k1", "k2", F.col("n_shingles").alias("n"), "folded", "window"), "nodes")
     first = first_regions(nodes)
     small = F.col("m") <= tile
-    done, large, level = regions_of(within_reach(first.filter(small), nodes, percent)), first.filter(~small), 0
+    done, large, level = regions_of(stored(within_reach(first.filter(small), nodes, percent), "reach")), first.filter(~small), 0
     inside = done.select("node").unionByName(large.select("node")).distinct()
     sets = stored(sets_of(docs, nodes.select("node", "k1", "k2").join(inside, "node", "left_semi"), width), "sets")
-    links = spark.createDataFrame([], "u long, v long")
+    # The first node of a region is its first pivot: what links with it needs no look at each other.
+    hubs = done.join(done.groupBy("region").agg(F.min("node").alias("hub")), "region").filter("node <> hub").select("node", "hub").distinct()
+    links = stored(linked_to_hubs(stored(hubs, "hubs"), sets, percent), "links")
+    roots = stored(components(links), "roots")
     while not large.isEmpty():
         parted = stored(split(large, sets, level, percent), "split")
         links = links.unionByName(parted.filter("pivot IS NULL").select(F.col("node").alias("u"), F.col("root").alias("v")))
@@ -237,7 +240,8 @@ def clustered(docs: DataFrame, width: int = WORDS, percent: int = PERCENT, tile:
         ready = small | (F.col("m") > STUCK * F.col("was"))
         done = done.unionByName(made.filter(ready).drop("was"))
         large, level = stored(made.filter(~ready).drop("was"), "large"), level + 1
-    links = stored(links.unionByName(edges_in(tiles_of(done, tile), sets, percent, voronoi_edges)), "edges")
+    rooted = done.select("region", "node", "n", F.col("root").alias("own")).join(roots, "node", "left").select("region", "node", "n", F.coalesce("root", "own").alias("root"))
+    links = stored(links.unionByName(edges_in(tiles_of(regions_of(rooted), tile), sets, percent, voronoi_edges)), "edges")
     numbered = signatures.select("doc_id", "n_shingles", F.col("node").alias("content")).join(nodes.select("content", "node"), "content", "left")
     return numbered, stored(components(links), "roots")
 

@@ -19,11 +19,18 @@ from filinglens.llm.common import blocks, parts_of, row_key, stored, whole_text
 from filinglens.llm.kernel import shingle_sets
 
 TILE, TILE_ITEMS = 512, 1 << 21
+BROADCAST_KEYS = 1 << 18
 COLUMNS = 4096
 
 
 def sets_of(docs: DataFrame, keys: DataFrame, width: int) -> DataFrame:
-    """(node, set) for ``keys`` (node, k1, k2), one text of each node; a set is its sorted 64-bit shingle hashes."""
+    """(node, set) for ``keys`` (node, k1, k2), one text of each node; a set is its sorted 64-bit shingle hashes.
+
+    Up to ``BROADCAST_KEYS`` counted keys go to the texts (10 MB), so that only wanted texts travel; more meet them by an ordinary join.
+    """
+    keys = stored(keys, "keys")
+    if keys.count() <= BROADCAST_KEYS:
+        keys = F.broadcast(keys)
     texts = docs.select(*row_key(), whole_text().alias("text")).join(keys, ["k1", "k2"]).select("node", "text").dropDuplicates(["node"])
 
     def run(batches):
