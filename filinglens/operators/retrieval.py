@@ -14,12 +14,11 @@ from pyspark.sql import types as T
 
 from filinglens import lexicon as L
 from filinglens.functions import vectors as V
+from filinglens.operators import vector_index
 from filinglens.operators.ordering import number_rows, top_per_group
 from filinglens.session import materialise
 
-QUERY_BLOCK = 2048
 PAIR_TILE = 400
-TILE_ROWS = 50_000
 
 
 # --- encoding ---------------------------------------------------------------------------
@@ -71,109 +70,22 @@ def checked_queries(queries: DataFrame, column: str = "query") -> tuple[DataFram
 # --- top-k -------------------------------------------------------------------------------------
 
 def top_k(queries: DataFrame, corpus: DataFrame, k: int, corpus_key: str, filters: dict[str, str] | None = None,
-          digits: int = 6, query_block: int = QUERY_BLOCK) -> DataFrame:
+          digits: int = 6, query_block: int = vector_index.LANE) -> DataFrame:
     """Best ``k`` corpus rows per query by dot product, ties by ``corpus_key``.
 
     ``queries``: query_id, embedding and, per ``filters`` entry (corpus column →
-    query column), a value the corpus row must equal.  One block of queries travels
-    to the corpus; more of them meet it as tiles of query block and corpus share.
-    Every task keeps only its best ``k`` per query, so the shuffle carries
-    tasks × queries × k rows, never the product.
+    query column), a value the corpus row must equal.  The corpus is indexed for this
+    search; to ask it again, keep the index (``vector_index.build`` and ``search``).
     """
-    filters = filters or {}
-    kind = corpus.schema[corpus_key].dataType.simpleString()
-    slim = corpus.select(corpus_key, *filters, "embedding")
-    numbered = materialise(queries.select("query_id", *filters.values(), "embedding"))
-    shape = f"query_id string, `{corpus_key}` {kind}, score double"
-    blocks = max(1, -(-numbered.count() // query_block))
-    if blocks == 1:
-        part = numbered.toPandas()
-        out = slim.mapInPandas(_block_search(part, k, corpus_key, filters, digits), shape) if len(part) else slim.select(F.lit("").alias("query_id"), corpus_key, F.lit(0.0).alias("score")).limit(0)
-    else:
-        def search(part: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-            return next(_block_search(part, k, corpus_key, filters, digits)(iter([rows])))
-
-        out = _tiled(numbered, slim, blocks, search, shape)
-    id_type = queries.schema["query_id"].dataType
-    return top_per_group(out.withColumn("query_id", F.col("query_id").cast(id_type)), ["query_id"],
-                         [F.desc("score"), F.asc(corpus_key)], k)
-
-
-def _tiled(queries: DataFrame, corpus: DataFrame, blocks: int, search: Callable, schema) -> DataFrame:
-    """``search(query block, corpus share)`` for every pair of them, as co-grouped tiles of bounded size."""
-    tiles = max(int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-corpus.count() // TILE_ROWS))
-
-    def all_of(n: int):
-        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-
-    asked = queries.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("_tile", all_of(tiles))
-    share = corpus.withColumn("_tile", F.pmod(F.xxhash64(*[c for c in corpus.columns if c != "embedding"]), F.lit(tiles)).cast("int")).withColumn("_block", all_of(blocks))
-    return asked.groupBy("_block", "_tile").cogroup(share.groupBy("_block", "_tile")).applyInPandas(search, schema)
-
-
-def _block_search(part: pd.DataFrame, k: int, corpus_key: str, filters: dict[str, str], digits: int):
-    ids = [str(x) for x in part["query_id"]]
-    matrix = np.array(part["embedding"].tolist(), dtype=np.float64)
-    wanted = {c: part[q].to_numpy() for c, q in filters.items()}
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best: list[tuple] = [([], []) for _ in ids]
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            scores = np.round(np.array(pdf["embedding"].tolist(), dtype=np.float64) @ matrix.T, digits)
-            keys = pdf[corpus_key].to_numpy()
-            for q in range(len(ids)):
-                s, x = scores[:, q], keys
-                for c, values in wanted.items():
-                    ok = pdf[c].to_numpy() == values[q]
-                    s, x = s[ok], x[ok]
-                if len(s) > k:
-                    floor = np.partition(s, len(s) - k)[len(s) - k]
-                    near = s >= floor
-                    s, x = s[near], x[near]
-                s, x = np.concatenate([np.asarray(best[q][0], dtype=np.float64), s]), np.concatenate([np.asarray(best[q][1], dtype=x.dtype), x])
-                order = np.lexsort((x, -s))[:k]
-                best[q] = (s[order], x[order])
-        rows = [(ids[q], x, float(s)) for q in range(len(ids)) for s, x in zip(*best[q])]
-        yield pd.DataFrame(rows, columns=["query_id", corpus_key, "score"], dtype=object)
-
-    return run
+    index = vector_index.build(corpus, corpus_key, list(filters or {}))
+    return vector_index.search(index, queries, k, filters, digits, query_block)
 
 
 def top_k_within(queries: DataFrame, corpus: DataFrame, groups: list[str], k: int, corpus_key: str,
-                 filters: dict[str, str] | None = None, digits: int = 6) -> DataFrame:
-    """Best ``k`` corpus rows per (group, query), every query asked in every group.
-
-    Up to ``QUERY_BLOCK`` queries travel to the corpus, more meet it in tiles; each
-    batch is cut to ``k`` before it leaves.
-    """
-    filters = filters or {}
-    asked = queries.select("query_id", *filters.values(), "embedding")
-    schema = T.StructType([*[corpus.schema[g] for g in groups], queries.schema["query_id"], corpus.schema[corpus_key], T.StructField("score", T.DoubleType())])
-    columns = [*groups, "query_id", corpus_key, "score"]
-
-    def search(part: pd.DataFrame, pdf: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        if len(part) and len(pdf):
-            scores = np.round(np.array(pdf["embedding"].tolist(), dtype=np.float64) @ np.array(part["embedding"].tolist(), dtype=np.float64).T, digits)
-            wanted = {c: part[q].to_numpy() for c, q in filters.items()}
-            for q, name in enumerate(part["query_id"].tolist()):
-                ok = np.ones(len(pdf), dtype=bool)
-                for c, values in wanted.items():
-                    ok &= pdf[c].to_numpy() == values[q]
-                hit = pdf.loc[ok, [*groups, corpus_key]].assign(score=scores[ok, q], query_id=name)
-                if len(hit):
-                    found.append(hit.sort_values(["score", corpus_key], ascending=[False, True], kind="stable").groupby(groups, sort=False).head(k)[columns])
-        return pd.concat(found) if found else pd.DataFrame(columns=columns)
-
-    slim = corpus.select(*groups, corpus_key, *[c for c in filters if c not in groups], "embedding")
-    part = asked.limit(QUERY_BLOCK + 1).toPandas()
-    if len(part) <= QUERY_BLOCK:
-        hits = slim.mapInPandas(lambda batches: (search(part, pdf) for pdf in batches), schema)
-    else:
-        hits = _tiled(asked, slim, -(-asked.count() // QUERY_BLOCK), search, schema)
-    return top_per_group(hits, [*groups, "query_id"], [F.desc("score"), F.asc(corpus_key)], k)
+                 filters: dict[str, str] | None = None, digits: int = 6, query_block: int = vector_index.LANE) -> DataFrame:
+    """Best ``k`` corpus rows per (group, query), every query asked in every group."""
+    index = vector_index.build(corpus, corpus_key, list(filters or {}), groups)
+    return vector_index.search(index, queries, k, filters, digits, query_block)
 
 
 # --- pooled vectors ----------------------------------------------------------------------------------

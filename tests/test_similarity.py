@@ -242,7 +242,7 @@ def test_fields_and_prompts(spark):
     assert sorted((r.company, r.field) for r in cut.collect()) == plain and sorted(cut.columns) == sorted(every.columns)
 
 
-def test_many_queries_meet_the_corpus_in_tiles(spark, monkeypatch):
+def test_many_queries_meet_the_corpus_in_lanes(spark):
     draw = np.random.default_rng(12)
     rows = [("AB"[i % 2], i, i % 3, [float(x) for x in draw.normal(size=4)]) for i in range(200)]
     corpus = spark.createDataFrame(rows, "company string, id int, kind int, embedding array<double>")
@@ -250,8 +250,7 @@ def test_many_queries_meet_the_corpus_in_tiles(spark, monkeypatch):
     whole = sorted(tuple(r) for r in OR.top_k(asked, corpus, 4, "id", {"kind": "kind_wanted"}).collect())
     assert sorted(tuple(r) for r in OR.top_k(asked, corpus, 4, "id", {"kind": "kind_wanted"}, query_block=5).collect()) == whole and len(whole) == 148
     within = sorted(tuple(r) for r in OR.top_k_within(asked, corpus, ["company"], 2, "id").collect())
-    monkeypatch.setattr(OR, "QUERY_BLOCK", 5)
-    assert sorted(tuple(r) for r in OR.top_k_within(asked, corpus, ["company"], 2, "id").collect()) == within and len(within) == 148
+    assert sorted(tuple(r) for r in OR.top_k_within(asked, corpus, ["company"], 2, "id", query_block=5).collect()) == within and len(within) == 148
 
 
 @pytest.mark.parametrize("fill", [True, False])

@@ -42,6 +42,15 @@ def centroids(spark, sf):
     return OR.mean_vectors(vectors(spark, sf), "label")
 
 
+def encoder_sql(source, name, dimension=256):
+    """CTE ``name`` (id, v): the stand-in encoder over ``source`` (id, text) as dense unit vectors."""
+    return f"""{name}_c AS (SELECT id, list_transform(range(1, length(t) + 1), lambda i: unicode(substr(t, i, 1))::UBIGINT) AS c FROM (SELECT id, ' ' || lower(coalesce(text, '')) || ' ' AS t FROM {source})),
+ {name}_h AS (SELECT id, unnest(list_transform(range(1, len(c) - 1), lambda i: ((xor(xor(c[i] * 73856093::UBIGINT, c[i + 1] * 19349663::UBIGINT), c[i + 2] * 83492791::UBIGINT) & 4294967295::UBIGINT) * 2654435761::UBIGINT & 4294967295::UBIGINT) >> 7)) AS h FROM {name}_c),
+ {name}_b AS (SELECT id, ((h >> 1) % {dimension})::BIGINT AS b, sum(CASE WHEN h & 1 = 1 THEN 1 ELSE -1 END)::DOUBLE AS v FROM {name}_h GROUP BY ALL),
+ {name}_n AS (SELECT id, greatest(sqrt(sum(v * v)), 1e-12) AS n FROM {name}_b GROUP BY 1),
+ {name} AS (SELECT id, list(coalesce(v / n, 0)::FLOAT::DOUBLE ORDER BY b) AS v FROM (SELECT id, unnest(range({dimension})) AS b FROM {source}) LEFT JOIN {name}_b USING (id, b) LEFT JOIN {name}_n USING (id) GROUP BY 1)"""
+
+
 @query("unit_vectors", """SELECT vec_id, round(list_inner_product(e, e), 6) AS squared, round(list_sum(e) / sqrt(list_inner_product(e, e)), 6) AS total FROM (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings)""")
 def unit_vectors(spark, sf):
     u = V.unit(F.col("embedding"))
@@ -449,7 +458,9 @@ def embedding_store(spark, sf):
     return spark.read.parquet(path).select("doc_id")
 
 
-@query("text_retrieval")
+@query("text_retrieval", f"""WITH {SENT_SQL}, corpus AS (SELECT doc_id * 100000 + sentence_pos AS id, s AS text FROM sent), {encoder_sql('corpus', 'c')},
+ asked AS (SELECT item_id AS id, text FROM benchmark), {encoder_sql('asked', 'q')}
+ SELECT q.id AS query_id, c.id AS chunk_id, round(list_inner_product(q.v, c.v), 6) AS score, row_number() OVER (PARTITION BY q.id ORDER BY round(list_inner_product(q.v, c.v), 6) DESC, c.id) AS rank FROM q, c QUALIFY rank <= 5""")
 def text_retrieval(spark, sf):
     """Every benchmark text as a query against every document sentence."""
     q = OR.embed(table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text"), "text", OR.hashing_encoder())
