@@ -56,11 +56,6 @@ def embed(rows: DataFrame, column: str, load: Callable[[], Callable[[list[str]],
     return rows.mapInPandas(run, schema)
 
 
-def embed_missing(rows: DataFrame, stored: DataFrame, key: str, column: str, load) -> DataFrame:
-    """Vectors for rows whose ``key`` is not stored yet."""
-    return embed(rows.join(stored.select(key), key, "left_anti"), column, load)
-
-
 def checked_queries(queries: DataFrame, column: str = "query") -> tuple[DataFrame, DataFrame]:
     """Usable queries and the blank ones, which must not be searched."""
     blank = F.trim(F.coalesce(F.col(column), F.lit(""))) == ""

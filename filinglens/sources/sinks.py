@@ -39,7 +39,3 @@ def write_structured(documents: DataFrame, path: str, keys: list[str], partition
     write_parquet(structure.image_rows(documents, keys), f"{path}/images", by)
     write_parquet(structure.document_counts(documents, keys), f"{path}/counts", by)
 
-
-def append_embeddings(new_rows: DataFrame, path: str) -> None:
-    """Add vectors for fingerprints that were not stored before."""
-    write_parquet(new_rows, path, mode="append")

@@ -13,7 +13,7 @@ from filinglens.operators import signals as OS
 from filinglens.operators.ordering import number_rows, top_per_group
 from filinglens.plans import peer_search as PS
 from filinglens.session import attach, materialise, scratch_path, spread
-from filinglens.sources import readers, sinks
+from filinglens.sources import readers, sinks, vector_store
 from workload.tables import table
 from workload.text_queries import SENT_SQL, core, documents, plain_sentences
 
@@ -440,22 +440,31 @@ def keyphrases(spark, sf):
     return OR.keyphrases(s, ["conv_id", "turn", "sentence_pos"], "sentence", OR.hashing_encoder())
 
 
-@query("embedding_job", "SELECT item_id, 256 AS dimension, 1.0::DOUBLE AS norm FROM benchmark WHERE trim(text) <> ''")
+@query("embedding_job", f"""WITH asked AS (SELECT item_id AS id, text FROM benchmark WHERE trim(text) <> ''), {encoder_sql('asked', 'e')}
+ SELECT id AS item_id, (generate_subscripts(v, 1) - 1)::INT AS pos, round(unnest(v), 6) AS value FROM e""")
 def embedding_job(spark, sf):
     ok, _ = OR.checked_queries(table(spark, sf, "benchmark"), "text")
     e = OR.embed(ok, "text", OR.hashing_encoder())
-    return e.select("item_id", F.size("embedding").alias("dimension"), F.round(V.norm(F.col("embedding")), 4).alias("norm"))
+    return e.select("item_id", F.posexplode("embedding").alias("pos", "value")).withColumn("value", F.round(F.col("value").cast("double"), 6))
 
 
-@query("embedding_store", "SELECT doc_id FROM documents")
+def _edited(c):
+    return F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit("edited "), c)).otherwise(c)
+
+
+@query("embedding_store", f"""WITH now AS (SELECT doc_id AS id, 'm' AS model, CASE WHEN doc_id % 7 = 0 THEN 'edited ' || text ELSE text END AS text FROM documents WHERE lang IS DISTINCT FROM 'fr'
+   UNION ALL SELECT -1 - doc_id, 'other', text FROM documents WHERE lang = 'de'), {encoder_sql('now', 'e')}
+ SELECT CASE WHEN id < 0 THEN -1 - id ELSE id END AS doc_id, CASE WHEN id < 0 THEN 'other' ELSE 'm' END AS model,
+  round(list_sum(list_transform(range(1, 257), lambda i: v[i] * i)), 4) AS weighted FROM e""")
 def embedding_store(spark, sf):
-    """A stored part of the vectors completed with the missing ones."""
-    path = scratch_path(spark, "vectors")
-    d = documents(spark, sf).select("doc_id", "lang", "text")
-    sinks.append_embeddings(OR.embed(d.filter("lang <> 'en'").drop("lang"), "text", OR.hashing_encoder()).select("doc_id", "embedding"), path)
-    stored = spark.read.parquet(path)
-    sinks.append_embeddings(OR.embed_missing(d.drop("lang"), stored, "doc_id", "text", OR.hashing_encoder()).select("doc_id", "embedding"), path)
-    return spark.read.parquet(path).select("doc_id")
+    """A store of all documents' vectors under one model and some under another, brought up to date after edits and deletions."""
+    path, load = scratch_path(spark, "vectors"), OR.hashing_encoder()
+    d = spread(table(spark, sf, "documents").select("doc_id", "lang", "text"), "doc_id")
+    vector_store.sync(d, "doc_id", "text", path, "m", load)
+    vector_store.sync(d.filter("lang = 'de'"), "doc_id", "text", path, "other", load)
+    vector_store.sync(d.filter("NOT lang <=> 'fr'").withColumn("text", _edited(F.col("text"))), "doc_id", "text", path, "m", load)
+    weighted = F.aggregate(F.transform("embedding", lambda v, i: v.cast("double") * (i + 1)), F.lit(0.0), lambda a, v: a + v)
+    return vector_store.read(spark, path, d.schema["doc_id"]).select(F.col("key").alias("doc_id"), "model", F.round(weighted, 4).alias("weighted"))
 
 
 @query("text_retrieval", f"""WITH {SENT_SQL}, corpus AS (SELECT doc_id * 100000 + sentence_pos AS id, s AS text FROM sent), {encoder_sql('corpus', 'c')},
