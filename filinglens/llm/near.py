@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from filinglens.llm.common import blocks, bounded_batches, documents, parts_of, row_key, stored, whole_text
 from filinglens.llm.kernel import U, mix, shingle_sets
 from filinglens.llm.links import component_sql, components, labelled
-from filinglens.llm.tiles import TILE, edges_in, linked_to_hubs, regions_of, sets_of, tiles_of
+from filinglens.llm.tiles import TILE, edges_in, linked_to_hubs, merged, regions_of, sets_of, tiles_of
 
 WORDS = 5
 PERCENT = 75
@@ -182,6 +182,7 @@ def clustered(docs: DataFrame, width: int = WORDS, percent: int = PERCENT, tile:
         links = links.unionByName(more)
         roots = stored(components(links), "roots")
     regions = regions_of(_rooted(members.select(F.xxhash64("tree", "head").alias("region"), "node").join(nodes.select("node", "n"), "node"), roots))
+    regions = regions_of(merged(regions, tile))
     edges = stored(edges_in(tiles_of(regions, tile), sets_for(regions.select("node").distinct()), percent), "edges")
     if not edges.isEmpty():
         roots = stored(components(links.unionByName(edges)), "roots")

@@ -13,8 +13,8 @@ two nodes link when d <= e (e = 0.1).  The join goes down in regions and is exac
 2. Regions of more than ``TILE`` nodes are split by ``PIVOTS`` of their documents.  A node's home is the nearest pivot
    p; it also goes to every pivot q with d(x, q) <= d(x, p) + 2 e.  For linked x and y this holds for y at x's home,
    so they meet there.  Nodes linked to one pivot have one root and need no look at each other.  Regions so made are
-   split again; one that stays nearly as large as before (its nodes are equally far from each other) is cut into tiles
-   of which every two meet.
+   split again; one whose parts would be nearly as large as itself (its nodes are equally far from each other) is cut
+   into tiles of which every two meet.
 3. A task splits its regions the same way in memory down to ``LEAF`` nodes and counts all intersections there.
 
 Tasks return edges that join components, not pairs.  Order and pivots change the work, never the result; contents are
@@ -36,7 +36,7 @@ from filinglens.llm.common import blocks, bounded_batches, documents, parts_of,
 from filinglens.llm.kernel import U, mix, shingle_sets
 from filinglens.llm.lanes import laid, streamed
 from filinglens.llm.links import component_sql, components, labelled
-from filinglens.llm.tiles import TILE, common, edges_in, joining, linked_to_hubs, regions_of, sets_of, similar, tile_edges, tiles_of
+from filinglens.llm.tiles import TILE, common, edges_in, joining, linked_to_hubs, merged, regions_of, sets_of, similar, tile_edges, tiles_of
 from filinglens.operators.ordering import top_per_group
 
 WORDS, PERCENT = 3, 90
@@ -224,24 +224,28 @@ def clustered(docs: DataFrame, width: int = WORDS, percent: int = PERCENT, tile:
     nodes = stored(distinct.select("content", F.monotonically_increasing_id().alias("node"), "k1", "k2", F.col("n_shingles").alias("n"), "folded", "window"), "nodes")
     first = first_regions(nodes)
     small = F.col("m") <= tile
-    done, large, level = regions_of(stored(within_reach(first.filter(small), nodes, percent), "reach")), first.filter(~small), 0
-    inside = done.select("node").unionByName(large.select("node")).distinct()
-    sets = stored(sets_of(docs, nodes.select("node", "k1", "k2").join(inside, "node", "left_semi"), width), "sets")
+    near = stored(within_reach(first.filter(small), nodes, percent), "reach")
+    regions = regions_of(near.unionByName(first.filter(~small).select("region", "node", "n", "root")))
+    sets = stored(sets_of(docs, nodes.select("node", "k1", "k2").join(regions.select("node").distinct(), "node", "left_semi"), width), "sets")
     # The first node of a region is its first pivot: what links with it needs no look at each other.
-    hubs = done.join(done.groupBy("region").agg(F.min("node").alias("hub")), "region").filter("node <> hub").select("node", "hub").distinct()
+    hubs = regions.join(regions.groupBy("region").agg(F.min("node").alias("hub")), "region").filter("node <> hub").select("node", "hub").distinct()
     links = stored(linked_to_hubs(stored(hubs, "hubs"), sets, percent), "links")
     roots = stored(components(links), "roots")
+    regions = regions.select("region", "node", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    regions = regions_of(merged(regions_of(regions), tile))
+    done, large, level = regions.filter(small), regions.filter(~small), 0
     while not large.isEmpty():
         parted = stored(split(large, sets, level, percent), "split")
         links = links.unionByName(parted.filter("pivot IS NULL").select(F.col("node").alias("u"), F.col("root").alias("v")))
-        cells = parted.filter("pivot IS NOT NULL").select(F.xxhash64(F.lit(level), "lane", "pivot").alias("region"), "node", "root", "n", "was")
-        before = cells.groupBy("region").agg(F.max("was").alias("was"))
-        made = regions_of(cells.drop("was")).join(before, "region")
-        ready = small | (F.col("m") > STUCK * F.col("was"))
-        done = done.unionByName(made.filter(ready).drop("was"))
-        large, level = stored(made.filter(~ready).drop("was"), "large"), level + 1
-    rooted = done.select("region", "node", "n", F.col("root").alias("own")).join(roots, "node", "left").select("region", "node", "n", F.coalesce("root", "own").alias("root"))
-    links = stored(links.unionByName(edges_in(tiles_of(regions_of(rooted), tile), sets, percent, voronoi_edges)), "edges")
+        cells = parted.filter("pivot IS NOT NULL")
+        held = cells.groupBy("lane", "pivot").agg(F.count("*").alias("m"), F.max("was").alias("was"))
+        stuck = stored(held.filter(F.col("m") > STUCK * F.col("was")).select(F.col("lane").alias("region")).distinct(), "stuck")
+        done = done.unionByName(large.join(stuck, "region", "left_semi"))
+        cells = cells.withColumnRenamed("lane", "region").join(stuck, "region", "left_anti")
+        made = regions_of(cells.select(F.xxhash64(F.lit(level), "region", "pivot").alias("region"), "node", "root", "n"))
+        done = done.unionByName(made.filter(small))
+        large, level = made.filter(~small), level + 1
+    links = stored(links.unionByName(edges_in(tiles_of(done, tile), sets, percent, voronoi_edges)), "edges")
     numbered = signatures.select("doc_id", "n_shingles", F.col("node").alias("content")).join(nodes.select("content", "node"), "content", "left")
     return numbered, stored(components(links), "roots")
 

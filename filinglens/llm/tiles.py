@@ -1,7 +1,8 @@
 """Links between full sets inside regions of any size, without a pair of a region leaving its task unconfirmed.
 
 A region is a group of nodes of which any two may link.  Each node carries the root of what it is known to be
-connected with; pairs of one root need no look.  Regions with one root are done, regions of equal members count once.
+connected with; pairs of one root need no look.  Regions with one root are done, regions of equal members count once,
+and regions that overlap much are put together.
 A region that is small enough is one tile.  A larger one is cut into parts, each component larger than a tile into
 parts of its own, and every two parts meet in a tile, but for those of one component.  The sets of a tile's nodes
 stand next to the tile; a tile counts the intersections of all its pairs at once and returns the edges that join
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 
 from filinglens.llm.common import blocks, parts_of, row_key, stored, whole_text
 from filinglens.llm.kernel import shingle_sets
+from filinglens.llm.links import components
 
 TILE, TILE_ITEMS = 512, 1 << 21
 BROADCAST_KEYS = 1 << 18
@@ -120,6 +122,22 @@ def regions_of(members: DataFrame) -> DataFrame:
     return stored(members.join(regions, "region"), "regions")
 
 
+def merged(regions: DataFrame, tile: int = TILE) -> DataFrame:
+    """``regions`` with those that overlap put together where that makes less work; every two nodes of a region still share one.
+
+    Regions that hang together by their nodes form a whole of N nodes.  As one region its nodes travel once for every
+    part they meet; if the regions by themselves have more rows than that, the whole replaces them.
+    """
+    hubs = regions.groupBy("region").agg(F.min("node").alias("v"))
+    star = stored(regions.join(hubs, "region").select(F.col("node").alias("u"), "v").filter("u <> v").distinct(), "stars")
+    whole = stored(components(star).withColumnRenamed("root", "whole"), "wholes")
+    placed = regions.join(whole, "node")
+    sizes = placed.groupBy("whole").agg(F.count("*").alias("rows"), F.countDistinct("node").alias("nodes"))
+    worth = stored(sizes.filter(F.col("rows") > 1.5 * F.col("nodes") * F.ceil(F.col("nodes") / tile)).select("whole"), "worth")
+    placed = placed.join(worth.withColumn("one", F.lit(True)), "whole", "left").withColumn("region", F.when(F.col("one"), F.xxhash64("whole")).otherwise(F.col("region")))
+    return stored(placed.select("region", "node", "root", "n").distinct(), "merged")
+
+
 def tiles_of(regions: DataFrame, tile: int = TILE, items: int = TILE_ITEMS) -> DataFrame:
     """(tile, side, node, root) for the rows of ``regions_of``."""
     whole = (F.col("m") <= tile) & (F.col("weight") <= items)
