@@ -158,7 +158,42 @@ def test_greedy_by_rounds_equals_greedy_by_order(spark):
 
 def test_edge_similarity_takes_the_better_direction():
     n = np.array([[0.1, 0.9], [0.8, 0.2]])
-    assert OG.edge_similarity(n, np.array([[0, 1]]), np.array([[0, 1]])).tolist() == [[0.8]]
+    assert OG.greedy_edges(n, np.array([[0, 1]]), np.array([[0, 1]]), 0.5) == [(0, 0, 0.8)]
+    assert OG.greedy_edges(n, np.array([[0, 1]]), np.array([[0, 1]]), 0.85) == []
+
+
+@pytest.mark.parametrize("floor", [0.3, 0.7, 0.95])
+def test_edge_candidates_are_all_pairs_above_the_floor(floor):
+    rng = np.random.default_rng(int(floor * 100))
+    nodes = np.round(rng.random((14, 11)), 2)
+    te, ce = (np.array([(i, j) for i in range(n) for j in range(i + 1, n) if rng.random() < 0.4]) for n in nodes.shape)
+    want = {(i, j, max(min(nodes[a, c], nodes[b, d]), min(nodes[a, d], nodes[b, c]))) for i, (a, b) in enumerate(te) for j, (c, d) in enumerate(ce)}
+    got = set(zip(*(x.tolist() for x in OG.edge_candidates(nodes, te, ce, floor))))
+    assert got == {w for w in want if w[2] >= floor}
+
+
+def test_one_job_gives_the_scores_of_the_steps(spark):
+    """All scores of a pair in one row equal alignment, Jaccards, relabelling and cosine as tables, noise kept or dropped."""
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(30)] + ["noise a", "noise b", "12 3"]
+    nodes, edges = [], []
+    for c in ("T", "U", "V", "W"):
+        mine = rng.sample(words, 14)
+        nodes += [(c, w, i + 1, [rng.random() for _ in range(5)]) for i, w in enumerate(mine)]
+        edges += [(c, *sorted((a, b)), rng.randrange(1, 9)) for a, b in {tuple(sorted(rng.sample(mine, 2))) for _ in range(20)}]
+    nodes.append(("lone", "w1", 1, [1.0] * 5))
+    unit = [(c, w, i, [float(x) for x in np.array(v) / np.linalg.norm(v)]) for c, w, i, v in nodes]
+    n = spark.createDataFrame(unit, "company string, keyword string, node_pos long, vector array<double>")
+    e = spark.createDataFrame(edges, "company string, a string, b string, weight long")
+    pairs = spark.createDataFrame([("T", x) for x in ("U", "V", "W", "lone", "T")] + [("U", "V")], "target string, candidate string")
+    for drop in (True, False):
+        got = {(r.target, r.candidate): tuple(r)[2:] for r in OG.network_similarity(pairs, n, e, ["noise"], drop, 0.8, 0.75).collect()}
+        a = OG.align(pairs, n, e, 0.8, 0.75)
+        rn, re_ = OG.relabelled(pairs, n, e, OG.node_mapping(a))
+        tn, te = OG.without_noise(n, e, ["noise"]) if drop else (n, e)
+        cosine = OG.centrality_cosine(OG.weighted_degree(tn, te), OG.pair_degrees(rn, re_, ["noise"], drop), pairs)
+        want = {(r.target, r.candidate): tuple(r)[2:] for r in OG.jaccard_scores(a).join(cosine, ["target", "candidate"]).collect()}
+        assert got == want and len(got) == 6
 
 
 def test_graph_measures(spark):

@@ -337,10 +337,12 @@ def centrality_cosine_unfiltered(spark, sf):
     return _cosine(spark, sf, False)
 
 
-@query("network_similarity")
+@query("network_similarity", f"""SELECT min(source) AS target, candidate, node_match_count, edge_match_count, keyword_score, edge_score, centrality_score FROM documents,
+ ({SQL["keyword_jaccard"]}) k JOIN ({SQL["edge_jaccard"]}) e USING (candidate) JOIN ({SQL["centrality_cosine"]}) c USING (candidate) GROUP BY ALL""")
 def network_similarity(spark, sf):
+    """All scores of every pair in one job."""
     nodes, edges = graph(spark, sf)
-    return OG.network_similarity(source_pairs(spark, sf), vector_nodes(nodes), edges, NOISE)
+    return OG.network_similarity(source_pairs(spark, sf), vector_nodes(nodes), edges, NOISE, node_floor=NODE_FLOOR, edge_floor=EDGE_FLOOR)
 
 
 # --- signals --------------------------------------------------------------------------------------------------
