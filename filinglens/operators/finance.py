@@ -14,7 +14,7 @@ from filinglens import lexicon as L
 from filinglens.functions import amounts as A
 from filinglens.functions import ident
 from filinglens.functions.text import any_term
-from filinglens.session import materialise
+from filinglens.session import join_to_few, materialise
 
 PERIOD = ["company", "business_year", "dart_report_type"]
 METRICS = ["revenue", "total_assets", "total_equity", "operating_income", "net_income", "operating_margin", "net_margin",
@@ -148,7 +148,7 @@ def common_periods(pairs: DataFrame, profiles: DataFrame) -> DataFrame:
     keys = profiles.select("company", "period_key", "period_order")
     mine = keys.withColumnRenamed("company", "candidate")
     theirs = keys.select(F.col("company").alias("target"), "period_key").join(pairs.select("target").distinct(), "target", "left_semi")
-    return pairs.join(mine, "candidate").join(theirs, ["target", "period_key"])
+    return join_to_few(pairs.join(mine, "candidate"), theirs, ["target", "period_key"])
 
 
 def match_pairs(pairs: DataFrame, profiles: DataFrame) -> DataFrame:
@@ -156,14 +156,14 @@ def match_pairs(pairs: DataFrame, profiles: DataFrame) -> DataFrame:
 
     Pairs without a common period stay, marked not comparable with the reason.  Both
     metric sets ride along to the aggregate that picks the period, so the profiles
-    are joined twice only; the targets' side is cut to the targets that occur, small
-    enough to be sent around when one target is hot.
+    are joined twice only; the targets' side is cut to the targets that occur and met
+    by ``join_to_few``, so one target may have all candidates.
     """
     stored = materialise(profiles.select("company", "period_key", "period_order", F.struct(*[F.col(m).cast("double").alias(m) for m in METRICS]).alias("m")))
     mine = stored.select(F.col("company").alias("candidate"), "period_key", "period_order", F.col("m").alias("c"))
     theirs = (stored.select(F.col("company").alias("target"), "period_key", F.col("m").alias("t"))
               .join(pairs.select("target").distinct(), "target", "left_semi"))
-    seen = pairs.select("target", "candidate").join(mine, "candidate", "left").join(theirs, ["target", "period_key"], "left")
+    seen = join_to_few(pairs.select("target", "candidate").join(mine, "candidate", "left"), theirs, ["target", "period_key"], "left")
     shared = F.col("c").isNotNull() & F.col("t").isNotNull()
     best = seen.groupBy("target", "candidate").agg(
         F.max(F.when(shared, F.struct("period_order", "period_key", "t", "c"))).alias("p"), F.count_if(shared).alias("n_common"))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from filinglens import lexicon as L
 from filinglens.functions import text as X
 from filinglens.operators.ordering import top_per_group
-from filinglens.session import materialise, once
+from filinglens.session import join_to_few, materialise, once
 
 COMPANY = "company"
 
@@ -331,7 +331,7 @@ def network_similarity(pairs: DataFrame, nodes: DataFrame, edges: DataFrame, phr
     flagged = nodes.withColumn("noisy", X.is_centrality_noise(F.col("keyword"), phrases))
     asked = pairs.select(F.col("target").alias(COMPANY)).distinct()
     targets = _packed(flagged.join(asked, COMPANY, "left_semi"), edges.join(asked, COMPANY, "left_semi"), "target", "t")
-    both = pairs.join(targets, "target").join(_packed(flagged, edges, "candidate", "c"), "candidate")
+    both = join_to_few(pairs.join(_packed(flagged, edges, "candidate", "c"), "candidate"), targets, ["target"])
     kind, prefix = pairs.schema["target"].dataType.simpleString(), L.UNMATCHED_PREFIX
 
     def scores(r):

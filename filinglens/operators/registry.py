@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from filinglens.functions import ident
 from filinglens.operators.ordering import latest_per_group
+from filinglens.session import materialise
 
 
 def common_stock_listing(items: DataFrame, market: str | None = None) -> DataFrame:
@@ -49,9 +50,9 @@ def resolve(queries: DataFrame, registry: DataFrame) -> DataFrame:
     exact = asked.join(keys.filter("_q <> ''"), "_q").select("query", "corp_code", F.lit(0).alias("tier"))
     open_queries = asked.join(exact.select("query"), "query", "left_anti")
     named = registry.select("corp_code", F.lower("corp_name").alias("_n"), F.lower(F.coalesce("corp_eng_name", F.lit(""))).alias("_e"))
-    inside = _containing(open_queries, named)
-    hits = exact.unionByName(inside)
-    found = hits.groupBy("query", "tier").agg(F.count("*").alias("n_companies"), F.min("corp_code").alias("_first"))
+    hits = exact.unionByName(_containing(open_queries.filter(F.length("_q") > GRAMS[0]), named))
+    found = hits.groupBy("query", "tier").agg(F.count("*").alias("n_companies"), F.min("corp_code").alias("_first")).drop("tier")
+    found = found.unionByName(_counted(open_queries.filter(F.length("_q") <= GRAMS[0]), named))
     return (asked.select("query").join(found, "query", "left")
             .select("query", F.coalesce("n_companies", F.lit(0)).alias("n_companies"),
                     F.when(F.col("n_companies").isNull(), "none").when(F.col("n_companies") == 1, "resolved")
@@ -78,43 +79,46 @@ def exact_company(asked: DataFrame, registry: DataFrame) -> DataFrame:
     return found.select("request_id", F.coalesce("by_code", "by_name").alias("corp_code"))
 
 
-_GRAM = 3
+# Lengths of the indexed runs of letters; a query is found through its longest ones.
+GRAMS = (3, 8)
 
 
-def _grams(c: Column) -> Column:
-    last = F.length(c) - _GRAM + 1
-    return F.when(last >= 1, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substring(c, i, F.lit(_GRAM)))))
+def _runs(c: Column, n: int) -> Column:
+    last = F.length(c) - n + 1
+    cut = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substring(c, i, F.lit(n)))
+    return F.when(last >= 1, F.array_distinct(cut)).otherwise(F.array().cast("array<string>"))
+
+
+def _name_runs(named: DataFrame, *lengths: int) -> DataFrame:
+    """(corp_code, _n, _e, run) for the runs of both names."""
+    every = F.array_distinct(F.concat(*[F.coalesce(_runs(F.col(c), n), F.array().cast("array<string>")) for c in ("_n", "_e") for n in lengths]))
+    return named.select("corp_code", "_n", "_e", F.explode(every).alias("run"))
+
+
+def _counted(asked: DataFrame, named: DataFrame) -> DataFrame:
+    """Companies per query for queries that are runs themselves: the counts of the runs are the answer, whatever their number."""
+    held = _name_runs(named, *range(1, GRAMS[0] + 1)).join(asked.select(F.col("_q").alias("run")).distinct(), "run", "left_semi")
+    counts = held.select("run", "corp_code").distinct().groupBy("run").agg(F.count("*").alias("n_companies"), F.min("corp_code").alias("_first"))
+    return asked.filter("_q <> ''").join(counts, asked["_q"] == counts["run"]).select("query", "n_companies", "_first")
 
 
 def _containing(asked: DataFrame, named: DataFrame) -> DataFrame:
-    """Queries inside names, found through the query's rarest three-letter run.
+    """Queries inside names, found through the query's rarest run of the greatest indexed length it has.
 
-    A name holding the query holds every run of it, so joining on one run loses
-    nothing.  Queries under three letters compare by each name's short runs.
+    A name holding the query holds every run of it, so joining on one run loses nothing.  Only runs that queries
+    have are counted and joined; queries shorter than all runs are runs themselves.
     """
-    names = named.select("corp_code", "_n", "_e")
-    name_runs = names.select("corp_code", "_n", "_e", F.explode(F.array_distinct(
-        F.concat(F.coalesce(_grams(F.col("_n")), F.array()), F.coalesce(_grams(F.col("_e")), F.array())))).alias("run"))
-    spread = name_runs.groupBy("run").agg(F.count("*").alias("df"))
-    runs = asked.filter(F.length("_q") >= _GRAM).select("query", "_q", F.explode(_grams(F.col("_q"))).alias("run"))
+    length = F.length("_q")
+    of_query = F.when(length >= GRAMS[1], _runs(F.col("_q"), GRAMS[1])).when(length >= GRAMS[0], _runs(F.col("_q"), GRAMS[0])).otherwise(F.array("_q"))
+    runs = asked.filter("_q <> ''").select("query", "_q", F.explode(of_query).alias("run"))
+    lengths = [*range(1, GRAMS[0] + 1), GRAMS[1]]
+    held = materialise(_name_runs(named, *lengths).join(runs.select("run").distinct(), "run", "left_semi"))
+    spread = held.groupBy("run").agg(F.count("*").alias("df"))
     rare = (runs.join(spread, "run", "left").groupBy("query", "_q")
             .agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "run")).alias("r"))
             .select("query", "_q", F.col("r.run").alias("run")))
-    long_hits = rare.join(name_runs, "run")
-    short = asked.filter((F.length("_q") < _GRAM) & (F.col("_q") != ""))
-
-    def short_runs(c):
-        letters = F.transform(F.sequence(F.lit(1), F.greatest(F.length(c), F.lit(1))), lambda i: F.substring(c, i, F.lit(1)))
-        pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(2)))
-        return F.concat(letters, pairs)
-
-    short_names = names.select("corp_code", "_n", "_e", F.explode(F.array_distinct(
-        F.concat(short_runs(F.col("_n")), short_runs(F.col("_e"))))).alias("_q"))
-    short_hits = short.join(short_names, "_q")
-    cols = ["query", "_q", "corp_code", "_n", "_e"]
-    both = long_hits.select(*cols).unionByName(short_hits.select(*cols))
-    return (both.filter(F.contains("_n", "_q") | F.contains("_e", "_q"))
-            .select("query", "corp_code", F.lit(1).alias("tier")).distinct())
+    hits = rare.join(held, "run").filter(F.contains("_n", "_q") | F.contains("_e", "_q"))
+    return hits.select("query", "corp_code", F.lit(1).alias("tier")).distinct()
 
 
 def missing_inputs(companies: DataFrame, texts: DataFrame) -> DataFrame:

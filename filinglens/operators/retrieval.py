@@ -16,7 +16,7 @@ from filinglens import lexicon as L
 from filinglens.functions import vectors as V
 from filinglens.operators import vector_index
 from filinglens.operators.ordering import number_rows, top_per_group
-from filinglens.session import materialise
+from filinglens.session import join_to_few, materialise
 
 PAIR_TILE = 400
 
@@ -100,7 +100,7 @@ def rank_against_target(vectors: DataFrame, targets: DataFrame, company: str, ta
     mine = vectors.select(company, F.col("vector").alias("_v")).filter("_v is not null")
     theirs = (vectors.select(F.col(company).alias(target), F.col("vector").alias("_t")).filter("_t is not null")
               .join(targets.select(target).distinct(), target, "left_semi"))
-    return (targets.join(mine, company).join(theirs, target)
+    return (join_to_few(targets.join(mine, company), theirs, [target])
             .select(target, company, F.round(V.dot(F.col("_v"), F.col("_t")), 6).alias("similarity")))
 
 

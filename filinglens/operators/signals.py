@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from filinglens.operators.ordering import number_rows
+from filinglens.session import materialise
 
 SIGNALS = ["vector", "keyword", "edge", "centrality"]
 
@@ -44,11 +45,14 @@ def compare(vector_scores: DataFrame, network_scores: DataFrame, key: str = "sto
 
     ``vector_scores``: key, company_name, vector_score.  ``network_scores``: key,
     keyword_score, edge_score, centrality_score, node_match_count, edge_match_count.
-    Ranks and percentiles are taken inside the intersection.
+    Ranks and percentiles are taken inside the intersection; all ranks come out of one range sort.
     """
-    rows = vector_scores.join(network_scores, key)
-    for i, s in enumerate(SIGNALS):
-        rows = number_rows(rows, [F.desc_nulls_last(f"{s}_score"), F.asc(key)], f"{s}_rank", total="_total" if i == 0 else None)
+    rows = materialise(vector_scores.join(network_scores, key)).withColumn("_row", F.monotonically_increasing_id())
+    # One narrow row for each metric, one range sort for all ranks.
+    long = rows.select("_row", key, F.posexplode(F.array(*[F.col(f"{s}_score").cast("double") for s in SIGNALS])).alias("_metric", "_score"))
+    placed = number_rows(long, [F.desc_nulls_last("_score"), F.asc(key)], "_rank", ["_metric"], total="_total")
+    wide = placed.groupBy("_row").agg(F.max("_total").alias("_total"), *[F.max(F.when(F.col("_metric") == i, F.col("_rank"))).alias(f"{s}_rank") for i, s in enumerate(SIGNALS)])
+    rows = rows.join(wide, "_row").drop("_row")
     ranks = [F.col(f"{s}_rank") for s in SIGNALS]
     rows = rows.withColumns({f"{s}_percentile": percentile(F.col(f"{s}_rank"), F.col("_total")) for s in SIGNALS})
     network_mean = mean_present(ranks[1:])

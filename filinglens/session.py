@@ -62,6 +62,44 @@ def attach(rows: DataFrame, side: DataFrame, keys: list[str], how: str = "inner"
     return rows.join(spark.read.schema(side.schema).parquet(path), keys, how)
 
 
+SHARE = 200_000
+
+
+def bytes_of(spark: SparkSession, path: str) -> int:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(place).getLength()
+
+
+def broadcast_bytes(spark: SparkSession) -> int:
+    """``spark.sql.autoBroadcastJoinThreshold`` in bytes; below zero is off."""
+    raw = spark.conf.get("spark.sql.autoBroadcastJoinThreshold").lower().rstrip("b")
+    unit = {"k": 10, "m": 20, "g": 30}.get(raw[-1:], 0)
+    return int(raw[:-1] if unit else raw) << unit if not raw.startswith("-") else -1
+
+
+def join_to_few(rows: DataFrame, side: DataFrame, keys: list[str], how: str = "inner", share: int = SHARE) -> DataFrame:
+    """Join rows of which a few keys may hold most to a side that has few rows for each key.
+
+    The side is written once.  Up to the broadcast threshold it goes to the rows, which so stay where they are.
+    Beyond it, keys with more than ``share`` rows are salted: their rows are dealt over as many parts as they need and
+    the side's rows copied to these parts, so no task holds more of one key.
+    """
+    spark = rows.sparkSession
+    path = scratch_path(spark, "side")
+    side.write.parquet(path)
+    side = spark.read.schema(side.schema).parquet(path)
+    if bytes_of(spark, path) <= broadcast_bytes(spark):
+        return rows.join(F.broadcast(side), keys, how)
+    rows = materialise(rows)
+    hot = materialise(rows.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > share).select(*keys, F.ceil(F.col("_n") / share).cast("int").alias("_parts")))
+    if hot.isEmpty():
+        return rows.join(side, keys, how)
+    parts = F.coalesce("_parts", F.lit(1))
+    salted = rows.withColumn("_at", F.monotonically_increasing_id()).join(hot, keys, "left").withColumn("_salt", F.pmod(F.xxhash64("_at"), parts).cast("int")).drop("_parts", "_at")
+    copies = side.join(hot, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
+
+
 def join_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Equi-join in which a null key meets a null key; the keys of ``left`` remain."""
     side = right.select(*[F.col(c).alias(f"_on_{c}" if c in keys else c) for c in right.columns])
