@@ -15,12 +15,14 @@ def candidate_pool(company_registry: DataFrame, listing: DataFrame, filing_list:
                    version: list[str], days: int = L.LOOKBACK_DAYS, industry=None, business=None, starts=None, ends=None) -> DataFrame:
     """Every universe company with its filing, section, concepts and outcome.
 
-    ``texts``: rcept_no, text.  Texts are cut to their section before anything is
-    joined, so whole documents are not shuffled with the companies.
+    ``texts``: rcept_no, text.  Only texts of chosen filings are fetched, and they are
+    cut to their section before anything is joined, so whole documents are not
+    shuffled with the companies.
     """
     universe = registry.universe(company_registry, listing, target_name, version)
-    newest = filings.latest_periodic_as_of(universe, filing_list, day, days)
-    cut = texts.select("rcept_no", sections.section_slice(F.col("text"), starts, ends).alias("business_text"))
+    newest = materialise(filings.latest_periodic_as_of(universe, filing_list, day, days))
+    chosen = texts.join(newest.select("rcept_no").filter("rcept_no IS NOT NULL").distinct(), "rcept_no", "left_semi")
+    cut = chosen.select("rcept_no", sections.section_slice(F.col("text"), starts, ends).alias("business_text"))
     joined = sections.with_concepts(newest.join(cut, "rcept_no", "left").fillna("", ["business_text"]), "business_text", industry, business)
     return sections.pool_outcome(joined)
 

@@ -65,7 +65,7 @@ def json_statements(spark, sf):
     """Statement objects read back and exploded; broken lines are set aside."""
     s = statements(spark, sf)
     objects = s.select("company", "business_year", "dart_report_type", "fs_div", F.array(F.struct("sj_div", "account_id", "account_nm", "thstrm_amount")).alias("statements"))
-    lines = objects.select(F.to_json(F.struct("*")).alias("value")).unionByName(table(spark, sf, "region").select(F.concat(F.lit("{broken "), "r_name").alias("value")))
+    lines = objects.select(F.to_json(F.struct("*")).alias("value")).unionByName(broken_lines(spark, sf))
     path = scratch_path(spark, "statements")
     lines.write.text(path)
     rows, _ = readers.statements(spark, path, multi_line=False)
@@ -73,13 +73,18 @@ def json_statements(spark, sf):
     return rows.groupBy("dart_report_type").agg(F.count("*").alias("n"), F.sum(parse_amount(F.col("thstrm_amount"))).cast("double").alias("total"))
 
 
-@query("json_statement_errors", "SELECT r_name, 1 AS unreadable FROM region")
+def broken_lines(spark, sf):
+    """Every urgent order as a line that breaks off."""
+    o = table(spark, sf, "orders").filter("o_orderpriority = '1-URGENT'")
+    return o.select(F.concat(F.lit('{"broken": '), F.col("o_orderkey").cast("string")).alias("value"))
+
+
+@query("json_statement_errors", "SELECT o_orderkey, 1 AS unreadable FROM orders WHERE o_orderpriority = '1-URGENT'")
 def json_statement_errors(spark, sf):
-    r = table(spark, sf, "region")
     path = scratch_path(spark, "statements")
-    r.select(F.concat(F.lit("{broken "), "r_name").alias("value")).write.text(path)
+    broken_lines(spark, sf).write.text(path)
     _, bad = readers.statements(spark, path, multi_line=False)
-    return bad.select(F.regexp_extract("_corrupt_record", "broken (.*)$", 1).alias("r_name"), F.lit(1).alias("unreadable"))
+    return bad.select(F.regexp_extract("_corrupt_record", r"(\d+)$", 1).cast("bigint").alias("o_orderkey"), F.lit(1).alias("unreadable"))
 
 
 @query("csv_listing", "SELECT lpad(c_custkey::VARCHAR, 8, '0') AS corp_code, c_name AS corp_name, lpad(c_nationkey::VARCHAR, 6, '0') AS stock_code FROM customer")
@@ -196,7 +201,18 @@ def structured_documents(spark, sf):
     return structure.structured(part_pages(spark, sf), ["p_partkey"], "html").select("p_partkey", "text", "markdown", "plain")
 
 
-@query("structured_pages")
+# Text nodes of a page, one line each: comments, silent elements and tags end a line; entities of the given pages.
+_BODY = "html"
+for _p in ("(?s)<!--.*?-->", "(?is)<script\\b.*?</script>", "(?is)<style\\b.*?</style>", "(?is)<noscript\\b.*?</noscript>", "(?s)<[^>]*>"):
+    _BODY = f"regexp_replace({_BODY}, '{_p}', chr(1), 'g')"
+for _entity, _sign in (("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "'\"'"), ("&#39;", "chr(39)"), ("&nbsp;", "chr(160)"), ("&copy;", "chr(169)"), ("&middot;", "chr(183)"), ("&amp;", "'&'")):
+    _BODY = f"replace({_BODY}, '{_entity}', {_sign})"
+_STRIPPED = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')".format
+PAGE_TEXT_SQL = f"""nodes AS (SELECT page_id, array_to_string(list_filter(string_split({_BODY}, chr(1)), lambda x: x <> ''), chr(10)) AS t FROM pages),
+ page_text AS (SELECT page_id, {_STRIPPED("regexp_replace(array_to_string(list_transform(string_split(t, chr(10)), lambda x: " + _STRIPPED('x') + "), chr(10)), '\\n{3,}', chr(10) || chr(10), 'g')")} AS t FROM nodes)"""
+
+
+@query("structured_pages", f"WITH {PAGE_TEXT_SQL} SELECT page_id, length(t) AS n_chars, md5(t) AS h FROM page_text")
 def structured_pages(spark, sf):
     docs = structure.structured(spread(table(spark, sf, "pages"), "page_id"), ["page_id"], "html")
     return docs.select("page_id", "n_chars", F.md5("text").alias("h"))

@@ -105,14 +105,12 @@ def field_evidence(spark, sf):
     return fused.select("field", "vec_id", "query_hits", "category_hits", "fused_score", "evidence_id", F.col("evidence_rank").alias("r"))
 
 
-CORE_VEC_SQL = f"{CENTROID_SQL}, corev AS (SELECT e.label AS company, vec_id AS pos, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings e JOIN cent USING (label) QUALIFY row_number() OVER (PARTITION BY e.label ORDER BY {_DOT} DESC, vec_id) <= 40)"
+CORE_VEC_SQL = "corev AS (SELECT label AS company, vec_id AS pos, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings)"
 
 
-def core_vectors(spark, sf):
-    """The forty vectors of each label nearest to its mean."""
-    j = attach(vectors(spark, sf), centroids(spark, sf).select("label", "vector"), ["label"])
-    scored = j.withColumn("_s", F.round(V.dot(F.col("embedding"), F.col("vector")), 6))
-    return top_per_group(scored, ["label"], [F.desc("_s"), F.asc("vec_id")], 40, "_r").select(F.col("label").alias("company"), F.col("vec_id").alias("pos"), "embedding")
+def sentence_vectors(spark, sf):
+    """All vectors, their labels as companies."""
+    return vectors(spark, sf).select(F.col("label").alias("company"), F.col("vec_id").alias("pos"), "embedding")
 
 
 def label_pairs(spark, sf):
@@ -136,7 +134,7 @@ PAIR_SIM_SQL = f"""{CORE_VEC_SQL}, simp AS (SELECT c.company AS g, t.pos AS t, c
  one AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY rn) AS pr FROM matched QUALIFY pr <= 5)
  SELECT g AS candidate, pr AS pair_rank, t AS target_pos, c AS candidate_pos, sim AS similarity FROM one""")
 def sentence_pairs(spark, sf):
-    out = OR.best_sentence_pairs(label_pairs(spark, sf), core_vectors(spark, sf), 5, fill=False)
+    out = OR.best_sentence_pairs(label_pairs(spark, sf), sentence_vectors(spark, sf), 5, fill=False)
     return out.select("candidate", "pair_rank", "target_pos", "candidate_pos", "similarity")
 
 
@@ -144,7 +142,7 @@ def sentence_pairs(spark, sf):
  u AS (SELECT g, t, c, sim, rn, 0 AS phase FROM matched UNION ALL SELECT g, t, c, sim, rn, 1 FROM ord WHERE (g, rn) NOT IN (SELECT g, rn FROM matched))
  SELECT g AS candidate, row_number() OVER (PARTITION BY g ORDER BY phase, rn) AS pair_rank, t AS target_pos, c AS candidate_pos, sim AS similarity, 1 - phase AS one_to_one FROM u QUALIFY pair_rank <= 45""")
 def sentence_pairs_filled(spark, sf):
-    out = OR.best_sentence_pairs(label_pairs(spark, sf), core_vectors(spark, sf), 45)
+    out = OR.best_sentence_pairs(label_pairs(spark, sf), sentence_vectors(spark, sf), 45)
     return out.select("candidate", "pair_rank", "target_pos", "candidate_pos", "similarity", F.col("one_to_one").cast("int").alias("one_to_one"))
 
 
