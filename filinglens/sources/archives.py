@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import zipfile
 import zlib
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -35,32 +36,56 @@ def safe_name(name: str) -> str:
     return name.translate(str.maketrans({c: "_" for c in '\\/:*?"<>|'})).strip()
 
 
-def _members(path: str, content: bytes) -> list[tuple]:
-    rows, used, documents = [], set(), 0
+def saved_names(names: list[str]) -> dict[int, str]:
+    """File names for the images among an archive's members, by place; a name in use gets a number."""
+    out, used = {}, set()
+    for pos, name in enumerate(names):
+        if name.lower().endswith(L.IMAGE_SUFFIXES):
+            base = safe_name(name.rsplit("/", 1)[-1])
+            stem, dot, suffix = base.rpartition(".")
+            saved, n = base, 0
+            while saved in used:
+                n += 1
+                saved = f"{stem}_{n}{dot}{suffix}"
+            used.add(saved)
+            out[pos] = saved
+    return out
+
+
+def member_rows(path: str, file, size: int, lo: int = 0, hi: int | None = None, text: bool = True) -> Iterator[tuple]:
+    """Rows of an open archive's members whose bytes begin in [lo, hi); errors of the whole archive come with its first byte.
+
+    Members are read one by one; the archive itself is never held.  Without ``text`` no document is read, and sizes
+    are those of the directory.
+    """
     try:
-        with zipfile.ZipFile(io.BytesIO(content)) as z:
-            for pos, name in enumerate(z.namelist()):
-                low = name.lower()
-                if low.endswith(L.DOCUMENT_SUFFIXES):
-                    documents += 1
+        with zipfile.ZipFile(file) as z:
+            infos = z.infolist()
+            images = saved_names([i.filename for i in infos])
+            documents = 0
+            for pos, info in enumerate(infos):
+                name = info.filename
+                document = name.lower().endswith(L.DOCUMENT_SUFFIXES)
+                documents += document
+                if not (lo <= info.header_offset and (hi is None or info.header_offset < hi)):
+                    continue
+                if document and not text:
+                    yield path, pos, name, "document", info.file_size, None, None, None
+                elif document:
                     try:
-                        raw = z.read(name)
+                        raw = z.read(info)
                     except _BROKEN as e:
-                        rows.append((path, pos, name, "error", z.getinfo(name).file_size, None, None, type(e).__name__))
+                        yield path, pos, name, "error", info.file_size, None, None, type(e).__name__
                         continue
-                    rows.append((path, pos, name, "document", len(raw), decode(raw), None, None))
-                elif low.endswith(L.IMAGE_SUFFIXES):
-                    base = safe_name(name.rsplit("/", 1)[-1])
-                    stem, dot, suffix = base.rpartition(".")
-                    saved, n = base, 0
-                    while saved in used:
-                        n += 1
-                        saved = f"{stem}_{n}{dot}{suffix}"
-                    used.add(saved)
-                    rows.append((path, pos, name, "image", z.getinfo(name).file_size, None, saved, None))
+                    yield path, pos, name, "document", len(raw), decode(raw), None, None
+                elif pos in images:
+                    yield path, pos, name, "image", info.file_size, None, images[pos], None
     except _BROKEN as e:
-        return [*rows, (path, None, None, "error", len(content or b""), None, None, type(e).__name__)]
-    return rows if documents else [*rows, (path, None, None, "error", len(content), None, None, "NoDocument")]
+        if lo == 0:  # files of other stores refuse places before their beginning in their own words
+            yield path, None, None, "error", size, None, None, "BadZipFile" if isinstance(e, ValueError) else type(e).__name__
+        return
+    if not documents and lo == 0:
+        yield path, None, None, "error", size, None, None, "NoDocument"
 
 
 def members(archives: DataFrame) -> DataFrame:
@@ -74,7 +99,7 @@ def members(archives: DataFrame) -> DataFrame:
         for pdf in batches:
             rows: list[tuple] = []
             for path, content in zip(pdf["path"], pdf["content"]):
-                rows += _members(path, content)
+                rows += member_rows(path, io.BytesIO(content), len(content or b""))
                 if sum(r[4] or 0 for r in rows) >= _BATCH_BYTES:
                     yield pd.DataFrame(rows, columns=names, dtype=object)
                     rows = []

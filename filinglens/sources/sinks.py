@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 
 from filinglens.sources import structure
@@ -39,3 +40,16 @@ def write_structured(documents: DataFrame, path: str, keys: list[str], partition
     write_parquet(structure.image_rows(documents, keys), f"{path}/images", by)
     write_parquet(structure.document_counts(documents, keys), f"{path}/counts", by)
 
+
+def write_files(files: DataFrame, folder: str) -> int:
+    """Write ``content`` of every row as the file ``path`` below ``folder``; a task that runs again writes the same bytes."""
+    def run(batches):
+        store, root = pafs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (pafs.LocalFileSystem(), folder)
+        store.create_dir(root, recursive=True)
+        for batch in batches:
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
+                with store.open_output_stream(f"{root}/{path}") as out:
+                    out.write(content)
+            yield batch.select(["path"])
+
+    return files.select("path", "content").mapInArrow(run, "path string").count()

@@ -14,6 +14,7 @@ from filinglens.operators import chunks as OC
 from filinglens.operators import filings as OF
 from filinglens.plans import company_profile as CP
 from filinglens.session import materialise, scratch_path, spread
+from filinglens.sources import archive_source as AS
 from filinglens.sources import archives, readers, sinks, structure
 from workload.tables import REGISTRY_SQL, STATEMENTS_SQL, registry, statements, table
 from workload.text_queries import STRIP, any_sql, documents
@@ -135,6 +136,15 @@ def archive_members(spark, sf):
     return archives.members(page_archives(spark, sf)).select("path", "kind", "filename", "saved_name", F.md5("text").alias("h"))
 
 
+@query("archive_source", SQL["archive_members"])
+def archive_source(spark, sf):
+    """The same archives as files, read by ranges through the data source."""
+    folder = scratch_path(spark, "archives")
+    sinks.write_files(page_archives(spark, sf), folder)
+    m = AS.archive_members(spark, folder, splitBytes=16 << 10)
+    return m.select(F.regexp_extract("path", "([^/]+)$", 1).alias("path"), "kind", "filename", "saved_name", F.md5("text").alias("h"))
+
+
 @query("main_documents", "SELECT 'page-' || page_id || '.zip' AS path, page_id || '/main.html' AS filename, length(html) AS n_chars FROM pages WHERE NOT contains(url, '//m.')")
 def main_documents(spark, sf):
     docs = archives.members(page_archives(spark, sf)).filter("kind = 'document'").withColumn("n_chars", F.length("text").cast("bigint"))
