@@ -10,6 +10,7 @@ from filinglens.operators.ordering import top_per_group
 from filinglens.plans import company_profile as CP
 from filinglens.session import materialise, scratch_path, spread
 from filinglens.sources import structure
+from filinglens.streaming import versions
 from filinglens.streaming.ingest import ingest
 from workload.document_queries import WORDS
 from workload.tables import FILINGS_SQL, filings, table
@@ -109,6 +110,20 @@ def normalised_hits(spark, sf):
     return OR.normalised_hits(raw, ["doc_id"]).select("doc_id", "chunk_id", F.length("content").alias("n"), "score", "report")
 
 
+@query("incremental_versions", """WITH sent AS (SELECT o_orderkey, 1 AS version, o_totalprice FROM orders WHERE o_orderkey % 3 <> 0 UNION ALL SELECT o_orderkey, 3, o_totalprice + 1 FROM orders WHERE o_orderkey % 5 = 0
+  UNION ALL SELECT o_orderkey, 2, o_totalprice + 2 FROM orders WHERE o_orderkey % 7 < 4)
+ SELECT o_orderkey, version, o_totalprice FROM sent QUALIFY row_number() OVER (PARTITION BY o_orderkey ORDER BY version DESC) = 1""")
+def incremental_versions(spark, sf):
+    """Three deliveries of orders in versions, late older ones among them, each a run of the stream; the newest version of each."""
+    o, root = table(spark, sf, "orders"), scratch_path(spark, "versions")
+    key, price = F.col("o_orderkey"), F.col("o_totalprice")
+    for where, version, more in ((key % 3 != 0, 1, 0), (key % 5 == 0, 3, 1), (key % 7 < 4, 2, 2)):
+        sent = o.filter(where).select("o_orderkey", F.lit(version).alias("version"), (price + more).alias("o_totalprice"))
+        sent.write.mode("append").parquet(f"{root}/source")
+        versions.ingest_versions(spark, f"{root}/source", f"{root}/sink", f"{root}/checkpoint", sent.schema, "o_orderkey").awaitTermination()
+    return versions.current(spark, f"{root}/sink", "o_orderkey").select("o_orderkey", "version", "o_totalprice")
+
+
 @query("incremental_ingest", f"WITH {FILINGS_SQL} SELECT corp_code, rcept_no, strftime(rcept_dt, '%Y-%m-%d') AS rcept_dt FROM filing")
 def incremental_ingest(spark, sf):
     """Two deliveries of overlapping filings taken in by two runs of one stream."""
