@@ -3,7 +3,8 @@
 A text becomes its words, A-Z lower-cased, joined by single blanks.  A notice of m characters may be off by
 k = m // 12 edits; cut into k + 1 parts, at least one part of any such occurrence is intact (pigeonhole), so an
 Aho-Corasick automaton over all parts finds every candidate place.  The regex library's bounded-error matching
-then verifies each candidate window and gives the span and its edits.
+then verifies each candidate stretch and gives the span and its edits: the best occurrence of the stretch first, then
+those of what is left before and behind it, so copies that stand close together are all found.
 
 Null and empty texts have no words, no labels ("") and score 0.  Repeated rows are scanned each on its own; an
 empty table gives an empty result.  Other columns are ignored.
@@ -12,6 +13,7 @@ empty table gives an empty result.  Other columns are ignored.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import pyarrow as pa
 import regex
@@ -48,6 +50,16 @@ NOTICES = {
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
+def every_match(pattern, text: str, lo: int, hi: int, shortest: int) -> Iterator:
+    """The best match of a stretch, then those of what is left before and behind it."""
+    open_ = [(lo, hi)]
+    while open_:
+        a, b = open_.pop()
+        if b - a >= shortest and (m := pattern.search(text, a, b)) is not None:
+            yield m
+            open_ += [(a, m.start()), (max(m.end(), m.start() + 1), b)]
+
+
 class NoticeSearch:
     """All notices with their seeds; built once per Python worker."""
 
@@ -88,7 +100,7 @@ class NoticeSearch:
         for number, stretches in self.windows(text).items():
             notice, label, k, pattern = self.notices[number]
             for lo, hi in stretches:
-                for m in pattern.finditer(text, lo, hi):
+                for m in every_match(pattern, text, lo, hi, len(notice) - k):
                     edits = sum(m.fuzzy_counts)
                     found.append((label, m.start(), m.end(), edits, 1 - edits / len(notice)))
         better = [x for x in found if not any(y[3] < x[3] and y[1] < x[2] and x[1] < y[2] for y in found)]

@@ -10,10 +10,13 @@ from the lists is replaced by the next one in a keyed order of its list, of the
 itself; other names keep vowels, consonants and case.
 
 Within a document a check compares all surrogates with each other and with the originals; a surrogate that is
-taken, or equal to an original, moves on until it is free: a given name to the next one of its list and, when the list
-is used up, to other letters before its ending; other values under another tweak, with one more letter from time to
-time where the format has no fixed length.  An entity so moved has in that document another surrogate than elsewhere:
-it can't have the same one everywhere and never a name that the text holds.
+taken, or equal to an original, moves on until it is free.  Names are settled word by word for the whole document and
+then put together, so a person keeps one given and one family name in full names and single mentions alike: a given
+name moves to the next one of its list and, when the list is used up, to other letters before its ending.  Other
+values move on under another tweak, with one more letter from time to time where the format has no fixed length.  An
+entity so moved has in that document another surrogate than elsewhere: it can't have the same one everywhere and
+never a name that the text holds.  Letters outside the listed classes are permuted among the letters of their Unicode
+block with the same script and case; what has no such letters is replaced by drawn ones.
 
 A null text stays null, an empty one empty.  Repeated rows give repeated results; an empty table an empty result.
 Texts without entities are unchanged.  Ties between detectors go to the one listed first.
@@ -24,6 +27,7 @@ from __future__ import annotations
 import hashlib
 import ipaddress
 import re
+import unicodedata
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -60,7 +64,20 @@ class Permutation:
 
     def __init__(self, key: str):
         self.key = hashlib.blake2b(key.encode(), digest_size=32).digest()
-        self.classes = {c: (k, i, len(members)) for k, members in enumerate(_CLASSES) for i, c in enumerate(members)}
+        # For each character the mark of its class in a shape, its place in the class and the members.
+        self.classes = {c: (chr(65 + k), i, members) for k, members in enumerate(_CLASSES) for i, c in enumerate(members)}
+        self.listed = frozenset(self.classes)
+
+    def class_of(self, c: str) -> tuple[str, int, str] | None:
+        """The class of a character; letters and digits that no list names form classes by block, script and case."""
+        if c not in self.classes:
+            def kind(x):
+                return unicodedata.category(x), unicodedata.name(x, "").split(" ")[0]
+
+            block = ord(c) & ~0x7F
+            members = "".join(x for x in map(chr, range(block, block + 0x80)) if x not in self.listed and kind(x) == kind(c)) if c.isalnum() else ""
+            self.classes[c] = (members[0], members.index(c), members) if len(members) > 1 else None
+        return self.classes[c]
 
     def _draw(self, tweak: str, turn: int, value: int, limit: int) -> int:
         said = f"{tweak}\x00{turn}\x00{value}\x00{limit}".encode()
@@ -97,10 +114,10 @@ class Permutation:
         if alphabet:
             spots = [(i, alphabet.index(c), alphabet) for i, c in enumerate(s) if c in alphabet]
         else:
-            spots = [(i, at[1], _CLASSES[at[0]]) for i, c in enumerate(s) if (at := self.classes.get(c))]
+            spots = [(i, at[1], at[2]) for i, c in enumerate(s) if (at := self.class_of(c))]
         if not spots:
             return s
-        shape = tweak + "".join("." if c not in (alphabet or self.classes) else "#" if alphabet else chr(65 + self.classes[c][0]) for c in s)
+        shape = tweak + "".join(("#" if c in alphabet else ".") if alphabet else at[0] if (at := self.class_of(c)) else "." for c in s)
         new = self.digits([v for _, v, _ in spots], [len(m) for _, _, m in spots], shape, back)
         out = list(s)
         for (i, _, members), v in zip(spots, new):
@@ -117,7 +134,8 @@ def iban_check(country: str, rest: str) -> str:
     return f"{98 - int(''.join(str(int(c, 36)) for c in rest + country + '00')) % 97:02d}"
 
 
-_LAST = r"[A-ZÀ-ÖØ-Þ][\w'’-]+|[А-ЯЁ][\w-]+"
+_CAPITALS = "".join(c for a, b in ((0xC0, 0x250), (0x400, 0x530)) for c in map(chr, range(a, b)) if c.isupper())
+_LAST = rf"[A-Z{_CAPITALS}][\w'’-]+"
 _GIVEN_WORDS = "|".join(n for names in GIVEN.values() for n in names)
 DETECTORS = [
     ("email", re.compile(r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+"), "@"),
@@ -134,6 +152,9 @@ _SECRET = re.compile(r"(?i)password|passwd|secret|token|api[_-]?key")
 NAME = re.compile(rf"\b(?:(?P<title>{'|'.join(TITLES)})\.?\s+(?P<after>(?:{_LAST})(?:\s+(?:{_LAST}))?)|(?P<given>{_GIVEN_WORDS})(?:\s+(?P<family>{_LAST}))?)(?!\w)")
 
 
+NAME_WORD = re.compile(r"[\w'’-]+")
+
+
 class Surrogates:
     """Detects entities of one text and replaces them."""
 
@@ -157,6 +178,8 @@ class Surrogates:
         return self.cycles[kind]
 
     def name_word(self, word: str, turn: int) -> str:
+        if not any(self.permute.class_of(c) for c in word):
+            return "".join(chr(97 + self.permute._draw(f"{turn}/drawn{word}", 0, i, 26)) for i in range(len(word)))
         tweak, more = f"{turn}/" if turn else "", "ea"[turn // LONGER % 2] * (turn // LONGER)
         if (known := self.given.get(word)) is not None:
             others = self.cycle(known[0])[word]
@@ -172,7 +195,7 @@ class Surrogates:
         tweak, more = f"{turn}/" if turn else "", "e" * (turn // LONGER)
         p = self.permute
         if kind == "name":
-            return re.sub(r"[\w'’-]+", lambda m: self.name_word(m[0], turn), value)
+            return NAME_WORD.sub(lambda m: self.name_word(m[0], turn), value)
         if kind == "email":
             name, _, top = (more + value).rpartition(".")
             return f"{p.text(name, tweak + 'email')}.{top}"
@@ -233,16 +256,33 @@ class Surrogates:
                 admit(*m.span(), "name")
         return sorted(spans)
 
+    def settled(self, words: set[str]) -> dict[str, str]:
+        """For each word of the names of a text its surrogate: all different, none of them a word of these names."""
+        out: dict[str, str] = {}
+        taken: set[str] = set()
+        for word in sorted(words):
+            turn = 0
+            while (new := self.name_word(word, turn)) in taken or new in words:
+                turn += 1
+            out[word] = new
+            taken.add(new)
+        return out
+
     def replace(self, text: str) -> tuple[str, list[tuple[int, int, str]], dict[tuple[str, str], str]]:
         """The new text, the entities found in the old one, and their surrogates."""
         spans = self.find(text)
         if not spans:
             return text, [], {}
         originals = {(kind, text[a:b]) for a, b, kind in spans}
+        words = self.settled({w for kind, value in originals if kind == "name" for w in NAME_WORD.findall(value)})
         values = {v for _, v in originals}
         chosen: dict[tuple[str, str], str] = {}
         taken: set[str] = set()
         for kind, value in sorted(originals):
+            if kind == "name":
+                chosen[kind, value] = NAME_WORD.sub(lambda m: words[m[0]], value)
+                taken.add(chosen[kind, value])
+        for kind, value in sorted(o for o in originals if o[0] != "name"):
             new, turn = self.surrogate(kind, value), 0
             while new in taken or new in values:
                 turn += 1

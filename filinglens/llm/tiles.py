@@ -128,6 +128,9 @@ def merged(regions: DataFrame, tile: int = TILE) -> DataFrame:
     Regions that hang together by their nodes form a whole of N nodes.  As one region its nodes travel once for every
     part they meet; if the regions by themselves have more rows than that, the whole replaces them.
     """
+    rows, nodes = regions.agg(F.count("*"), F.countDistinct("node")).first()
+    if rows <= 1.5 * nodes:
+        return regions.select("region", "node", "root", "n")
     hubs = regions.groupBy("region").agg(F.min("node").alias("v"))
     star = stored(regions.join(hubs, "region").select(F.col("node").alias("u"), "v").filter("u <> v").distinct(), "stars")
     whole = stored(components(star).withColumnRenamed("root", "whole"), "wholes")

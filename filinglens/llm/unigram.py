@@ -4,7 +4,8 @@ Pieces and their scores come from a public model file whose path is a parameter.
 ``▁`` and a text gets one in front.  Among all ways to cut the marked text into pieces the one with the highest
 sum of scores wins; a character that starts no piece becomes its UTF-8 bytes as byte pieces, at a score below
 every piece.  Decoding joins the pieces, turns byte pieces back into bytes, markers into blanks and drops the
-one in front, so a text comes back whole whatever characters it has.
+one in front, so a text comes back whole whatever characters it has but one: a literal ``▁`` comes back as a blank, as
+the piece format has no other sign for it.
 
 No piece has a marker after another character, so a best cut is the best cut of each stretch of markers with
 the visible characters after it; equal stretches are cut once per Python worker, the new ones of a batch side by

@@ -150,3 +150,5 @@ def test_components_of_chains_and_stars(spark):
     got = {r.node: r.root for r in links.components(spark.createDataFrame(chain, "u string, v string")).collect()}
     assert {got[f"{i:03d}"] for i in range(61)} == {"000"} and {got[str(i)] for i in range(900, 930)} == {"900"} and len(got) == 91
     assert links.components(spark.createDataFrame([], "u string, v string")).collect() == []
+    stars = spark.createDataFrame([("a", "b"), ("c", "a"), ("x", "y"), ("b", "a")], "u string, v string")
+    assert {r.node: r.root for r in links.components(stars).collect()} == {"a": "a", "b": "a", "c": "a", "x": "x", "y": "x"}

@@ -441,3 +441,107 @@ def test_blocks_and_words_respect_texts():
             s, e, first = words(buf, offsets, NOT_SPACE)
             got += [[bytes(buf[a:b]).decode() for a, b in zip(s[first[i] : first[i + 1]], e[first[i] : first[i + 1]])] for i in range(hi - lo)]
         assert got == [SPACED.findall(t or "") for t in texts]
+
+
+# --- names settled by word, letters of all alphabets, copies of notices close together ------------------------------------------------
+
+
+def test_names_are_settled_word_by_word():
+    """Full names and single mentions of one person agree, and no name of the text serves as a surrogate."""
+    worker = surrogates.Surrogates()
+    for text in ("Mr Peter Smith met Pablo. Later Peter left.", "Mr Pablo met Peter, Diego and James. Peter Smith and Smith left with Pablo Smith.",
+                 " and ".join(f"Mr {n} Miller" for n in surrogates.GIVEN["latin", "m"]) + ". Then Peter left."):
+        new, spans, chosen = worker.replace(text)
+        check_document(text, new, spans, chosen)
+
+
+def check_document(text, new, spans, chosen):
+    """Brute force over one document: what stands where, one surrogate for each word, different words different, none an original."""
+    at, out = 0, []
+    words = {}
+    for a, b, kind in spans:
+        out += [text[at:a], chosen[kind, text[a:b]]]
+        at = b
+        if kind == "name":
+            old, fresh = surrogates.NAME_WORD.findall(text[a:b]), surrogates.NAME_WORD.findall(chosen[kind, text[a:b]])
+            assert len(old) == len(fresh)
+            for x, y in zip(old, fresh):
+                assert words.setdefault(x, y) == y
+    assert new == "".join(out) + text[at:]
+    assert len(set(words.values())) == len(words) and not set(words.values()) & set(words)
+    assert len(set(chosen.values())) == len(chosen) and not set(chosen.values()) & {v for _, v in chosen}
+
+
+@pytest.mark.parametrize("word", ["Øåß", "Groß", "Öğşı", "Щукайъ", "Ñandú", "Łódź", "Їжак", "Œuvre", "Čapek", "Ёлка", "Þór"])
+def test_letters_of_all_alphabets_are_replaced(word):
+    """Every letter belongs to a class of its script and case with several members, and the permutation can be undone."""
+    p = surrogates.Permutation("k")
+    assert all(p.class_of(c) and len(p.class_of(c)[2]) > 1 and c in p.class_of(c)[2] for c in word)
+    assert all(c.isupper() == x.isupper() for c, x in zip(word, p.text(word, "t"))) and p.text(word, "t") != word
+    assert p.text(p.text(word, "t"), "t", back=True) == word
+    new, spans, _ = surrogates.Surrogates().replace(f"Mr {word} came.")
+    assert spans and word not in new and new != f"Mr {word} came."
+
+
+def test_all_documents_by_brute_force(spark):
+    """The registered query's texts against a check of every document's names and values."""
+    sf = "/root/testdata/sf0.01"
+    worker, n = surrogates.Surrogates(), 0
+    texts = {r.doc_id: r.text for r in surrogates.documents(spark, sf).select("doc_id", "text").collect()}
+    for r in surrogates.op8_keyed_surrogates(spark, sf).collect():
+        text = texts[r.doc_id] or ""
+        new, spans, chosen = worker.replace(text)
+        check_document(text, new, spans, chosen)
+        assert (r.text or "") == new and (r.n_entities, r.n_distinct) == (len(spans), len(chosen))
+        n += len(spans)
+    assert n > 50
+
+
+def test_damaged_copies_close_together_are_all_found():
+    search = licenses.NoticeSearch(licenses.NOTICES)
+    text = "relesed undr the mit license released under the mit license"
+    assert [(x[0], x[3]) for x in search.find(text)] == [("mit", 2), ("mit", 0)]
+    three = "relesed undr the mit license " * 3
+    assert len(search.find(three)) == 3
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_fuzzy_spans_against_a_search_of_the_whole_text(seed):
+    """Every notice searched over the whole text without seeds finds no occurrence that the seeds missed."""
+    draw = random.Random(seed)
+    parts = []
+    for _ in range(30):
+        notice = draw.choice(list(licenses.NOTICES))
+        t = list(notice)
+        for _ in range(draw.randrange(0, len(notice) // 12 + 1)):
+            kind, at = draw.randrange(3), draw.randrange(len(t))
+            if kind == 0:
+                t[at] = draw.choice("abcxyz")
+            elif kind == 1:
+                t.insert(at, draw.choice("abcxyz"))
+            else:
+                del t[at]
+        parts += ["".join(t), " ".join(draw.choice(["some", "other", "words", "license"]) for _ in range(draw.randrange(0, 6)))]
+    text = " ".join(p for p in parts if p)
+    search = licenses.NoticeSearch(licenses.NOTICES)
+    whole = []
+    for notice, label, k, pattern in search.notices:
+        whole += [(label, m.start(), m.end(), sum(m.fuzzy_counts)) for m in licenses.every_match(pattern, text, 0, len(text), len(notice) - k)]
+    found = search.find(text)
+    for label, a, b, edits in whole:
+        assert any(x[1] < b and a < x[2] and x[3] <= edits for x in found), text[a:b]
+
+
+def test_trusted_counts_grow_with_the_labels(spark):
+    """All labels of quality 1 count, not only those of the threshold's sample."""
+    docs = spark.createDataFrame([(i, "good " * 60 + f"w{i}") for i in range(40)] + [(i, "bad " * 60) for i in range(40, 80)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 40), 0) for i in range(80)], "doc_id long, quality int, toxic int")
+    few = quality.judged(docs, labels, labelled_rows=10).select("doc_id", "llr")
+    many = quality.judged(docs, labels, labelled_rows=80).select("doc_id", "llr")
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect()))
+
+
+def test_a_literal_marker_comes_back_as_a_blank():
+    from filinglens.llm import unigram
+
+    assert "one: a literal ``▁`` comes back as a blank" in " ".join(unigram.__doc__.split())
