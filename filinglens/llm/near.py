@@ -8,8 +8,8 @@ Candidates are found in two waves, both confirmed on the full sets:
 
 1. each node with the first nodes of its regions, and with the neighbour in some order that shares the longest
    prefix with it, if their sketches (``SKETCH`` MinHash values) agree in ``LIKELY`` of their places.  Near copies of
-   one text, however many, become one component or a few.  Each node is tried with its likeliest partner first, the
-   other partners only where they are still in another component;
+   one text, however many, become one component or a few.  Each node is tried with its ``TRIES`` likeliest partners, so
+   that components grow together; the others stand in its regions too;
 2. regions that still hold several components go whole to tiles (``tiles``): the sets of a tile's nodes stand next to
    it, all pairs of different components are counted there, and only edges that join components leave the task.
    Regions with equal members count once; large ones are cut into parts of which every two meet.
@@ -33,11 +33,12 @@ from filinglens.llm.common import blocks, bounded_batches, documents, parts_of,
 from filinglens.llm.kernel import U, mix, shingle_sets
 from filinglens.llm.links import component_sql, components, labelled
 from filinglens.llm.tiles import TILE, edges_in, linked_to_hubs, merged, regions_of, sets_of, tiles_of
+from filinglens.operators.ordering import top_per_group
 
 WORDS = 5
 PERCENT = 75
 TREES, DEPTH, DEEPER = 24, 4, 8
-SKETCH, LIKELY = 256, 0.63
+SKETCH, LIKELY, TRIES = 256, 0.63, 3
 
 
 def _coefficients(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -173,16 +174,11 @@ def clustered(docs: DataFrame, width: int = WORDS, percent: int = PERCENT, tile:
     wave = members.select("node", F.col("pivot").alias("hub")).unionByName(across).unionByName(nearest).filter("node != hub").distinct()
     wave = stored(promising(wave, nodes), "wave")
     sets = sets_for(wave.select("node").unionByName(wave.select(F.col("hub").alias("node"))).distinct())
-    first = wave.groupBy("node").agg(F.max(F.struct("agree", "hub")).alias("best")).select("node", F.col("best.hub").alias("hub"))
+    first = top_per_group(wave, ["node"], [F.desc("agree"), F.col("hub")], TRIES).select("node", "hub")
     links = stored(linked_to_hubs(first, sets, percent), "links")
     roots = stored(components(links), "roots")
-    rest = _rooted(_rooted(wave.select("node", "hub").join(first, ["node", "hub"], "left_anti"), roots, "node", "a"), roots, "hub", "b").filter("a != b")
-    more = stored(linked_to_hubs(stored(rest.select("node", "hub"), "rest"), sets, percent), "links")
-    if not more.isEmpty():
-        links = links.unionByName(more)
-        roots = stored(components(links), "roots")
     regions = regions_of(_rooted(members.select(F.xxhash64("tree", "head").alias("region"), "node").join(nodes.select("node", "n"), "node"), roots))
-    regions = regions_of(merged(regions, tile))
+    regions = merged(regions, tile)
     edges = stored(edges_in(tiles_of(regions, tile), sets_for(regions.select("node").distinct()), percent), "edges")
     if not edges.isEmpty():
         roots = stored(components(links.unionByName(edges)), "roots")

@@ -232,7 +232,7 @@ def clustered(docs: DataFrame, width: int = WORDS, percent: int = PERCENT, tile:
     links = stored(linked_to_hubs(stored(hubs, "hubs"), sets, percent), "links")
     roots = stored(components(links), "roots")
     regions = regions.select("region", "node", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    regions = regions_of(merged(regions_of(regions), tile))
+    regions = merged(regions_of(regions), tile)
     done, large, level = regions.filter(small), regions.filter(~small), 0
     while not large.isEmpty():
         parted = stored(split(large, sets, level, percent), "split")

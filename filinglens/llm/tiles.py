@@ -21,6 +21,7 @@ from filinglens.llm.kernel import shingle_sets
 from filinglens.llm.links import components
 
 TILE, TILE_ITEMS = 512, 1 << 21
+WORTH_ITEMS = 1 << 24
 BROADCAST_KEYS = 1 << 18
 COLUMNS = 4096
 
@@ -122,15 +123,15 @@ def regions_of(members: DataFrame) -> DataFrame:
     return stored(members.join(regions, "region"), "regions")
 
 
-def merged(regions: DataFrame, tile: int = TILE) -> DataFrame:
+def merged(regions: DataFrame, tile: int = TILE, worth_items: int = WORTH_ITEMS) -> DataFrame:
     """``regions`` with those that overlap put together where that makes less work; every two nodes of a region still share one.
 
     Regions that hang together by their nodes form a whole of N nodes.  As one region its nodes travel once for every
-    part they meet; if the regions by themselves have more rows than that, the whole replaces them.
+    part they meet; if the regions by themselves have more rows than that, the whole replaces them.  To find the wholes
+    takes several rounds over all regions, which pays from ``WORTH_ITEMS`` items of sets (128 MB) on.
     """
-    rows, nodes = regions.agg(F.count("*"), F.countDistinct("node")).first()
-    if rows <= 1.5 * nodes:
-        return regions.select("region", "node", "root", "n")
+    if (regions.agg(F.sum("n")).first()[0] or 0) < worth_items:
+        return regions
     hubs = regions.groupBy("region").agg(F.min("node").alias("v"))
     star = stored(regions.join(hubs, "region").select(F.col("node").alias("u"), "v").filter("u <> v").distinct(), "stars")
     whole = stored(components(star).withColumnRenamed("root", "whole"), "wholes")
@@ -138,7 +139,7 @@ def merged(regions: DataFrame, tile: int = TILE) -> DataFrame:
     sizes = placed.groupBy("whole").agg(F.count("*").alias("rows"), F.countDistinct("node").alias("nodes"))
     worth = stored(sizes.filter(F.col("rows") > 1.5 * F.col("nodes") * F.ceil(F.col("nodes") / tile)).select("whole"), "worth")
     placed = placed.join(worth.withColumn("one", F.lit(True)), "whole", "left").withColumn("region", F.when(F.col("one"), F.xxhash64("whole")).otherwise(F.col("region")))
-    return stored(placed.select("region", "node", "root", "n").distinct(), "merged")
+    return regions_of(stored(placed.select("region", "node", "root", "n").distinct(), "merged"))
 
 
 def tiles_of(regions: DataFrame, tile: int = TILE, items: int = TILE_ITEMS) -> DataFrame:

@@ -175,3 +175,19 @@ def test_folded_counts_rule_out_no_link(spark):
     sets = [shingles(t, 3) for t in texts]
     linked = {i for i in range(len(texts)) if any(i != j and 100 * len(sets[i] & sets[j]) >= 90 * len(sets[i] | sets[j]) for j in range(len(texts)))}
     assert linked <= stay and not stay & set(range(33, 53))
+
+
+def test_overlapping_regions_become_one(spark):
+    """Regions of one family with different members are put together, a chain of pairs is not; every pair keeps a common region."""
+    rng = random.Random(6)
+    rows = [(r, f"f{n}", f"f{n}", 10) for r in range(30) for n in rng.sample(range(20), 15)] + [(100 + i, f"c{k}", f"c{k}", 10) for i in range(40) for k in (i, i + 1)]
+    members = spark.createDataFrame(rows, "region long, node string, root string, n long")
+    before = tiles.regions_of(members)
+    assert tiles.merged(before).count() == before.count()
+    after = tiles.merged(before, tile=10, worth_items=0).collect()
+    held = {}
+    for r in after:
+        held.setdefault(r.region, set()).add(r.node)
+    assert sum(n[0] == "f" for nodes in held.values() for n in nodes) == 20 and len(held) == 41
+    pairs = {(x, y) for r, x, *_ in rows for q, y, *_ in rows if r == q}
+    assert all(any({x, y} <= nodes for nodes in held.values()) for x, y in pairs)
