@@ -2,19 +2,22 @@
 
 A sentence goes when its ratio to an earlier *kept* sentence of the same company reaches the threshold.  Two ratios
 are known: ``sequence`` (twice the characters in matching blocks over both lengths) and ``edit`` (one minus the
-Levenshtein distance over the greater length).  For both, similar sentences of n characters on average have a common
-subsequence of at least t * n characters, which gives three bounds that lose nothing:
+Levenshtein distance over the greater length).  For both, similar sentences of a and b characters have a common
+subsequence of at least t (a + b) / 2, so one becomes the other by at most D = (1 - t) (a + b) insertions and
+deletions, which gives four bounds that lose nothing:
 
 * lengths: min/max >= t / (2 - t);
-* grams: of the q-grams at most (2q - 1) (1 - t) n are not shared, so of all grams in one order (frequent ones last)
-  the first ``n - q + 2 - need`` of each sentence have one in common, and with ``MORE`` further ones as many more;
+* letters: the counts of the letters differ by at most D in all;
+* grams: an insertion touches 2q - 1 q-grams, so their counts differ by at most (2q - 1) D, folded or not;
 * the common subsequence itself, counted in a bit-parallel way before any ratio.
 
 Plan.  Identical sentences collapse first.  Then variants go behind their first sentence: each sentence is compared
-with the earliest sentence of a few buckets (opening, ending, ``SEEDS`` MinHash values of its grams), in order, until
-one is similar; so a cluster of m variants costs a few times m comparisons, and only its first sentence goes on.  What
-is left is joined exactly on (company, gram): sentences that share too few of their first grams never meet.  Which
-sentences stay is settled by rounds over the similar pairs.
+with the earliest sentence of a few buckets (opening, ending, ``SEEDS`` runs of ``WIDE`` MinHash values of its grams),
+in order, until one is similar; so a cluster of m variants costs a few times m comparisons, and only its first sentence
+goes on.  What is left is laid by length into blocks of about ``BLOCK`` sentences, and blocks of one company whose
+lengths fit meet in tiles: letter counts as bits (one exclusive or and one bit count per 64 of them) leave few pairs
+for the gram counts and fewer for the ratio.  Neither pairs nor grams are shuffled, only sentences, once for each block
+they meet.  Which sentences stay is settled by rounds over the similar pairs.
 
 A sentence put behind another one is rightly dropped if that one is kept.  Where it is not, the sentence is released
 and takes part in its own right; this repeats until nothing is released, so the result is that of the sequential rule.
@@ -28,13 +31,13 @@ from difflib import SequenceMatcher
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from filinglens.session import join_safe, materialise
 
-EDGE, SEEDS, MORE = 20, 8, 5
-COMMON, SAMPLE = 4096, 20_000
+EDGE, SEEDS, WIDE = 20, 6, 5
+BLOCK, LETTERS, LEVELS, BUCKETS = 16384, 32, 16, 512
 
 
 def common_subsequence(places: dict[str, int], first: str, second: str) -> int:
@@ -97,11 +100,6 @@ def levenshtein(places: dict[str, int], first: str, second: str) -> int:
     return distance
 
 
-def gram_width(threshold: float) -> int:
-    """Widest grams of which similar sentences share at least half; 0 if single characters do not."""
-    return next((q for q in (4, 3, 2, 1) if (2 * q - 1) * (1 - threshold) <= 0.5), 0)
-
-
 def gram_codes(texts: list[str], q: int) -> tuple[np.ndarray, np.ndarray]:
     """64-bit codes of all q-grams of all texts, and where each text's ones begin; a text shorter than q has none."""
     lengths = np.array([len(t) for t in texts], np.int64)
@@ -130,7 +128,12 @@ def behind_first(rows: DataFrame, company: str, threshold: float, ratio: str = "
         for batch in batches:
             texts = batch.column("text").to_pylist()
             code, starts = gram_codes([t if len(t) > 2 else t.ljust(3) for t in texts], 3)
-            keys = [np.minimum.reduceat(_mixed(code, salt * SEEDS + s + 1), starts[:-1]) for s in range(SEEDS)] if texts else []
+            keys = []
+            for s in range(SEEDS if texts else 0):
+                key = np.zeros(len(texts), np.uint64)
+                for w in range(WIDE):
+                    key = key * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat(_mixed(code, (salt * SEEDS + s) * WIDE + w + 1), starts[:-1])
+                keys.append(key)
             edges = [[hash_of(t[:EDGE]) for t in texts], [hash_of(t[-EDGE:]) for t in texts]] if salt == 0 else []
             both = np.stack([*keys, *[np.array(e, np.uint64) for e in edges]], 1) if texts else np.zeros((0, 1), np.uint64)
             both = _mixed(both, 1) + np.arange(both.shape[1], dtype=np.uint64)
@@ -163,72 +166,114 @@ def hash_of(text: str) -> int:
     return out
 
 
-def common_grams(rows: DataFrame, q: int) -> list[int]:
-    """The most frequent grams of at most ``SAMPLE`` sentences; they come last in the order and change no result."""
-    texts = [r.text for r in rows.select("text").orderBy(F.xxhash64("ord")).limit(SAMPLE).collect()]
-    codes, counts = np.unique(gram_codes(texts, q)[0], return_counts=True)
-    top = np.argsort(-counts, kind="stable")[:COMMON]
-    return codes[top][counts[top] > 1].tolist()
+def _counted(owner: np.ndarray, bucket: np.ndarray, rows: int, buckets: int) -> np.ndarray:
+    return np.minimum(np.bincount(owner * buckets + bucket, minlength=rows * buckets), 255).astype(np.uint8).reshape(rows, buckets)
+
+
+def close_pairs(texts: list[str], n_left: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i, j) of the first ``n_left`` texts with the others, or among all if there are no others, that all count bounds let through."""
+    sizes = np.array([len(t) for t in texts], np.int64)
+    owner = np.repeat(np.arange(len(texts)), sizes)
+    letters, at = np.unique(np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32), return_inverse=True)
+    place = np.empty(len(letters), np.int64)
+    place[np.argsort(-np.bincount(at, minlength=len(letters)), kind="stable")] = np.arange(len(letters))
+    counts = _counted(owner, np.minimum(place, LETTERS - 1)[at], len(texts), LETTERS).astype(np.int16)
+    low, high = np.percentile(counts, [3, 97], axis=0).astype(np.int16)
+    bits = np.concatenate([counts[:, [c]] > np.arange(low[c], low[c] + min(LEVELS, high[c] - low[c] + 1)) for c in range(LETTERS)], axis=1)
+    words = np.packbits(np.pad(bits, ((0, 0), (0, -bits.shape[1] % 64))), axis=1).view(np.uint64)
+    alone = n_left == len(texts)
+    left = np.argsort(sizes[:n_left], kind="stable")
+    right = left if alone else n_left + np.argsort(sizes[n_left:], kind="stable")
+    columns, far = np.ascontiguousarray(words[right].T), sizes[right]
+    fit, out = threshold / (2 - threshold), []
+    for k in range(0, len(left), 128):
+        mine = left[k : k + 128]
+        lo = np.searchsorted(far, np.floor(sizes[mine[0]] * fit - 1e-6))
+        hi = np.searchsorted(far, np.ceil(sizes[mine[-1]] / fit + 1e-6), "right")
+        for c in range(max(lo, k) if alone else lo, hi, 2048):
+            d = min(c + 2048, hi)
+            apart = np.zeros((len(mine), d - c), np.uint16)
+            for w in range(len(columns)):
+                apart += np.bitwise_count(words[mine, w][:, None] ^ columns[w, c:d][None, :])
+            room = ((1 - threshold) * (sizes[mine][:, None] + far[None, c:d]) + 1e-6).astype(np.uint16 if far[-1] + sizes.max() < 1 << 16 else np.int64)
+            close = apart <= room
+            if alone and c < k + len(mine):
+                close &= np.arange(k, k + len(mine))[:, None] < np.arange(c, d)[None, :]
+            x, y = np.nonzero(close)
+            out.append((mine[x], right[c + y]))
+    i, j = [np.concatenate([o[k] for o in out]) if out else np.zeros(0, np.int64) for k in (0, 1)]
+    for q in (2, 4):
+        code, starts = gram_codes(texts, q)
+        folded = _counted(np.repeat(np.arange(len(texts)), np.diff(starts)), (_mixed(code, q) % np.uint64(BUCKETS)).astype(np.int64), len(texts), BUCKETS).astype(np.int16)
+        good = np.zeros(len(i), bool)
+        for k in range(0, len(i), 8192):
+            x, y = i[k : k + 8192], j[k : k + 8192]
+            good[k : k + 8192] = np.abs(folded[x] - folded[y]).sum(1) <= (2 * q - 1) * (1 - threshold) * (sizes[x] + sizes[y]) + 1e-6
+        i, j = i[good], j[good]
+    return i, j
+
+
+def tiles(rows: DataFrame, threshold: float, fresh: bool) -> DataFrame:
+    """Rows (company, ord, text, fresh) copied to the tiles (company, i, j) their block takes part in; side 0 is block i, 1 block j.
+
+    A block holds sentences of neighbouring lengths; where one stretch of lengths has too many, they are dealt by hash.
+    """
+    sized = rows.withColumn("n", F.length("text"))
+    lengths = sized.groupBy("company", "fresh", "n").agg(F.count("*").alias("m"))
+    before = Window.partitionBy("company", "fresh").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    lengths = lengths.withColumn("band", F.floor(F.coalesce(F.sum("m").over(before), F.lit(0)) / BLOCK).cast("long"))
+    bands = lengths.groupBy("company", "fresh", "band").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.ceil(F.sum("m") / BLOCK).cast("int").alias("parts"))
+    lengths, bands = materialise(lengths), materialise(bands)
+    name = lambda band, part: F.concat_ws("-", F.col("fresh").cast("string"), band, part)
+    blocks = bands.select("company", "fresh", "low", "high", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "band")
+    blocks = blocks.select("company", "low", "high", "fresh", name("band", "part").alias("block"))
+    other = blocks.select("company", F.col("low").alias("low_"), F.col("high").alias("high_"), F.col("fresh").alias("fresh_"), F.col("block").alias("block_"))
+    fit = threshold / (2 - threshold)
+    # Lengths are whole numbers: half a letter of room is below the next one and covers rounding.
+    fits = (F.col("block") <= F.col("block_")) & (F.col("low_") * F.lit(fit) <= F.col("high") + 0.5) & (F.col("low") * F.lit(fit) <= F.col("high_") + 0.5)
+    met = join_safe(blocks, other, ["company"]).filter(fits & (F.col("fresh") | F.col("fresh_") if fresh else F.lit(True)))
+    met = met.select("company", F.col("block").alias("i"), F.col("block_").alias("j"))
+    sides = met.select("company", "i", "j", F.col("i").alias("block"), F.lit(0).alias("side")).unionByName(met.filter("i <> j").select("company", "i", "j", F.col("j").alias("block"), F.lit(1).alias("side")))
+    sides = sides.groupBy("company", "block").agg(F.collect_list(F.struct("i", "j", "side")).alias("at"))
+    placed = join_safe(sized, lengths.drop("m"), ["company", "fresh", "n"])
+    placed = join_safe(placed, bands.select("company", "fresh", "band", "parts"), ["company", "fresh", "band"])
+    placed = placed.withColumn("block", name(F.col("band"), F.pmod(F.xxhash64("ord"), F.col("parts")).cast("int")))
+    return join_safe(placed, sides, ["company", "block"]).select("company", "ord", "text", F.explode("at").alias("at")).select("company", "at.i", "at.j", "at.side", "ord", "text")
+
+
+def _pairs(rows: DataFrame, company: str, threshold: float, ratio: str | None, fresh: str | None = None) -> DataFrame:
+    kind = rows.schema[company].dataType.simpleString()
+    rows = rows.select(F.col(company).alias("company"), "ord", "text", (F.col(fresh) if fresh else F.lit(True)).alias("fresh"))
+
+    def meet(table: pa.Table) -> pa.Table:
+        table = table.sort_by("side")
+        names, texts = table.column("ord").to_pylist(), table.column("text").to_pylist()
+        i, j = close_pairs(texts, int((table.column("side").to_numpy() == 0).sum()), threshold)
+        tester, found = Ratio(threshold, ratio or "sequence"), []
+        for x, y in zip(i.tolist(), j.tolist()):
+            a, b = (x, y) if names[x] < names[y] else (y, x)
+            if ratio is None or tester.similar(texts[a], texts[b]):
+                found.append((a, b))
+        pick = [pa.array([names[f[k]] for f in found], pa.string()) for k in (0, 1)]
+        return pa.table([table.column("company").slice(0, 1).take(pa.array([0] * len(found), pa.int64())), *pick], names=["company", "a", "b"])
+
+    # Tiles cost time rather than bytes, so they are dealt to a fixed number of tasks.
+    dealt = tiles(rows, threshold, fresh is not None).repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "company", "i", "j")
+    met = dealt.groupBy("company", "i", "j").applyInArrow(meet, f"company {kind}, a string, b string")
+    return met.select(F.col("company").alias(company), "a", "b")
 
 
 def candidates(rows: DataFrame, company: str, threshold: float) -> DataFrame:
-    """Pairs (company, a, b), a before b, that share enough of their first grams; every similar pair is among them.
+    """Pairs (company, a, b), a before b, that the count bounds let through; every similar pair is among them.
 
     ``rows``: company, ord (sortable text key), text.
     """
-    kind, q = rows.schema[company].dataType.simpleString(), gram_width(threshold)
-    lost = (2 * q - 1) * (1 - threshold)
-    usual = {c: i for i, c in enumerate(reversed(common_grams(rows, q)))} if q else {}
-    names, ranks = np.array(sorted(usual), np.uint64), np.array([usual[c] + 1 for c in sorted(usual)], np.int64)
+    return _pairs(rows, company, threshold, None)
 
-    def first_grams(batches):
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            code, starts = gram_codes(texts, q or 1)
-            order = np.zeros(len(code), np.int64)
-            if len(names):
-                at = np.minimum(np.searchsorted(names, code), len(names) - 1)
-                order = np.where(names[at] == code, ranks[at], 0)
-            out = []
-            for i, text in enumerate(texts):
-                n = len(text)
-                # What the shortest partner must share; below MORE + 1 the grams decide nothing, nor for partners of such texts.
-                need = int(np.ceil((n / (2 - threshold)) * (1 - lost) - q + 1 - 1e-9)) if q else 0
-                mine = code[starts[i] : starts[i + 1]]
-                by = np.lexsort((mine, order[starts[i] : starts[i + 1]]))
-                mine = mine[by]
-                again = np.arange(len(mine)) - np.flatnonzero(np.diff(mine, prepend=~mine[:1]) != 0)[np.cumsum(np.diff(mine, prepend=~mine[:1]) != 0) - 1] if len(mine) else by
-                take = min(len(mine), len(mine) - need + 1 + MORE) if need > MORE else 0
-                grams = (_mixed(mine[:take], 2) + _mixed(again[:take].astype(np.uint64), 3)).view(np.int64).tolist()
-                if need <= 2 * (MORE + 1):
-                    grams.append(0)
-                out.append(grams)
-            yield pa.RecordBatch.from_arrays([batch.column("company"), batch.column("ord"), pa.array([len(t) for t in texts], pa.int32()), pa.array(out, pa.list_(pa.int64()))], ["company", "ord", "n", "grams"])
-
-    laid = rows.select(F.col(company).alias("company"), "ord", "text").mapInArrow(first_grams, f"company {kind}, ord string, n int, grams array<long>")
-    laid = materialise(laid.select("company", "ord", "n", F.explode("grams").alias("gram")))
-    left = laid.select("company", "gram", F.col("ord").alias("a"), F.col("n").alias("na"))
-    right = laid.select("company", "gram", F.col("ord").alias("b"), F.col("n").alias("nb"))
-    fits = F.least("na", "nb") * F.lit(2.0) >= F.lit(threshold) * (F.col("na") + F.col("nb")) - 1e-9
-    met = join_safe(left, right, ["company", "gram"]).filter(F.col("a") < F.col("b")).filter(fits)
-    shared = F.sum(F.when(F.col("gram") == 0, MORE + 1).otherwise(1))
-    return met.groupBy("company", "a", "b").agg(shared.alias("shared")).filter(F.col("shared") > MORE).select(F.col("company").alias(company), "a", "b")
-
-
-def similar_pairs(rows: DataFrame, company: str, threshold: float, ratio: str = "sequence") -> DataFrame:
-    """Pairs (company, a, b) of order keys with a before b whose ratio reaches the threshold."""
-    kind = rows.schema[company].dataType.simpleString()
-    texts = rows.select(company, "ord", "text")
-    met = join_safe(candidates(rows, company, threshold), texts.withColumnRenamed("ord", "a").withColumnRenamed("text", "x"), [company, "a"])
-    met = join_safe(met, texts.withColumnRenamed("ord", "b").withColumnRenamed("text", "y"), [company, "b"]).select(F.col(company).alias("company"), "a", "b", "x", "y")
-
-    def verify(batches):
-        tester = Ratio(threshold, ratio)
-        for batch in batches:
-            near = [tester.similar(x, y) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist())]
-            yield batch.select(["company", "a", "b"]).filter(pa.array(near, pa.bool_()))
 
-    return met.mapInArrow(verify, f"company {kind}, a string, b string").withColumnRenamed("company", company)
+def similar_pairs(rows: DataFrame, company: str, threshold: float, ratio: str = "sequence", fresh: str | None = None) -> DataFrame:
+    """Pairs (company, a, b) of order keys with a before b whose ratio reaches the threshold; with ``fresh`` (a boolean column) those that hold a fresh row."""
+    return _pairs(rows, company, threshold, ratio, fresh)
 
 
 def dropped_by_rounds(pairs: DataFrame, company: str) -> DataFrame:
@@ -251,7 +296,7 @@ def dropped_by_rounds(pairs: DataFrame, company: str) -> DataFrame:
     return dropped if dropped is not None else pairs.select(company, F.col("b").alias("k")).limit(0)
 
 
-def drop_near_duplicates(rows: DataFrame, company: str, order: list[str], text: str, threshold: float = 0.93, ratio: str = "sequence", sweeps: int = 3) -> DataFrame:
+def drop_near_duplicates(rows: DataFrame, company: str, order: list[str], text: str, threshold: float = 0.93, ratio: str = "sequence", sweeps: int = 2) -> DataFrame:
     """Rows of each company that are no near duplicate of an earlier kept row.
 
     ``order``: non-negative whole-number or text columns giving a strict order.  ``sweeps``: how often what is left is
@@ -270,13 +315,19 @@ def drop_near_duplicates(rows: DataFrame, company: str, order: list[str], text:
         left = materialise(join_safe(left, found.select(company, F.col("k").alias("ord")), [company, "ord"], "left_anti"))
     # A first sentence that went behind another one in a later sweep holds nothing any more.
     behind = materialise(join_safe(behind, behind.select(company, F.col("k").alias("first")).distinct(), [company, "first"], "left_anti"))
+    pairs, fresh = None, None
     while True:
         waiting = behind.select(company, F.col("k").alias("ord")).distinct()
-        heads = materialise(join_safe(firsts, waiting, [company, "ord"], "left_anti"))
-        lost = materialise(dropped_by_rounds(similar_pairs(heads, company, threshold, ratio), company))
+        heads = join_safe(firsts, waiting, [company, "ord"], "left_anti")
+        if fresh is None:
+            pairs = materialise(similar_pairs(heads, company, threshold, ratio))
+        else:
+            heads = join_safe(heads, fresh.withColumn("fresh", F.lit(True)), [company, "ord"], "left").withColumn("fresh", F.coalesce("fresh", F.lit(False)))
+            pairs = materialise(pairs.unionByName(similar_pairs(heads, company, threshold, ratio, "fresh")))
+        lost = materialise(dropped_by_rounds(pairs, company))
         held = join_safe(behind, lost.withColumnRenamed("k", "first"), [company, "first"], "left_anti")
-        released = join_safe(waiting, held.select(company, F.col("k").alias("ord")).distinct(), [company, "ord"], "left_anti")
-        if released.isEmpty():
+        fresh = materialise(join_safe(waiting, held.select(company, F.col("k").alias("ord")).distinct(), [company, "ord"], "left_anti"))
+        if fresh.isEmpty():
             break
         behind = materialise(held)
     gone = lost.withColumnRenamed("k", "ord").unionByName(waiting)
