@@ -3,10 +3,11 @@
 Words, word pairs and byte triples are hashed into ``buckets``.  Two multinomials are estimated with additive
 smoothing: one over all trusted documents (those labelled with quality 1, however many), one over all documents.  A
 document's score is the sum of the log ratios of its n-grams divided by their number.  The threshold is the cut
-between the good and bad documents of a sample of at most ``labelled_rows`` labelled rows with the best balanced
-accuracy, the lowest of equals; every document is decided by that one number, whatever its neighbours.
+between the good and bad documents of all labelled rows with the best balanced accuracy, the lowest of equals; every
+document is decided by that one number, whatever its neighbours.
 
-What travels: one row per bucket and task while counting, then a vector of ``buckets`` floats to the tasks.
+What travels: one row per bucket and task while counting, then a vector of ``buckets`` floats to the tasks; for the
+threshold one row per distinct score of labelled documents, in a range sort.
 
 A null or empty text has no words, score 0 and fails the base rules.  Repeated rows are scored each on their
 own.  Without labels of both kinds the threshold is minus infinity, so the base rules alone decide; an empty
@@ -17,14 +18,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from filinglens.llm.common import blocks, bounded_batches, documents, labels, stored, whole_text
 from filinglens.llm.kernel import NOT_SPACE, U, Hashes, grams, mix, table_of, words
 
 BUCKETS = 1 << 16
-LABELLED_ROWS = 20_000
 BROADCAST_LABELS = 1 << 20
 FEWEST_WORDS = 50
 _SYMBOLS = table_of(b"#*$%&|<>")
@@ -156,14 +156,40 @@ def best_cut(scores: np.ndarray, good: np.ndarray) -> float:
     return float((s[k - 1] + s[k]) / 2) if k < len(s) else np.inf
 
 
-def judged(docs: DataFrame, labels_: DataFrame, buckets: int = BUCKETS, labelled_rows: int = LABELLED_ROWS, fewest_words: int = FEWEST_WORDS) -> DataFrame:
-    """One row per document: the base rules, base_failed, kept, llr."""
+def best_cut_of(rows: DataFrame) -> float:
+    """``best_cut`` of any number of rows (llr, label): counts per partition of a range sort, windows inside each."""
+    counted = rows.groupBy("llr").agg(F.count_if(F.col("label") == 1).alias("good"), F.count_if(F.col("label") != 1).alias("bad"))
+    placed = stored(counted.orderBy("llr").withColumn("part", F.spark_partition_id()), "scores")
+    totals = sorted(placed.groupBy("part").agg(F.min("llr").alias("low"), F.max("llr").alias("high"), F.sum("good").alias("good"), F.sum("bad").alias("bad")).collect(), key=lambda r: r.low)
+    good, bad = sum(r.good for r in totals), sum(r.bad for r in totals)
+    if not good or not bad:
+        return -np.inf
+    before, so_far, last = [], [0, 0], None
+    for r in totals:
+        before.append((r.part, so_far[0], so_far[1], last))
+        so_far, last = [so_far[0] + r.good, so_far[1] + r.bad], r.high
+    side = placed.sparkSession.createDataFrame(before, "part int, lost long, caught long, last double")
+    by = Window.partitionBy("part").orderBy("llr")
+    upto = by.rowsBetween(Window.unboundedPreceding, -1)
+    run = placed.join(F.broadcast(side), "part").select(
+        "llr", F.coalesce(F.lag("llr").over(by), "last").alias("under"),
+        (F.col("caught") + F.coalesce(F.sum("bad").over(upto), F.lit(0))).alias("caught"), (F.col("lost") + F.coalesce(F.sum("good").over(upto), F.lit(0))).alias("lost"))
+    best = run.withColumn("gain", F.col("caught") / F.lit(bad) - F.col("lost") / F.lit(good)).orderBy(F.desc("gain"), "llr").first()
+    return -np.inf if best.under is None else float((best.under + best.llr) / 2)
+
+
+def judged(docs: DataFrame, labels_: DataFrame, buckets: int = BUCKETS, labelled_rows: int | None = None, fewest_words: int = FEWEST_WORDS) -> DataFrame:
+    """One row per document: the base rules, base_failed, kept, llr.
+
+    ``labelled_rows``: labels the threshold is taken from, chosen by hash; all unless given.
+    """
     bounded_batches(docs.sparkSession)
-    sample = sample_of(labels_, "quality", labelled_rows)
-    ratio = ratios(docs, one_label(labels_, "quality"), buckets)
-    drawn = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id")
-    seen = scored(drawn, ratio).select("doc_id", "llr").join(F.broadcast(sample), "doc_id").select("llr", "label").toPandas()
-    cut = best_cut(seen["llr"].to_numpy(), seen["label"].to_numpy() == 1)
+    marks = stored(one_label(labels_, "quality"), "marks")
+    ratio = ratios(docs, marks, buckets)
+    asked = marks if labelled_rows is None else stored(sample_of(labels_, "quality", labelled_rows), "asked")
+    side = F.broadcast(asked) if asked.count() <= BROADCAST_LABELS else asked
+    drawn = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(side, "doc_id", "left_semi")
+    cut = best_cut_of(scored(drawn, ratio).select("doc_id", "llr").join(side, "doc_id").select("llr", "label"))
     failed = (F.col("n_words") < fewest_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     s = scored(docs, ratio).withColumn("base_failed", failed)
     return s.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
