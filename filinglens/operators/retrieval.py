@@ -16,9 +16,10 @@ from filinglens import lexicon as L
 from filinglens.functions import vectors as V
 from filinglens.operators import vector_index
 from filinglens.operators.ordering import number_rows, top_per_group
-from filinglens.session import join_to_few, materialise
+from filinglens.session import broadcast_bytes, join_to_few, materialise
 
 PAIR_TILE = 400
+ENCODED_TOGETHER = 256
 
 
 # --- encoding ---------------------------------------------------------------------------
@@ -28,11 +29,16 @@ def hashing_encoder(dimension: int = 256) -> Callable[[], Callable[[list[str]],
     def load():
         def encode(texts: list[str]) -> np.ndarray:
             out = np.zeros((len(texts), dimension), dtype=np.float64)
-            for i, t in enumerate(texts):
-                c = np.frombuffer(f" {t.lower()} ".encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
-                h = (c[:-2] * 73856093 ^ c[1:-1] * 19349663 ^ c[2:] * 83492791) & 0xFFFFFFFF
+            for at in range(0, len(texts), ENCODED_TOGETHER):
+                part = [f" {t.lower()} " for t in texts[at : at + ENCODED_TOGETHER]]
+                size = np.array([len(t) for t in part])
+                c = np.frombuffer("".join(part).encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
+                inside = np.ones(len(c), bool)  # no trigram crosses two texts
+                inside[np.cumsum(size) - 1] = inside[np.cumsum(size) - 2] = False
+                h = (c[:-2] * 73856093 ^ c[1:-1] * 19349663 ^ c[2:] * 83492791)[inside[:-2]] & 0xFFFFFFFF
                 h = (h * 2654435761 & 0xFFFFFFFF) >> 7
-                out[i] = np.bincount((h >> 1) % dimension, weights=np.where(h & 1, 1.0, -1.0), minlength=dimension)
+                place = np.repeat(np.arange(len(part)) * dimension, size - 2) + ((h >> 1) % dimension).astype(np.int64)
+                out[at : at + len(part)] = np.bincount(place, weights=np.where(h & 1, 1.0, -1.0), minlength=len(part) * dimension).reshape(-1, dimension)
             return out
         return encode
     return load
@@ -69,9 +75,15 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int, corpus_key: str, filter
     """Best ``k`` corpus rows per query by dot product, ties by ``corpus_key``.
 
     ``queries``: query_id, embedding and, per ``filters`` entry (corpus column →
-    query column), a value the corpus row must equal.  The corpus is indexed for this
-    search; to ask it again, keep the index (``vector_index.build`` and ``search``).
+    query column), a value the corpus row must equal.  Queries up to the broadcast
+    threshold are broadcast and the corpus is read once where it lies; more queries
+    meet an index of it.  To ask a corpus again, keep the index
+    (``vector_index.build`` and ``search``).
     """
+    queries = materialise(queries)
+    size = queries.agg(F.coalesce(F.sum(8 * F.size("embedding")), F.lit(0))).first()[0]
+    if size <= broadcast_bytes(queries.sparkSession):
+        return vector_index.scan(corpus, corpus_key, queries, k, filters, digits, query_block)
     index = vector_index.build(corpus, corpus_key, list(filters or {}))
     return vector_index.search(index, queries, k, filters, digits, query_block)
 

@@ -11,6 +11,8 @@ blocks of each group in turn and skips those that cannot reach the group's k-th
 bounds decide what is read, never the result: scores are rounded to ``digits`` and ties go to the smaller key.
 
 The index is a table: ``build(..., path)`` writes it, ``load`` reads it.  Null vectors take no part.
+
+A table that is asked once needs no index: :func:`scan` reads its rows where they lie, past queries that are broadcast.
 """
 
 from __future__ import annotations
@@ -169,15 +171,18 @@ class Asked:
         if not len(need):
             return
         rows = block["rows"]
-        x = np.frombuffer(block["x"], np.float64).reshape(len(rows), -1)
+        self.add(need, np.frombuffer(block["x"], np.float64).reshape(len(rows), -1), [r[self.key] for r in rows], {c: [r[c] for r in rows] for c in self.wanted})
+
+    def add(self, need: np.ndarray, x: np.ndarray, keys: list, values: dict[str, list]):
+        """Vectors met by the queries ``need``."""
         s = np.round(x @ self.q[need].T, self.digits).T
-        ok = self.allowed({c: [r[c] for r in rows] for c in self.wanted})
+        ok = self.allowed(values)
         if ok is not None:
             s = np.where(ok[need], s, -np.inf)
         best = s if s.shape[1] <= self.k else np.partition(s, s.shape[1] - self.k, axis=1)[:, s.shape[1] - self.k :]
         least = np.maximum(self.least[need], best.min(1) if s.shape[1] >= self.k else -np.inf)
         a, b = np.nonzero((s >= least[:, None]) & (s > -np.inf))
-        self.pool.append((need[a], s[a, b], [rows[i][self.key] for i in b.tolist()]))
+        self.pool.append((need[a], s[a, b], [keys[i] for i in b.tolist()]))
         self.held += len(a)
         self.least[need] = np.maximum(self.least[need], least)
         if self.held > POOL:
@@ -286,3 +291,34 @@ def search(index: VectorIndex, queries: DataFrame, k: int, filters: dict[str, st
         chosen = materialise(streamed(meet, begin, needed, lambda s: None, pair, "lane long, block long"))
     hits = scored(lanes, chosen).select(*named, "query_id", key, "score")
     return top_per_group(hits, [*groups, "query_id"], [F.desc("score"), F.asc_nulls_last(key)], k)
+
+
+def scan(corpus: DataFrame, key: str, queries: DataFrame, k: int, filters: dict[str, str] | None = None, digits: int = 6, lane: int = LANE) -> DataFrame:
+    """:func:`search` without groups over rows that are read once and neither stored nor shuffled.
+
+    ``queries`` must be few enough to be broadcast.  A task keeps the best ``k`` of each query and scores ``BLOCK`` rows
+    against ``lane`` queries at a time.
+    """
+    filters, wanted = filters or {}, list(dict.fromkeys((filters or {}).values()))
+    id_type, key_type = queries.schema["query_id"].dataType, corpus.schema[key].dataType
+    asked = [{"query_id": r.query_id, "embedding": r.embedding, "filters": {c: r[f"_{c}"] for c in wanted}, "least": None}
+             for r in queries.filter(F.col("embedding").isNotNull()).select("query_id", "embedding", *[F.col(c).alias(f"_{c}") for c in wanted]).collect()]
+    out_type = T.StructType([T.StructField("query_id", id_type), T.StructField(key, key_type), T.StructField("score", T.DoubleType())])
+    shape = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in out_type])
+    sent = queries.sparkSession.sparkContext.broadcast(asked)
+
+    def run(batches):
+        lanes = [Asked(sent.value[i : i + lane], k, key, filters, digits) for i in range(0, len(sent.value), lane)]
+        for batch in batches:
+            for at in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(at, BLOCK)
+                x, keys, values = _matrix(part.column("embedding")), part.column("key").to_pylist(), {c: part.column(f"_{c}").to_pylist() for c in filters}
+                for asked in lanes:
+                    asked.add(np.arange(len(asked.ids)), x, keys, values)
+        for asked in lanes:
+            found = asked.found()
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(found[1:], shape)], schema=shape)
+
+    rows = corpus.filter(F.col("embedding").isNotNull()).select(F.col(key).alias("key"), *[F.col(c).alias(f"_{c}") for c in filters], "embedding")
+    return top_per_group(rows.mapInArrow(run, out_type), ["query_id"], [F.desc("score"), F.asc_nulls_last(key)], k)

@@ -88,3 +88,42 @@ def test_lanes_hold_whatever_the_tables_hold(spark):
     assert index.blocks.count() >= 20 and index.blocks.agg(F.max(F.size("rows"))).first()[0] == 25
     got = sorted((r.company, r.query_id, r.id, r.score, r["rank"]) for r in VI.search(index, queries, 4).collect())
     assert got == plain(rows, asked, 4, groups=True)
+
+
+@pytest.mark.parametrize("filters", [False, True])
+def test_a_corpus_asked_once_is_read_once(spark, filters):
+    """Every encoded row costs model time, so ``top_k`` reads the corpus in one pass and stores none of it."""
+    from filinglens.operators import retrieval as OR
+
+    x, q = clustered(8, 700, 6), clustered(9, 23, 6)
+    x[50:90] = x[50]  # ties
+    rows, corpus = corpus_of(spark, x)
+    asked, queries = queries_of(spark, q)
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    hits = OR.top_k(queries, corpus.repartition(3).mapInArrow(counted, corpus.schema), 6, "id", {"kind": "wanted"} if filters else None, query_block=10)
+    assert sorted((r.query_id, r.id, r.score, r["rank"]) for r in hits.collect()) == plain(rows, asked, 6, filters)
+    assert read.value == len(rows) + 1
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "16b")
+    try:
+        more = OR.top_k(queries, corpus, 6, "id", {"kind": "wanted"} if filters else None, query_block=10)
+        assert sorted((r.query_id, r.id, r.score, r["rank"]) for r in more.collect()) == plain(rows, asked, 6, filters)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_texts_encoded_together_equal_each_alone():
+    from filinglens.operators import retrieval as OR
+
+    encode = OR.hashing_encoder(64)()
+    texts = ["", "a", "The same. The same.", "é中\U0001f600 x", "line\nline"] * 70
+    together = encode(texts)
+    assert (together == np.concatenate([encode([t]) for t in texts])).all() and not encode([]).size
+    c = [ord(x) for x in " a "]
+    h = (((c[0] * 73856093 ^ c[1] * 19349663 ^ c[2] * 83492791) & 0xFFFFFFFF) * 2654435761 & 0xFFFFFFFF) >> 7
+    assert together[1, (h >> 1) % 64] == (1 if h & 1 else -1) and np.abs(together[1]).sum() == 1
