@@ -12,6 +12,8 @@ from filinglens import lexicon as L
 # Unicode blanks that a text run may hold.
 BLANK = r"[\s\u001c-\u001f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 SENTENCE_BREAK = r"(?<=[.!?。])\s+|\n+"
+# One word of small or caseless letters: it is its own normal form and holds neither digits nor blanks.
+PLAIN_WORD = r"^[\p{Ll}\p{Lo}]{2,}\z"
 _MARK = "\u0001"
 PIECE_BREAK = r"(?<=[.!?다요])\s+"
 
@@ -204,17 +206,20 @@ def context(c: Column, pos: Column, width, before: int, after: int) -> Column:
 
 def normalise_keyword(c: Column, stopwords=None) -> Column:
     stopwords = L.KEYWORD_STOPWORDS if stopwords is None else stopwords
+    plain = c.rlike(PLAIN_WORD)
     bare = squash(F.regexp_replace(F.lower(strip(c)), r"[^\p{L}\p{N}_\s\-]", " "))
     tokens = F.filter(F.split(bare, " "), lambda t: (t != "") & ~t.isin(*stopwords) & ~t.rlike(r"^\d+(\.\d+)?$"))
     joined = F.array_join(tokens, " ")
-    return F.when(F.length(joined) >= 2, joined).otherwise(F.lit(""))
+    cleaned = F.when(F.length(joined) >= 2, joined).otherwise(F.lit(""))
+    return F.when(plain & ~c.isin(*stopwords), c).when(plain, "").otherwise(cleaned)
 
 
 def is_noisy_keyword(keyword: Column, score: Column, floor: float = L.MIN_KEYWORD_SCORE, phrases=None) -> Column:
     phrases = L.KEYWORD_NOISE_PHRASES if phrases is None else phrases
     k = F.lower(strip(keyword))
     dated = k.rlike(r"\d{4}년|\d+월|\d+일") & (F.size(F.split(k, r"\s+")) <= 2)
-    return ((k == "") | (score < floor) | any_term(k, phrases) | k.rlike(r"^[\d\s.%]+$") | dated
+    plain = F.when(keyword.rlike(PLAIN_WORD), (score < floor) | any_term(keyword, phrases))
+    return plain.otherwise((k == "") | (score < floor) | any_term(k, phrases) | k.rlike(r"^[\d\s.%]+$") | dated
             | (F.length(F.replace(k, F.lit(" "), F.lit(""))) < 2))
 
 

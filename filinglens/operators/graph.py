@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from filinglens import lexicon as L
 from filinglens.functions import text as X
 from filinglens.operators.ordering import top_per_group
-from filinglens.session import join_to_few, materialise, once
+from filinglens.session import attach, join_to_few, materialise, once
 
 COMPANY = "company"
 
@@ -27,7 +27,7 @@ def clean_keywords(raw: DataFrame, stopwords=None, phrases=None, floor: float =
 
     ``raw``: company, sentence_pos, phrase, score; the best score of a phrase stays.
     """
-    named = once(raw, keyword=X.normalise_keyword(F.col("phrase"), stopwords))
+    named = once(raw.filter(F.col("score") >= floor), keyword=X.normalise_keyword(F.col("phrase"), stopwords))
     kept = named.filter(~X.is_noisy_keyword(F.col("keyword"), F.col("score"), floor, phrases))
     return kept.groupBy(COMPANY, "sentence_pos", "keyword").agg(F.max("score").alias("score"))
 
@@ -43,9 +43,10 @@ def keyword_nodes(keywords: DataFrame, limit: int = L.MAX_GRAPH_NODES) -> DataFr
 def cooccurrence_edges(keywords: DataFrame, nodes: DataFrame) -> DataFrame:
     """Keyword pairs of one sentence, weighted by the number of sentences.
 
-    A sentence carries a handful of keywords, so pairs are formed inside its row.
+    A sentence carries a handful of keywords, so pairs are formed inside its row; the
+    few nodes go to the keywords.
     """
-    selected = keywords.join(nodes.select(COMPANY, "keyword"), [COMPANY, "keyword"])
+    selected = attach(keywords, nodes.select(COMPANY, "keyword"), [COMPANY, "keyword"])
     per_sentence = selected.groupBy(COMPANY, "sentence_pos").agg(F.array_sort(F.collect_set("keyword")).alias("k"))
     pairs = F.flatten(F.transform("k", lambda a, i: F.transform(
         F.slice(F.col("k"), i + 2, F.size("k")), lambda b: F.struct(a.alias("a"), b.alias("b")))))

@@ -41,3 +41,14 @@ def test_latest_is_combined_before_the_shuffle(spark):
 
     text = plan(latest_per_group(spark.read.parquet(f"{SF}/orders.parquet"), ["o_custkey"], ["o_orderdate"], ["o_orderkey"]))
     assert "partial_max" in text and "Window" not in text
+
+
+def test_keywords_stay_where_they_are_to_meet_the_nodes(spark):
+    """The nodes are few; the keywords, one company holding most of them, are not sorted for the join."""
+    from filinglens.operators import graph
+    from filinglens.session import materialise
+
+    keywords = materialise(spark.createDataFrame([("a", i // 3, f"word{i % 5}", 0.5) for i in range(30)], "company string, sentence_pos long, keyword string, score double"))
+    nodes = materialise(graph.keyword_nodes(keywords))
+    text = plan(graph.cooccurrence_edges(keywords, nodes))
+    assert "BroadcastHashJoin" in text and "SortMergeJoin" not in text

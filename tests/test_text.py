@@ -113,3 +113,16 @@ def test_audit_diagnosis(spark):
     assert got[("A", "R5_regulatory_risk")] == "retrieval_or_query"
     assert got[("B", "R5_regulatory_risk")] == "absent_everywhere"
     assert got[("C", "R2_customer_concentration")] == "lost_before_chunking"
+
+
+def test_plain_words_skip_the_cleaning_and_come_out_alike(spark):
+    """Plain words take no regular expression but the first; a blank around them sends the same word down the long way."""
+    words = ["the", "word", "a", "éß", "자사", "주식회사", "ab\n", "Ab", "a-b", "x1", "ŉa", "ªº", "tokens here", "idiotic"]
+    rows = spark.createDataFrame([(w,) for w in words], "w string")
+    shaped = lambda c: X.normalise_keyword(c, ["the", "자사"])
+    noisy = lambda c, score: X.is_noisy_keyword(c, F.lit(score), phrases=["idiot"])
+    padded = F.concat(F.lit(" "), "w", F.lit(" "))
+    got = rows.select("w", shaped(F.col("w")).alias("k"), shaped(padded).alias("long_k"), *[noisy(c, s).alias(f"{n}{s}") for n, c in (("n", F.col("w")), ("long_n", padded)) for s in (0.2, 0.9)]).collect()
+    assert all(r.k == r.long_k and r["n0.9"] == r["long_n0.9"] and r["n0.2"] == r["long_n0.2"] for r in got)
+    assert {r.w: r.k for r in got} == {"the": "", "word": "word", "a": "", "éß": "éß", "자사": "", "주식회사": "주식회사", "ab\n": "ab", "Ab": "ab", "a-b": "a-b", "x1": "x1",
+                                       "ŉa": "ŉa", "ªº": "ªº", "tokens here": "tokens here", "idiotic": "idiotic"}
