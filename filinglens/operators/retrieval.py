@@ -6,19 +6,22 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from filinglens import lexicon as L
 from filinglens.functions import vectors as V
 from filinglens.operators import vector_index
+from filinglens.operators.lanes import laid, parts_for, streamed
 from filinglens.operators.ordering import number_rows, top_per_group
 from filinglens.session import broadcast_bytes, join_to_few, materialise
 
-PAIR_TILE = 400
+PAIR_TILE, LANE_TILES = 2048, 4
 ENCODED_TOGETHER = 256
 
 
@@ -138,57 +141,137 @@ def fuse(hits: DataFrame, limit: int = L.EVIDENCE_LIMIT, groups: tuple[str, ...]
 
 # --- sentence pairs ---------------------------------------------------------------------------------------------
 
+class ClosePairs:
+    """Of all pairs seen, the best ``pool`` that are among the ``k`` best of their row and column, and the best ``2 k``.
+
+    Pairs are ordered by similarity (in millionths), then by their positions.  A pair that is passed over never makes
+    another one place better than it is, so what is kept holds at least the pairs that count.
+    """
+
+    def __init__(self, k: int, pool: int):
+        self.k, self.pool, self.floor = k, pool, None
+        self.parts, self.held, self.room = [], 0, 4 * pool + 20_000
+
+    def add(self, tp: np.ndarray, cp: np.ndarray, similarity: np.ndarray):
+        """``similarity`` of all pairs of the ascending positions ``tp`` and ``cp``."""
+        flat = similarity.ravel()
+        # What rounds to the floor or above lies above its lower edge.
+        at = np.arange(flat.size) if self.floor is None else np.flatnonzero(flat >= (self.floor - 1) / 1e6)
+        if len(at) > self.room:
+            at = self._dense(np.rint(similarity * 1e6).astype(np.int64))
+        i, j = np.divmod(at, len(cp))
+        self.parts.append((tp[i], cp[j], np.rint(flat[at] * 1e6).astype(np.int64)))
+        self.held += len(at)
+        if self.held > self.room or self.floor is None:
+            self._prune()
+
+    def _dense(self, s: np.ndarray) -> np.ndarray:
+        """Places of the pairs of one tile that can be kept; ties are told apart by place, so a tile of equal pairs stays small."""
+        n, m = s.shape
+        rows = s * m + np.arange(m)[::-1]
+        columns = s * n + np.arange(n)[::-1, None]
+        every = s.ravel() * s.size + np.arange(s.size)[::-1]
+        keep = np.ones(s.shape, bool)
+        if m > self.k:
+            keep &= rows >= np.partition(rows, m - self.k, axis=1)[:, [m - self.k]]
+        if n > self.k:
+            keep &= columns >= np.partition(columns, n - self.k, axis=0)[[n - self.k]]
+        top = min(2 * self.k, s.size)
+        return np.flatnonzero(keep.ravel() | (every >= np.partition(every, s.size - top)[s.size - top]))
+
+    def _place(self, line: np.ndarray) -> np.ndarray:
+        """Place of each pair among those of its line, in the order given."""
+        order = np.argsort(line, kind="stable")
+        first = np.searchsorted(line[order], line[order])
+        out = np.empty(len(line), np.int64)
+        out[order] = np.arange(len(line)) - first
+        return out
+
+    def _prune(self) -> np.ndarray:
+        tp, cp, sim = (np.concatenate(x) for x in zip(*self.parts))
+        order = np.lexsort((cp, tp, -sim))
+        tp, cp, sim = tp[order], cp[order], sim[order]
+        close = (self._place(tp) < self.k) & (self._place(cp) < self.k)
+        close &= np.cumsum(close) <= self.pool
+        if close.sum() == self.pool:
+            self.floor = int(sim[np.flatnonzero(close)[-1]])
+        keep = close.copy()
+        keep[: 2 * self.k] = True
+        self.parts, self.held = [(tp[keep], cp[keep], sim[keep])], int(keep.sum())
+        return close[keep]
+
+    def kept(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        close = self._prune()
+        tp, cp, sim = self.parts[0]
+        return tp, cp, sim / 1e6, close
+
+
 def best_sentence_pairs(pairs: DataFrame, items: DataFrame, k: int, fill: bool = True, company: str = "company") -> DataFrame:
     """Most similar sentence pairs of each company pair, preferring unused sentences.
 
+    Vectors that are null or hold a null or non-finite component take no part.
+
     ``pairs``: target, candidate.  ``items``: company, pos, embedding.  First pass:
     one-to-one by similarity; second pass (``fill``): best remaining pairs up to ``k``.
 
-    Tiles of ``PAIR_TILE`` sentences of either side meet, so companies may be of any
-    size.  A pick of the first pass is among the ``k`` best of its row and of its
-    column, since earlier picks use fewer than ``k`` of either; each earlier pick rules
-    out at most ``2 k`` such pairs, so the best ``2 k² + k`` of them hold all picks.
-    The second pass needs the best ``2 k`` of all pairs.
+    Blocks of ``PAIR_TILE`` sentences of the candidates stream past lanes of the
+    targets, so companies may be of any size.  A pick of the first pass is among the
+    ``k`` best of its row and of its column, since earlier picks use fewer than ``k``
+    of either; each earlier pick rules out at most ``2 k`` such pairs, so the best
+    ``2 k² + k`` of them hold all picks.  The second pass needs the best ``2 k`` of all
+    pairs.  Both hold for what a lane has seen so far, so it keeps only these
+    (:class:`ClosePairs`) and passes over what is below the last of them.
     """
-    sizes = items.groupBy(company).agg(F.ceil(F.count("*") / PAIR_TILE).cast("int").alias("tiles"))
-    tiled = items.join(sizes, company).withColumn("tile", F.pmod(F.xxhash64("pos"), F.col("tiles")).cast("int"))
-    packed = tiled.groupBy(company, "tile").agg(F.array_sort(F.collect_list(F.struct("pos", "embedding"))).alias("s"))
-    both = (pairs.join(packed.select(F.col(company).alias("target"), F.col("s").alias("t")), "target")
-            .join(packed.select(F.col(company).alias("candidate"), F.col("s").alias("c")), "candidate"))
-    both = both.select("target", "candidate", F.transform("t", lambda x: x["pos"]).alias("tp"), F.transform("t", lambda x: x["embedding"]).alias("tv"),
-                       F.transform("c", lambda x: x["pos"]).alias("cp"), F.transform("c", lambda x: x["embedding"]).alias("cv"))
-    kind = pairs.schema["target"].dataType.simpleString()
-    pool = 2 * k * k + k
-
-    def place(order: np.ndarray, shape: tuple[int, int], axis: int) -> np.ndarray:
-        """Place of each pair within its row or column, in the order given."""
-        out, seen = np.empty(len(order), np.int64), np.zeros(shape[axis], np.int64)
-        for o, line in zip(order, np.unravel_index(order, shape)[axis]):
-            out[o] = seen[line]
-            seen[line] += 1
+    spark, pool = items.sparkSession, 2 * k * k + k
+    items = items.filter(F.col("embedding").isNotNull())
+
+    def packed(side: DataFrame, who: str, rows: int, number: str) -> DataFrame:
+        sizes = side.groupBy(company).agg(F.ceil(F.count("*") / rows).cast("int").alias("tiles"))
+        tiled = side.join(sizes, company).withColumn("tile", F.pmod(F.xxhash64("pos"), F.col("tiles")).cast("int"))
+        tiles = tiled.groupBy(company, "tile").agg(F.sort_array(F.collect_list(F.struct(F.col("pos").cast("long").alias("pos"), "embedding"))).alias("s"))
+        side = F.struct(F.col(company).alias("who"), F.col("s.pos").alias("pos"), F.col("s.embedding").alias("vectors"))
+        return materialise(tiles.select(F.col(company).alias(who), side.alias("side")).withColumn(number, F.monotonically_increasing_id()))
+
+    lanes = packed(items.join(pairs.select(F.col("target").alias(company)).distinct(), company, "left_semi"), "target", LANE_TILES * PAIR_TILE, "lane")
+    blocks = packed(items.join(pairs.select(F.col("candidate").alias(company)).distinct(), company, "left_semi"), "candidate", PAIR_TILE, "name")
+    parts = parts_for(blocks.count(), lanes.count(), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    meet = (lanes.select("lane", "target").join(pairs.select("target", "candidate").distinct(), "target")
+            .join(blocks, "candidate").select("lane", "name", F.col("side").alias("large"), F.xxhash64("candidate").alias("next")))
+    kind = T.StructType([T.StructField("target", pairs.schema["target"].dataType), T.StructField("candidate", pairs.schema["candidate"].dataType), T.StructField("tp", T.LongType()),
+                         T.StructField("cp", T.LongType()), T.StructField("sim", T.DoubleType()), T.StructField("close", T.BooleanType())])
+
+    def unit(side):
+        v = np.array(side["vectors"], np.float64).reshape(len(side["pos"]), -1)
+        sound = np.isfinite(v).all(1)
+        return np.array(side["pos"], np.int64)[sound], _unit_rows(v[sound])
+
+    def begin(lane, small):
+        return {"target": small["who"], "side": unit(small), "candidate": None, "found": None}
+
+    def end(state):
+        if state["found"] is None:
+            return None
+        tp, cp, sim, close = state["found"].kept()
+        return [[state["target"]] * len(tp), [state["candidate"]] * len(tp), tp, cp, sim, close]
+
+    def step(state, large):
+        out = None
+        if state["found"] is None or state["candidate"] != large["who"]:
+            out = end(state)
+            state["candidate"], state["found"] = large["who"], ClosePairs(k, pool)
+        (tp, t), (cp, c) = state["side"], unit(large)
+        for at in range(0, len(tp), PAIR_TILE):
+            state["found"].add(tp[at : at + PAIR_TILE], cp, t[at : at + PAIR_TILE] @ c.T)
         return out
 
-    def meet(batches):
-        for pdf in batches:
-            for r in pdf.itertuples(index=False):
-                t = _unit_rows(np.array([np.asarray(v, dtype=np.float64) for v in r.tv]))
-                c = _unit_rows(np.array([np.asarray(v, dtype=np.float64) for v in r.cv]))
-                sim = np.round(t @ c.T, 6)
-                ti, ci = np.unravel_index(np.arange(sim.size), sim.shape)
-                order = np.lexsort((ci, ti, -sim.ravel()))
-                close = (place(order, sim.shape, 0) < k) & (place(order, sim.shape, 1) < k)
-                top = np.zeros(sim.size, bool)
-                top[order[: 2 * k]] = True
-                keep = np.flatnonzero(close | top)
-                yield pd.DataFrame({"target": r.target, "candidate": r.candidate, "tp": np.asarray(r.tp)[ti[keep]], "cp": np.asarray(r.cp)[ci[keep]], "sim": sim.ravel()[keep], "close": close[keep]})
-
-    found = both.mapInPandas(meet, f"target {kind}, candidate {kind}, tp bigint, cp bigint, sim double, close boolean")
-    found = found.filter("tp is not null")
+    shape = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in kind])
+    found = streamed(laid(lanes.select("lane", F.col("side").alias("small")), meet, parts), begin, step, end, shape, kind)
     order = [F.desc("sim"), F.asc("tp"), F.asc("cp")]
     pair = ["target", "candidate"]
     best = top_per_group(found, pair, order, 2 * k, "_r").drop("_r").withColumn("close", F.lit(False))
     close = top_per_group(found.filter("close"), [*pair, "tp"], order, k, "_r").drop("_r")
     close = top_per_group(top_per_group(close, [*pair, "cp"], order, k, "_r").drop("_r"), pair, order, pool, "_r").drop("_r")
+    who = pairs.schema["target"].dataType.simpleString()
     listed = best.unionByName(close).groupBy(*pair, "tp", "cp", "sim").agg(F.max("close").alias("close"))
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -204,7 +287,7 @@ def best_sentence_pairs(pairs: DataFrame, items: DataFrame, k: int, fill: bool =
         rows = [(pdf["target"].iloc[0], pdf["candidate"].iloc[0], n + 1, *x) for n, x in enumerate(chosen)]
         return pd.DataFrame(rows, columns=["target", "candidate", "pair_rank", "target_pos", "candidate_pos", "similarity", "one_to_one"], dtype=object)
 
-    return listed.groupBy(*pair).applyInPandas(choose, f"target {kind}, candidate {kind}, pair_rank bigint, target_pos bigint, candidate_pos bigint, similarity double, one_to_one boolean")
+    return listed.groupBy(*pair).applyInPandas(choose, f"target {who}, candidate {who}, pair_rank bigint, target_pos bigint, candidate_pos bigint, similarity double, one_to_one boolean")
 
 
 # --- keyphrases --------------------------------------------------------------------------------------------------------

@@ -310,3 +310,34 @@ def test_sentence_pairs_of_large_companies(spark, monkeypatch, fill):
         chosen = [(*p, True) for p in first] + ([(*p, False) for p in rest[: 6 - len(first)]] if fill else [])
         want += [(c, n + 1, *p) for n, p in enumerate(chosen)]
     assert got == sorted(want)
+
+
+@pytest.mark.parametrize("kind", ["drawn", "equal", "few values"])
+def test_a_lane_keeps_few_pairs_and_all_that_count(kind):
+    """A million pairs leave a bounded rest that holds every greedy pick and the best of all, ties included."""
+    draw = np.random.default_rng(5)
+    k, n, m = 3, 900, 1200
+    sim = {"drawn": draw.normal(size=(n, m)) / 4, "equal": np.ones((n, m)), "few values": draw.integers(0, 4, size=(n, m)) / 4}[kind]
+    tp, cp = np.arange(n) * 3, np.arange(m) * 2
+    found = OR.ClosePairs(k, 2 * k * k + k)
+    found.room = 5_000
+    for i in draw.permutation(3):
+        for j in draw.permutation(4):
+            found.add(tp[i::3], cp[j::4], sim[i::3, j::4])
+            assert found.held <= found.room
+    t, c, s, close = found.kept()
+    assert len(t) <= 2 * k * k + 3 * k and close.sum() <= 2 * k * k + k
+    whole = np.round(sim, 6)
+    order = np.lexsort((np.tile(cp, n), np.repeat(tp, m), -whole.ravel()))
+    every = [(int(tp[o // m]), int(cp[o % m]), float(whole.ravel()[o])) for o in order[: 20_000]]
+    kept = list(zip(t.tolist(), c.tolist(), s.tolist()))
+    assert kept[: 2 * k] == every[: 2 * k]
+
+    def greedy(pairs):
+        out = []
+        for p in pairs:
+            if len(out) < k and p[0] not in {x[0] for x in out} and p[1] not in {x[1] for x in out}:
+                out.append(p)
+        return out
+
+    assert greedy([p for p, x in zip(kept, close) if x]) == greedy(every)
