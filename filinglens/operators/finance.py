@@ -144,8 +144,11 @@ def yoy_across_reports(profiles: DataFrame) -> DataFrame:
 
 
 def common_periods(pairs: DataFrame, profiles: DataFrame) -> DataFrame:
-    """Periods both companies of a pair report.  ``pairs``: target, candidate."""
-    keys = profiles.select("company", "period_key", "period_order")
+    """Periods both companies of a pair report.  ``pairs``: target, candidate.
+
+    Both sides read the same stored keys, so the statements are worked through once.
+    """
+    keys = materialise(profiles.select("company", "period_key", "period_order"))
     mine = keys.withColumnRenamed("company", "candidate")
     theirs = keys.select(F.col("company").alias("target"), "period_key").join(pairs.select("target").distinct(), "target", "left_semi")
     return join_to_few(pairs.join(mine, "candidate"), theirs, ["target", "period_key"])

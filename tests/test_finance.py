@@ -59,3 +59,21 @@ def test_matcher_cases(spark):
 def test_period_keys(spark):
     got = spark.createDataFrame([("2023_Q3_YTD",), ("2023_FY",), ("x_FY",), ("2023",), ("2023_ZZ",)], "k string").select(ident.period_order(F.col("k"))).collect()
     assert [r[0] for r in got] == [20233, 20230, None, None, None]
+
+
+def test_common_periods_work_through_the_profiles_once(spark):
+    from filinglens.operators import finance
+
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    rows = [(c, f"{y}_FY", y * 10) for c, years in ((1, (2000, 2001)), (2, (2001, 2002)), (3, (1999,))) for y in years]
+    plain = spark.createDataFrame(rows, "company long, period_key string, period_order int")
+    pairs = spark.createDataFrame([(1, 2), (1, 3)], "target long, candidate long")
+    out = finance.common_periods(pairs, plain.mapInArrow(counted, plain.schema))
+    assert [(r.target, r.candidate, r.period_key) for r in out.collect()] == [(1, 2, "2001_FY")]
+    assert read.value == len(rows)
