@@ -64,13 +64,15 @@ def account_candidates(statements: DataFrame, accounts=None, keep_unmatched: boo
 
     ``keep_unmatched`` keeps the other statement rows with a null account.
     """
-    scored = F.array(*[F.struct(F.lit(a).alias("account"), account_score(s, i, n).alias("score"))
-                       for a, s, i, n in (accounts or L.ACCOUNTS)])
+    scored = F.filter(F.array(*[F.struct(F.lit(a).alias("account"), account_score(s, i, n).alias("score"))
+                                for a, s, i, n in (accounts or L.ACCOUNTS)]), lambda x: x["score"] > 0)
     rows = with_amounts(statements)
     ready = rows.withColumns({"_sheet": F.upper(F.coalesce(F.col("sj_div"), F.lit(""))), "_name": A.account_name(F.col("account_nm")),
                               "_detailed": A.account_name(F.col("account_detail")) != ""}).withColumn("_scored", scored)
-    # the amount test sits inside the generator: as a filter it would be pushed down and parse every text twice
-    usable = F.when(F.col("amount").isNotNull(), F.filter("_scored", lambda x: x["score"] > 0))
+    # The scores are filtered where they are made: a step with a lambda is no part of fused code, whose one method would
+    # grow beyond what the JVM compiles.  The amount test sits inside the generator: as a filter it would be pushed down
+    # and parse every text twice.
+    usable = F.when(F.col("amount").isNotNull(), F.col("_scored"))
     unfold = F.explode_outer if keep_unmatched else F.explode
     return ready.select(*rows.columns, unfold(usable).alias("_m")).select(
         *rows.columns, F.col("_m.account").alias("account"), F.col("_m.score").alias("score"))

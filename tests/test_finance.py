@@ -77,3 +77,15 @@ def test_common_periods_work_through_the_profiles_once(spark):
     out = finance.common_periods(pairs, plain.mapInArrow(counted, plain.schema))
     assert [(r.target, r.candidate, r.period_key) for r in out.collect()] == [(1, 2, "2001_FY")]
     assert read.value == len(rows)
+
+
+def test_scores_are_not_part_of_fused_code(spark):
+    """Fused with the amounts, the scores make one method that the JVM does not compile."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        rows = st(spark, ("annual", "CFS", "IS", "x", "매출액", "", "1", "", "", ""))
+        plan = OF.account_candidates(rows)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    scored = [line for line in plan.splitlines() if "ifrs-full_Revenue" in line]
+    assert scored and not any("*(" in line.split("Project")[0] for line in scored)
