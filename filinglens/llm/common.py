@@ -16,11 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filinglens.session import scratch_path, shared_dir
-
-BATCH_BYTES = 16 << 20
-BATCH_ROWS = 2_000
-
+from filinglens.session import bounded_batches, scratch_path, shared_dir  # noqa: F401
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -45,12 +41,6 @@ def fold(modulus: int, name: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(name).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small, so that long texts don't add up in a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write once to the shared folder and read back: cuts the lineage and gives Spark the true size."""
     spark = df.sparkSession

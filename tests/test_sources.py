@@ -147,3 +147,18 @@ def test_references_without_semicolon():
     got = structure.parse(page, ended=True)
     assert got["text"] == "and&amp\n&ampx; <b' a&copy=1 &nosuch;" and "a&ampb" in got["plain"]
     assert structure.parse("<p>and&amp</p>")["text"] == "and&"
+
+
+def test_pages_are_parsed_piece_by_piece(spark, monkeypatch):
+    """A task yields its pages in pieces bounded by their markup, with the same rows as at once."""
+    pages = spark.createDataFrame([(i, None if i == 3 else f"<p>{'x' * 10 * i}</p><table><tr><td>{i}</td></tr></table>") for i in range(40)], "id long, html string").coalesce(1)
+    whole = structure.structured(pages, ["id"], "html").orderBy("id").collect()
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "2000"
+    monkeypatch.setattr(structure, "PIECE", 500)
+    seen = {}
+    monkeypatch.setattr(type(pages), "mapInPandas", lambda self, run, schema: seen.update(run=run))
+    structure.structured(pages, ["id"], "html")
+    batch = structure.pd.DataFrame({"id": range(40), "_markup": [r.html for r in pages.collect()]})
+    parts = list(seen["run"]([batch]))
+    assert len(parts) > 5 and [i for p in parts for i in p["id"]] == list(range(40))
+    assert [t for p in parts for t in p["text"]] == [r.text for r in whole]
