@@ -5,6 +5,7 @@ from __future__ import annotations
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 
+from filinglens.session import bounded_batches
 from filinglens.sources import structure
 
 SIGNAL_CSV_COLUMNS = ["stock_code", "company_name", "vector_score", "keyword_score", "edge_score", "centrality_score", "vector_rank",
@@ -43,13 +44,15 @@ def write_structured(documents: DataFrame, path: str, keys: list[str], partition
 
 def write_files(files: DataFrame, folder: str) -> int:
     """Write ``content`` of every row as the file ``path`` below ``folder``; a task that runs again writes the same bytes."""
+    bounded_batches(files.sparkSession)
+
     def run(batches):
         store, root = pafs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (pafs.LocalFileSystem(), folder)
         store.create_dir(root, recursive=True)
         for batch in batches:
-            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content")):
                 with store.open_output_stream(f"{root}/{path}") as out:
-                    out.write(content)
+                    out.write(content.as_py())
             yield batch.select(["path"])
 
     return files.select("path", "content").mapInArrow(run, "path string").count()

@@ -162,3 +162,12 @@ def test_pages_are_parsed_piece_by_piece(spark, monkeypatch):
     parts = list(seen["run"]([batch]))
     assert len(parts) > 5 and [i for p in parts for i in p["id"]] == list(range(40))
     assert [t for p in parts for t in p["text"]] == [r.text for r in whole]
+
+
+def test_files_are_written_from_bounded_batches(spark, tmp_path):
+    from filinglens.sources import sinks
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    files = spark.createDataFrame([(f"{i}.bin", bytes([i]) * i) for i in range(20)], "path string, content binary")
+    assert sinks.write_files(files, str(tmp_path / "out")) == 20
+    assert (tmp_path / "out" / "7.bin").read_bytes() == bytes([7]) * 7
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "2000"
