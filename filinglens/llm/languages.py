@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import pickle
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,15 +39,47 @@ NONE = "und"
 CHUNK = 32
 SPAN = 24
 MOST_WORDS = 300_000
+TOGETHER = 1 << 17
+CRC = np.array([zlib.crc32(bytes([b ^ 0xFF])) ^ 0xFF000000 for b in range(256)], np.uint32)
+
+
+def crc32_of(buf: np.ndarray, s: np.ndarray, e: np.ndarray, head: bytes = b"") -> np.ndarray:
+    """crc32 of ``head`` and each short span [s, e) of ``buf``, byte by byte for all spans together."""
+    state = np.full(len(s), zlib.crc32(head) ^ 0xFFFFFFFF, np.uint32)
+    at, open_ = s, np.arange(len(s))
+    while len(open_):
+        more = at < e[open_]
+        at, open_ = at[more], open_[more]
+        now = state[open_]
+        state[open_] = CRC[(now ^ buf[at]) & np.uint32(255)] ^ (now >> np.uint32(8))
+        at = at + 1
+    return state ^ np.uint32(0xFFFFFFFF)
+
+
+def words_features(words_: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed affixes, n-grams and identity of lower-cased words: word's number and feature, both ascending."""
+    marked = [f"<{w}>".encode("utf-8") for w in words_]
+    buf = np.frombuffer(b"".join(marked), np.uint8)
+    ends = np.cumsum([len(m) for m in marked])
+    sign = np.append(np.flatnonzero((buf & 0xC0) != 0x80), len(buf))
+    last = np.searchsorted(sign, ends)
+    first = np.concatenate(([0], last[:-1]))
+    owner = np.repeat(np.arange(len(marked)), last - first)
+    found = [(np.arange(len(marked)), np.array([zlib.crc32(m) for m in marked], np.uint32))]
+    for k in (2, 3, 4, 5):
+        w = np.flatnonzero(last - first > k)
+        found += [(w, crc32_of(buf, sign[first[w]], sign[first[w] + k])), (w, crc32_of(buf, sign[last[w] - k], sign[last[w]]))]
+    for k in (2, 3):
+        i = np.flatnonzero(np.arange(len(owner)) + k <= last[owner])
+        found.append((owner[i], crc32_of(buf, sign[i], sign[i + k], b"_")))
+    both = np.sort(np.concatenate([w * buckets + crc.astype(np.int64) % buckets for w, crc in found]))
+    both = both[np.append(True, both[1:] != both[:-1])]  # several times as fast as np.unique here
+    return both // buckets, both % buckets
 
 
 def word_features(word: str, buckets: int) -> list[int]:
-    """Hashed affixes, n-grams and identity of a lower-cased word."""
-    marked = f"<{word}>"
-    n = len(marked)
-    names = {marked} | {marked[:k] for k in range(2, min(n, 6))} | {marked[-k:] for k in range(2, min(n, 6))}
-    grams = ("_" + marked[i : i + k] for k in (2, 3) for i in range(n - k + 1))
-    return sorted({zlib.crc32(x.encode("utf-8")) % buckets for some in (names, grams) for x in some})
+    """Features of one lower-cased word."""
+    return words_features([word], buckets)[1].tolist()
 
 
 def positions(low: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -73,15 +106,33 @@ class Field:
         self.langs, self.buckets, self.lexicon = langs, buckets, lexicon
         self.emit, self.move, self.start = np.zeros((buckets + n, n)), np.zeros((n, n)), np.zeros(n)
 
-    def features(self, word: str) -> list[int]:
-        own = self.lexicon.get(word)
-        return word_features(word, self.buckets) + ([self.buckets + own] if own is not None else [])
+    def features(self, words_: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Features of one word after the other, and how many each has."""
+        owner, hashed = words_features(words_, self.buckets)
+        own = np.array([self.lexicon.get(w, -1) for w in words_], np.int64)
+        listed = np.flatnonzero(own >= 0)
+        at = np.searchsorted(owner, listed, "right")
+        return np.insert(hashed, at, self.buckets + own[listed]), np.bincount(owner, minlength=len(words_)) + (own >= 0)
+
+    def emissions(self, words_: list[str]) -> np.ndarray:
+        flat, sizes = self.features(words_)
+        return np.add.reduceat(self.emit[flat], np.cumsum(sizes) - sizes, axis=0)
 
 
 def decoded(buf: np.ndarray, s: int, e: int) -> str:
     return bytes(buf[s:e]).decode("utf-8", "replace").lower()
 
 
+def portions(words_: list[str], size: int = TOGETHER) -> Iterator[list[str]]:
+    """Runs of words of about ``size`` characters, so that what is made for them stays bounded."""
+    ends = np.cumsum([len(w) for w in words_])
+    lo = 0
+    while lo < len(words_):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + size, "right")))
+        yield words_[lo:hi]
+        lo = hi
+
+
 def chain_gradient(field: Field, emission: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Expected minus observed counts for a batch of sequences of one length: by position, by transition, by start."""
     m, t, n = emission.shape
@@ -126,9 +177,9 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray, str]], buckets: i
     clear = (total >= 5) & (seen.max(1, initial=0) >= 0.9 * total)
     names = list(vocabulary)
     field = Field(langs, buckets, {names[i]: int(seen[i].argmax()) for i in np.flatnonzero(clear)})
-    features = [field.features(w) for w in names]
-    sizes = np.array([len(f) for f in features], np.int64)
-    begin, flat = np.cumsum(sizes) - sizes, np.array([x for f in features for x in f], np.int64)
+    features = [field.features(some) for some in portions(names)]
+    flat, sizes = (np.concatenate(x) for x in zip(*features))
+    begin = np.cumsum(sizes) - sizes
     pieces = [(ids[i : i + SPAN], k) for ids, k in zip(texts, owners) for i in range(0, len(ids), SPAN)]
     pieces = [(np.resize(p, SPAN), k) for p, k in pieces]
     draw = np.random.default_rng(seed)
@@ -196,21 +247,25 @@ class Labeller:
         self.rows = np.zeros((1024, n))
         self.move, self.start = np.exp(field.move - field.move.max()), np.exp(field.start - field.start.max())
 
-    def learn(self, h: int, word: str) -> int:
-        k = len(self.known)
-        if k == len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        e = self.field.emit[self.field.features(word)].sum(0)
-        self.known[h], self.rows[k] = k, np.exp(np.maximum(e - e.max(), -50))
-        return k
+    def learn(self, hashes: list[int], words_: list[str]) -> None:
+        """Keep the emissions of new words."""
+        at = iter(hashes)
+        for some in portions(words_):
+            k = len(self.known)
+            while k + len(some) > len(self.rows):
+                self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+            e = self.field.emissions(some)
+            self.rows[k : k + len(some)] = np.exp(np.maximum(e - e.max(1, keepdims=True), -50))
+            self.known.update((h, j) for j, h in zip(range(k, k + len(some)), at))
 
     def emissions(self, low: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
         if len(self.known) > MOST_WORDS:
             self.known.clear()
         distinct, first, inverse = np.unique(Hashes(low).span(s, e), return_index=True, return_inverse=True)
-        known = self.known
-        index = np.fromiter((k if (k := known.get(h)) is not None else self.learn(h, decoded(low, s[i], e[i])) for h, i in zip(distinct.tolist(), first.tolist())), np.int64, len(distinct))
-        return self.rows[index[inverse]]
+        known, distinct = self.known, distinct.tolist()
+        new = [(h, i) for h, i in zip(distinct, first.tolist()) if h not in known]
+        self.learn([h for h, _ in new], [decoded(low, s[i], e[i]) for _, i in new])
+        return self.rows[np.fromiter(map(known.__getitem__, distinct), np.int64, len(distinct))[inverse]]
 
     def marginals(self, e: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Forward-backward over each text's words; ``first`` has where each text's words begin."""

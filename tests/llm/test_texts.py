@@ -225,6 +225,37 @@ def test_scripts_without_blanks_and_long_words(spark):
     assert [bytes(buf[a:b]).decode() for a, b in zip(s, e)] == ["ab", "日", "x", "ไ", "ท", "ย", "é한국", "c", "𠀀", "語", "本", "d"] and list(first) == [0, 9, 10, 12]
 
 
+def test_new_words_are_hashed_together(monkeypatch):
+    """Features equal those made piece by piece, and a batch's new words take one crc32 call each, not one a piece."""
+    def plain(word, buckets):
+        marked = f"<{word}>"
+        n = len(marked)
+        names = {marked} | {marked[:k] for k in range(2, min(n, 6))} | {marked[-k:] for k in range(2, min(n, 6))} | {"_" + marked[i : i + k] for k in (2, 3) for i in range(n - k + 1)}
+        return sorted({zlib.crc32(x.encode()) % buckets for x in names})
+
+    draw = random.Random(6)
+    some = ["a", "é", "日", "𠀀", "", "x" * 3000, *("".join(draw.choice("abcdéñ日𠀀<>") for _ in range(draw.randrange(1, 14))) for _ in range(300))]
+    for buckets in (1 << 15, 7):
+        field = languages.Field(["a", "b"], buckets, {w: 1 for w in some[::4]})
+        flat, sizes = field.features(some)
+        want = [plain(w, buckets) + ([buckets + 1] if w in field.lexicon else []) for w in some]
+        assert flat.tolist() == [x for f in want for x in f] and sizes.tolist() == [len(f) for f in want]
+        assert [languages.word_features(w, buckets) for w in some[:9]] == [plain(w, buckets) for w in some[:9]]
+        field.emit = np.random.default_rng(6).normal(size=field.emit.shape)
+        assert np.allclose(field.emissions(some), [field.emit[f].sum(0) for f in want])
+    assert [w for part in languages.portions(some, 50) for w in part] == some and all(len(part) == 1 or sum(map(len, part)) <= 50 for part in languages.portions(some, 50))
+
+    calls, real = [], zlib.crc32
+    monkeypatch.setattr(languages.zlib, "crc32", lambda *a: calls.append(a) or real(*a))
+    low = np.frombuffer(b" ".join(b"w%03dabcdef" % i for i in range(500)), np.uint8)
+    s, e, _ = languages.positions(low, np.array([0, len(low)]))
+    worker = languages.Labeller(field)
+    first = worker.emissions(low, s, e)
+    assert len(worker.known) == 500 and len(calls) < 600
+    again = len(calls)
+    assert np.array_equal(worker.emissions(low, s, e), first) and len(calls) == again
+
+
 # --- pieces ------------------------------------------------------------------------------------------
 
 @pytest.fixture(scope="module")
