@@ -14,10 +14,11 @@ deletions, which gives four bounds that lose nothing:
 Plan.  Identical sentences collapse first.  Then variants go behind their first sentence: each sentence is compared
 with the earliest sentence of a few buckets (opening, ending, ``SEEDS`` runs of ``WIDE`` MinHash values of its grams),
 in order, until one is similar; so a cluster of m variants costs a few times m comparisons, and only its first sentence
-goes on.  What is left is laid by length into blocks of about ``BLOCK`` sentences, and blocks of one company whose
-lengths fit meet in tiles: letter counts as bits (one exclusive or and one bit count per 64 of them) leave few pairs
-for the gram counts and fewer for the ratio.  Neither pairs nor grams are shuffled, only sentences, once for each block
-they meet.  Which sentences stay is settled by rounds over the similar pairs.
+goes on; variants of a first sentence that has no more than ``FEW`` go on as well.  What is left is laid by length into
+blocks of ``BLOCK`` sentences and more, and blocks of one company whose lengths fit meet in tiles: letter counts as bits
+(one exclusive or and one bit count per 64 of them) leave few pairs for the gram counts and fewer for the ratio.  Neither
+pairs nor grams are shuffled, only sentences, once for each block they meet.  Which sentences stay is settled company by
+company over the similar pairs, by rounds where there are more than ``SHARE``.
 
 A sentence put behind another one is rightly dropped if that one is kept.  Where it is not, the sentence is released
 and takes part in its own right; this repeats until nothing is released, so the result is that of the sequential rule.
@@ -27,17 +28,22 @@ Nulls: a null company is a company, a null text is no sentence and stays.
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 from difflib import SequenceMatcher
+from functools import reduce
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from filinglens.session import join_safe, materialise
+from filinglens.session import join_safe, materialise, scratch_path
 
-EDGE, SEEDS, WIDE = 20, 6, 5
-BLOCK, LETTERS, LEVELS, BUCKETS = 16384, 32, 16, 512
+EDGE, SEEDS, WIDE, GRAM = 20, 6, 4, 6
+BLOCK, LETTERS, BUCKETS = 16384, 32, 512
+WORDS, STRIP, SPAN, PIECE = 8, 128, 4096, 4096
+FEW, SHARE = 32, 200_000
 
 
 def common_subsequence(places: dict[str, int], first: str, second: str) -> int:
@@ -120,6 +126,13 @@ def _mixed(code: np.ndarray, seed: int) -> np.ndarray:
     return h ^ h >> np.uint64(31)
 
 
+def stored(rows: DataFrame) -> DataFrame:
+    """Written once, so that Spark knows its bytes and broadcasts it where it is small, which leaves the sentences in place."""
+    path = scratch_path(rows.sparkSession, "near")
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def behind_first(rows: DataFrame, company: str, threshold: float, ratio: str = "sequence", salt: int = 0) -> DataFrame:
     """Pairs (company, first, k): k is similar to an earlier sentence ``first`` that is behind no other one."""
     kind = rows.schema[company].dataType.simpleString()
@@ -127,25 +140,32 @@ def behind_first(rows: DataFrame, company: str, threshold: float, ratio: str = "
     def keyed(batches):
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            code, starts = gram_codes([t if len(t) > 2 else t.ljust(3) for t in texts], 3)
-            keys = []
-            for s in range(SEEDS if texts else 0):
-                key = np.zeros(len(texts), np.uint64)
-                for w in range(WIDE):
-                    key = key * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat(_mixed(code, (salt * SEEDS + s) * WIDE + w + 1), starts[:-1])
-                keys.append(key)
-            edges = [[hash_of(t[:EDGE]) for t in texts], [hash_of(t[-EDGE:]) for t in texts]] if salt == 0 else []
-            both = np.stack([*keys, *[np.array(e, np.uint64) for e in edges]], 1) if texts else np.zeros((0, 1), np.uint64)
-            both = _mixed(both, 1) + np.arange(both.shape[1], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("company"), batch.column("ord"), pa.array(list(both.view(np.int64)), pa.list_(pa.int64()))], ["company", "ord", "keys"])
-
-    dealt = rows.select(F.col(company).alias("company"), "ord", "text").mapInArrow(keyed, f"company {kind}, ord string, keys array<long>").select("company", "ord", F.explode("keys").alias("bucket"))
-    heads = dealt.groupBy("company", "bucket").agg(F.min("ord").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    met = join_safe(dealt, heads, ["company", "bucket"]).filter("first <> ord").select("company", "ord", "first").distinct()
+            keys = np.zeros((len(texts), SEEDS + 2 * (salt == 0)), np.uint64)
+            for k in range(0, len(texts), PIECE):
+                part = texts[k : k + PIECE]
+                code, starts = gram_codes([t if len(t) >= GRAM else t.ljust(GRAM) for t in part], GRAM)
+                # Odd factors deal 32 mixed bits out anew; the buckets only choose what is compared.
+                code = (_mixed(code, 1) >> np.uint64(32)).astype(np.uint32)
+                for s in range(SEEDS):
+                    for w in range(WIDE):
+                        factor = np.uint32(((salt * SEEDS + s) * WIDE + w + 1) * 0x9E3779B1 & 0xFFFFFFFF | 1)
+                        keys[k : k + PIECE, s] = keys[k : k + PIECE, s] * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat(code * factor, starts[:-1])
+                if salt == 0:
+                    keys[k : k + PIECE, SEEDS:] = [[hash_of(t[:EDGE]), hash_of(t[-EDGE:])] for t in part]
+            keys = _mixed(keys, 1) + np.arange(keys.shape[1], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column("company"), batch.column("ord"), pa.array(list(keys.view(np.int64)), pa.list_(pa.int64()))], ["company", "ord", "keys"])
+
     texts = rows.select(F.col(company).alias("company"), "ord", "text")
-    met = join_safe(met, texts.withColumnRenamed("ord", "first").withColumnRenamed("text", "a"), ["company", "first"])
-    met = met.groupBy("company", "ord").agg(F.sort_array(F.collect_list(F.struct("first", "a"))).alias("heads"))
-    met = join_safe(met, texts, ["company", "ord"]).select("company", "ord", "text", "heads")
+    keys = materialise(texts.mapInArrow(keyed, f"company {kind}, ord string, keys array<long>"))
+    dealt = keys.select("company", "ord", F.explode("keys").alias("bucket")).withColumn("bucket", F.xxhash64("company", "bucket"))
+    # Nearly all buckets hold one sentence; counting numbers alone tells which do not.
+    shared = stored(dealt.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket"))
+    dealt = stored(dealt.join(shared, "bucket", "left_semi"))
+    heads = dealt.groupBy("company", "bucket").agg(F.min("ord").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    met = stored(join_safe(dealt, heads, ["company", "bucket"]).filter("first <> ord").select("company", "ord", "first").distinct())
+    met = join_safe(texts.withColumnRenamed("ord", "first").withColumnRenamed("text", "a"), met, ["company", "first"])
+    met = stored(met.groupBy("company", "ord").agg(F.sort_array(F.collect_list(F.struct("first", "a"))).alias("heads")))
+    met = join_safe(texts, met, ["company", "ord"]).select("company", "ord", "text", "heads")
 
     def compare(batches):
         tester = Ratio(threshold, ratio)
@@ -160,59 +180,164 @@ def behind_first(rows: DataFrame, company: str, threshold: float, ratio: str = "
 
 
 def hash_of(text: str) -> int:
-    out = 1469598103934665603
-    for b in text.encode("utf-8", "surrogatepass"):
-        out = (out ^ b) * 1099511628211 & 0xFFFFFFFFFFFFFFFF
-    return out
+    return int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
 
 
 def _counted(owner: np.ndarray, bucket: np.ndarray, rows: int, buckets: int) -> np.ndarray:
     return np.minimum(np.bincount(owner * buckets + bucket, minlength=rows * buckets), 255).astype(np.uint8).reshape(rows, buckets)
 
 
+def letter_counts(texts: list[str], sizes: np.ndarray) -> np.ndarray:
+    """How often each text has each of the most frequent letters; the last column has all others."""
+    pieces = [np.frombuffer("".join(texts[k : k + PIECE]).encode("utf-32-le", "surrogatepass"), np.uint32) for k in range(0, len(texts), PIECE)]
+    often = np.zeros(0x110000, np.int64)
+    for p in pieces:
+        seen = np.bincount(p)
+        often[: len(seen)] += seen
+    place = np.full(len(often), LETTERS - 1, np.int64)
+    place[np.argsort(-often, kind="stable")[: LETTERS - 1]] = np.arange(LETTERS - 1)
+    out = np.zeros((len(texts), LETTERS), np.uint8)
+    for k, p in zip(range(0, len(texts), PIECE), pieces):
+        n = sizes[k : k + PIECE]
+        out[k : k + PIECE] = _counted(np.repeat(np.arange(len(n)), n), place[p], len(n), LETTERS)
+    return out
+
+
+class Grams:
+    """Folded counts of the q-grams of those texts that are asked for."""
+
+    def __init__(self, texts: list[str], q: int):
+        self.texts, self.q, self.known, self.counts = texts, q, np.zeros(len(texts), bool), None
+
+    def of(self, rows: np.ndarray) -> np.ndarray:
+        if self.counts is None:
+            self.counts = np.empty((len(self.texts), BUCKETS), np.uint8)
+        new = np.unique(rows[~self.known[rows]])
+        for k in range(0, len(new), PIECE):
+            part = new[k : k + PIECE]
+            code, starts = gram_codes([self.texts[i] for i in part.tolist()], self.q)
+            self.counts[part] = _counted(np.repeat(np.arange(len(part)), np.diff(starts)), (_mixed(code, self.q) % np.uint64(BUCKETS)).astype(np.int64), len(part), BUCKETS)
+        self.known[new] = True
+        return self.counts[rows].astype(np.int16)
+
+
+def bands(rows: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+    """The rows by length, cut where lengths have grown by a twelfth, not below 256 rows; one length is never cut."""
+    rows = rows[np.argsort(sizes[rows], kind="stable")]
+    n, out, k = sizes[rows], [], 0
+    while k < len(rows):
+        end = max(int(np.searchsorted(n, n[k] * 13 / 12 + 1, "right")), min(k + 256, len(rows)))
+        end = int(np.searchsorted(n, n[end - 1], "right"))
+        out.append(rows[k:end])
+        k = end
+    return out
+
+
 def close_pairs(texts: list[str], n_left: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (i, j) of the first ``n_left`` texts with the others, or among all if there are no others, that all count bounds let through."""
     sizes = np.array([len(t) for t in texts], np.int64)
-    owner = np.repeat(np.arange(len(texts)), sizes)
-    letters, at = np.unique(np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32), return_inverse=True)
-    place = np.empty(len(letters), np.int64)
-    place[np.argsort(-np.bincount(at, minlength=len(letters)), kind="stable")] = np.arange(len(letters))
-    counts = _counted(owner, np.minimum(place, LETTERS - 1)[at], len(texts), LETTERS).astype(np.int16)
-    low, high = np.percentile(counts, [3, 97], axis=0).astype(np.int16)
-    bits = np.concatenate([counts[:, [c]] > np.arange(low[c], low[c] + min(LEVELS, high[c] - low[c] + 1)) for c in range(LETTERS)], axis=1)
-    words = np.packbits(np.pad(bits, ((0, 0), (0, -bits.shape[1] % 64))), axis=1).view(np.uint64)
+    counts, grams = letter_counts(texts, sizes), [Grams(texts, q) for q in (2, 4)]
+    left = bands(np.arange(n_left), sizes)
     alone = n_left == len(texts)
-    left = np.argsort(sizes[:n_left], kind="stable")
-    right = left if alone else n_left + np.argsort(sizes[n_left:], kind="stable")
-    columns, far = np.ascontiguousarray(words[right].T), sizes[right]
+    right = left if alone else bands(np.arange(n_left, len(texts)), sizes)
     fit, out = threshold / (2 - threshold), []
-    for k in range(0, len(left), 128):
-        mine = left[k : k + 128]
-        lo = np.searchsorted(far, np.floor(sizes[mine[0]] * fit - 1e-6))
-        hi = np.searchsorted(far, np.ceil(sizes[mine[-1]] / fit + 1e-6), "right")
-        for c in range(max(lo, k) if alone else lo, hi, 2048):
-            d = min(c + 2048, hi)
-            apart = np.zeros((len(mine), d - c), np.uint16)
-            for w in range(len(columns)):
-                apart += np.bitwise_count(words[mine, w][:, None] ^ columns[w, c:d][None, :])
-            room = ((1 - threshold) * (sizes[mine][:, None] + far[None, c:d]) + 1e-6).astype(np.uint16 if far[-1] + sizes.max() < 1 << 16 else np.int64)
-            close = apart <= room
-            if alone and c < k + len(mine):
-                close &= np.arange(k, k + len(mine))[:, None] < np.arange(c, d)[None, :]
-            x, y = np.nonzero(close)
-            out.append((mine[x], right[c + y]))
+    for k, mine in enumerate(left):
+        for other in right[k:] if alone else right:
+            if sizes[other[0]] * fit > sizes[mine[-1]] + 1e-6 or sizes[mine[0]] * fit > sizes[other[-1]] + 1e-6:
+                continue
+            for i, j in meet(mine, other, sizes, counts, threshold):
+                room = (1 - threshold) * (sizes[i] + sizes[j]) + 1e-6
+                good = np.abs(counts[i].astype(np.int16) - counts[j]).sum(1) <= room
+                i, j, room = i[good], j[good], room[good]
+                for g in grams:
+                    good = np.zeros(len(i), bool)
+                    for c in range(0, len(i), 2 * PIECE):
+                        part = slice(c, c + 2 * PIECE)
+                        good[part] = np.abs(g.of(i[part]) - g.of(j[part])).sum(1) <= (2 * g.q - 1) * room[part]
+                    i, j, room = i[good], j[good], room[good]
+                out.append((i, j))
     i, j = [np.concatenate([o[k] for o in out]) if out else np.zeros(0, np.int64) for k in (0, 1)]
-    for q in (2, 4):
-        code, starts = gram_codes(texts, q)
-        folded = _counted(np.repeat(np.arange(len(texts)), np.diff(starts)), (_mixed(code, q) % np.uint64(BUCKETS)).astype(np.int64), len(texts), BUCKETS).astype(np.int16)
-        good = np.zeros(len(i), bool)
-        for k in range(0, len(i), 8192):
-            x, y = i[k : k + 8192], j[k : k + 8192]
-            good[k : k + 8192] = np.abs(folded[x] - folded[y]).sum(1) <= (2 * q - 1) * (1 - threshold) * (sizes[x] + sizes[y]) + 1e-6
-        i, j = i[good], j[good]
     return i, j
 
 
+def meet(mine: np.ndarray, other: np.ndarray, sizes: np.ndarray, counts: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of the rows of two bands, or of one band with itself, whose letters differ little enough, some at a time.
+
+    Rows lie along the direction in which letter counts spread most, with signs only: along it two rows are at most as
+    far apart as their counts are, so a strip of rows meets a stretch of the others (sentences of another language are
+    far away).  Counts are bits (count > level), those that tell most first; all pairs look at one word of 64 bits, or at
+    more while too many are left, and what is left looks at the other words.
+    """
+    same = other is mine
+    spread = np.linalg.eigh(np.cov(counts[mine].T.astype(np.float64)))[1][:, -1] if len(mine) > 1 else np.ones(LETTERS)
+    signs = np.where(spread < 0, -1, 1)
+
+    def laid(rows):
+        along = counts[rows] @ signs
+        at = np.argsort(along, kind="stable")
+        return rows[at], along[at]
+
+    x, near = laid(mine)
+    y, far = (x, near) if same else laid(other)
+    mine_counts = counts[x]
+    above = [(np.count_nonzero(mine_counts[:, c] > v) / len(x), c, v) for c in range(LETTERS) for v in range(int(mine_counts[:, c].min()), int(mine_counts[:, c].max()))]
+    above = sorted(above, key=lambda a: abs(a[0] - 0.5))[: 64 * WORDS]
+    letter, level = np.array([a[1] for a in above], np.int64), np.array([a[2] for a in above], np.uint8)
+    width = max(-(-len(above) // 64), 1)
+
+    def coded(rows):
+        out = np.zeros((width, len(rows)), np.uint64)
+        for k in range(0, len(rows), PIECE):
+            bits = counts[rows[k : k + PIECE]][:, letter] > level
+            out[:, k : k + PIECE] = np.ascontiguousarray(np.packbits(np.pad(bits, ((0, 0), (0, width * 64 - len(above)))), axis=1)).view(np.uint64).T
+        return out
+
+    left, right = coded(x), coded(y)
+    room = np.minimum((1 - threshold) * (sizes[x] + sizes[y].max()) + 1e-6, 64 * WORDS).astype(np.uint16)
+    # Three words fit eight bits; long sentences may need more of them.
+    wide = room.max() >= 64
+    differ, count, first, mask = [np.zeros(STRIP * SPAN, t) for t in (np.uint64, np.uint8, np.uint16 if wide else np.uint8, bool)]
+    used, usable, hold, held = 1, width if wide else min(width, 3), [], 0
+    for k in range(0, len(x), STRIP):
+        e = min(k + STRIP, len(x))
+        most = int(room[k:e].max())
+        lo, hi = np.searchsorted(far, near[k] - most), np.searchsorted(far, near[e - 1] + most, "right")
+        for c in range(max(lo, k) if same else lo, hi, SPAN):
+            d = min(c + SPAN, hi)
+            shape, n = (e - k, d - c), (e - k) * (d - c)
+            bits, some, apart = differ[:n].reshape(shape), count[:n].reshape(shape), first[:n].reshape(shape)
+            apart[:] = 0
+            for w in range(used):
+                np.bitwise_xor(left[w, k:e, None], right[w, None, c:d], out=bits)
+                apart += np.bitwise_count(bits, out=some)
+            np.less_equal(apart, room[k:e, None].astype(apart.dtype), out=mask[:n].reshape(shape))
+            mask[n : n + -n % 8] = False
+            # Eight pairs at once, as hardly any is left.
+            eights = np.flatnonzero(mask[: n + -n % 8].view(np.uint64))
+            at, place = np.nonzero(mask[: n + -n % 8].reshape(-1, 8)[eights])
+            at = eights[at] * 8 + place
+            i, j, sums = at // shape[1] + k, at % shape[1] + c, first[at].astype(np.uint16)
+            seen = used
+            if len(at) * 128 > n and used < usable:
+                used += 1
+            elif len(at) * 4096 < n and used > 1:
+                used -= 1
+            if same:
+                after = i < j
+                i, j, sums = i[after], j[after], sums[after]
+            for w in range(seen, width):
+                sums += np.bitwise_count(left[w, i] ^ right[w, j])
+                good = sums <= room[i]
+                i, j, sums = i[good], j[good], sums[good]
+            hold.append((x[i], y[j]))
+            held += len(i)
+            if held > 1 << 16:
+                yield tuple(np.concatenate([h[v] for h in hold]) for v in (0, 1))
+                hold, held = [], 0
+    if held:
+        yield tuple(np.concatenate([h[v] for h in hold]) for v in (0, 1))
+
+
 def tiles(rows: DataFrame, threshold: float, fresh: bool) -> DataFrame:
     """Rows (company, ord, text, fresh) copied to the tiles (company, i, j) their block takes part in; side 0 is block i, 1 block j.
 
@@ -221,9 +346,12 @@ def tiles(rows: DataFrame, threshold: float, fresh: bool) -> DataFrame:
     sized = rows.withColumn("n", F.length("text"))
     lengths = sized.groupBy("company", "fresh", "n").agg(F.count("*").alias("m"))
     before = Window.partitionBy("company", "fresh").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
-    lengths = lengths.withColumn("band", F.floor(F.coalesce(F.sum("m").over(before), F.lit(0)) / BLOCK).cast("long"))
-    bands = lengths.groupBy("company", "fresh", "band").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.ceil(F.sum("m") / BLOCK).cast("int").alias("parts"))
-    lengths, bands = materialise(lengths), materialise(bands)
+    # A larger company has larger blocks, so that its sentences are not copied to ever more tiles.
+    block = F.least(F.greatest(F.lit(BLOCK), F.ceil(F.sum("m").over(Window.partitionBy("company", "fresh")) / 20)), F.lit(4 * BLOCK))
+    lengths = lengths.withColumn("block", block).withColumn("band", F.floor(F.coalesce(F.sum("m").over(before), F.lit(0)) / F.col("block")).cast("long"))
+    lengths = stored(lengths)
+    bands = stored(lengths.groupBy("company", "fresh", "band").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.ceil(F.sum("m") / F.max("block")).cast("int").alias("parts")))
+    lengths = lengths.drop("block")
     name = lambda band, part: F.concat_ws("-", F.col("fresh").cast("string"), band, part)
     blocks = bands.select("company", "fresh", "low", "high", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "band")
     blocks = blocks.select("company", "low", "high", "fresh", name("band", "part").alias("block"))
@@ -234,7 +362,7 @@ def tiles(rows: DataFrame, threshold: float, fresh: bool) -> DataFrame:
     met = join_safe(blocks, other, ["company"]).filter(fits & (F.col("fresh") | F.col("fresh_") if fresh else F.lit(True)))
     met = met.select("company", F.col("block").alias("i"), F.col("block_").alias("j"))
     sides = met.select("company", "i", "j", F.col("i").alias("block"), F.lit(0).alias("side")).unionByName(met.filter("i <> j").select("company", "i", "j", F.col("j").alias("block"), F.lit(1).alias("side")))
-    sides = sides.groupBy("company", "block").agg(F.collect_list(F.struct("i", "j", "side")).alias("at"))
+    sides = stored(sides.groupBy("company", "block").agg(F.collect_list(F.struct("i", "j", "side")).alias("at")))
     placed = join_safe(sized, lengths.drop("m"), ["company", "fresh", "n"])
     placed = join_safe(placed, bands.select("company", "fresh", "band", "parts"), ["company", "fresh", "band"])
     placed = placed.withColumn("block", name(F.col("band"), F.pmod(F.xxhash64("ord"), F.col("parts")).cast("int")))
@@ -257,8 +385,9 @@ def _pairs(rows: DataFrame, company: str, threshold: float, ratio: str | None, f
         pick = [pa.array([names[f[k]] for f in found], pa.string()) for k in (0, 1)]
         return pa.table([table.column("company").slice(0, 1).take(pa.array([0] * len(found), pa.int64())), *pick], names=["company", "a", "b"])
 
-    # Tiles cost time rather than bytes, so they are dealt to a fixed number of tasks.
-    dealt = tiles(rows, threshold, fresh is not None).repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "company", "i", "j")
+    # Tiles cost time rather than bytes, so they are dealt to a fixed number of tasks, some for each core as tiles differ.
+    tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * rows.sparkSession.sparkContext.defaultParallelism)
+    dealt = tiles(rows, threshold, fresh is not None).repartition(tasks, "company", "i", "j")
     met = dealt.groupBy("company", "i", "j").applyInArrow(meet, f"company {kind}, a string, b string")
     return met.select(F.col("company").alias(company), "a", "b")
 
@@ -276,24 +405,43 @@ def similar_pairs(rows: DataFrame, company: str, threshold: float, ratio: str =
     return _pairs(rows, company, threshold, ratio, fresh)
 
 
+def dropped_at_once(pairs: DataFrame, company: str) -> DataFrame:
+    """Order keys that lose to an earlier kept key, each company's pairs walked through in one group."""
+    def walk(table: pa.Table) -> pa.Table:
+        gone: set[str] = set()
+        for a, b in sorted(zip(table.column("a").to_pylist(), table.column("b").to_pylist()), key=lambda p: p[1]):
+            if a not in gone:
+                gone.add(b)
+        return pa.table([table.column("company").slice(0, 1).take(pa.array([0] * len(gone), pa.int64())), pa.array(sorted(gone), pa.string())], names=["company", "k"])
+
+    kind = pairs.schema[company].dataType.simpleString()
+    met = pairs.select(F.col(company).alias("company"), "a", "b").groupBy("company").applyInArrow(walk, f"company {kind}, k string")
+    return met.select(F.col("company").alias(company), "k")
+
+
 def dropped_by_rounds(pairs: DataFrame, company: str) -> DataFrame:
     """Order keys that lose to an earlier kept key.
 
-    Each round keeps the keys without an undecided earlier partner and drops
-    their later partners, until no pair is left; the pair list shrinks every round.
+    Companies of up to ``SHARE`` pairs are walked through at once.  For the others, each round keeps the keys without an
+    undecided earlier partner and drops their later partners, until no pair is left; the pair list shrinks every round.
     """
     open_pairs = materialise(pairs.select(company, "a", "b").distinct())
-    dropped = None
+    many = [r[0] for r in open_pairs.groupBy(company).agg(F.count("*").alias("n")).filter(F.col("n") > SHARE).select(company).collect()]
+    if not many:
+        return dropped_at_once(open_pairs, company)
+    large = reduce(lambda x, y: x | y, [F.col(company).eqNullSafe(F.lit(c)) for c in many])
+    dropped = dropped_at_once(open_pairs.filter(~large), company)
+    open_pairs = open_pairs.filter(large)
     while not open_pairs.isEmpty():
         later = open_pairs.select(company, F.col("b").alias("k")).distinct()
-        kept = open_pairs.select(company, F.col("a").alias("k")).distinct().join(later, [company, "k"], "left_anti")
-        gone = materialise(open_pairs.join(kept.withColumnRenamed("k", "a"), [company, "a"], "left_semi")
+        kept = join_safe(open_pairs.select(company, F.col("a").alias("k")).distinct(), later, [company, "k"], "left_anti")
+        gone = materialise(join_safe(open_pairs, kept.withColumnRenamed("k", "a"), [company, "a"], "left_semi")
                            .select(company, F.col("b").alias("k")).distinct())
-        dropped = gone if dropped is None else dropped.unionByName(gone)
-        open_pairs = materialise(open_pairs.join(gone.withColumnRenamed("k", "a"), [company, "a"], "left_anti")
-                                 .join(gone.withColumnRenamed("k", "b"), [company, "b"], "left_anti")
-                                 .join(kept.withColumnRenamed("k", "a"), [company, "a"], "left_anti"))
-    return dropped if dropped is not None else pairs.select(company, F.col("b").alias("k")).limit(0)
+        dropped = dropped.unionByName(gone)
+        left = join_safe(open_pairs, gone.withColumnRenamed("k", "a"), [company, "a"], "left_anti")
+        left = join_safe(left, gone.withColumnRenamed("k", "b"), [company, "b"], "left_anti")
+        open_pairs = materialise(join_safe(left, kept.withColumnRenamed("k", "a"), [company, "a"], "left_anti"))
+    return dropped
 
 
 def drop_near_duplicates(rows: DataFrame, company: str, order: list[str], text: str, threshold: float = 0.93, ratio: str = "sequence", sweeps: int = 2) -> DataFrame:
@@ -315,6 +463,9 @@ def drop_near_duplicates(rows: DataFrame, company: str, order: list[str], text:
         left = materialise(join_safe(left, found.select(company, F.col("k").alias("ord")), [company, "ord"], "left_anti"))
     # A first sentence that went behind another one in a later sweep holds nothing any more.
     behind = materialise(join_safe(behind, behind.select(company, F.col("k").alias("first")).distinct(), [company, "first"], "left_anti"))
+    # Only the square of many variants is worth holding back; a few meet all others at once.
+    many = behind.groupBy(company, "first").agg(F.count("*").alias("n")).filter(F.col("n") > FEW).drop("n")
+    behind = materialise(join_safe(behind, many, [company, "first"], "left_semi"))
     pairs, fresh = None, None
     while True:
         waiting = behind.select(company, F.col("k").alias("ord")).distinct()
