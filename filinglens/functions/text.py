@@ -11,6 +11,8 @@ from filinglens import lexicon as L
 
 # Unicode blanks that a text run may hold.
 BLANK = r"[\s\u001c-\u001f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+# Blanks besides the space and the line feed, one by one: looking for each costs less than a pattern of all.
+ODD_BLANKS = [chr(i) for i in (9, *range(11, 14), *range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
 SENTENCE_BREAK = r"(?<=[.!?。])\s+|\n+"
 # One word of small or caseless letters: it is its own normal form and holds neither digits nor blanks.
 PLAIN_WORD = r"^[\p{Ll}\p{Lo}]{2,}\z"
@@ -96,7 +98,10 @@ def dictionary_tags(c: Column, dictionary: dict[str, list[str]]) -> Column:
 # --- sentences and blocks --------------------------------------------------------------------
 
 def sentences(c: Column, low: int = L.SENTENCE_MIN_CHARS, high: int = L.SENTENCE_MAX_CHARS) -> Column:
-    parts = F.transform(F.split(F.regexp_replace(c, r"[ \t]+", " "), SENTENCE_BREAK), squash)
+    """Most texts hold no blank but single spaces and line feeds, so that only the ends of their parts are to be trimmed."""
+    runs = c.contains("  ") | c.contains("\t")
+    parts = F.split(F.when(runs, F.regexp_replace(c, r"[ \t]+", " ")).otherwise(c), SENTENCE_BREAK)
+    parts = F.when(any_term(c, ODD_BLANKS), F.transform(parts, squash)).otherwise(F.transform(parts, lambda s: F.trim(s)))
     return F.filter(parts, lambda s: F.length(s).between(low, high))
 
 

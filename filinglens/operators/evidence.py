@@ -11,7 +11,7 @@ from filinglens import lexicon as L
 from filinglens.functions import text as X
 from filinglens.operators.neardup import drop_near_duplicates
 from filinglens.operators.ordering import top_per_group
-from filinglens.session import join_safe, once
+from filinglens.session import join_safe, materialise, once
 
 
 class Vocabulary:
@@ -67,8 +67,11 @@ DISPOSITIONS = ["noise", "peer", "no_category", "industry", "no_anchor", "compan
 
 def sentence_table(texts: DataFrame, keys: list[str], column: str = "text", low: int = L.SENTENCE_MIN_CHARS,
                    high: int = L.SENTENCE_MAX_CHARS) -> DataFrame:
-    """One row per sentence with its position in the text."""
-    return texts.select(*keys, F.posexplode(X.sentences(F.col(column), low, high)).alias("sentence_pos", "sentence"))
+    """One row per sentence with its position in the text.
+
+    Spark filters what goes into an inner explode by its size, which would split every text twice.
+    """
+    return texts.select(*keys, F.posexplode_outer(X.sentences(F.col(column), low, high)).alias("sentence_pos", "sentence")).filter("sentence_pos IS NOT NULL")
 
 
 def judged(sentences: DataFrame, vocabulary: Vocabulary | None = None, name: str = "company_name") -> DataFrame:
@@ -94,8 +97,9 @@ def extraction_counts(judged_rows: DataFrame, groups: list[str]) -> DataFrame:
 def extraction_outcomes(judged_rows: DataFrame, company: str, order: list[str], threshold: float = L.NEAR_DUPLICATE_RATIO, ratio: str = "sequence") -> DataFrame:
     """Eight disjoint outcomes per company that add up to its sentences: the dispositions, and duplicates of company and industry rows."""
     kinds = ("company", "industry")
-    mine = judged_rows.filter(F.col("disposition").isin(*kinds)).withColumn("_who", F.to_json(F.struct(company, "disposition")))
-    kept = drop_near_duplicates(mine, "_who", order, "sentence", threshold, ratio)
+    text = F.when(F.col("disposition").isin(*kinds), F.col("sentence")).alias("sentence")
+    judged_rows = materialise(judged_rows.select(company, *order, "disposition", text))  # read twice, judged once
+    kept = kept_evidence(judged_rows, company, order, threshold, ratio, kinds)
     counts = kept.groupBy(company).agg(*[F.count_if(F.col("disposition") == d).alias(f"_{d}") for d in kinds])
     out = join_safe(extraction_counts(judged_rows, [company]), counts, [company], "left")
     for d in kinds:
@@ -104,6 +108,13 @@ def extraction_outcomes(judged_rows: DataFrame, company: str, order: list[str],
     return out.drop(*[f"_{d}" for d in kinds])
 
 
+def kept_evidence(judged_rows: DataFrame, company: str, order: list[str], threshold: float = L.NEAR_DUPLICATE_RATIO, ratio: str = "sequence",
+                  kinds: tuple[str, ...] = ("company", "industry")) -> DataFrame:
+    """Evidence of several dispositions, each without near duplicates of its own earlier sentences, settled together."""
+    mine = judged_rows.filter(F.col("disposition").isin(*kinds)).withColumn("_who", F.to_json(F.struct(company, "disposition")))
+    return drop_near_duplicates(mine, "_who", order, "sentence", threshold, ratio).drop("_who")
+
+
 def company_evidence(judged_rows: DataFrame, company: str, order: list[str], threshold: float = L.NEAR_DUPLICATE_RATIO,
                      disposition: str = "company", ratio: str = "sequence") -> DataFrame:
     """Evidence sentences with near duplicates of earlier ones removed."""

@@ -72,7 +72,7 @@ def documents(spark, sf):
 
 def company_texts(spark, sf):
     d = documents(spark, sf)
-    names = d.groupBy("source").agg(F.min_by(F.split("text", " ")[0], "doc_id").alias("company_name"))
+    names = d.groupBy("source").agg(F.min_by(F.substring_index("text", " ", 1), "doc_id").alias("company_name"))
     return attach(d, names, ["source"]).select("source", "company_name", "doc_id", "text")
 
 
