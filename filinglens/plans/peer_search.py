@@ -36,8 +36,8 @@ def business_profiles(texts: DataFrame, company: str, order: list[str], vocabula
     keys = [company, "company_name", *order]
     judged = materialise(E.judged(E.sentence_table(texts, keys), vocabulary))
     place = [*order, "sentence_pos"]
-    own = materialise(E.company_evidence(judged, company, place))
-    context = E.company_evidence(judged, company, place, disposition="industry")
+    kept = materialise(E.kept_evidence(judged, company, place))
+    own, context = kept.filter("disposition = 'company'"), kept.filter("disposition = 'industry'")
     core = E.core_evidence(own, company, place, max_items=max_items)
     return {"judged": judged, "evidence": own, "industry_context": context, "core": core,
             "counts": E.extraction_counts(judged, [company]), "category_counts": E.category_counts(own, [company]),
